@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality, urls
+from . import bpe, decontaminate, neardup, quality, urls
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op9_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark, sf_dir):
+    return neardup.digests(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_decontamination, op7_quality, op8_urls, op9_bpe)}
+    return {f.__name__: f for f in (op4_decontamination, op7_quality, op8_urls, op9_bpe, op10_minhash)}
 
 
 def oracle_sql():
