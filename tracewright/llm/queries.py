@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality, urls
+from . import bpe, decontaminate, neardup, quality, recompress, urls
 from .common import table
 
 
+def op3_substring(spark, sf_dir):
+    return recompress.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +35,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_decontamination, op7_quality, op8_urls, op9_bpe, op10_minhash)}
+    return {f.__name__: f for f in (op3_substring, op4_decontamination, op7_quality, op8_urls, op9_bpe, op10_minhash)}
 
 
 def oracle_sql():
