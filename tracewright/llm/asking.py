@@ -100,8 +100,12 @@ def _n_keys(blob: bytes) -> int:
     return len(blob) * 8 // (8 * KEY_BYTES + 1)
 
 
-def answer_shared(batches):
-    """A bit for each key asked about: held by two documents or more."""
+#: Groups that hold a key from which on it counts as frequent.
+FREQUENT = 1024
+
+
+def answer_shared(batches, frequent: int = FREQUENT):
+    """Two bits for each key asked about: held by two documents or more; asked about by very many groups."""
     asked = rows_of(batches, ASK_ARROW)
     blobs, pids, ids = asked["blob"].to_pylist(), asked["pid"], asked["bucket"]
     sizes = [_n_keys(b) for b in blobs]
@@ -114,18 +118,19 @@ def answer_shared(batches):
         at = np.flatnonzero(first)
         held = np.diff(np.append(at, len(keys)))
         shared = (held > 1) | np.maximum.reduceat(several[order], at)
-        out = np.empty(len(keys), bool)
+        out, many = np.empty(len(keys), bool), np.empty(len(keys), bool)
         out[order] = np.repeat(shared, held)
+        many[order] = np.repeat(held >= frequent, held)
         edges = np.cumsum([0, *sizes])
-        bits = [np.packbits(out[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        bits = [np.packbits(out[a:b]).tobytes() + np.packbits(many[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(pids.combine_chunks().to_numpy(zero_copy_only=False), pa.int32()), pa.array(ids.combine_chunks().to_numpy(zero_copy_only=False), pa.int32()), pa.array(bits, pa.binary())], ["pid", "bucket", "blob"])
 
 
-def shared_mask(keys: np.ndarray, doc: np.ndarray, answers: dict[int, bytes], buckets: int) -> np.ndarray:
-    """For each of the group's keys (as given to ask_shared) whether it is shared."""
+def shared_mask(keys: np.ndarray, doc: np.ndarray, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the group's keys (as given to ask_shared) whether it is shared, and whether it is frequent."""
     distinct, _ = own_keys(keys, doc)
-    shared = np.zeros(len(distinct), bool)
+    told = np.zeros((2, len(distinct)), bool)
     for k, a, b in bucket_slices(distinct, buckets):
-        shared[a:b] = np.unpackbits(np.frombuffer(answers[k], np.uint8), count=b - a)
+        told[:, a:b] = np.unpackbits(np.frombuffer(answers[k], np.uint8).reshape(2, -1), axis=1, count=b - a)
     at = np.searchsorted(distinct, keys & ~U64(0xFFFF))
-    return shared[at] if len(distinct) else np.zeros(0, bool)
+    return (told[0][at], told[1][at]) if len(distinct) else (np.zeros(0, bool), np.zeros(0, bool))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality, recompress, urls
+from . import bpe, decontaminate, neardup, quality, recompress, suffix, urls
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op4_decontamination(spark, sf_dir):
     return decontaminate.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix(spark, sf_dir):
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.digests(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_substring, op4_decontamination, op7_quality, op8_urls, op9_bpe, op10_minhash)}
+    return {f.__name__: f for f in (op3_substring, op4_decontamination, op5_suffix, op7_quality, op8_urls, op9_bpe, op10_minhash)}
 
 
 def oracle_sql():

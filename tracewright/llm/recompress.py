@@ -178,7 +178,7 @@ def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
 def removed_words(texts: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group, np.ndarray]:
     """A group's words and which of them go."""
     g = Group(texts)
-    shared = asking.shared_mask(g.keys, g.doc[g.places], _answers(answers, 0), buckets)
+    shared, _ = asking.shared_mask(g.keys, g.doc[g.places], _answers(answers, 0), buckets)
     at = g.windows(shared)
     high, low, least, inverse = own_prints(*g.prints(at), g.doc[at])
     later, told = np.zeros(len(high), bool), _answers(answers, 1)
@@ -204,7 +204,7 @@ def _exchange(docs: DataFrame):
         if not len(t):
             return asking.ASK_ARROW.empty_table()
         g = Group(t)
-        shared = asking.shared_mask(g.keys, g.doc[g.places], _answers(answers, 0), buckets)
+        shared, _ = asking.shared_mask(g.keys, g.doc[g.places], _answers(answers, 0), buckets)
         at = g.windows(shared)
         high, low, least, _ = own_prints(*g.prints(at), g.doc[at])
         return _ask_first(t["pid"][0].as_py(), high, low, least, buckets)
