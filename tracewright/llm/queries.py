@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, quality, recompress, suffix, urls
+from . import bpe, decontaminate, linededup, neardup, quality, recompress, suffix, urls
 from .common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_substring(spark, sf_dir):
     return recompress.digests(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op3_substring, op4_decontamination, op5_suffix, op7_quality, op8_urls, op9_bpe, op10_minhash)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_substring, op4_decontamination, op5_suffix, op7_quality, op8_urls, op9_bpe, op10_minhash)}
 
 
 def oracle_sql():
