@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 MAX = U64(0xFFFFFFFFFFFFFFFF)
 #: Text bytes that one Python group may hold.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 3 << 20
 
 
 # --- Spark housekeeping -------------------------------------------------------------------
@@ -88,6 +88,17 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(column: pa.Array, size: int = GROUP_BYTES):
+    """The column in slices of about ``size`` bytes of text (one text at least)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(column):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size)))
+        yield column.slice(at, to - at)
+        at = to
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A-Z to a-z, all else unchanged.
