@@ -179,33 +179,39 @@ def load(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (array<int>), decoded text of every row; map-only."""
+def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids of every row; map-only."""
 
     def run(batches):
         bpe = load(path or tokenizer_path())
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            got = list(bpe.encode_batch(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[int(i) for i in s.split(",")] if s else [] for s, _ in got], pa.list_(pa.int32())), pa.array([d.decode("utf-8", "replace") for _, d in got], pa.string())], ["id", "ids", "decoded"])
+            n, digest, decoded, every = [], [], [], []
+            for s, d in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()]):
+                n.append(s.count(",") + 1 if s else 0)
+                digest.append(hashlib.sha256(s.encode()).hexdigest())
+                decoded.append(hashlib.sha256(d.decode("utf-8", "replace").encode()).hexdigest())
+                if ids:
+                    every.append(np.fromstring(s, np.int32, sep=",") if s else np.zeros(0, np.int32))
+            out = [b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(out + [pa.array(every, pa.list_(pa.int32()))] * ids, names)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The contract's columns: token count and digests of ids and decoded text per document."""
+    """The contract's columns."""
+    return encode(docs, path, ids=False)
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and text of rows with doc_id and ids."""
 
     def run(batches):
         bpe = load(path or tokenizer_path())
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            n, ids, decoded = [], [], []
-            for s, d in bpe.encode_batch(texts):
-                n.append(s.count(",") + 1 if s else 0)
-                ids.append(hashlib.sha256(s.encode()).hexdigest())
-                decoded.append(hashlib.sha256(d.decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode_bytes(x or []).decode("utf-8", "replace") for x in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, linededup, neardup, quality, recompress, suffix, urls
@@ -43,7 +44,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_dedup, op3_substring, op4_decontamination, op5_suffix, op7_quality, op8_urls, op9_bpe, op10_minhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_dedup, op3_substring, op4_decontamination, op5_suffix, op7_quality, op8_urls, op9_bpe, op10_minhash)}
 
 
 def oracle_sql():
