@@ -15,8 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORDS_MIN, REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_DOCS, SHARE, LEFT = 8, 0.10, 0.3
+#: Frequent lines of all hosts that may be broadcast.
+BROADCAST_LINES = 500_000
 
 _BLANK = "[ \\t\\n\\u000B\\f\\r]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,8 +98,12 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, left:
     (word characters outside them) and ``kept``.
 
     A host has at most 1 / share lines above its limit for each line of a mean document, so the lists per
-    host are small; they join as one row per host."""
-    over = frequent_lines(docs, min_docs, share).groupBy("host").agg(F.collect_set("line").alias("boilerplate"))
+    host are small. They are written and counted first: up to ``BROADCAST_LINES`` (16 bytes each) they are broadcast,
+    and texts do not move; beyond, one row per host joins by shuffle."""
+    lines_over = cut(frequent_lines(docs, min_docs, share), "frequent-lines")
+    over = lines_over.groupBy("host").agg(F.collect_set("line").alias("boilerplate"))
+    if lines_over.count() <= BROADCAST_LINES:
+        over = F.broadcast(over)
     clash = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boilerplate", "left_chars", "kept") if c in docs.columns]
     rows = docs.drop(*clash)
     joined = rows.join(over.withColumnRenamed("host", "_host"), F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host").withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<bigint>")))
