@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, neardup, quality, recompress, suffix, urls
+from . import bpe, decontaminate, linededup, neardup, pii, quality, recompress, suffix, urls
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_line_dedup(spark, sf_dir):
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark, sf_dir):
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_substring(spark, sf_dir):
     return recompress.digests(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries():
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_dedup, op3_substring, op4_decontamination, op5_suffix, op7_quality, op8_urls, op9_bpe, op10_minhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_substring, op4_decontamination, op5_suffix, op7_quality, op8_urls, op9_bpe, op10_minhash)}
 
 
 def oracle_sql():
