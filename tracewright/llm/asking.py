@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, group_count, partitions
+from .common import GROUP_BYTES, U64, group_count, partitions
 
 #: What a group sends to a bucket, and gets back.
 ASK = "bucket int, pid int, blob binary"
@@ -25,9 +25,9 @@ ASK_ARROW = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("blob", pa.
 KEY_BYTES = 6
 
 
-def grouped(docs: DataFrame, *columns: str) -> DataFrame:
-    """pid and ``columns``, dealt by pid. The group number depends on the size of the text alone."""
-    pid = F.pmod(F.xxhash64("doc_id"), F.lit(group_count(docs))).cast("int").alias("pid")
+def grouped(docs: DataFrame, *columns: str, size: int = GROUP_BYTES, per_partition: int = 2) -> DataFrame:
+    """pid and ``columns``, dealt by pid into groups of about ``size`` bytes of text."""
+    pid = F.pmod(F.xxhash64("doc_id"), F.lit(group_count(docs, size, per_partition))).cast("int").alias("pid")
     return docs.select(pid, *columns).repartition(partitions(docs.sparkSession), "pid")
 
 

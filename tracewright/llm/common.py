@@ -64,10 +64,10 @@ def drop(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def group_count(docs: DataFrame, text: str = "text", per_partition: int = 2) -> int:
-    """How many hash groups keep a group's text under GROUP_BYTES on average (one column scan)."""
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(per_partition * partitions(docs.sparkSession), -(-size // GROUP_BYTES))
+def group_count(docs: DataFrame, size: int = GROUP_BYTES, per_partition: int = 2) -> int:
+    """How many hash groups keep a group's text under ``size`` bytes on average (one column scan)."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(per_partition * partitions(docs.sparkSession), -(-total // size))
 
 
 # --- text buffers ---------------------------------------------------------------------------

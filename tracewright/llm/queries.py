@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, neardup, pii, quality, recompress, suffix, urls
+from . import bpe, decontaminate, linededup, lm, neardup, pii, quality, recompress, suffix, urls
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op5_suffix(spark, sf_dir):
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality.digests(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_minhash(spark, sf_dir):
 
 
 def queries():
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_substring, op4_decontamination, op5_suffix, op7_quality, op8_urls, op9_bpe, op10_minhash)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_substring, op4_decontamination, op5_suffix, op6_lm, op7_quality, op8_urls, op9_bpe, op10_minhash)}
 
 
 def oracle_sql():
