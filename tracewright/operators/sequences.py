@@ -13,7 +13,8 @@ def pairs_within(df: DataFrame, by: list[str], order: list[str], item: str, k: i
     though every element counts for the offset. One sort per run."""
     w = Window.partitionBy(*by).orderBy(*order)
     leads = F.array(*[F.struct(F.lit(j).alias("off"), F.lead(item, j).over(w).alias("target"), (F.lead(kind, j).over(w) if kind else F.lit(None).cast("string")).alias("kind")) for j in range(1, k + 1)])
-    out = df.select(*by, F.col(item).alias("source"), *([F.col(kind).alias("_kind")] if kind else []), F.struct(*order).alias("ord"), F.explode(leads).alias("p")).where("p.target is not null")
+    rows = df.select(*by, F.col(item).alias("source"), *([F.col(kind).alias("_kind")] if kind else []), F.struct(*order).alias("ord"), leads.alias("_leads"))
+    out = rows.withColumn("p", F.explode("_leads")).where("p.target is not null")
     if kind:
         out = out.where("_kind = p.kind").drop("_kind")
     return out.select(*by, "source", F.col("p.target").alias("target"), F.col("p.off").alias("off"), "ord")

@@ -1,0 +1,4 @@
+"""Queries over the driver's tables with the SQL they are held against."""
+
+from . import metric_queries, sequence_queries  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
