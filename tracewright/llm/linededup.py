@@ -3,7 +3,7 @@
 Lines are normalised (A-Z lower-cased, words joined by single blanks); lines without a word are left
 alone. A line's set holds its distinct shingles of ``SHINGLE`` characters (a shorter line is one
 shingle). ``BANDS`` bands of ``ROWS`` minima propose candidates; at a Jaccard similarity of 0.75 a pair
-shares no band with probability 4e-4. Candidates are verified on full sets, components come from distributed
+shares no band with probability 1.4e-3, one at 0.8 with 2e-4. Candidates are verified on full sets, components come from distributed
 union-find (see ``linking``), and of each component the first line stays: least doc_id, then least place.
 
 Equal normalised lines are one node and so always in one component. Null texts have no lines. Rows
@@ -25,7 +25,7 @@ from .common import U64, _stream, cut, partitions
 from .linking import link
 
 SHINGLE, PERCENT = 9, 75
-BANDS, ROWS = 14, 3
+BANDS, ROWS = 12, 3
 NODE = 10
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -126,16 +126,28 @@ def _keys(lines: list[bytes], nodes: list[bytes]):
 
 
 def _ask(pid: int, t: pa.Table, buckets: int) -> pa.Table:
-    lines = list(_own(t))
-    distinct, _ = _keys(lines, list(map(node_of, lines))) if lines else (np.zeros(0, U64), None)
-    rows = [(k, distinct[a:b].tobytes()) for k, a, b in asking.bucket_slices(distinct, buckets)]
+    """A row for each bucket, and one (to some bucket, which passes it back) with the places of the lines' bands, so
+    that they need not be computed again."""
+    lines = sorted(_own(t))
+    if not lines:
+        return asking.ASK_ARROW.empty_table()
+    distinct, place = _keys(lines, list(map(node_of, lines)))
+    rows = [(k, b"a" + distinct[a:b].tobytes()) for k, a, b in asking.bucket_slices(distinct, buckets)]
+    rows.append((pid % buckets, b"b" + np.int64(len(distinct)).tobytes() + distinct.tobytes() + place.astype(np.uint32).tobytes()))
     return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([pid] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=asking.ASK_ARROW)
 
 
 def _answer(batches):
     """A bit for each entry asked about: two different lines have its band key."""
-    asked = asking.rows_of(batches, asking.ASK_ARROW)
-    blobs = asked["blob"].to_pylist()
+    names, blobs, pids, ids = ["pid", "bucket", "blob"], [], [], []
+    for t in batches:
+        for bucket, pid, blob in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True):
+            if blob[:1] == b"b":
+                yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([-1], pa.int32()), pa.array([blob[1:]], pa.binary())], names)
+            else:
+                blobs.append(blob[1:])
+                pids.append(pid)
+                ids.append(bucket)
     if not blobs:
         return
     entries = np.concatenate([np.frombuffer(b, U64) for b in blobs])
@@ -149,7 +161,7 @@ def _answer(batches):
     out[order] = np.repeat(differ, np.diff(np.append(at, len(key))))
     edges = np.cumsum([0, *(len(b) // 8 for b in blobs)])
     bits = [np.packbits(out[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(asked["pid"].to_pylist(), pa.int32()), pa.array(asked["bucket"].to_pylist(), pa.int32()), pa.array(bits, pa.binary())], ["pid", "bucket", "blob"])
+    yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(ids, pa.int32()), pa.array(bits, pa.binary())], names)
 
 
 _LINES = pa.schema([("pid", pa.int32()), ("node", pa.binary()), ("nameless", pa.bool_()), ("doc", pa.int64()), ("place", pa.int32()), ("keys", pa.list_(pa.int64())), ("line", pa.binary())])
@@ -171,28 +183,36 @@ def lines_of(docs: DataFrame) -> DataFrame:
         own = _own(t) if len(t) else {}
         if not own:
             return _LINES.empty_table()
-        lines = list(own)
+        lines = sorted(own)
         nodes = list(map(node_of, lines))
-        distinct, place = _keys(lines, nodes)
-        told, shared = dict(zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True)), np.zeros(len(distinct), bool)
+        told = dict(zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True))
+        n = int(np.frombuffer(told[-1], np.int64, 1)[0])
+        distinct, place = np.frombuffer(told[-1], U64, n, 8), np.frombuffer(told[-1], np.uint32, -1, 8 + 8 * n).reshape(-1, BANDS)
+        shared = np.zeros(n, bool)
         for k, a, b in asking.bucket_slices(distinct, buckets):
             shared[a:b] = np.unpackbits(np.frombuffer(told[k], np.uint8), count=b - a)
         mine = shared[place]
         keys: list = [None] * len(lines)
         for j in np.flatnonzero(mine.any(1)).tolist():
             keys[j] = (distinct[place[j][mine[j]]] >> U64(16)).astype(np.int64)
-        at = list(own.values())
+        at = [own[x] for x in lines]
         return pa.table([pa.array([t["pid"][0].as_py()] * len(lines), pa.int32()), pa.array(nodes, pa.binary()), pa.array([x[0] for x in at], pa.bool_()), pa.array([x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array([x if k is not None else None for x, k in zip(lines, keys, strict=True)], pa.binary())], schema=_LINES)
 
     answers = asking.to_buckets(asking.per_group(groups, ask, asking.ASK), _answer, "pid int, bucket int, blob binary")
     return asking.with_answers(groups, answers, tell, "pid int, node binary, nameless boolean, doc long, place int, keys array<long>, line binary")
 
 
+def _with_sizes(batches):
+    for t in batches:
+        yield pa.RecordBatch.from_arrays([t.column(0), pa.array([len(shingle_set(x)) for x in t.column(1).to_pylist()], pa.int64()), t.column(1)], ["node", "size", "payload"])
+
+
 def lost_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """pid, node of the lines of which a group keeps none, since their component has an earlier line elsewhere."""
     lines = cut(lines_of(docs), "lines")
     candidates = lines.where("keys is not null")
-    sets = cut(candidates.groupBy("node").agg(F.first("line").alias("payload")), "line-sets")
+    sets = candidates.groupBy("node").agg(F.first("line").alias("payload"))
+    sets = cut(sets.mapInArrow(_with_sizes, "node binary, size long, payload binary"), "line-sets")
     buckets = candidates.select(F.explode("keys").alias("key"), "node").distinct()
     roots = link(buckets, sets, shingle_set, percent)
     owned = lines.select("pid", "node", F.struct("nameless", "doc", "place").alias("at"))

@@ -2,9 +2,13 @@
 
 A bucket is a set of nodes that share a band. In a round every bucket's pivot (the node with most
 bucket fellows) is compared with the others on full sets; verified links join components, and nodes of one
-component need no further comparison. Buckets that hold one component are done, pivots leave. After
-``ROUNDS`` rounds the pairs still open, those between different components of one bucket, are compared
-one and all, so no link between candidates is lost.
+component need no further comparison. Buckets that hold one component are done, pivots leave.
+
+Buckets that are still open and large after ``ROUNDS`` rounds hold many nodes that share something (a passage, say)
+and yet are not similar. Their nodes are banded again, ``STRICT_ROWS`` minima a band: pairs at 0.75 meet
+again with probability 0.9994 or more, pairs at 0.4 with 0.03. After as many rounds again the pairs
+still open, those between different components of one bucket, are compared one and all.
+Sets whose sizes alone rule out the similarity are never compared.
 """
 
 from __future__ import annotations
@@ -16,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
-from .components import components
+from .common import U64, _stream, cut, drop, mix
+from .components import add_edges, label
+
+ROUNDS, LARGE = 2, 32
+STRICT_BANDS, STRICT_ROWS = 40, 8
 
-ROUNDS = 3
+_A = _stream(51, STRICT_BANDS * STRICT_ROWS) | U64(1)
+_B = _stream(52, STRICT_BANDS * STRICT_ROWS)
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -30,6 +38,17 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def strict_keys(items: np.ndarray) -> np.ndarray:
+    """Keys of the strict bands of a set of 64-bit hashes."""
+    low = np.full(len(_A), ~U64(0))
+    for k in range(0, len(items), 512):
+        np.minimum(low, (items[k : k + 512, None] * _A + _B).min(0), out=low)
+    out = np.arange(STRICT_BANDS, dtype=U64) + U64(1 << 40)
+    for row in low.reshape(STRICT_BANDS, STRICT_ROWS).T:
+        out = mix(out * U64(0x9E3779B97F4A7C15) + row)
+    return out.view(np.int64)
+
+
 def verify(pairs: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets (node, payload) are similar enough."""
     kind = pairs.schema["a"].dataType.simpleString()
@@ -38,60 +57,97 @@ def verify(pairs: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarr
 
     def run(batches):
         known: dict[bytes, np.ndarray] = {}
+
+        def set_of(payload: bytes) -> np.ndarray:
+            if payload not in known:
+                if len(known) > 256:
+                    known.clear()
+                known[payload] = to_set(payload)
+            return known[payload]
+
         for t in batches:
-            keep = []
-            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True):
-                if x not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[x] = to_set(x)
-                keep.append(jaccard_at_least(known[x], to_set(y), percent))
+            keep = [jaccard_at_least(set_of(x), set_of(y), percent) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.hint("shuffle_hash").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+class Linker:
+    """Buckets still open, components so far, and pairs already compared."""
+
+    def __init__(self, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int):
+        self.sets, self.to_set, self.percent = sets, to_set, percent
+        self.roots = self.tested = None
+
+    def fits(self, a: str, b: str):
+        return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
+
+    def compare(self, pairs: DataFrame) -> None:
+        """Verify the pairs (a, b) not compared before and join what is similar."""
+        pairs = pairs.distinct()
+        pairs = cut(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "pairs")
+        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        found = cut(verify(pairs, self.sets, self.to_set, self.percent), "links")
+        if self.roots is None or not found.isEmpty():
+            self.roots = cut(add_edges(self.roots, found), "roots")
+
+    def opened(self, buckets: DataFrame) -> DataFrame:
+        """key, node, size, degree of the buckets with two components or more."""
+        rows = label(buckets, self.roots, "node", "root")
+        two = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
+        rows = rows.join(two, "key").select("key", "node", "size", "n")
+        degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
+        return cut(rows.join(degree, "node"), "buckets")
+
+    def round(self, active: DataFrame) -> DataFrame:
+        """Each bucket's pivot against its other nodes; what is open afterwards, without the pivots."""
+        best = active.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("degree", "node")).alias("p"))
+        met = active.join(best.select("key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size")), "key").where("node <> pivot")
+        if self.roots is not None:
+            met = label(label(met, self.roots, "node", "x"), self.roots, "pivot", "y").where("x <> y")
+        self.compare(met.where(self.fits("size", "pivot_size")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
+        rest = active.join(best.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti")
+        out = self.opened(rest.select("key", "node", "size"))
+        drop(active)
+        return out
+
+    def banded_again(self, active: DataFrame) -> DataFrame:
+        """Large buckets give way to strict bands of their nodes."""
+        big = active.where(f"n > {LARGE}").select("node", "size").distinct()
+        to_set = self.to_set
+
+        def run(batches):
+            for t in batches:
+                keys = [strict_keys(to_set(x)) for x in t.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
+
+        nodes = big.join(self.sets.select("node", "payload"), "node").select("node", "size", "payload").mapInArrow(run, "node binary, size long, keys array<long>")
+        strict = nodes.select(F.explode("keys").alias("key"), "node", "size")
+        out = self.opened(active.where(f"n <= {LARGE}").select("key", "node", "size").union(strict.select("key", "node", "size")))
+        drop(active)
+        return out
+
+    def finish(self, active: DataFrame) -> None:
+        """All pairs of different components in the buckets still open."""
+        own = label(active, self.roots, "node", "root")
+        pairs = own.alias("x").join(own.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.root <> y.root") & self.fits("x.size", "y.size"))
+        self.compare(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+
+
 def link(buckets: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int, rounds: int = ROUNDS) -> DataFrame:
     """node, root for the nodes that have a verified link.
 
-    buckets: key, node (distinct rows, no single-node buckets needed); sets: node, payload (one row a node)."""
-    fellows = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = buckets.join(fellows, "key")
-    degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
-    active = cut(rows.join(degree, "node").select("key", "node", "degree"), "buckets")
-    links = tested = roots = None
-    for step in range(rounds + 1):
-        if step < rounds:
-            # the bucket's member with most fellows, ties to the smallest node
-            best = active.groupBy("key").agg(F.max("degree").alias("degree"))
-            pivot = active.join(best, ["key", "degree"]).groupBy("key").agg(F.min("node").alias("pivot"))
-            met = active.join(pivot, "key").where("node <> pivot")
-            labelled = _label(_label(met, roots, "node", "of_node"), roots, "pivot", "of_pivot")
-            pairs = labelled.where("of_node <> of_pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        else:
-            own = _label(active, roots, "node", "root")
-            pairs = own.alias("x").join(own.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.root <> y.root")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = pairs.distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = cut(verify(pairs, sets, to_set, percent), "links")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        roots = cut(components(links), "roots")
-        if step == rounds:
-            break
-        # pivots leave, then buckets of one component
-        rest = _label(active.join(pivot, "key").where("node <> pivot").drop("pivot"), roots, "node", "root")
-        open_ = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        old, active = active, cut(rest.join(open_, "key", "left_semi").drop("root"), "buckets")
-        drop(old)
-        if active.isEmpty():
-            break
-    return roots
-
-
-def _label(df: DataFrame, roots: DataFrame | None, column: str, name: str) -> DataFrame:
-    """``df`` with the component of ``column`` so far (itself where it has no link)."""
-    if roots is None:
-        return df.withColumn(name, F.col(column))
-    return df.join(roots.select(F.col("node").alias(column), F.col("root").alias("_root")), column, "left").withColumn(name, F.coalesce("_root", column)).drop("_root")
+    buckets: key, node (distinct rows); sets: node, size (of the set), payload (one row a node)."""
+    work = Linker(sets, to_set, percent)
+    active = work.opened(buckets.join(sets.select("node", "size"), "node").select("key", "node", "size"))
+    for again in (False, True):
+        if again and not active.where(f"n > {LARGE}").isEmpty():
+            active = work.banded_again(active)
+        for _ in range(rounds):
+            if active.isEmpty():
+                break
+            active = work.round(active)
+    if work.roots is None or not active.isEmpty():
+        work.finish(active)
+    return work.roots
