@@ -101,20 +101,25 @@ def shorten(name: Column, names: dict[str, str], width: int = 16) -> Column:
     return F.coalesce(F.get(F.array(F.element_at(table, name)), F.lit(0)), F.substring(name, 1, width))
 
 
-def admission(mode: Column, in_flight: Column, enabled: Column, naive: Column, confidence: Column, threshold: Column, horizon: Column, max_horizon: Column, safe: Column, proactive: Column, compute_s: Column, load_s: Column) -> Column:
-    """The scheduler's decision, rule by rule: 'start' or 'skip: reason'."""
-    strict = F.least(F.lit(0.9), threshold + 0.1)
+#: Reasons of the admission rules; fixed values of the decision events.
+REASONS = ("already_in_flight_or_complete", "naive_prefetch", "non_cancellable_resource_requires_higher_confidence", "proactive_swap_compute_window", "insufficient_compute_time_for_overlap", "confidence_above_threshold")
+
+
+def admission(mode: Column, in_flight: Column, kind: Column, skipped_kinds: Sequence[str], naive: Column, confidence: Column, threshold: float, offset: Column, horizon: int, safe: Column, proactive: Column, load_s: Column, compute_s: Column) -> Column:
+    """struct(action, reason), rule by rule; null where the mode schedules nothing."""
+    flying, is_naive, unsafe, swap, short, enough = map(F.lit, REASONS)
+    says = lambda action, reason: F.struct(F.lit(action).alias("action"), reason.alias("reason"))
     return (
-        F.when(mode.isin("baseline", "observe"), F.lit("skip: mode"))
-        .when(in_flight, F.lit("skip: in flight"))
-        .when(~enabled, F.lit("skip: type disabled"))
-        .when(naive, F.lit("start"))
-        .when(confidence < threshold, F.concat(F.lit("skip: confidence "), F.format_string("%.2f", confidence)))
-        .when(horizon > max_horizon, F.lit("skip: horizon"))
-        .when(~safe & (confidence < strict), F.concat(F.lit("skip: not cancellable "), F.format_string("%.2f", confidence)))
-        .when(proactive, F.lit("start"))
-        .when(compute_s < load_s, F.lit("skip: compute time"))
-        .otherwise(F.lit("start"))
+        F.when(mode.isin("baseline", "observe_only"), None)
+        .when(in_flight, says("skip", flying))
+        .when(kind.isin(*skipped_kinds), says("skip", F.concat(F.lit("resource_type_skipped ("), kind, F.lit(")"))))
+        .when(naive, says("start", is_naive))
+        .when(confidence < threshold, says("skip", F.format_string(f"confidence_below_threshold (%.2f < {threshold})", confidence)))
+        .when(offset > horizon, says("skip", F.format_string(f"horizon_exceeded (%d > {horizon})", offset)))
+        .when(~safe & (confidence < min(0.9, threshold + 0.1)), says("skip", unsafe))
+        .when(proactive, says("start", swap))
+        .when(load_s.isNotNull() & (compute_s > 0) & (load_s > compute_s * 2), says("skip", short))
+        .otherwise(says("start", enough))
     )
 
 

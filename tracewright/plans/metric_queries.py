@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import asof, lifecycle, metrics, predict
 from ..sources.sinks import union_rows, validation_report
+from ..streaming import guard
 from .base import ET, ORD, E, long, query, rounded, table, trace
 
 KINDS = {"started": "view", "completed": "click", "cancelled": "error", "consumed": "purchase"}
@@ -538,15 +539,17 @@ def falsy_and_lenient(spark, d):
     return trace(spark, d).select("run_id", "ord", scalars.falsy_coalesce(k % 4, F.col("cents") % 3, F.lit(-1)).cast("bigint").alias("picked"), scalars.lenient_int(text).isNull().alias("not_int"))
 
 
-@query(E[:-1] + """ SELECT run_id, ord, CASE WHEN k % 10 = 0 THEN 'skip: mode' WHEN k % 10 = 1 THEN 'skip: in flight' WHEN k % 10 = 2 THEN 'skip: type disabled' WHEN k % 10 = 3 THEN 'start'
-  WHEN k / 100 < 0.4 THEN 'skip: confidence ' || printf('%.2f', k / 100) WHEN cents % 5 > 3 THEN 'skip: horizon' WHEN k % 2 = 0 AND k / 100 < 0.5 THEN 'skip: not cancellable ' || printf('%.2f', k / 100)
-  WHEN k % 10 = 4 THEN 'start' WHEN cents < 500 THEN 'skip: compute time' ELSE 'start' END AS decision FROM e""")
+@query(E[:-1] + """, a AS (SELECT run_id, ord, CASE WHEN k % 10 = 1 THEN 'skip already_in_flight_or_complete' WHEN k % 10 = 2 THEN 'skip resource_type_skipped (cache)' WHEN k % 10 = 3 THEN 'start naive_prefetch'
+  WHEN k / 100 < 0.4 THEN 'skip confidence_below_threshold (' || printf('%.2f', k / 100) || ' < 0.4)' WHEN cents % 5 > 3 THEN 'skip horizon_exceeded (4 > 3)'
+  WHEN k % 2 = 0 AND k / 100 < 0.5 THEN 'skip non_cancellable_resource_requires_higher_confidence' WHEN k % 10 = 4 THEN 'start proactive_swap_compute_window'
+  WHEN cents % 7 > 0 AND cents > cents % 7 * 2000 THEN 'skip insufficient_compute_time_for_overlap' ELSE 'start confidence_above_threshold' END AS decision, k FROM e)
+SELECT run_id, ord, CASE WHEN k % 10 > 0 THEN decision END AS decision FROM a""")
 def admission_policy(spark, d):
     """The scheduler's rules in order."""
     k, cents = F.col("k"), F.col("cents")
-    mode = F.when(k % 10 == 0, "observe").otherwise("real")
-    got = scalars.admission(mode, k % 10 == 1, k % 10 != 2, k % 10 == 3, k / 100, F.lit(0.4), cents % 5, F.lit(3), k % 2 != 0, k % 10 == 4, cents, F.lit(500))
-    return trace(spark, d).select("run_id", "ord", got.alias("decision"))
+    mode = F.when(k % 10 == 0, "observe_only").otherwise("real")
+    got = scalars.admission(mode, k % 10 == 1, F.when(k % 10 == 2, "cache").otherwise("model"), ["cache"], k % 10 == 3, k / 100, 0.4, cents % 5, 3, k % 2 != 0, k % 10 == 4, cents, cents % 7 * 1000)
+    return trace(spark, d).withColumn("a", got).select("run_id", "ord", F.concat("a.action", F.lit(" "), "a.reason").alias("decision"))
 
 
 @query(_WALL + "SELECT workload, config, CAST(count(*) FILTER (trial % 3 > 0) AS BIGINT) AS included, CAST(count(*) FILTER (trial % 3 = 0) AS BIGINT) AS excluded, count(*) FILTER (trial % 3 > 0) < 10 AS few, count(DISTINCT CASE WHEN trial % 3 > 0 THEN trial % 2 END) > 1 AS mixed_hardware FROM w GROUP BY ALL")
@@ -589,6 +592,25 @@ def plan_compliance_greedy(spark, d):
     return runs.select("run_id", F.posexplode(scalars.greedy_match(plan, F.slice("items", 1, 6))).alias("pos", "ok"))
 
 
+@query()
+def guard_replay(spark, d):
+    """The prediction guard over each run: signups predict the type of k, other events are tools
+    (a state machine; held against brute force and against its stream in the tests)."""
+    return guard.replay(guard_events(trace(spark, d)), mode="queue")
+
+
+@query()
+def rival_guard_replay(spark, d):
+    """T4: the guard with one pending slot."""
+    return guard.replay(guard_events(trace(spark, d)), mode="slot")
+
+
+def guard_events(e):
+    names = F.array(*map(F.lit, ("click", "view", "pur", "error", "purchase")))
+    step = F.row_number().over(Window.partitionBy("run_id").orderBy(*ORD)).cast("int")
+    return e.select("run_id", "ord", step.alias("step"), F.when(F.col("kind") == "signup", "prediction").otherwise("tool").alias("kind"), F.when(F.col("kind") == "signup", F.get(names, (F.col("k") % 5).cast("int"))).otherwise(F.col("kind")).alias("tool"), (step + (F.col("k") % 3).cast("int")).alias("expected_at"))
+
+
 @query(_WALL + ", a AS (SELECT workload, count(*) FILTER (config = '1-URGENT') AS c1, count(*) FILTER (config = '2-HIGH') AS c2, avg(wall) FILTER (config = '1-URGENT') AS m1, avg(wall) FILTER (config = '2-HIGH') AS m2 FROM w GROUP BY 1) SELECT workload, greatest(c1, c2) AS n, round(m1 / 1e9, 9) AS m1, round(m2 / 1e9, 9) AS m2 FROM a WHERE m1 > 0 OR m2 > 0")
 def segment_means(spark, d):
     """Means of segments, n the greatest count among them; groups of zeros leave."""
