@@ -204,7 +204,7 @@ class Trainer:
         prev = np.empty_like(ids)
         prev[1:] = ids[:-1]
         prev[starts] = self.m.rare + 1
-        width = int(min(STREAMS, max(1, len(ids) // (4 * STEPS))))
+        width = int(np.clip(len(ids) // (60 * STEPS), min(8, len(ids)), STREAMS))
         length = -(-len(ids) // width)
         # the last stream is filled up with tokens from the front
         at = np.minimum(np.arange(width)[None] * length + np.arange(length)[:, None], len(ids) + 10**9) % len(ids)
