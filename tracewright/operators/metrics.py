@@ -79,7 +79,7 @@ def idle_stats(df: DataFrame, by: list[str], t: str, ord_: str, utils: list[str]
     """Idle time (all utilisations exactly 0), span, mean utilisation, peak total memory; a sample's time is that since
     the one before, so the first has none and does not count."""
     w = Window.partitionBy(*by).orderBy(ord_)
-    rows = df.withColumn("_d", F.greatest(F.lit(0), F.col(t) - F.lag(t).over(w))).where("_d is not null")
+    rows = df.withColumn("_d", F.col(t) - F.lag(t).over(w)).where("_d is not null").withColumn("_d", F.greatest(F.lit(0), "_d"))
     all_idle = F.lit(True)
     for u in utils:
         all_idle = all_idle & (F.col(u) == 0)

@@ -380,7 +380,7 @@ def stall_taxonomy(spark, d):
     return lifecycle.taxonomy(classed(spark, d), KEY, ["kind"], "g", "cents", "cls", "ord")
 
 
-@query(E[:-1] + """, w AS (SELECT run_id, greatest(0, t - lag(t) OVER (PARTITION BY run_id ORDER BY ord)) AS dt, k % 3 AS u0, cents % 2 AS u1, k AS m0, cents AS m1 FROM e)
+@query(E[:-1] + """, w AS (SELECT run_id, t - lag(t) OVER (PARTITION BY run_id ORDER BY ord) AS dt, k % 3 AS u0, cents % 2 AS u1, k AS m0, cents AS m1 FROM e)
 SELECT run_id, CAST(sum(CASE WHEN u0 = 0 AND u1 = 0 THEN dt ELSE 0 END) AS BIGINT) AS idle, CAST(sum(dt) AS BIGINT) AS span, round(avg((u0 + u1) / 2), 6) AS mean_util, max(m0 + m1) AS peak_mem,
   round(sum(CASE WHEN u0 = 0 AND u1 = 0 THEN dt ELSE 0 END) / nullif(sum(dt), 0), 6) AS idle_fraction FROM w WHERE dt IS NOT NULL GROUP BY run_id""")
 def sample_delta_idle(spark, d):

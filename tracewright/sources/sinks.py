@@ -43,7 +43,7 @@ def transitions_json(table: DataFrame) -> DataFrame:
     entry = F.struct("rank", "target", F.col("prob").alias("probability"), F.col("cnt").alias("count"), F.col("off").alias("offset"))
     lists = table.groupBy("source", "off").agg(F.array_sort(F.collect_list(entry)).alias("targets"))
     by_source = lists.groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("off").cast("string"), "targets")))).alias("by"))
-    return by_source.agg(F.to_json(F.struct(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "by")))).alias("tool_transitions"))).alias("json"))
+    return by_source.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("source", "by"))).alias("tool_transitions"))).alias("json"))
 
 
 def validation_report(trials: DataFrame, workload: str = "workload", config: str = "config", status: str = "status", gpu: str = "gpu", few: int = 10) -> DataFrame:
