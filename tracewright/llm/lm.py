@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from . import asking
 from .common import LOWER, U64, _stream, cut, drop, partitions, pieces, prefix_hash, span_hash, text_buffer, word_spans
 
-TOP, CLASS, HIDDEN, STEPS = 4096, 64, 16, 16
+TOP, CLASS, HIDDEN, STEPS = 1600, 40, 16, 16
 #: Streams trained side by side, and steps scored at once.
-STREAMS, SCORED, RATE, FAN_IN = 512, 64, 0.004, 64
+STREAMS, SCORED, RATE, FAN_IN = 512, 64, 0.004, 16
 GROUP = 10 << 20
 END = _stream(61, 1)[0]
 ALPHA = 0.1
@@ -109,42 +109,46 @@ class Model:
         """log p of each target given its state; of rare targets that of the class. With grads, those of the
         mean negative log p are put there, and the gradient of the states is returned too."""
         n, p = len(target), self.p
-        cls = np.where(target < self.rare, target // CLASS, self.classes)
-        logit = state @ p["cls"] + p["cls_b"]
-        logit -= logit.max(1, keepdims=True)
-        row = np.arange(n)
-        own = logit[row, cls]
+        cls = np.where(target < self.rare, target // CLASS, self.classes).astype(np.int16)
+        # a column a token, the tokens of a class side by side: all that follows runs along whole rows
+        order = np.argsort(cls, kind="stable")
+        cls, word, column = cls[order], target[order] % CLASS, np.arange(n)
+        state = np.ascontiguousarray(state[order].T)
+        edges = np.searchsorted(cls, np.arange(self.classes + 1))
+        logit = p["cls"].T @ state
+        logit += p["cls_b"][:, None]
+        logit -= logit.max(0)
+        out = logit[cls, column]
         np.exp(logit, out=logit)
-        norm = logit.sum(1, keepdims=True)
-        out = own - np.log(norm[:, 0])
+        norm = logit.sum(0)
+        out -= np.log(norm)
         back = None
         if grads is not None:
-            logit /= norm
-            logit[row, cls] -= 1
-            logit /= n
-            grads["cls"], grads["cls_b"] = state.T @ logit, logit.sum(0)
+            logit /= norm * n
+            logit[cls, column] -= 1 / n
+            grads["cls"], grads["cls_b"] = state @ logit.T, logit.sum(1)
             grads["out"], grads["out_b"] = np.zeros_like(p["out"]), np.zeros_like(p["out_b"])
-            back = logit @ p["cls"].T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
+            back = p["cls"] @ logit
         for j in range(self.classes):
-            at = order[edges[j] : edges[j + 1]]
-            if not len(at):
+            at = slice(edges[j], edges[j + 1])
+            if at.start == at.stop:
                 continue
-            s, w, k = state[at], target[at] - j * CLASS, np.arange(len(at))
-            inside = s @ p["out"][j] + p["out_b"][j]
-            inside -= inside.max(1, keepdims=True)
-            own = inside[k, w]
+            s, w, k = state[:, at], word[at], column[: at.stop - at.start]
+            inside = p["out"][j].T @ s
+            inside += p["out_b"][j][:, None]
+            inside -= inside.max(0)
+            own = inside[w, k]
             np.exp(inside, out=inside)
-            norm = inside.sum(1, keepdims=True)
-            out[at] += own - np.log(norm[:, 0])
+            norm = inside.sum(0)
+            out[at] += own - np.log(norm)
             if grads is not None:
-                inside /= norm
-                inside[k, w] -= 1
-                inside /= n
-                grads["out"][j], grads["out_b"][j] = s.T @ inside, inside.sum(0)
-                back[at] += inside @ p["out"][j].T
-        return out, back
+                inside /= norm * n
+                inside[w, k] -= 1 / n
+                grads["out"][j], grads["out_b"][j] = s @ inside.T, inside.sum(1)
+                back[:, at] += p["out"][j] @ inside
+        place = np.empty(n, np.int64)
+        place[order] = column
+        return out[place], None if back is None else back.T[place]
 
     def gradients(self, prev: np.ndarray, keep: np.ndarray, target: np.ndarray, h: np.ndarray):
         """Gradients over one window, and the state to carry on with."""
