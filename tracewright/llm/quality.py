@@ -64,20 +64,25 @@ def repeat_words(hashes: Column) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))).cast("long")
 
 
+def word_rules(text: Column) -> Column:
+    """struct(n_words, n_repeat_words, failed). One expression over the text's words, named once: a filter on it may move
+    below other columns, and must not repeat them."""
+    hashes = F.transform(words(text), lambda w: F.xxhash64(w))
+    counts = let(hashes, lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeat_words(h).alias("n_repeat_words")))
+    return let(counts, lambda c: F.struct(c.n_words.alias("n_words"), c.n_repeat_words.alias("n_repeat_words"), ((c.n_words < WORDS_MIN) | (c.n_repeat_words * 100 > c.n_words * REPEAT_PERCENT)).alias("failed")))
+
+
 def base(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_words", words(F.col("text")))
-    out = out.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
     full = F.filter(lines(F.col("text")), has_word)
-    out = out.withColumns({
-        "n_words": F.size("_hashes").cast("long"),
+    out = docs.withColumns({
+        "_rules": word_rules(F.col("text")),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": (F.size(full) - F.size(F.array_distinct(full))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_hashes")),
+        "n_dup_lines": let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
-    return out.drop("_hashes").withColumn("base_failed", (F.col("n_words") < WORDS_MIN) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
+    return out.withColumns({"n_words": F.col("_rules.n_words"), "n_repeat_words": F.col("_rules.n_repeat_words"), "base_failed": F.col("_rules.failed")}).drop("_rules")
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
