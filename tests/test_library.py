@@ -287,3 +287,36 @@ def test_guard_stream_equals_batch(spark, tmp_path, mode):
     machine = {}
     want = [v[0] for x in rows if (v := machine.setdefault(x[0], guard.Guard(mode)).feed(*x[2:]))]
     assert list(batch.outcome) == want
+
+
+def test_agent_responses(spark):
+    from tracewright.functions import text
+
+    assert text.tool_name_in('see ```json\n{"name": "run_ase", "x": 1}\n``` ok') == "run_ase"
+    assert text.tool_name_in('{"tool": "make_file"}') == "make_file"
+    assert text.tool_name_in("x = run_it(3)\nprint(x)") == "run_it"
+    assert text.tool_name_in("print(3)") is None and text.tool_name_in(None) is None and text.tool_name_in("call foo(") is None
+    r = json.dumps({"choices": [{"message": {"content": "hi", "tool_calls": [{"function": {"name": "a_b", "arguments": "not json"}}, {"function": {"name": "c_d", "arguments": '{"k": 1}'}}]}}]})
+    df = spark.createDataFrame([(r,), ("{}",), (None,)], "r string").select(text.tool_calls(F.col("r")).alias("c"), text.response_content(F.col("r")).alias("t"))
+    got = df.collect()
+    assert [(c["name"], c["arguments"]) for c in got[0].c] == [("a_b", "{}"), ("c_d", '{"k": 1}')] and got[0].t == "hi"
+    assert got[1].c == [] and got[2].t == ""
+    plan = spark.createDataFrame([('{"worker_tasks": [{"prompt": "a"}, {"prompt": "b"}]}',), ("x",)], "m string").select(text.planner_prompts(F.col("m")).alias("p"))
+    assert [x.p for x in plan.collect()] == ["a b", ""]
+
+
+def test_greedy_plan_query_against_a_fold(spark):
+    from tracewright.plans import metric_queries
+    from tracewright.plans.base import trace
+
+    sf = "/root/testdata/sf0.001"
+    runs: dict[int, list] = {}
+    for e in trace(spark, sf).orderBy("t", "ord").collect():
+        runs.setdefault(e.run_id, []).append(e.kind)
+    got = {(r.run_id, r.pos): r.ok for r in metric_queries.plan_compliance_greedy(spark, sf).collect()}
+    for run, actual in runs.items():
+        at, actual = 0, actual[:6]
+        for pos, step in enumerate(("signup", "error", "view", "purchase")):
+            ok = step in actual[at:]
+            at = actual.index(step, at) + 1 if ok else at
+            assert got[run, pos] == ok
