@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, lm, neardup, pii, quality, recompress, suffix, urls
+from . import bpe, decontaminate, linededup, lm, neardup, oracles, pii, quality, recompress, suffix, urls
 from .common import table
 
 
@@ -40,7 +40,7 @@ def op7_quality(spark, sf_dir):
 def op8_urls(spark, sf_dir):
     """The list stands in for a published one: the URLs of the pages whose id is divisible by 100."""
     pages = table(spark, sf_dir, "pages")
-    return urls.verdicts(pages, pages.where(F.col("page_id") % 100 == 0).select("url"))
+    return urls.verdicts(pages, pages.where(F.col("page_id") % 100 == 0).select("url")).drop("maybe")
 
 
 def op9_bpe(spark, sf_dir):
@@ -56,4 +56,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op3_substring": oracles.SUBSTRING, "op4_decontamination": oracles.DECONTAMINATION, "op7_quality": oracles.QUALITY, "op8_urls": oracles.URLS, "op10_minhash": oracles.NEAR}
