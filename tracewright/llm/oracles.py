@@ -65,6 +65,6 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
 e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
 l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id, doc_id AS at FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at),
-m AS (SELECT doc_id, min(at) AS component_id FROM r GROUP BY doc_id)
+r AS (SELECT doc_id, doc_id AS here FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.here),
+m AS (SELECT doc_id, min(here) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
