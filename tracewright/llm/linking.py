@@ -4,10 +4,10 @@ A bucket is a set of nodes that share a band. In a round every bucket's pivot (t
 bucket fellows) is compared with the others on full sets; verified links join components, and nodes of one
 component need no further comparison. Buckets that hold one component are done, pivots leave.
 
-Buckets that are still open and large after ``ROUNDS`` rounds hold many nodes that share something (a passage, say)
+Buckets that are still open and large after that hold many nodes that share something (a passage, say)
 and yet are not similar. Their nodes are banded again, ``STRICT_ROWS`` minima a band: pairs at 0.75 meet
-again with probability 0.9994 or more, pairs at 0.4 with 0.03. After as many rounds again the pairs
-still open, those between different components of one bucket, are compared one and all.
+again with probability 0.9994 or more, pairs at 0.4 with 0.03. After another round the pairs still
+open, those between different components of one bucket, are compared one and all.
 Sets whose sizes alone rule out the similarity are never compared.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import U64, _stream, cut, drop, mix
 from .components import add_edges, label
 
-ROUNDS, LARGE = 2, 32
+LARGE = 32
 STRICT_BANDS, STRICT_ROWS = 40, 8
 
 _A = _stream(51, STRICT_BANDS * STRICT_ROWS) | U64(1)
@@ -74,47 +74,45 @@ def verify(pairs: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarr
 
 
 class Linker:
-    """Buckets still open, components so far, and pairs already compared."""
+    """Components so far, and what is needed to compare nodes."""
 
     def __init__(self, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int):
         self.sets, self.to_set, self.percent = sets, to_set, percent
-        self.roots = self.tested = None
+        self.roots = None
 
     def fits(self, a: str, b: str):
         return F.least(a, b) * 100 >= F.greatest(a, b) * self.percent
 
     def compare(self, pairs: DataFrame) -> None:
-        """Verify the pairs (a, b) not compared before and join what is similar."""
-        pairs = pairs.distinct()
-        pairs = cut(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "pairs")
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
+        """Verify the pairs (a, b) and join what is similar."""
+        pairs = cut(pairs.distinct(), "pairs")
         found = cut(verify(pairs, self.sets, self.to_set, self.percent), "links")
         if self.roots is None or not found.isEmpty():
             self.roots = cut(add_edges(self.roots, found), "roots")
 
     def opened(self, buckets: DataFrame) -> DataFrame:
-        """key, node, size, degree of the buckets with two components or more."""
+        """Buckets (key, node, size, degree) with two components or more, with each node's root and the bucket's n."""
         rows = label(buckets, self.roots, "node", "root")
         two = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
-        rows = rows.join(two, "key").select("key", "node", "size", "n")
-        degree = rows.groupBy("node").agg(F.sum("n").alias("degree"))
-        return cut(rows.join(degree, "node"), "buckets")
+        return cut(rows.join(two, "key"), "buckets")
+
+    def start(self, buckets: DataFrame) -> DataFrame:
+        """Adds each node's degree: how many fellows its buckets hold."""
+        held = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = buckets.join(held, "key")
+        return rows.join(rows.groupBy("node").agg(F.sum("n").alias("degree")), "node").select("key", "node", "size", "degree")
 
     def round(self, active: DataFrame) -> DataFrame:
         """Each bucket's pivot against its other nodes; what is open afterwards, without the pivots."""
-        best = active.groupBy("key").agg(F.max_by(F.struct("node", "size"), F.struct("degree", "node")).alias("p"))
-        met = active.join(best.select("key", F.col("p.node").alias("pivot"), F.col("p.size").alias("pivot_size")), "key").where("node <> pivot")
-        if self.roots is not None:
-            met = label(label(met, self.roots, "node", "x"), self.roots, "pivot", "y").where("x <> y")
-        self.compare(met.where(self.fits("size", "pivot_size")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")))
-        rest = active.join(best.select("key", F.col("p.node").alias("node")), ["key", "node"], "left_anti")
-        out = self.opened(rest.select("key", "node", "size"))
+        best = active.groupBy("key").agg(F.max_by(F.struct("node", "size", "root"), F.struct("degree", "node")).alias("p"))
+        met = active.join(best, "key").where("node <> p.node")
+        self.compare(met.where("root <> p.root").where(self.fits("size", "p.size")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")))
+        out = self.opened(met.select("key", "node", "size", "degree"))
         drop(active)
         return out
 
     def banded_again(self, active: DataFrame) -> DataFrame:
         """Large buckets give way to strict bands of their nodes."""
-        big = active.where(f"n > {LARGE}").select("node", "size").distinct()
         to_set = self.to_set
 
         def run(batches):
@@ -122,32 +120,28 @@ class Linker:
                 keys = [strict_keys(to_set(x)) for x in t.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
 
-        nodes = big.join(self.sets.select("node", "payload"), "node").select("node", "size", "payload").mapInArrow(run, "node binary, size long, keys array<long>")
-        strict = nodes.select(F.explode("keys").alias("key"), "node", "size")
-        out = self.opened(active.where(f"n <= {LARGE}").select("key", "node", "size").union(strict.select("key", "node", "size")))
+        big = active.where(f"n > {LARGE}").select("node", "size").distinct()
+        nodes = cut(big.join(self.sets.select("node", "payload"), "node").select("node", "size", "payload").mapInArrow(run, "node binary, size long, keys array<long>"), "strict")
+        strict = cut(self.start(nodes.select(F.explode("keys").alias("key"), "node", "size")), "strict-buckets")
+        out = self.opened(active.where(f"n <= {LARGE}").select("key", "node", "size", "degree").union(strict))
         drop(active)
         return out
 
     def finish(self, active: DataFrame) -> None:
         """All pairs of different components in the buckets still open."""
-        own = label(active, self.roots, "node", "root")
-        pairs = own.alias("x").join(own.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.root <> y.root") & self.fits("x.size", "y.size"))
+        pairs = active.alias("x").join(active.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.root <> y.root") & self.fits("x.size", "y.size"))
         self.compare(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
-def link(buckets: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int, rounds: int = ROUNDS) -> DataFrame:
+def link(buckets: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
     """node, root for the nodes that have a verified link.
 
     buckets: key, node (distinct rows); sets: node, size (of the set), payload (one row a node)."""
     work = Linker(sets, to_set, percent)
-    active = work.opened(buckets.join(sets.select("node", "size"), "node").select("key", "node", "size"))
-    for again in (False, True):
-        if again and not active.where(f"n > {LARGE}").isEmpty():
-            active = work.banded_again(active)
-        for _ in range(rounds):
-            if active.isEmpty():
-                break
-            active = work.round(active)
-    if work.roots is None or not active.isEmpty():
+    active = work.opened(work.start(buckets.join(sets.select("node", "size"), "node").select("key", "node", "size")))
+    active = work.round(active)
+    if not active.where(f"n > {LARGE}").isEmpty():
+        active = work.round(work.banded_again(active))
+    if not active.isEmpty():
         work.finish(active)
     return work.roots
