@@ -36,6 +36,35 @@ LEFT, RIGHT = STARTS - 1, WINDOW
 SIDE = LEFT + RIGHT
 
 
+#: Bytes of text whose hashes are held at once.
+SLICE = 1 << 20
+
+
+def _whole(size: int, width: int, offsets: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Whether ``width`` bytes from each of the first ``size`` places stay in a document that counts."""
+    ok = np.zeros(size + 1, np.int32)
+    use = use & (np.diff(offsets) >= width)
+    np.add.at(ok, offsets[:-1][use], 1)
+    np.add.at(ok, np.minimum(offsets[1:][use] - width + 1, size), -1)
+    return np.cumsum(ok[:-1]) > 0
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that stand for some window (the least hash in it), and their hashes."""
+    n = len(data) - KEY + 1
+    if len(data) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    at = np.arange(n)
+    key = np.minimum(span_hash(prefix_hash(data), at, at + KEY), MAX - U64(1))
+    key[~_whole(n, KEY, offsets, use)] = MAX
+    least = sliding(key, STARTS)
+    least = np.where(_whole(len(least), WINDOW, offsets, use), least, U64(0))
+    edge = np.zeros(STARTS - 1, U64)
+    most = sliding(np.concatenate([edge, least, edge]), STARTS, np.maximum)[:n]
+    chosen = np.flatnonzero((key == most) & (most > 0))
+    return chosen, key[chosen]
+
+
 class Group:
     """A group's bytes and the places that stand for its windows."""
 
@@ -48,28 +77,17 @@ class Group:
         self.row = np.searchsorted(self.offsets, self.places, "right") - 1
         self.doc = self.ids[self.row] if len(self.places) else np.zeros(0, np.int64)
 
-    def _last(self, size: int, width: int) -> np.ndarray:
-        """Whether ``width`` bytes from each of the first ``size`` places stay in the document, and may count."""
-        ok = np.zeros(size + 1, np.int32)
-        size_of = np.diff(self.offsets)
-        use = (size_of >= width) & ~self.null
-        np.add.at(ok, self.offsets[:-1][use], 1)
-        np.add.at(ok, np.minimum(self.offsets[1:][use] - width + 1, size), -1)
-        return np.cumsum(ok[:-1]) > 0
-
     def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.data) - KEY + 1
-        if len(self.data) < WINDOW:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        at = np.arange(n)
-        key = np.minimum(span_hash(prefix_hash(self.data), at, at + KEY), MAX - U64(1))
-        key = np.where(self._last(n, KEY), key, MAX)
-        least = sliding(key, STARTS)
-        least = np.where(self._last(len(least), WINDOW), least, U64(0))
-        edge = np.zeros(STARTS - 1, U64)
-        most = sliding(np.concatenate([edge, least, edge]), STARTS, np.maximum)
-        chosen = np.flatnonzero((key == most[:n]) & (most[:n] > 0))
-        return chosen, key[chosen]
+        """Places and their hashes, some texts at a time: the hashes of all places take many times the texts' room."""
+        places, keys, at = [np.zeros(0, np.int64)], [np.zeros(0, U64)], 0
+        while at < len(self.ids):
+            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + SLICE, "right")) - 1)
+            start = self.offsets[at]
+            found, key = anchors(self.data[start : self.offsets[to]], self.offsets[at : to + 1] - start, ~self.null[at:to])
+            places.append(found + start)
+            keys.append(key)
+            at = to
+        return np.concatenate(places), np.concatenate(keys)
 
     def around(self, which: np.ndarray):
         """Bytes around the given places (rows of SIDE, zero outside the document) and how far they reach."""
