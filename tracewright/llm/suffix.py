@@ -95,8 +95,8 @@ class Group:
         left = np.minimum(LEFT, p - self.offsets[row]).astype(np.uint8)
         right = np.minimum(RIGHT, self.offsets[row + 1] - p).astype(np.uint8)
         column = np.arange(-LEFT, RIGHT)
-        at = np.clip(p[:, None] + column, 0, max(0, len(self.data) - 1))
-        out = self.data[at]
+        padded = np.concatenate([np.zeros(LEFT, np.uint8), self.data, np.zeros(RIGHT, np.uint8)])
+        out = np.lib.stride_tricks.sliding_window_view(padded, SIDE)[p]
         out[(column < -left[:, None].astype(int)) | (column >= right[:, None].astype(int))] = 0
         return out, left, right
 
