@@ -55,12 +55,12 @@ def learned_prediction(spark, d):
     return predict.learned_predict(plan, by_table, rule_prediction(spark, d).select("run_id", "ord", "rid"), ["run_id", "ord"]).select("run_id", "ord", "rid", "signal")
 
 
-@query(E[:-1] + """, m AS (SELECT run_id, ord, CASE WHEN kind = 'view' AND k < 20 THEN 'atomagents' WHEN kind = 'click' AND k > 80 THEN 'ensemble' END AS cls FROM e), f AS (SELECT run_id, min_by(cls, ord) FILTER (cls IS NOT NULL) AS cls FROM m GROUP BY run_id)
-SELECT run_id, coalesce(cls, 'chemgraph') AS workflow FROM f""")
+@query(E[:-1] + """, m AS (SELECT run_id, ord, CASE WHEN kind = 'view' AND k < 20 THEN 'chat' WHEN kind = 'click' AND k > 80 THEN 'ensemble' END AS cls FROM e), f AS (SELECT run_id, min_by(cls, ord) FILTER (cls IS NOT NULL) AS cls FROM m GROUP BY run_id)
+SELECT run_id, coalesce(cls, 'graph') AS workflow FROM f""")
 def infer_workflow(spark, d):
-    """The class of the first telling event, chemgraph by default."""
-    cls = F.when((F.col("kind") == "view") & (F.col("k") < 20), "atomagents").when((F.col("kind") == "click") & (F.col("k") > 80), "ensemble")
-    return trace(spark, d).withColumn("cls", cls).groupBy("run_id").agg(F.coalesce(F.min_by("cls", F.when(F.col("cls").isNotNull(), F.col("ord"))), F.lit("chemgraph")).alias("workflow"))
+    """The class of the first telling event, graph by default."""
+    cls = F.when((F.col("kind") == "view") & (F.col("k") < 20), "chat").when((F.col("kind") == "click") & (F.col("k") > 80), "ensemble")
+    return trace(spark, d).withColumn("cls", cls).groupBy("run_id").agg(F.coalesce(F.min_by("cls", F.when(F.col("cls").isNotNull(), F.col("ord"))), F.lit("graph")).alias("workflow"))
 
 
 @query(E[:-1] + """, c AS (SELECT run_id, k % 12 AS g FROM e WHERE kind IN ('view', 'click') AND cents > 100), n AS (SELECT run_id, count(DISTINCT g) FILTER (g <> 0) + count(*) FILTER (g = 0) AS n FROM c GROUP BY run_id), r AS (SELECT DISTINCT run_id FROM e)
@@ -269,3 +269,46 @@ def null_rates(spark, d):
     """A rate without a denominator is null, not 0."""
     g = trace(spark, d).groupBy("kind").agg(F.count_if(F.col("k") < 5).alias("n"), F.count_if(F.col("k") < 0).alias("none"))
     return g.select("kind", "n", metrics.ratio(F.col("n"), F.col("none")).alias("share"))
+
+
+@query(_TASKS + ", s AS (SELECT run_id, count(*) AS n, count(*) FILTER (completed_t - started_t < 3600000000) AS quick FROM tasks GROUP BY run_id) SELECT run_id, n, CAST(quick AS BIGINT) AS quick, quick * 2 > n AS simulated FROM s")
+def simulated_runs(spark, d):
+    """A run is simulated if more than half of its tasks end too quickly (here: within an hour)."""
+    quick = F.coalesce(F.col("completed_t") - F.col("started_t") < 3_600_000_000, F.lit(False))
+    return tasks_of(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(quick).alias("quick")).withColumn("simulated", F.col("quick") * 2 > F.col("n"))
+
+
+@query(E[:-1] + ", s AS (SELECT run_id, CAST(sum(cents) AS BIGINT) AS stall FROM e WHERE kind = 'purchase' GROUP BY run_id), m AS (SELECT run_id, CAST(sum(cents) AS BIGINT) AS measured FROM e WHERE kind = 'error' AND k < 5 GROUP BY run_id) SELECT s.run_id, CASE WHEN s.run_id % 3 = 0 THEN m.measured ELSE s.stall END AS stall FROM s LEFT JOIN m USING (run_id)")
+def metrics_override(spark, d):
+    """One family takes its stall from the metrics alone, and null where they have none."""
+    e = trace(spark, d)
+    s = e.where("kind = 'purchase'").groupBy("run_id").agg(F.sum("cents").alias("own"))
+    m = e.where("kind = 'error' and k < 5").groupBy("run_id").agg(F.sum("cents").alias("measured"))
+    return s.join(m, "run_id", "left").select("run_id", F.when(F.col("run_id") % 3 == 0, F.col("measured")).otherwise(F.col("own")).alias("stall"))
+
+
+@query(_TASKS + "SELECT run_id, task, row_number() OVER (PARTITION BY run_id ORDER BY task % 7, started_t, task) AS place FROM tasks")
+def prefetch_table_order(spark, d):
+    """A run's tasks by predicted step, otherwise as they came."""
+    w = Window.partitionBy("run_id").orderBy(F.col("task") % 7, "started_t", "task")
+    return tasks_of(spark, d).select("run_id", "task", F.row_number().over(w).cast("bigint").alias("place"))
+
+
+@query(_PAIRS[:-1] + _REG + """, pl AS (SELECT ['signup', 'view', 'click', 'purchase', 'error'] AS plan), cl AS (SELECT run_id, ord, kind, off, plan[list_position(plan, kind) + off] AS target FROM e, pl, (SELECT unnest([1, 2]) AS off) WHERE k < 10)
+SELECT c.run_id, c.ord, CAST(c.off AS BIGINT) AS off, reg.rid, round(greatest(coalesce(x.prob, 0.8), 0.8), 6) AS confidence FROM cl c JOIN reg ON reg.tool = c.target LEFT JOIN x ON x.source = c.kind AND x.off = c.off AND x.target = c.target""")
+def plan_prediction(spark, d):
+    """What the plan has one and two steps on, with the learned confidence or 0.8 if that is more."""
+    plan = F.array(*map(F.lit, ("signup", "view", "click", "purchase", "error")))
+    c = calls(spark, d).select("run_id", "ord", "tool", F.explode(F.array(F.lit(1), F.lit(2))).alias("off"))
+    c = c.withColumn("target", F.get(plan, scalars.plan_index(plan, F.col("tool")) + F.col("off")))
+    learned = predict.maybe_broadcast(likely(spark, d).select(F.col("source").alias("tool"), "off", "target", "prob"))
+    rows = c.join(predict.maybe_broadcast(registry(spark, d).select(F.col("tool").alias("target"), "rid")), "target").join(learned, ["tool", "off", "target"], "left")
+    return rows.select("run_id", "ord", long("off"), "rid", F.round(F.greatest(F.coalesce("prob", F.lit(0.8)), F.lit(0.8)), 6).alias("confidence"))
+
+
+@query(E[:-1] + ", m AS (SELECT run_id, ord, k % 5 AS cur, lead(k % 5) OVER (PARTITION BY run_id ORDER BY t, ord) AS nxt, lag(k % 5) OVER (PARTITION BY run_id ORDER BY t, ord) AS prev FROM e) SELECT run_id, ord, prev AS evicted FROM m WHERE prev IS NOT NULL AND prev <> cur AND (nxt IS NULL OR prev <> nxt)")
+def residency_eviction(spark, d):
+    """At a flip the model before leaves unless the plan needs it next."""
+    w, m = Window.partitionBy("run_id").orderBy(*ORD), F.col("k") % 5
+    rows = trace(spark, d).select("run_id", "ord", m.alias("cur"), F.lead(m).over(w).alias("nxt"), F.lag(m).over(w).alias("evicted"))
+    return rows.where("evicted <> cur and (nxt is null or evicted <> nxt)").select("run_id", "ord", "evicted")
