@@ -25,9 +25,9 @@ ASK_ARROW = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("blob", pa.
 KEY_BYTES = 6
 
 
-def grouped(docs: DataFrame, *columns: str, size: int = GROUP_BYTES, per_partition: int = 2) -> DataFrame:
-    """pid and ``columns``, dealt by pid into groups of about ``size`` bytes of text."""
-    pid = F.pmod(F.xxhash64("doc_id"), F.lit(group_count(docs, size, per_partition))).cast("int").alias("pid")
+def grouped(docs: DataFrame, *columns: str, size: int = GROUP_BYTES, per_partition: int = 2, groups: int | None = None) -> DataFrame:
+    """pid and ``columns``, dealt by pid into groups of about ``size`` bytes of text (or into ``groups``)."""
+    pid = F.pmod(F.xxhash64("doc_id"), F.lit(groups or group_count(docs, size, per_partition))).cast("int").alias("pid")
     return docs.select(pid, *columns).repartition(partitions(docs.sparkSession), "pid")
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import U64, _stream, cut, partitions
+from .common import U64, _stream, cut, group_count, partitions
 from .linking import link
 
 SHINGLE, PERCENT = 9, 75
@@ -106,11 +106,11 @@ def shingle_set(line: bytes) -> np.ndarray:
 CHECK = 2
 
 
-def _own(t: pa.Table) -> dict[bytes, tuple[bool, int, int]]:
-    """A group's distinct lines and where each stands first: (no id, doc_id, place)."""
+def _own(t: pa.Table, normals: list[list[bytes]] | None = None) -> dict[bytes, tuple[bool, int, int]]:
+    """A group's distinct lines and where each stands first: (no id, doc_id, place). normals: of each text, if at hand."""
     first: dict[bytes, tuple[bool, int, int]] = {}
-    for doc, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True):
-        for place, x in enumerate(normal_lines(text)):
+    for doc, normal in zip(t["doc_id"].to_pylist(), normals or map(normal_lines, t["text"].to_pylist()), strict=True):
+        for place, x in enumerate(normal):
             if x:
                 at = (doc is None, doc or 0, place)
                 if x not in first or at < first[x]:
@@ -167,14 +167,14 @@ def _answer(batches):
 _LINES = pa.schema([("pid", pa.int32()), ("node", pa.binary()), ("nameless", pa.bool_()), ("doc", pa.int64()), ("place", pa.int32()), ("keys", pa.list_(pa.int64())), ("line", pa.binary())])
 
 
-def _grouped(docs: DataFrame, *more: str) -> DataFrame:
-    return asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", *more)
+def _grouped(docs: DataFrame, groups: int, *more: str) -> DataFrame:
+    return asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", *more, groups=groups)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, groups: int) -> DataFrame:
     """A row for each distinct line of a group: pid, node, where it stands first (nameless, doc, place), the
     band keys it shares with a different line, and, where there are any, the normalised line."""
-    buckets, groups = partitions(docs.sparkSession), _grouped(docs)
+    buckets, groups = partitions(docs.sparkSession), _grouped(docs, groups)
 
     def ask(t: pa.Table) -> pa.Table:
         return _ask(t["pid"][0].as_py(), t, buckets)
@@ -207,9 +207,9 @@ def _with_sizes(batches):
         yield pa.RecordBatch.from_arrays([t.column(0), pa.array([len(shingle_set(x)) for x in t.column(1).to_pylist()], pa.int64()), t.column(1)], ["node", "size", "payload"])
 
 
-def lost_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def lost_lines(docs: DataFrame, groups: int, percent: int = PERCENT) -> DataFrame:
     """pid, node of the lines of which a group keeps none, since their component has an earlier line elsewhere."""
-    lines = cut(lines_of(docs), "lines")
+    lines = cut(lines_of(docs, groups), "lines")
     candidates = lines.where("keys is not null")
     sets = candidates.groupBy("node").agg(F.first("line").alias("payload"))
     sets = cut(sets.mapInArrow(_with_sizes, "node binary, size long, payload binary"), "line-sets")
@@ -225,11 +225,13 @@ def _finish(docs: DataFrame, columns: list[str], schema: str, make, percent: int
     """make(rows of a group, (kept text, lines, removed lines) of each)."""
 
     def run(t: pa.Table, lost: pa.Table) -> pa.Table:
-        gone, own = set(lost["node"].to_pylist()), _own(t)
-        first = {x: at for x, at in own.items() if node_of(x) not in gone}
+        texts = t["text"].to_pylist()
+        normals = list(map(normal_lines, texts))
+        gone = set(lost["node"].to_pylist())
+        first = {x: at for x, at in _own(t, normals).items() if node_of(x) not in gone}
         out = []
-        for doc, text in zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True):
-            normal, n, less, kept = normal_lines(text), 0, 0, []
+        for doc, text, normal in zip(t["doc_id"].to_pylist(), texts, normals, strict=True):
+            n, less, kept = 0, 0, []
             for place, (x, line) in enumerate(zip(normal, (text or "").split("\n"), strict=True)):
                 n += bool(x)
                 if x and first.get(x) != (doc is None, doc or 0, place):
@@ -239,7 +241,8 @@ def _finish(docs: DataFrame, columns: list[str], schema: str, make, percent: int
             out.append(("\n".join(kept) if less else text, n, less))
         return make(t, out)
 
-    return asking.with_answers(_grouped(docs, *columns), lost_lines(docs, percent), run, schema)
+    groups = group_count(docs)
+    return asking.with_answers(_grouped(docs, groups, *columns), lost_lines(docs, groups, percent), run, schema)
 
 
 def digests(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
