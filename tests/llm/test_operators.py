@@ -214,7 +214,7 @@ def test_quality_boilerplate(spark):
     copies = [(100 + k, mine[0][1], "a", 1) for k in range(50)]
     df = spark.createDataFrame(mine + copies, "doc_id long, text string, source string, kept int")
     got = {r.doc_id: r.text for r in quality.clean(df).collect()}
-    assert quality.clean(df).columns == df.columns
+    assert quality.clean(df).columns == df.columns and {r.kept for r in quality.clean(df).collect()} == {1}
     assert 20 not in got and got[3] == mine[3][1].split("\n")[0]  # depleted; boilerplate left
     assert got[21] == mine[21][1] and len(got) == 71  # one host's lines do not count for another; copies stay
 
@@ -267,7 +267,7 @@ def test_near_duplicates(spark, docs):
     kept = docs.where("doc_id <> 5")
     df, plain = with_null_id(spark, kept)
     check(neardup.digests(df), ["doc_id", "n_shingles", "component_id", "kept"], brute.near([d for d in plain if d[0] != 5]))
-    left = {r.doc_id for r in neardup.clean(kept).collect()}
+    left = {r.doc_id for r in neardup.clean(kept.withColumn("_id", F.lit(1)).withColumn("node", F.lit("mine"))).collect()}
     assert left == {w[0] for w in brute.near([d for d in DOCS if d[0] != 5]) if w[3]}
 
 

@@ -121,10 +121,12 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, left:
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents kept, without their boilerplate lines; columns of ``docs`` (n_chars renewed)."""
     text = F.when(F.size("boilerplate") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines(F.col("text")), lambda x: ~F.array_contains(F.col("boilerplate"), F.xxhash64(normal(x)))), "\n"))
-    out = judge(docs, **limits).where("kept").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    # other columns travel under names of their own, so that none can clash with those of the rules
+    rest = {c: f"_own{k}" for k, c in enumerate(docs.columns) if c not in ("text", "source")}
+    out = judge(docs.withColumnsRenamed(rest), **limits).where("kept").withColumn("text", text)
+    if "n_chars" in rest:
+        out = out.withColumn(rest["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(rest.get(c, c)).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:
