@@ -261,6 +261,8 @@ def test_bpe_words_of_all_lengths():
     for n in [*range(1, 60), 300, 3000]:
         x = "".join(rng.choice("aeionrst'é0 \n中😀") for _ in range(n))
         assert own.encode(x) == t.encode(x, add_special_tokens=False).ids
+    for x in ("a" * 200_000, "".join(rng.choice("theanor") for _ in range(50_000)), "é" * 5000):
+        assert own.encode(x) == t.encode(x, add_special_tokens=False).ids
 
 
 def test_near_duplicates(spark, docs):

@@ -3,7 +3,7 @@
 ``encode`` keeps, for a block of distinct words of one length, the part boundaries and the rank of
 every adjacent pair side by side in rows. Each step scans the rows for the minimum rank, deletes the
 boundary there (shifting the row), and refreshes the two neighbouring ranks. Words over
-``SHORT`` bytes take the same steps one word at a time.
+``SHORT`` bytes take their pairs from a heap instead, since rows would cost the square of their length.
 
 Texts are null-safe (null is empty: no tokens, empty decoded text); empty tables give empty results;
 repeated rows give repeated rows; extra columns are left out of the query's result.
@@ -12,6 +12,7 @@ repeated rows give repeated rows; extra columns are left out of the query's resu
 from __future__ import annotations
 
 import hashlib
+import heapq
 import importlib
 import json
 from collections.abc import Iterator
@@ -66,6 +67,7 @@ class Bpe:
         #: The public pattern of this vocabulary family.
         self.split = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+        self.pairs: dict[int, int] | None = None
         self.cache: dict[str, tuple[str, bytes]] = {}
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -106,6 +108,30 @@ class Bpe:
             rank[r, a] = self.rank_of(parts[r, a], parts[r, a + 1])
         return [p[:k].tolist() for p, k in zip(parts, length, strict=True)]
 
+    def _long(self, data: bytes) -> list[int]:
+        """Encode one long word: a linked list of parts, pairs by rank and place from a heap."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        pairs, size, made = self.pairs, self.size, self.made
+        part = self.base[np.frombuffer(data, np.uint8)].tolist()
+        n = len(part)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, part[i] * size + part[i + 1]) for i in range(n - 1) if (r := pairs.get(part[i] * size + part[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, key = heapq.heappop(heap)
+            j = after[i]
+            if part[i] < 0 or j >= n or part[i] * size + part[j] != key:
+                continue  # one of the two has gone into another part
+            part[i], part[j] = int(made[rank]), -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and (r := pairs.get(new := part[left] * size + part[right])) is not None:
+                    heapq.heappush(heap, (r, left, new))
+        return [p for p in part if p >= 0]
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word."""
         raw = [w.encode() for w in words]
@@ -117,7 +143,11 @@ class Bpe:
             width = int(size[at[0]]) if len(at) else 0
             if not width:
                 continue
-            step = max(1, 400_000 // width) if width <= SHORT else 1
+            if width > SHORT:
+                for i in at:
+                    out[i] = self._long(raw[i])
+                continue
+            step = max(1, 400_000 // width)
             for k in range(0, len(at), step):
                 block = at[k : k + step]
                 data = np.frombuffer(b"".join([raw[i] for i in block]), np.uint8).reshape(len(block), width)
