@@ -34,7 +34,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+_MARK = re.compile(r"[0-9@]")
 _PREFIX = re.compile(r"([A-Za-z_]+[=:])(.+)", re.S)
 _EDGE = ".,;:!?()[]{}<>\"'"
 
@@ -72,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end), sorted."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) < 19 and int(p) <= 255 or not p.strip("0") for p in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or "0") <= 255 for p in m[0].split("."))]
         out += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
@@ -124,6 +125,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     spans = sorted((a, b) for a, _, b in taken)
     for m in _TOKEN.finditer(text):
         a, b = m.span()
+        if not _MARK.search(text, a, b):
+            continue
         while a < b and text[a] in _EDGE:
             a += 1
         while b > a and text[b - 1] in _EDGE:
