@@ -273,8 +273,12 @@ def test_near_duplicates(spark, docs):
     assert left == {w[0] for w in brute.near([d for d in DOCS if d[0] != 5]) if w[3]}
 
 
-def test_links_of_large_open_buckets(spark, monkeypatch):
-    """Nodes that share much but not enough, with pairs among them that do: all links are found."""
+@pytest.mark.parametrize("large, block", [(32, 256), (10**6, 16)])
+def test_links_of_large_open_buckets(spark, monkeypatch, large, block):
+    """Nodes that share much but not enough, with pairs among them that do: all links are found, by strict bands or
+    block against block."""
+    monkeypatch.setattr(linking, "LARGE", large)
+    monkeypatch.setattr(linking, "BLOCK", block)
     rng = np.random.default_rng(4)
     common_part = set(range(60))
     sets = [common_part | set(rng.integers(1000, 10**9, 60).tolist()) for _ in range(120)]

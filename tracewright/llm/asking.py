@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, U64, group_count, partitions
+from .common import GROUP_BYTES, U64, group_count, partitions, release
 
 #: What a group sends to a bucket, and gets back.
 ASK = "bucket int, pid int, blob binary"
@@ -32,17 +32,33 @@ def grouped(docs: DataFrame, *columns: str, size: int = GROUP_BYTES, per_partiti
 
 
 def per_group(groups: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    return groups.groupBy("pid").applyInArrow(f, schema)
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        release()
+        return out
+
+    return groups.groupBy("pid").applyInArrow(run, schema)
 
 
 def with_answers(groups: DataFrame, answers: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """f(texts of a group, its answers); groups without texts do not occur."""
-    return groups.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(f, schema)
+
+    def run(t: pa.Table, told: pa.Table) -> pa.Table:
+        out = f(t, told)
+        release()
+        return out
+
+    return groups.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(run, schema)
 
 
 def to_buckets(asked: DataFrame, f: Callable, schema: str) -> DataFrame:
     """f over the rows of one or more whole buckets at a time (mapInArrow)."""
-    return asked.repartitionById(partitions(asked.sparkSession), "bucket").mapInArrow(f, schema)
+
+    def run(batches):
+        yield from f(batches)
+        release()
+
+    return asked.repartitionById(partitions(asked.sparkSession), "bucket").mapInArrow(run, schema)
 
 
 def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Bytes up to which a word is encoded in blocks, and cached pieces a worker holds.
-SHORT, CACHE = 48, 300_000
+SHORT, CACHE = 48, 200_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -5,6 +5,7 @@ The numpy parts run inside Spark tasks on one Arrow batch or one bounded group a
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -70,6 +71,15 @@ def group_count(docs: DataFrame, size: int = GROUP_BYTES, per_partition: int = 2
     return max(per_partition * partitions(docs.sparkSession), -(-total // size))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 # --- text buffers ---------------------------------------------------------------------------
 
 
