@@ -36,8 +36,8 @@ LEFT, RIGHT = STARTS - 1, WINDOW
 SIDE = LEFT + RIGHT
 
 
-#: Bytes of text whose hashes are held at once.
-SLICE = 1 << 20
+#: Bytes of text in a group, and of those whose hashes are held at once.
+GROUP, SLICE = 3 << 19, 1 << 19
 
 
 def _whole(size: int, width: int, offsets: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def later_copies(keys, rows, left, right, doc) -> np.ndarray:
     bits = np.zeros(len(first), U64)
     mixed = np.flatnonzero(same)
     # whole keys at a time in blocks; equal windows have the place at the same offset, so each start is sorted by itself
-    step, k = 100_000, 0
+    step, k = 30_000, 0
     while k < len(mixed):
         end = min(len(mixed), k + step)
         while end < len(mixed) and own_keys[mixed[end]] == own_keys[mixed[end - 1]]:
@@ -226,13 +226,17 @@ def later_copies(keys, rows, left, right, doc) -> np.ndarray:
 
 
 def _answer_bytes(batches):
-    asked = asking.rows_of(batches, asking.ASK_ARROW)
-    blobs = asked["blob"].to_pylist()
-    if blobs:
-        got = [_read_bytes(b) for b in blobs]
-        bits = later_copies(*(np.concatenate(x) for x in zip(*got, strict=True)))
+    pids, ids, got = [], [], []
+    for t in batches:
+        pids += t.column(1).to_pylist()
+        ids += t.column(0).to_pylist()
+        got += [_read_bytes(b) for b in t.column(2).to_pylist()]
+    if got:
         edges = np.cumsum([0, *(len(g[0]) for g in got)])
-        yield pa.RecordBatch.from_arrays([pa.array(asked["pid"].to_pylist(), pa.int32()), pa.array(asked["bucket"].to_pylist(), pa.int32()), pa.array([zstandard.compress(bits[a:b].tobytes(), 1) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["pid", "bucket", "blob"])
+        columns = [np.concatenate(x) for x in zip(*got, strict=True)]
+        got.clear()
+        bits = later_copies(*columns)
+        yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(ids, pa.int32()), pa.array([zstandard.compress(bits[a:b].tobytes(), 1) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["pid", "bucket", "blob"])
 
 
 def _shared(g: Group, answers: pa.Table, buckets: int):
@@ -275,7 +279,7 @@ def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group,
 
 def _exchange(docs: DataFrame):
     buckets = partitions(docs.sparkSession)
-    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", size=GROUP)
 
     def ask_keys(t: pa.Table) -> pa.Table:
         g = Group(t)
