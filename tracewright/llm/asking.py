@@ -51,14 +51,14 @@ def with_answers(groups: DataFrame, answers: DataFrame, f: Callable[[pa.Table, p
     return groups.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(run, schema)
 
 
-def to_buckets(asked: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """f over the rows of one or more whole buckets at a time (mapInArrow)."""
+def to_buckets(asked: DataFrame, f: Callable, schema: str, buckets: int | None = None) -> DataFrame:
+    """f over the rows of one whole bucket at a time (mapInArrow)."""
 
     def run(batches):
         yield from f(batches)
         release()
 
-    return asked.repartitionById(partitions(asked.sparkSession), "bucket").mapInArrow(run, schema)
+    return asked.repartitionById(buckets or partitions(asked.sparkSession), "bucket").mapInArrow(run, schema)
 
 
 def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:

@@ -38,6 +38,8 @@ SIDE = LEFT + RIGHT
 
 #: Bytes of text in a group, and of those whose hashes are held at once.
 GROUP, SLICE = 3 << 19, 1 << 19
+#: Buckets for each shuffle partition.
+BUCKETS = 4
 
 
 def _whole(size: int, width: int, offsets: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -278,7 +280,7 @@ def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group,
 
 
 def _exchange(docs: DataFrame):
-    buckets = partitions(docs.sparkSession)
+    buckets = BUCKETS * partitions(docs.sparkSession)  # the bytes around places take more room than keys
     groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", size=GROUP)
 
     def ask_keys(t: pa.Table) -> pa.Table:
@@ -292,8 +294,8 @@ def _exchange(docs: DataFrame):
         return _ask_bytes(t["pid"][0].as_py(), keys[first], rows[first], left[first], right[first], least, buckets)
 
     back = "pid int, bucket int, blob binary"
-    keys = asking.to_buckets(asking.per_group(groups, ask_keys, asking.ASK), asking.answer_shared, back).withColumn("kind", F.lit(0))
-    copies = asking.to_buckets(asking.with_answers(groups, keys, ask_bytes, asking.ASK), _answer_bytes, back).withColumn("kind", F.lit(1))
+    keys = asking.to_buckets(asking.per_group(groups, ask_keys, asking.ASK), asking.answer_shared, back, buckets).withColumn("kind", F.lit(0))
+    copies = asking.to_buckets(asking.with_answers(groups, keys, ask_bytes, asking.ASK), _answer_bytes, back, buckets).withColumn("kind", F.lit(1))
     return groups, keys.union(copies), buckets
 
 
