@@ -294,6 +294,24 @@ def test_links_of_large_open_buckets(spark, monkeypatch, large, block):
     assert len(set(roots.values())) == 30
 
 
+def test_links_at_the_threshold_in_a_large_bucket(spark):
+    """Pairs at 0.75 to 0.78 among hundreds of nodes that share a third: strict bands alone miss one in a hundred."""
+    rng = np.random.default_rng(5)
+    fresh = iter(rng.permutation(10**6).tolist())
+    take = lambda n: {1000 + next(fresh) for _ in range(n)}
+    common_part, sets = set(range(60)), []
+    for k in range(400):
+        both, own = common_part | take(36), 16 - k % 3  # 96 of 128, 126 or 124
+        sets += [both | take(own), both | take(own)]
+    made = [np.sort(common.mix(np.array(sorted(s), np.uint64))) for s in sets]
+    node = lambda k: k.to_bytes(2, "big")
+    frame = spark.createDataFrame([(node(k), len(s), s.tobytes()) for k, s in enumerate(made)], "node binary, size long, payload binary")
+    buckets = spark.createDataFrame([(1, node(k)) for k in range(800)], "key long, node binary")
+    roots = {bytes(r.node): bytes(r.root) for r in linking.link(buckets, frame, lambda b: np.frombuffer(b, np.uint64), 75).collect()}
+    assert [k for k in range(0, 800, 2) if node(k) not in roots or roots[node(k)] != roots.get(node(k + 1))] == []
+    assert len(set(roots.values())) == 400
+
+
 def test_minhash_estimates():
     rng = np.random.default_rng(0)
     a = common.mix(rng.integers(0, 10**9, 2000).astype(np.uint64))

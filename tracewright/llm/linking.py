@@ -6,8 +6,9 @@ component need no further comparison. Buckets that hold one component are done,
 
 Buckets that are still open and large after that hold many nodes that share something (a passage, say)
 and yet are not similar. Their nodes are banded again, ``STRICT_ROWS`` minima a band: pairs at 0.75 meet
-again with probability 0.9994 or more, pairs at 0.4 with 0.03. After another round the pairs still
-open, those between different components of one bucket, are compared one and all, block against block.
+again with probability 0.985 (0.9994 at 0.80), pairs at 0.4 with 0.03. These buckets only join components early;
+the first ones stay. After another round the pairs still open, those between different components of one
+bucket, are compared one and all, block against block, so no pair that shares a band is left out.
 Sets whose sizes alone rule out the similarity are never compared.
 """
 
@@ -126,7 +127,7 @@ class Linker:
         return out
 
     def banded_again(self, active: DataFrame) -> DataFrame:
-        """Large buckets give way to strict bands of their nodes."""
+        """Adds strict bands of the nodes of large buckets, which stay: strict bands alone would lose pairs."""
         to_set = self.to_set
 
         def run(batches):
@@ -137,7 +138,7 @@ class Linker:
         big = active.where(f"n > {LARGE}").select("node", "size").distinct()
         nodes = cut(big.join(self.sets.select("node", "payload"), "node").select("node", "size", "payload").mapInArrow(run, "node binary, size long, keys array<long>"), "strict")
         strict = cut(self.start(nodes.select(F.explode("keys").alias("key"), "node", "size")), "strict-buckets")
-        out = self.opened(active.where(f"n <= {LARGE}").select("key", "node", "size", "degree").union(strict))
+        out = self.opened(active.select("key", "node", "size", "degree").union(strict))
         drop(active)
         return out
 
