@@ -158,6 +158,15 @@ def test_language_model_learns_order(spark):
     assert got.lm > 0.8 * got.base
 
 
+def test_language_model_holds_thousands_of_words(spark, monkeypatch):
+    """Words of rank 1601 to 4096 have a place of their own in the model."""
+    held = []
+    monkeypatch.setattr(lm, "train", lambda docs, words, counts, total: held.append(len(words)) or lm.Model.start(words, counts, total))
+    rows = [(i, " ".join(f"w{k}" for k in range(3000))) for i in range(20)]
+    lm.scores(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert held == [3001]  # and the end token
+
+
 def test_language_model_gradients():
     rng = np.random.default_rng(0)
     words = np.arange(1, 200, dtype=np.uint64)
