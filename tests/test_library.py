@@ -320,3 +320,12 @@ def test_greedy_plan_query_against_a_fold(spark):
             ok = step in actual[at:]
             at = actual.index(step, at) + 1 if ok else at
             assert got[run, pos] == ok
+
+
+def test_tool_names_of_all_events(spark, tmp_path):
+    from tracewright import plans
+
+    rows = [(k, kind) for k, kind in enumerate(["view", "click", "error"] * 400)]
+    spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.event_id, r.name) for r in plans.QUERIES["tool_name_parsing"](spark, str(tmp_path)).collect()}
+    assert got == {(k, f"{kind}_tool") for k, kind in rows}
