@@ -4,6 +4,7 @@ texts, ties, repeated rows, runs of one word, clashing column names, empty table
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,41 @@ def test_substring(spark, docs):
     check(recompress.digests(df), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.words_removed(plain))
 
 
+def locally(docs, groups=4, buckets=3):
+    """Operator 3 without Spark, for parameters that workers do not see: (doc_id, n_removed) of each row."""
+    part = pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "text": pa.array([d[1] for d in docs], pa.string())})
+    texts = pa.Table.from_batches(recompress.named_batches(part.to_batches()))
+    tables = [texts.take(pa.array([j for j in range(len(texts)) if j % groups == k], pa.int64())) for k in range(groups)]
+
+    def ask(make, answer, kind, told):
+        rows = pa.concat_tables([make(k, t, told[k]) for k, t in enumerate(tables)])
+        back = [pa.Table.from_batches(answer(rows.filter(pa.array([x == b for x in rows["bucket"].to_pylist()])).to_batches())) for b in sorted(set(rows["bucket"].to_pylist()))]
+        back = pa.concat_tables(back)
+        mine = [back.filter(pa.array([p == k for p in back["pid"].to_pylist()])) for k in range(groups)]
+        return [m.append_column("kind", pa.array([kind] * len(m), pa.int32())) for m in mine]
+
+    def words(k, t, told):
+        g = recompress.Group(t)
+        return g.asked(*asking.shared_mask(g.keys, g.doc, asking.blobs_of(told, 0), buckets)).packed(k, buckets)
+
+    keys = ask(lambda k, t, _: asking.ask_shared(k, (g := recompress.Group(t)).keys, g.doc, buckets), lambda b: asking.answer_shared(b, asking.FREQUENT), 0, [None] * groups)
+    later = ask(words, recompress._answer, 1, keys)
+    out = []
+    for k, t in enumerate(tables):
+        g, gone = recompress.removed_words(t, pa.concat_tables([keys[k], later[k]]), buckets)
+        out += zip(g.texts["doc_id"].to_pylist(), common.per_doc(gone, g.counts).tolist())
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("name, value", [("none", 0), ("FREQUENT", 1), ("MANY", 0), ("LONG_WORD", 3), ("mix", lambda x: x >> np.uint64(62))])
+def test_substring_with_other_parameters(monkeypatch, name, value):
+    """Windows of frequent phrases one by one, long words as digests, and names that nearly all collide change nothing."""
+    for module in (asking, recompress):
+        if hasattr(module, name):
+            monkeypatch.setattr(module, name, value)
+    assert locally(DOCS) == sorted(((w[0], w[2]) for w in brute.words_removed(DOCS)), key=repr)
+
+
 def test_suffix(spark, docs):
     df, plain = with_null_id(spark, docs)
     check(suffix.digests(df), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.bytes_removed(plain))
@@ -99,16 +135,55 @@ def test_longest_previous_factor():
         assert got[i] == want if want >= suffix.WINDOW else got[i] < suffix.WINDOW
 
 
-def test_symbol_starts_agree_in_equal_texts():
-    """Any window has a symbol start at offsets 3 to 6, and the same ones wherever it stands."""
+def test_symbols_agree_in_equal_texts():
+    """Any window has a symbol start at offsets 2 to 5, the same ones with the same phrases wherever it stands."""
     rng = np.random.default_rng(1)
-    for size in (2, 5, 1000):
-        words = common.mix(rng.integers(0, size, 400).astype(np.uint64) + np.uint64(1))
-        other = np.concatenate([common.mix(rng.integers(0, size, 50).astype(np.uint64) + np.uint64(1)), words[100:200], common.mix(rng.integers(0, size, 50).astype(np.uint64) + np.uint64(1))])
-        a, b = (recompress.symbol_starts(w, np.zeros(len(w), int)) for w in (words, other))
+    random_words = lambda n, size: common.mix(rng.integers(0, size, n).astype(np.uint64) + np.uint64(1))
+
+    def named(words):
+        key = np.zeros(len(words), np.uint64)
+        place, name = recompress.phrases(words, *recompress.symbols(words, np.zeros(len(words), int)), np.full(len(words), len(words)))
+        key[place] = name
+        return key
+
+    for size in (1, 2, 5, 1000):
+        words = random_words(400, size)
+        a, b = named(words), named(np.concatenate([random_words(50, size), words[100:200], random_words(50, size)]))
         for k in range(88):
-            assert a[100 + k + 3 : 100 + k + 7].any()
-            assert (a[100 + k + 3 : 100 + k + 7] == b[50 + k + 3 : 50 + k + 7]).all()
+            assert (a[100 + k + 2 : 100 + k + 6] > 0).any()
+            assert (a[100 + k + 2 : 100 + k + 6] == b[50 + k + 2 : 50 + k + 6]).all()
+
+
+def twins(n=256):
+    """Two words of n characters that every polynomial hash modulo a power of two confuses."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_words_that_polynomials_confuse(spark):
+    for n in (8, 64, 256, 1024):
+        a, b = twins(n)
+        data = np.frombuffer((a + b).encode(), np.uint8)
+        assert len(set(common.names(data, np.array([0, n]), np.array([n, 2 * n])).tolist())) == 2
+    a, b = twins()
+    head = " ".join(f"w{k}" for k in range(12))
+    docs = [(1, f"{head} {a}"), (2, f"{head} {b}"), (10, a), (11, b)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    check(recompress.digests(df), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.words_removed(docs))
+    check(neardup.digests(df), ["doc_id", "n_shingles", "component_id", "kept"], brute.near(docs))
+    want = sorted(w[5] for w in brute.unigram(docs))
+    assert np.allclose(sorted(r.base_score for r in lm.scores(df).collect()), want)
+
+
+def test_names_are_of_the_bytes_alone():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("ab\0é") for _ in range(n)).encode() for n in list(range(1, 80)) * 3]
+    at = np.cumsum([0, *map(len, words)])
+    got = common.names(np.frombuffer(b"".join(words), np.uint8), at[:-1], at[1:]).tolist()
+    back = words[::-1]
+    at = np.cumsum([0, *map(len, back)])
+    assert common.names(np.frombuffer(b"".join(back), np.uint8), at[:-1], at[1:]).tolist() == got[::-1]
+    assert len(set(got)) == len(set(words))
 
 
 ITEMS = [(1, "Of the and"), (2, None), (3, ""), (None, "a b a b a b a b a b a b")]

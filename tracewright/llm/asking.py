@@ -5,6 +5,10 @@ by every step of a query. A group asks about its distinct keys: the keys, sorted
 each bucket, so a key that very many documents hold arrives once a group at most. A bucket's answer goes
 back to the group as one packed row, in the order of the question, which the group can rebuild from
 its texts. Whole texts never travel again, and neither keys nor answers reach the driver.
+
+Groups and buckets are as many as the bytes of the texts ask for, whatever the number of partitions: a group holds
+about GROUP_BYTES of text, a bucket what about BUCKET_BYTES of text ask. Rows between them are groups times buckets at
+most and never more than one for each distinct key of a group, which a plain groupBy would send as well.
 """
 
 from __future__ import annotations
@@ -16,18 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_BYTES, U64, group_count, partitions, release
+from .common import U64, partitions, release
 
 #: What a group sends to a bucket, and gets back.
 ASK = "bucket int, pid int, blob binary"
 ASK_ARROW = pa.schema([("bucket", pa.int32()), ("pid", pa.int32()), ("blob", pa.binary())])
 #: Bytes of a 64-bit key that travel: its upper 48 bits.
 KEY_BYTES = 6
+#: Bytes of text whose questions make a bucket.
+BUCKET_BYTES = 16 << 20
 
 
-def grouped(docs: DataFrame, *columns: str, size: int = GROUP_BYTES, per_partition: int = 2, groups: int | None = None) -> DataFrame:
-    """pid and ``columns``, dealt by pid into groups of about ``size`` bytes of text (or into ``groups``)."""
-    pid = F.pmod(F.xxhash64("doc_id"), F.lit(groups or group_count(docs, size, per_partition))).cast("int").alias("pid")
+def grouped(docs: DataFrame, *columns: str, groups: int) -> DataFrame:
+    """pid and ``columns``, dealt by pid into groups."""
+    pid = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("pid")
     return docs.select(pid, *columns).repartition(partitions(docs.sparkSession), "pid")
 
 
@@ -51,14 +57,14 @@ def with_answers(groups: DataFrame, answers: DataFrame, f: Callable[[pa.Table, p
     return groups.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(run, schema)
 
 
-def to_buckets(asked: DataFrame, f: Callable, schema: str, buckets: int | None = None) -> DataFrame:
+def to_buckets(asked: DataFrame, f: Callable, schema: str, buckets: int) -> DataFrame:
     """f over the rows of one whole bucket at a time (mapInArrow)."""
 
     def run(batches):
         yield from f(batches)
         release()
 
-    return asked.repartitionById(buckets or partitions(asked.sparkSession), "bucket").mapInArrow(run, schema)
+    return asked.repartitionById(buckets, "bucket").mapInArrow(run, schema)
 
 
 def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -88,18 +94,23 @@ def rows_of(batches, schema: pa.Schema) -> pa.Table:
 # --- which keys do two documents or more hold? -------------------------------------------------
 
 
+#: Places of one group, or groups, that hold a key from which on it counts as frequent.
+MANY, FREQUENT = 64, 32
+
+
 def ask_shared(pid: int, keys: np.ndarray, doc: np.ndarray, buckets: int) -> pa.Table:
-    """Question rows of a group: its distinct keys, each with a bit for two or more documents inside the group.
+    """Question rows of a group: its distinct keys, each with two bits: two documents or more of the group hold it;
+    more than MANY of its places do.
 
     doc: an integer for each key that is equal for equal documents."""
-    distinct, several = own_keys(keys, doc)
+    distinct, several, many = own_keys(keys, doc)
     slices = bucket_slices(distinct, buckets)
-    blobs = [pack_keys(distinct[a:b]) + np.packbits(several[a:b]).tobytes() for _, a, b in slices]
+    blobs = [pack_keys(distinct[a:b]) + np.packbits(several[a:b]).tobytes() + np.packbits(many[a:b]).tobytes() for _, a, b in slices]
     return pa.table([pa.array([s[0] for s in slices], pa.int32()), pa.array([pid] * len(slices), pa.int32()), pa.array(blobs, pa.binary())], schema=ASK_ARROW)
 
 
-def own_keys(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 48-bit keys (as 64-bit values) and whether two documents of the group hold them."""
+def own_keys(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct 48-bit keys (as 64-bit values), whether two documents of the group and whether many places hold them."""
     keys = keys & ~U64(0xFFFF)
     order = np.argsort(keys, kind="stable")
     keys, doc = keys[order], doc[order]
@@ -107,36 +118,34 @@ def own_keys(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(first)
     if not len(at):
-        return keys, np.zeros(0, bool)
-    return keys[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
+        return keys, np.zeros(0, bool), np.zeros(0, bool)
+    return keys[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at), np.diff(np.append(at, len(keys))) > MANY
 
 
 def _n_keys(blob: bytes) -> int:
-    """n such that 6 n + ceil(n / 8) is the blob's length."""
-    return len(blob) * 8 // (8 * KEY_BYTES + 1)
-
+    """n such that 6 n + 2 ceil(n / 8) is the blob's length."""
+    return len(blob) * 8 // (8 * KEY_BYTES + 2)
 
-#: Groups that hold a key from which on it counts as frequent.
-FREQUENT = 1024
 
-
-def answer_shared(batches, frequent: int = FREQUENT):
-    """Two bits for each key asked about: held by two documents or more; asked about by very many groups."""
+def answer_shared(batches, least: int = FREQUENT):
+    """Two bits for each key asked about: held by two documents or more; frequent (see FREQUENT)."""
     asked = rows_of(batches, ASK_ARROW)
     blobs, pids, ids = asked["blob"].to_pylist(), asked["pid"], asked["bucket"]
     sizes = [_n_keys(b) for b in blobs]
     if sizes:
         keys = np.concatenate([unpack_keys(b, n) for b, n in zip(blobs, sizes, strict=True)])
-        several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8, offset=KEY_BYTES * n), count=n) for b, n in zip(blobs, sizes, strict=True)]).astype(bool)
+        flags = [np.unpackbits(np.frombuffer(b, np.uint8, offset=KEY_BYTES * n).reshape(2, -1), axis=1, count=n) for b, n in zip(blobs, sizes, strict=True)]
+        several, crowded = np.concatenate(flags, axis=1).astype(bool)
         order = np.argsort(keys, kind="stable")
         first = np.ones(len(keys), bool)
         first[1:] = keys[order][1:] != keys[order][:-1]
         at = np.flatnonzero(first)
         held = np.diff(np.append(at, len(keys)))
         shared = (held > 1) | np.maximum.reduceat(several[order], at)
+        frequent = shared & ((held >= least) | np.maximum.reduceat(crowded[order], at))
         out, many = np.empty(len(keys), bool), np.empty(len(keys), bool)
         out[order] = np.repeat(shared, held)
-        many[order] = np.repeat(held >= frequent, held)
+        many[order] = np.repeat(frequent, held)
         edges = np.cumsum([0, *sizes])
         bits = [np.packbits(out[a:b]).tobytes() + np.packbits(many[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(pids.combine_chunks().to_numpy(zero_copy_only=False), pa.int32()), pa.array(ids.combine_chunks().to_numpy(zero_copy_only=False), pa.int32()), pa.array(bits, pa.binary())], ["pid", "bucket", "blob"])
@@ -144,9 +153,15 @@ def answer_shared(batches, frequent: int = FREQUENT):
 
 def shared_mask(keys: np.ndarray, doc: np.ndarray, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """For each of the group's keys (as given to ask_shared) whether it is shared, and whether it is frequent."""
-    distinct, _ = own_keys(keys, doc)
+    distinct, _, _ = own_keys(keys, doc)
     told = np.zeros((2, len(distinct)), bool)
     for k, a, b in bucket_slices(distinct, buckets):
         told[:, a:b] = np.unpackbits(np.frombuffer(answers[k], np.uint8).reshape(2, -1), axis=1, count=b - a)
     at = np.searchsorted(distinct, keys & ~U64(0xFFFF))
     return (told[0][at], told[1][at]) if len(distinct) else (np.zeros(0, bool), np.zeros(0, bool))
+
+
+def blobs_of(table: pa.Table, kind: int) -> dict[int, bytes]:
+    """The answers of one kind by bucket."""
+    mine = [k == kind for k in table["kind"].to_pylist()]
+    return {b: x for b, x, m in zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), mine, strict=True) if m}

@@ -6,6 +6,7 @@ The numpy parts run inside Spark tasks on one Arrow batch or one bounded group a
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 
@@ -65,10 +66,14 @@ def drop(df: DataFrame | None) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def group_count(docs: DataFrame, size: int = GROUP_BYTES, per_partition: int = 2) -> int:
-    """How many hash groups keep a group's text under ``size`` bytes on average (one column scan)."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(per_partition * partitions(docs.sparkSession), -(-total // size))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts (one scan of one column)."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def shares(total: int, size: int) -> int:
+    """How many shares of about ``size`` bytes ``total`` bytes make: it follows the data, not the partitions."""
+    return max(1, -(-total // size))
 
 
 def release() -> None:
@@ -98,17 +103,24 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, size: int = GROUP_BYTES):
-    """The column in slices of about ``size`` bytes of text (one text at least)."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+def pieces(rows, column: int | None = None, size: int = GROUP_BYTES):
+    """A column, or a batch by one of its columns, in slices of about ``size`` bytes of text (one text at least)."""
+    text = rows if column is None else rows.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
     at = 0
-    while at < len(column):
+    while at < len(text):
         before = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, before + size)))
-        yield column.slice(at, to - at)
+        yield rows.slice(at, to - at)
         at = to
 
 
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array over the bytes of ``data``; ``ends``: where each value ends."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: A-Z to a-z, all else unchanged.
@@ -156,6 +168,29 @@ def _stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=U64) + U64(seed << 20)) * U64(0x9E3779B97F4A7C15))
 
 
+#: Spans up to this many bytes are named eight bytes at a time side by side, longer ones by blake2b.
+_SHORT = 64
+
+
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each span, equal for equal bytes. Every eight bytes go through the finaliser before the next eight
+    join, so unlike a polynomial hash it has no families of texts that collide."""
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(0x9E3779B97F4A7C15))
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= _SHORT))
+    at, left = starts[live], size[live]
+    while len(live):
+        chunk = eight[at]
+        chunk &= MAX >> (8 * (8 - np.minimum(left, 8))).astype(U64)
+        out[live] = mix((out[live] ^ chunk) * U64(0xD6E8FEB86659FD93) + U64(0x2545F4914F6CDD1D))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > _SHORT).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 _BASE = int(_stream(7, 1)[0]) | 1
 _POWERS: dict[str, np.ndarray] = {}
 _BYTES: dict[int, np.ndarray] = {}
@@ -172,7 +207,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray, seed: int = 1) -> np.ndarray:
-    """len + 1 prefix sums from which ``span_hash`` gives the hash of any span in O(1)."""
+    """len + 1 prefix sums from which ``span_hash`` gives the hash of any span in O(1): a polynomial hash, for spans under
+    256 bytes only (beyond, there are texts that collide whatever the base) and where bytes are compared afterwards."""
     if seed not in _BYTES:
         _BYTES[seed] = _stream(seed, 256)
     out = np.zeros(len(data) + 1, U64)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import U64, _stream, cut, group_count, partitions
+from .common import GROUP_BYTES, U64, _stream, cut, shares, text_bytes
 from .linking import link
 
 SHINGLE, PERCENT = 9, 75
@@ -171,10 +171,10 @@ def _grouped(docs: DataFrame, groups: int, *more: str) -> DataFrame:
     return asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", *more, groups=groups)
 
 
-def lines_of(docs: DataFrame, groups: int) -> DataFrame:
+def lines_of(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
     """A row for each distinct line of a group: pid, node, where it stands first (nameless, doc, place), the
     band keys it shares with a different line, and, where there are any, the normalised line."""
-    buckets, groups = partitions(docs.sparkSession), _grouped(docs, groups)
+    groups = _grouped(docs, groups)
 
     def ask(t: pa.Table) -> pa.Table:
         return _ask(t["pid"][0].as_py(), t, buckets)
@@ -198,7 +198,7 @@ def lines_of(docs: DataFrame, groups: int) -> DataFrame:
         at = [own[x] for x in lines]
         return pa.table([pa.array([t["pid"][0].as_py()] * len(lines), pa.int32()), pa.array(nodes, pa.binary()), pa.array([x[0] for x in at], pa.bool_()), pa.array([x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array([x if k is not None else None for x, k in zip(lines, keys, strict=True)], pa.binary())], schema=_LINES)
 
-    answers = asking.to_buckets(asking.per_group(groups, ask, asking.ASK), _answer, "pid int, bucket int, blob binary")
+    answers = asking.to_buckets(asking.per_group(groups, ask, asking.ASK), _answer, "pid int, bucket int, blob binary", buckets)
     return asking.with_answers(groups, answers, tell, "pid int, node binary, nameless boolean, doc long, place int, keys array<long>, line binary")
 
 
@@ -207,9 +207,9 @@ def _with_sizes(batches):
         yield pa.RecordBatch.from_arrays([t.column(0), pa.array([len(shingle_set(x)) for x in t.column(1).to_pylist()], pa.int64()), t.column(1)], ["node", "size", "payload"])
 
 
-def lost_lines(docs: DataFrame, groups: int, percent: int = PERCENT) -> DataFrame:
+def lost_lines(docs: DataFrame, groups: int, buckets: int, percent: int = PERCENT) -> DataFrame:
     """pid, node of the lines of which a group keeps none, since their component has an earlier line elsewhere."""
-    lines = cut(lines_of(docs, groups), "lines")
+    lines = cut(lines_of(docs, groups, buckets), "lines")
     candidates = lines.where("keys is not null")
     sets = candidates.groupBy("node").agg(F.first("line").alias("payload"))
     sets = cut(sets.mapInArrow(_with_sizes, "node binary, size long, payload binary"), "line-sets")
@@ -241,8 +241,9 @@ def _finish(docs: DataFrame, columns: list[str], schema: str, make, percent: int
             out.append(("\n".join(kept) if less else text, n, less))
         return make(t, out)
 
-    groups = group_count(docs)
-    return asking.with_answers(_grouped(docs, groups, *columns), lost_lines(docs, groups, percent), run, schema)
+    total = text_bytes(docs)
+    groups = shares(total, GROUP_BYTES)
+    return asking.with_answers(_grouped(docs, groups, *columns), lost_lines(docs, groups, shares(total, asking.BUCKET_BYTES), percent), run, schema)
 
 
 def digests(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

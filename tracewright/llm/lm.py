@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import LOWER, U64, _stream, cut, drop, partitions, pieces, prefix_hash, span_hash, text_buffer, word_spans
+from .common import LOWER, U64, _stream, cut, drop, names, pieces, shares, text_buffer, text_bytes, word_spans
 
 TOP, CLASS, HIDDEN, STEPS = 4096, 64, 16, 16
 #: Streams trained side by side, and steps scored at once.
@@ -44,7 +44,7 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts, an end token after each, and the tokens per text."""
     data, offsets = text_buffer(column)
     starts, ends, counts = word_spans(data, offsets)
-    words = span_hash(prefix_hash(LOWER[data]), starts, ends)
+    words = names(LOWER[data], starts, ends)
     out = np.empty(len(words) + len(counts), U64)
     last = np.cumsum(counts + 1) - 1
     is_end = np.zeros(len(out), bool)
@@ -292,7 +292,7 @@ def _counts(groups: DataFrame, buckets: int) -> DataFrame:
         token, count, pid = [*distinct[top].view(np.int64), int(total.sum())], [*total[top], int((total > 0).sum())], [-1] * len(top) + [-2]
         yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int32()), pa.array([-1] * len(pid), pa.int32()), pa.nulls(len(pid), pa.binary()), pa.array(token, pa.int64()), pa.array(count, pa.int64())], names)
 
-    return asking.to_buckets(asking.per_group(groups, ask, asking.ASK), answer, "pid int, bucket int, blob binary, token long, n long")
+    return asking.to_buckets(asking.per_group(groups, ask, asking.ASK), answer, "pid int, bucket int, blob binary, token long, n long", buckets)
 
 
 # --- training ------------------------------------------------------------------------------------------------
@@ -358,10 +358,11 @@ def train(docs: DataFrame, words: np.ndarray, counts: np.ndarray, total: int) ->
 
 def scores(docs: DataFrame) -> DataFrame:
     """The contract's columns per row of ``docs``."""
-    buckets = partitions(docs.sparkSession)
+    total = text_bytes(docs)
+    buckets = shares(total, asking.BUCKET_BYTES)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text")
-    groups = asking.grouped(rows, "doc_id", "held_out", "text", size=GROUP, per_partition=1)
+    groups = asking.grouped(rows, "doc_id", "held_out", "text", groups=shares(total, GROUP))
     counted = cut(_counts(groups, buckets), "lm-counts")
     sums = counted.where("pid = -2").agg(F.sum("token"), F.sum("n")).first()
     n_tokens, n_distinct = int(sums[0] or 0), int(sums[1] or 0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, _stream, cut, mix, pieces, prefix_hash, release, span_hash, text_buffer, window_hash, word_spans
+from .common import LOWER, U64, _stream, cut, mix, names, pieces, release, text_buffer, window_hash, word_spans
 from .linking import link
 
 SHINGLE, PERCENT = 5, 75
@@ -40,7 +40,7 @@ def shingle_sets(column, shingle: int = SHINGLE):
 def _shingle_sets(column, shingle: int):
     data, offsets = text_buffer(column)
     starts, ends, counts = word_spans(data, offsets)
-    hashes = span_hash(prefix_hash(LOWER[data]), starts, ends)
+    hashes = names(LOWER[data], starts, ends)
     windows = window_hash(hashes, shingle)
     at = 0
     for n in counts.tolist():

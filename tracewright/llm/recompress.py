@@ -1,16 +1,19 @@
 """Operator 3: long repeats of words by recompression.
 
-Words are named by hash, so equal words have one name on every executor without a dictionary. Round
-one names maximal runs of a word, then pairs: a name is a left or a right one by a bit of its hash, and each
-left-right pair gets the name of its two parts. Round two pairs the symbols again. Which symbols form
-depends on at most three words to the left and two to the right, so equal texts have equal symbols
-except near their ends; where words repeat side by side, every place near them counts as a symbol
-start, which keeps this true for runs that reach out of a window. A round-two symbol spans up to four
-words, so any 13 words hold a symbol start at offsets 3 to 6; the least of their keys (the symbol
-and the words after it, seven in all) stands for the window.
-
-Symbols that two documents hold reveal where repeats can be; only windows there are compared, by
-96-bit fingerprints, and each goes if a smaller doc_id holds it too.
+Words are named by hash, so equal words have one name on every executor without a dictionary. Each of ``ROUNDS``
+rounds gives every symbol a side by a bit of its name and joins each left one with a right one after it to the symbol
+named by both; then phrases of symbols are named. All names are functions of what they name and
+travel with the texts as rows: equal texts have equal symbols everywhere, except near their ends, where
+a symbol may have been joined with what stands outside. Symbols of two rounds depend on at most three words to the left of
+their start and two to the right of their last word. Where a word repeats side by side its run may reach out of any window,
+so there words stay symbols of their own.
+
+A round-two symbol has up to four words, so any 13 words hold a symbol start at offsets 3 to 6. The phrase of a
+symbol start is the symbols that end within the next five words, and single words up to seven. The least
+phrase name of the four offsets stands for a window. A phrase that two documents hold reveals where repeats can be: the words
+around it, up to 16, go to the bucket of its name, and a bucket compares windows word by word, so
+what goes does not rest on hashes (of words over 64 bytes, 256-bit digests are compared). A frequent phrase sends its
+windows one by one to buckets of their own, where equal windows arrive once a group.
 
 Null texts have no words. Rows with equal doc_ids do not remove each other's words; rows with a null
 doc_id neither remove nor lose words. Texts of fewer than 13 words have no window.
@@ -23,196 +26,299 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import MAX, U64, _stream, mix, partitions, per_doc, prefix_hash, sliding, span_hash, text_buffer, window_hash, word_spans
-
-WINDOW, KEY, BEFORE = 13, 7, 3
-#: Consecutive places of which one is a symbol start: a round-two symbol has up to four words.
-REACH = WINDOW - KEY - BEFORE + 1
-
-
-def symbol_starts(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Places where a round-two symbol starts, and all places near words that repeat side by side."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, bool)
-    equal = np.zeros(n, bool)  # equal to the next word of the document
-    equal[:-1] = (words[:-1] == words[1:]) & (doc[:-1] == doc[1:])
-    # round one, runs: a run is one symbol named by its word and length
-    start = np.ones(n, bool)
-    start[1:] = ~equal[:-1]
-    at = np.flatnonzero(start)
-    length = np.diff(np.append(at, n)).astype(U64)
-    name = np.where(length > 1, mix(words[at] * U64(0x9E3779B97F4A7C15) + length), words[at])
-    for bit in (U64(17), U64(43)):  # pairs, twice
-        right = (name >> bit) & U64(1) == 1
-        pair = np.zeros(len(name), bool)  # this one and the next
-        pair[:-1] = ~right[:-1] & right[1:] & (doc[at[:-1]] == doc[at[1:]])
-        made = name.copy()
-        made[:-1][pair[:-1]] = mix(name[:-1] * U64(0x9E3779B97F4A7C15) + name[1:] * U64(0xD6E8FEB86659FD93) + bit)[pair[:-1]]
-        stays = np.ones(len(name), bool)
-        stays[1:] = ~pair[:-1]
-        name, at = made[stays], at[stays]
-    out = np.zeros(n, bool)
-    out[at] = True
-    for step in range(-BEFORE, 2):  # a place is near equal[q] if q is in place - 3 .. place + 1
-        if step > 0:
-            out[: n - step] |= equal[step:]
-        else:
-            out[-step:] |= equal[: n + step]
-    return out
+from .common import _SPACE, MAX, U64, binaries, cut, mix, names, per_doc, pieces, release, shares, sliding, text_buffer, text_bytes, word_spans
+
+WINDOW, BEFORE, ROUNDS = 13, 2, 2
+#: Words of a symbol at most, words within which the symbols of a phrase end, and words of a phrase.
+SPAN, INNER, PHRASE = 1 << ROUNDS, 6, 8
+#: Words around a phrase start that windows with it at offsets BEFORE to BEFORE + SPAN - 1 can hold.
+LEFT, RIGHT = BEFORE + SPAN - 1, WINDOW - BEFORE
+LONG_WORD, GROUP = 64, 3 << 20
+
+_LEFT_RIGHT = (U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93))
+
+
+def joined(name: np.ndarray, at: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Round k: names and first words of the symbols after left ones have joined the right ones that follow them.
+
+    doc: of each word."""
+    right = (name >> U64(17 + 13 * k)) & U64(1) == 1
+    pair = np.zeros(len(name), bool)  # this one and the next
+    pair[:-1] = ~right[:-1] & right[1:] & (doc[at[:-1]] == doc[at[1:]])
+    made = name.copy()
+    made[:-1][pair[:-1]] = mix(name[:-1] * _LEFT_RIGHT[0] + name[1:] * _LEFT_RIGHT[1] + U64(k))[pair[:-1]]
+    stays = np.ones(len(name), bool)
+    stays[1:] = ~pair[:-1]
+    return made[stays], at[stays]
+
+
+def symbols(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names and first words of the symbols after all rounds."""
+    name, at = words, np.arange(len(words))
+    for k in range(ROUNDS):
+        name, at = joined(name, at, doc, k)
+    return name, at
+
+
+def phrases(words: np.ndarray, name: np.ndarray, at: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbol starts with PHRASE words left in their document, and the names of their phrases. last: end of each word's document."""
+    which = np.flatnonzero(at + PHRASE <= last[at])
+    place = at[which]
+    out, end = np.zeros(len(which), U64), place.copy()
+    ends, n = np.append(at[1:], len(words)), len(at)
+    live, j = np.arange(len(which)), which.copy()
+    for _ in range(INNER):
+        inside = ends[j] <= place[live] + INNER
+        live, j = live[inside], j[inside]
+        out[live] = mix(out[live] * _LEFT_RIGHT[0] + name[j] + U64(1))
+        end[live] = ends[j]
+        j = j + 1
+        live, j = live[j < n], j[j < n]
+    for _ in range(PHRASE - 1):
+        live = np.flatnonzero(end < place + PHRASE)
+        if not len(live):
+            break
+        out[live] = mix(out[live] * _LEFT_RIGHT[1] + words[end[live]] + U64(2))
+        end[live] += 1
+    return place, np.clip(out, U64(1), MAX - U64(1))
+
+
+def anchors(words: np.ndarray, row: np.ndarray, last: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase starts that stand for some window, and the phrases' names. row: of each word; use: for each row."""
+    n = len(words) - PHRASE + 1
+    if len(words) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    place, name = phrases(words, *symbols(words, row), last)
+    key = np.full(n, MAX)
+    key[place] = name
+    least = sliding(key[BEFORE:], SPAN)  # of the window at i: over i + 2 .. i + 5
+    window = np.arange(len(least))
+    least = np.where((window + WINDOW <= last[: len(least)]) & use[row[: len(least)]], least, U64(0))
+    edge = np.zeros(SPAN - 1, U64)
+    most = sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum)  # of the place j + 2: over windows j - 3 .. j
+    here = key[BEFORE : BEFORE + len(most)]
+    most = most[: len(here)]
+    chosen = np.flatnonzero((here == most) & (most > 0)) + BEFORE
+    return chosen, key[chosen]
+
+
+def _words(data: np.ndarray, offsets: np.ndarray):
+    starts, ends, counts = word_spans(data, offsets)
+    return starts, ends, counts, np.repeat(np.arange(len(counts)), counts), np.repeat(np.cumsum(counts), counts)
+
+
+def named_batches(batches):
+    """With each text (doc_id, text) the places of its anchors (a byte for each: words since the last one) and the names of
+    their phrases (48 bits each)."""
+    for batch in batches:
+        for part in pieces(batch, 1):
+            use = ~np.array(pc.is_null(part.column(0)), bool)
+            data, offsets = text_buffer(part.column(1))
+            starts, ends, counts, row, last = _words(data, offsets)
+            place, key = anchors(names(data, starts, ends), row, last, use)
+            n = np.bincount(row[place], minlength=len(counts)) if len(place) else np.zeros(len(counts), np.int64)
+            gap = np.diff(place, prepend=0)
+            first = np.flatnonzero(np.diff(row[place], prepend=-1)) if len(place) else np.zeros(0, np.int64)
+            gap[first] = place[first] - (np.cumsum(counts) - counts)[row[place[first]]]
+            packed = np.frombuffer(asking.pack_keys(key), np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binaries(gap.astype(np.uint8), np.cumsum(n)), binaries(packed, asking.KEY_BYTES * np.cumsum(n))], ["doc_id", "text", "gaps", "names"])
+    release()
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, gaps, names of each row."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(named_batches, "doc_id long, text string, gaps binary, names binary")
 
 
 class Group:
-    """The words of a group's texts and the keys that stand for its windows."""
+    """A group's texts, in an order of their own whatever order they arrive in, with words and anchors."""
 
     def __init__(self, texts: pa.Table):
-        ids = texts["doc_id"].combine_chunks()
-        self.ids = np.array(pc.fill_null(ids, 0), np.int64)
-        self.null = np.array(pc.is_null(ids), bool)
-        self.data, offsets = text_buffer(texts["text"])
-        self.starts, self.ends, self.counts = word_spans(self.data, offsets)
-        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.last = np.repeat(np.cumsum(self.counts), self.counts)  # end of the word's document
-        self.doc = self.ids[self.row] if len(self.ids) else np.zeros(0, np.int64)
-        self.words = span_hash(prefix_hash(self.data), self.starts, self.ends)
-        self.places, self.keys = self._anchors()
-
-    def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.words)
-        if n < WINDOW:
-            return np.zeros(0, np.int64), np.zeros(0, U64)
-        key = window_hash(self.words, KEY, 1)
-        key = np.minimum(key, MAX - U64(1))
-        place = np.arange(len(key))
-        ok = symbol_starts(self.words, self.row)[: len(key)] & (place + KEY <= self.last[: len(key)])
-        key = np.where(ok, key, MAX)
-        # the window at i is represented by the least key at i + 3 .. i + 6
-        least = sliding(key[BEFORE:], REACH)
-        window = np.arange(len(least))
-        inside = (window + WINDOW <= self.last[: len(least)]) & ~self.null[self.row[: len(least)]]
-        least = np.where(inside, least, U64(0))
-        # a place is chosen if it is the least of a window that holds it
-        padded = np.concatenate([np.zeros(REACH - 1, U64), least, np.zeros(REACH - 1, U64)])
-        most = sliding(padded, REACH, np.maximum)  # most[j]: over windows j - 3 .. j
-        chosen = np.flatnonzero((key[BEFORE : BEFORE + len(most)] == most[: len(key) - BEFORE]) & (most[: len(key) - BEFORE] > 0)) + BEFORE
-        return chosen, key[chosen]
-
-    def windows(self, shared: np.ndarray) -> np.ndarray:
-        """Starts of the windows that hold a shared key at their offsets 3 to 6."""
-        n = len(self.words)
-        mark = np.zeros(n + 1, bool)
-        for step in range(REACH):
-            mark[self.places[shared] - BEFORE - step] = True  # places are 3 or more
-        at = np.flatnonzero(mark[:n])
-        at = at[(at + WINDOW <= self.last[at]) & ~self.null[self.row[at]]]
-        return at
-
-    def prints(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64 and 32 bits of each window's fingerprint."""
-        if not len(at):
-            return np.zeros(0, U64), np.zeros(0, np.uint32)
-        high, low = np.zeros(len(at), U64), np.zeros(len(at), U64)
-        a, b = _stream(91, 2) | U64(1)
-        for k in range(WINDOW):
-            w = self.words[at + k]
-            high = high * a + w
-            low = low * b + (w ^ (w >> U64(29)))
-        return mix(high), (mix(low ^ U64(5)) >> U64(32)).astype(np.uint32)
-
-
-def own_prints(high: np.ndarray, low: np.ndarray, doc: np.ndarray):
-    """Sorted distinct fingerprints of a group, the least document of each, and each window's place among them."""
-    order = np.lexsort((low, high))
-    h, lo = high[order], low[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
-    at = np.flatnonzero(first)
-    inverse = np.empty(len(h), np.int64)
-    inverse[order] = np.cumsum(first) - 1
-    least = np.minimum.reduceat(doc[order], at) if len(at) else np.zeros(0, np.int64)
-    return h[at], lo[at], least, inverse
-
-
-def _ask_first(pid: int, high, low, least, buckets: int) -> pa.Table:
-    rows = []
-    for k, a, b in asking.bucket_slices(high, buckets):
-        ids, index = np.unique(least[a:b], return_inverse=True)
-        wide = np.uint16 if len(ids) <= 1 << 16 else np.uint32
-        head = np.array([b - a, len(ids), np.dtype(wide).itemsize], np.int64).tobytes()
-        rows.append((k, head + high[a:b].tobytes() + low[a:b].tobytes() + ids.tobytes() + index.astype(wide).tobytes()))
-    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([pid] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=asking.ASK_ARROW)
-
-
-def _read_first(blob: bytes):
-    n, m, size = np.frombuffer(blob, np.int64, 3).tolist()
-    at = 24
-    high = np.frombuffer(blob, U64, n, at)
-    low = np.frombuffer(blob, np.uint32, n, at + 8 * n)
-    ids = np.frombuffer(blob[at + 12 * n : at + 12 * n + 8 * m], np.int64)
-    index = np.frombuffer(blob[at + 12 * n + 8 * m :], np.uint16 if size == 2 else np.uint32)
-    return high, low, ids[index]
-
-
-def _answer_first(batches):
-    """A bit for each fingerprint asked about: another group has it in a smaller document."""
+        t = self.texts = texts.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        ids = t["doc_id"].combine_chunks()
+        self.ids, self.null = np.array(pc.fill_null(ids, 0), np.int64), np.array(pc.is_null(ids), bool)
+        gaps, n = (b"".join(t["gaps"].to_pylist()), np.array(pc.binary_length(t["gaps"]), np.int64))
+        self.data, offsets = text_buffer(t["text"])
+        self.starts, self.ends, self.counts, self.row, self.last = _words(self.data, offsets)
+        gap = np.cumsum(np.frombuffer(gaps, np.uint8).astype(np.int64))
+        before = np.concatenate([[0], gap])[np.cumsum(n) - n]
+        self.places = gap + np.repeat(np.cumsum(self.counts) - self.counts - before, n)
+        self.keys = asking.unpack_keys(b"".join(t["names"].to_pylist()), len(self.places))
+        self.doc = self.ids[np.repeat(np.arange(len(n)), n)] if len(n) else np.zeros(0, np.int64)
+
+    def plain(self) -> tuple[bytes, np.ndarray]:
+        """The words with a blank after each (long ones as digests), and where each starts."""
+        size = self.ends - self.starts
+        if (size > LONG_WORD).any():
+            raw = self.data.tobytes()
+            words = [raw[a:b] if b - a <= LONG_WORD else b"\t" + hashlib.blake2b(raw[a:b], digest_size=32).hexdigest().encode() for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+            size = np.array(list(map(len, words)))
+            return b" ".join(words) + b" ", np.concatenate([[0], np.cumsum(size + 1)])
+        starts = np.concatenate([[0], np.cumsum(size + 1)])
+        out = np.full(starts[-1], 32, np.uint8)
+        inside = np.ones(starts[-1], bool)
+        inside[starts[1:] - 1] = False
+        out[inside] = self.data[~_SPACE[self.data]]
+        return out.tobytes(), starts
+
+    def asked(self, shared: np.ndarray, frequent: np.ndarray) -> Asked:
+        """What the group asks about: the words around its shared anchors, or the windows of frequent ones."""
+        which = np.flatnonzero(shared & ~frequent)
+        p = self.places[which]
+        left = np.minimum(LEFT, p - (np.cumsum(self.counts) - self.counts)[self.row[p]])
+        right = np.minimum(RIGHT, self.last[p] - p)
+        keys = self.keys[which]
+        lone = np.flatnonzero(shared & frequent)
+        for offset in range(BEFORE, BEFORE + SPAN):
+            q = self.places[lone]
+            ok = (q - offset >= (np.cumsum(self.counts) - self.counts)[self.row[q]]) & (q - offset + WINDOW <= self.last[q])
+            which, p = np.concatenate([which, lone[ok]]), np.concatenate([p, q[ok]])
+            left, right = np.append(left, np.full(ok.sum(), offset)), np.append(right, np.full(ok.sum(), WINDOW - offset))
+        text, at = self.plain()
+        heads = [bytes([k, 32]) for k in range(LEFT + 1)]
+        rows = [heads[k] + text[a:b] for k, a, b in zip(left.tolist(), at[p - left].tolist(), at[p + right].tolist(), strict=True)]
+        # windows of frequent phrases go by what they are
+        own = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") for x in rows[len(keys) :]]
+        keys = np.concatenate([keys, np.array(own, U64)]) & ~U64(0xFFFF)
+        return Asked(keys, rows, self.doc[which], p, left, right)
+
+
+class Asked:
+    """Rows of words (the place of the phrase in the first byte), each once, sorted by key."""
+
+    def __init__(self, keys, rows, doc, place, left, right):
+        self.place, self.left, self.right, self.doc = place, left, right, doc
+        coded = pa.array(rows, pa.binary()).dictionary_encode()
+        code = np.array(coded.indices, np.int64)
+        n = len(coded.dictionary)
+        key, self.least = np.zeros(n, U64), np.full(n, np.iinfo(np.int64).max)
+        key[code] = keys
+        np.minimum.at(self.least, code, doc)
+        order = np.argsort(key, kind="stable")
+        number = np.empty(n, np.int64)
+        number[order] = np.arange(n)
+        self.code, self.keys, self.least, self.rows = number[code], key[order], self.least[order], coded.dictionary.take(pa.array(order))
+
+    def packed(self, pid: int, buckets: int) -> pa.Table:
+        squeeze, out = zstandard.ZstdCompressor(level=1), []
+        size = np.array(pc.binary_length(self.rows), np.int32) if len(self.rows) else np.zeros(0, np.int32)
+        for k, a, b in asking.bucket_slices(self.keys, buckets):
+            ids, index = np.unique(self.least[a:b], return_inverse=True)
+            head = np.array([b - a, len(ids)], np.int64).tobytes()
+            out.append((k, squeeze.compress(b"".join([head, asking.pack_keys(self.keys[a:b]), ids.tobytes(), index.astype(np.uint32).tobytes(), size[a:b].tobytes(), *self.rows[a:b].to_pylist()]))))
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([pid] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary())], schema=asking.ASK_ARROW)
+
+
+def _unpacked(blob: bytes):
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    at = 16 + asking.KEY_BYTES * n
+    keys, ids = asking.unpack_keys(raw[16:at], n), np.frombuffer(raw[at : at + 8 * m], np.int64)
+    at += 8 * m
+    index, size = np.frombuffer(raw[at : at + 4 * n], np.uint32), np.frombuffer(raw[at + 4 * n : at + 8 * n], np.int32)
+    return keys, binaries(np.frombuffer(raw, np.uint8, offset=at + 8 * n), np.cumsum(size)), ids[index]
+
+
+def equal_rows(codes: np.ndarray) -> np.ndarray:
+    """A number for each row, equal for equal rows: sorted by a hash, compared by their codes."""
+    h = np.zeros(len(codes), U64)
+    for c in codes.T:
+        h = mix(h * _LEFT_RIGHT[0] + c.astype(U64) + U64(1))
+    order = np.argsort(h, kind="stable")
+    s = codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (s[1:] != s[:-1]).any(1)
+    if (new[1:] & (h[order][1:] == h[order][:-1])).any():  # other words under one hash
+        return np.unique(codes, axis=0, return_inverse=True)[1].ravel()
+    out = np.empty(len(codes), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def later_windows(keys: np.ndarray, rows: pa.Array, doc: np.ndarray) -> np.ndarray:
+    """For each row of words a bit for each of its windows (by the phrase's offset) that a smaller document holds."""
+    coded = rows.dictionary_encode()
+    code, n = np.array(coded.indices, np.int64), len(coded.dictionary)
+    least, key = np.full(n, np.iinfo(np.int64).max), np.zeros(n, U64)
+    np.minimum.at(least, code, doc)
+    key[code] = keys
+    order = np.argsort(key, kind="stable")
+    same, alike = key[order][1:] == key[order][:-1], np.zeros(n, bool)
+    alike[1:] |= same
+    alike[:-1] |= same
+    mixed = np.sort(order[alike])  # phrases with other words around them elsewhere
+    bits = np.zeros(n, np.uint8)
+    if len(mixed):
+        data, offsets = text_buffer(coded.dictionary.take(pa.array(mixed)).cast(pa.large_binary()))
+        left = data[offsets[:-1]].astype(np.int64)
+        starts, ends, counts = word_spans(data, offsets)
+        words = np.array(binaries(data[~_SPACE[data]], np.cumsum(ends - starts)).dictionary_encode().indices, np.int32)
+        first = np.cumsum(counts) - counts + 1  # the word after the head
+        for offset in range(BEFORE, BEFORE + SPAN):
+            ok = np.flatnonzero((left >= offset) & (counts - 1 >= left - offset + WINDOW))
+            window = equal_rows(words[(first[ok] + left[ok] - offset)[:, None] + np.arange(WINDOW)])
+            held = np.full(len(ok), np.iinfo(np.int64).max)
+            np.minimum.at(held, window, least[mixed[ok]])
+            bits[mixed[ok[held[window] < least[mixed[ok]]]]] |= np.uint8(1 << offset)
+    out = bits[code]
+    out[doc > least[code]] = 0xFF
+    return out
+
+
+def _answer(batches):
     asked = asking.rows_of(batches, asking.ASK_ARROW)
-    got = [_read_first(b) for b in asked["blob"].to_pylist()]
+    got = [_unpacked(b) for b in asked["blob"].to_pylist()]
     if got:
-        high, low, doc = (np.concatenate(x) for x in zip(*got, strict=True))
-        _, _, least, inverse = own_prints(high, low, doc)
-        later = least[inverse] < doc
         edges = np.cumsum([0, *(len(g[0]) for g in got)])
-        bits = [np.packbits(later[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(asked["pid"].to_pylist(), pa.int32()), pa.array(asked["bucket"].to_pylist(), pa.int32()), pa.array(bits, pa.binary())], ["pid", "bucket", "blob"])
-
-
-def _answers(table: pa.Table, kind: int) -> dict[int, bytes]:
-    mine = [k == kind for k in table["kind"].to_pylist()]
-    return {b: x for b, x, m in zip(table["bucket"].to_pylist(), table["blob"].to_pylist(), mine, strict=True) if m}
+        keys, rows, doc = zip(*got, strict=True)
+        bits = later_windows(np.concatenate(keys), pa.concat_arrays(rows), np.concatenate(doc))
+        blobs = [zstandard.compress(bits[a:b].tobytes(), 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(asked["pid"].to_pylist(), pa.int32()), pa.array(asked["bucket"].to_pylist(), pa.int32()), pa.array(blobs, pa.binary())], ["pid", "bucket", "blob"])
 
 
 def removed_words(texts: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group, np.ndarray]:
-    """A group's words and which of them go."""
+    """A group and which of its words go."""
     g = Group(texts)
-    shared, _ = asking.shared_mask(g.keys, g.doc[g.places], _answers(answers, 0), buckets)
-    at = g.windows(shared)
-    high, low, least, inverse = own_prints(*g.prints(at), g.doc[at])
-    later, told = np.zeros(len(high), bool), _answers(answers, 1)
-    for k, a, b in asking.bucket_slices(high, buckets):
-        later[a:b] = np.unpackbits(np.frombuffer(told[k], np.uint8), count=b - a)
-    gone = later[inverse] | (least[inverse] < g.doc[at])
-    edge = np.zeros(len(g.words) + 1, np.int64)
-    np.add.at(edge, at[gone], 1)
-    np.add.at(edge, at[gone] + WINDOW, -1)
+    a = g.asked(*asking.shared_mask(g.keys, g.doc, asking.blobs_of(answers, 0), buckets))
+    bits, told = np.zeros(len(a.keys), np.uint8), asking.blobs_of(answers, 1)
+    for k, x, y in asking.bucket_slices(a.keys, buckets):
+        bits[x:y] = np.frombuffer(zstandard.decompress(told[k]), np.uint8)
+    bits = bits[a.code] if len(a.code) else np.zeros(0, np.uint8)
+    bits[a.doc > a.least[a.code]] = 0xFF
+    edge = np.zeros(len(g.starts) + 1, np.int64)
+    for offset in range(BEFORE, BEFORE + SPAN):
+        gone = (bits >> np.uint8(offset)) & np.uint8(1) == 1
+        at = a.place[gone & (a.left >= offset) & (a.right >= WINDOW - offset)] - offset
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + WINDOW, -1)
     return g, np.cumsum(edge[:-1]) > 0
 
 
 def _exchange(docs: DataFrame):
-    """The dealt texts and the answers to both questions (pid, kind, bucket, blob)."""
-    buckets = partitions(docs.sparkSession)
-    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """The dealt texts and the answers to both questions (pid, kind, bucket, blob), which are written once."""
+    total = text_bytes(docs)
+    buckets = shares(total, asking.BUCKET_BYTES)
+    groups = asking.grouped(named(docs), "doc_id", "text", "gaps", "names", groups=shares(total, GROUP))
 
-    def ask_symbols(t: pa.Table) -> pa.Table:
+    def ask_phrases(t: pa.Table) -> pa.Table:
         g = Group(t)
-        return asking.ask_shared(t["pid"][0].as_py(), g.keys, g.doc[g.places], buckets)
+        return asking.ask_shared(t["pid"][0].as_py(), g.keys, g.doc, buckets)
 
-    def ask_windows(t: pa.Table, answers: pa.Table) -> pa.Table:
+    def ask_words(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):
             return asking.ASK_ARROW.empty_table()
         g = Group(t)
-        shared, _ = asking.shared_mask(g.keys, g.doc[g.places], _answers(answers, 0), buckets)
-        at = g.windows(shared)
-        high, low, least, _ = own_prints(*g.prints(at), g.doc[at])
-        return _ask_first(t["pid"][0].as_py(), high, low, least, buckets)
+        return g.asked(*asking.shared_mask(g.keys, g.doc, asking.blobs_of(answers, 0), buckets)).packed(t["pid"][0].as_py(), buckets)
 
     back = "pid int, bucket int, blob binary"
-    symbols = asking.to_buckets(asking.per_group(groups, ask_symbols, asking.ASK), asking.answer_shared, back).withColumn("kind", F.lit(0))
-    windows = asking.to_buckets(asking.with_answers(groups, symbols, ask_windows, asking.ASK), _answer_first, back).withColumn("kind", F.lit(1))
-    return groups, symbols.union(windows), buckets
+    shared = cut(asking.to_buckets(asking.per_group(groups, ask_phrases, asking.ASK), asking.answer_shared, back, buckets).withColumn("kind", F.lit(0)), "phrases")
+    later = asking.to_buckets(asking.with_answers(groups, shared, ask_words, asking.ASK), _answer, back, buckets).withColumn("kind", F.lit(1))
+    return groups, shared.union(later), buckets
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -225,16 +331,16 @@ def digests(docs: DataFrame) -> DataFrame:
             return schema.empty_table()
         g, gone = removed_words(t, told, buckets)
         n = per_doc(gone, g.counts)
-        kept = [hashlib.sha256(x).hexdigest() for x in kept_texts(t, g, gone, n)]
-        return pa.table([t["doc_id"].combine_chunks(), pa.array(g.counts, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.string())], schema=schema)
+        kept = [hashlib.sha256(x).hexdigest() for x in kept_texts(g, gone, n)]
+        return pa.table([g.texts["doc_id"].combine_chunks(), pa.array(g.counts, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
     return asking.with_answers(groups, answers, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def kept_texts(t: pa.Table, g: Group, gone: np.ndarray, n: np.ndarray):
+def kept_texts(g: Group, gone: np.ndarray, n: np.ndarray):
     """The remaining words of each text joined by blanks, as bytes."""
     at = 0
-    for text, count, less in zip(t["text"].to_pylist(), g.counts.tolist(), n.tolist(), strict=True):
+    for text, count, less in zip(g.texts["text"].to_pylist(), g.counts.tolist(), n.tolist(), strict=True):
         words = (text or "").encode().split()
         if less:
             stays = ~gone[at : at + count]
@@ -252,7 +358,7 @@ def clean(docs: DataFrame) -> DataFrame:
         if not len(t):
             return schema.empty_table()
         g, gone = removed_words(t, told, buckets)
-        kept = [x.decode() for x in kept_texts(t, g, gone, per_doc(gone, g.counts))]
-        return pa.table([t["doc_id"].combine_chunks(), pa.array(kept, pa.string())], schema=schema)
+        kept = [x.decode() for x in kept_texts(g, gone, per_doc(gone, g.counts))]
+        return pa.table([g.texts["doc_id"].combine_chunks(), pa.array(kept, pa.string())], schema=schema)
 
     return asking.with_answers(groups, answers, finish, "doc_id long, text string")

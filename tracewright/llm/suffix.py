@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import MAX, U64, partitions, per_doc, prefix_hash, sliding, span_hash, spans_of, text_buffer
-from .recompress import _answers
+from .common import MAX, U64, cut, per_doc, prefix_hash, shares, sliding, span_hash, spans_of, text_buffer, text_bytes
 
 WINDOW, KEY = 50, 20
 #: Starts of the windows around a place, and bytes left and right of its start.
@@ -38,8 +37,8 @@ SIDE = LEFT + RIGHT
 
 #: Bytes of text in a group, and of those whose hashes are held at once.
 GROUP, SLICE = 3 << 19, 1 << 19
-#: Buckets for each shuffle partition.
-BUCKETS = 4
+#: Bytes of text whose questions make a bucket: the bytes around places take more room than keys.
+BUCKET = 4 << 20
 
 
 def _whole(size: int, width: int, offsets: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -243,7 +242,7 @@ def _answer_bytes(batches):
 
 def _shared(g: Group, answers: pa.Table, buckets: int):
     """What the group asks about: place, key, bytes around it and their reach; sorted distinct rows of those."""
-    shared, frequent = asking.shared_mask(g.keys, g.doc, _answers(answers, 0), buckets)
+    shared, frequent = asking.shared_mask(g.keys, g.doc, asking.blobs_of(answers, 0), buckets)
     which = np.flatnonzero(shared)
     rows, left, right = g.around(which)
     keys = g.keys[which] & ~U64(0xFFFF)
@@ -265,7 +264,7 @@ def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group,
     """A group's bytes and which of them go."""
     g = Group(t)
     which, keys, _, left, right, (first, least, number) = _shared(g, answers, buckets)
-    bits, told = np.zeros(len(first), np.uint32), _answers(answers, 1)
+    bits, told = np.zeros(len(first), np.uint32), asking.blobs_of(answers, 1)
     for k, a, b in asking.bucket_slices(keys[first], buckets):
         bits[a:b] = np.frombuffer(zstandard.decompress(told[k]), np.uint32)
     bits = bits[number] if len(number) else np.zeros(0, np.uint32)
@@ -280,8 +279,9 @@ def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group,
 
 
 def _exchange(docs: DataFrame):
-    buckets = BUCKETS * partitions(docs.sparkSession)  # the bytes around places take more room than keys
-    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", size=GROUP)
+    total = text_bytes(docs)
+    buckets = shares(total, BUCKET)
+    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", groups=shares(total, GROUP))
 
     def ask_keys(t: pa.Table) -> pa.Table:
         g = Group(t)
