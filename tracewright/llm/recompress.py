@@ -2,8 +2,8 @@
 
 Words are named by hash, so equal words have one name on every executor without a dictionary. Each of ``ROUNDS``
 rounds gives every symbol a side by a bit of its name and joins each left one with a right one after it to the symbol
-named by both; then phrases of symbols are named. All names are functions of what they name and
-travel with the texts as rows: equal texts have equal symbols everywhere, except near their ends, where
+named by both; then phrases of symbols are named. All names are functions of what they name, so a round needs no
+exchange and runs where the texts are, and the phrases' names travel as rows: equal texts have equal symbols everywhere, except near their ends, where
 a symbol may have been joined with what stands outside. Symbols of two rounds depend on at most three words to the left of
 their start and two to the right of their last word. Where a word repeats side by side its run may reach out of any window,
 so there words stay symbols of their own.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import _SPACE, MAX, U64, binaries, cut, mix, names, per_doc, pieces, release, shares, sliding, text_buffer, text_bytes, word_spans
+from .common import _SPACE, MAX, U64, binaries, cut, mix, names, per_doc, shares, sliding, text_buffer, text_bytes, word_spans
 
 WINDOW, BEFORE, ROUNDS = 13, 2, 2
 #: Words of a symbol at most, words within which the symbols of a phrase end, and words of a phrase.
@@ -107,49 +107,19 @@ def anchors(words: np.ndarray, row: np.ndarray, last: np.ndarray, use: np.ndarra
     return chosen, key[chosen]
 
 
-def _words(data: np.ndarray, offsets: np.ndarray):
-    starts, ends, counts = word_spans(data, offsets)
-    return starts, ends, counts, np.repeat(np.arange(len(counts)), counts), np.repeat(np.cumsum(counts), counts)
-
-
-def named_batches(batches):
-    """With each text (doc_id, text) the places of its anchors (a byte for each: words since the last one) and the names of
-    their phrases (48 bits each)."""
-    for batch in batches:
-        for part in pieces(batch, 1):
-            use = ~np.array(pc.is_null(part.column(0)), bool)
-            data, offsets = text_buffer(part.column(1))
-            starts, ends, counts, row, last = _words(data, offsets)
-            place, key = anchors(names(data, starts, ends), row, last, use)
-            n = np.bincount(row[place], minlength=len(counts)) if len(place) else np.zeros(len(counts), np.int64)
-            gap = np.diff(place, prepend=0)
-            first = np.flatnonzero(np.diff(row[place], prepend=-1)) if len(place) else np.zeros(0, np.int64)
-            gap[first] = place[first] - (np.cumsum(counts) - counts)[row[place[first]]]
-            packed = np.frombuffer(asking.pack_keys(key), np.uint8)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binaries(gap.astype(np.uint8), np.cumsum(n)), binaries(packed, asking.KEY_BYTES * np.cumsum(n))], ["doc_id", "text", "gaps", "names"])
-    release()
-
-
-def named(docs: DataFrame) -> DataFrame:
-    """doc_id, text, gaps, names of each row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(named_batches, "doc_id long, text string, gaps binary, names binary")
-
-
 class Group:
     """A group's texts, in an order of their own whatever order they arrive in, with words and anchors."""
 
     def __init__(self, texts: pa.Table):
         t = self.texts = texts.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         ids = t["doc_id"].combine_chunks()
-        self.ids, self.null = np.array(pc.fill_null(ids, 0), np.int64), np.array(pc.is_null(ids), bool)
-        gaps, n = (b"".join(t["gaps"].to_pylist()), np.array(pc.binary_length(t["gaps"]), np.int64))
+        self.ids, null = np.array(pc.fill_null(ids, 0), np.int64), np.array(pc.is_null(ids), bool)
         self.data, offsets = text_buffer(t["text"])
-        self.starts, self.ends, self.counts, self.row, self.last = _words(self.data, offsets)
-        gap = np.cumsum(np.frombuffer(gaps, np.uint8).astype(np.int64))
-        before = np.concatenate([[0], gap])[np.cumsum(n) - n]
-        self.places = gap + np.repeat(np.cumsum(self.counts) - self.counts - before, n)
-        self.keys = asking.unpack_keys(b"".join(t["names"].to_pylist()), len(self.places))
-        self.doc = self.ids[np.repeat(np.arange(len(n)), n)] if len(n) else np.zeros(0, np.int64)
+        self.starts, self.ends, self.counts = word_spans(self.data, offsets)
+        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.last = np.repeat(np.cumsum(self.counts), self.counts)  # end of the word's document
+        self.places, self.keys = anchors(names(self.data, self.starts, self.ends), self.row, self.last, ~null)
+        self.doc = self.ids[self.row[self.places]] if len(self.places) else np.zeros(0, np.int64)
 
     def plain(self) -> tuple[bytes, np.ndarray]:
         """The words with a blank after each (long ones as digests), and where each starts."""
@@ -303,7 +273,7 @@ def _exchange(docs: DataFrame):
     """The dealt texts and the answers to both questions (pid, kind, bucket, blob), which are written once."""
     total = text_bytes(docs)
     buckets = shares(total, asking.BUCKET_BYTES)
-    groups = asking.grouped(named(docs), "doc_id", "text", "gaps", "names", groups=shares(total, GROUP))
+    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", groups=shares(total, GROUP))
 
     def ask_phrases(t: pa.Table) -> pa.Table:
         g = Group(t)
