@@ -3,7 +3,7 @@
 Lines are normalised (A-Z lower-cased, words joined by single blanks); lines without a word are left
 alone. A line's set holds its distinct shingles of ``SHINGLE`` characters (a shorter line is one
 shingle). ``BANDS`` bands of ``ROWS`` minima propose candidates; at a Jaccard similarity of 0.75 a pair
-shares no band with probability 1.4e-3, one at 0.8 with 2e-4. Candidates are verified on full sets, components come from distributed
+shares no band with probability 4.7e-4, one at 0.8 with 3e-5. Candidates are verified on full sets, components come from distributed
 union-find (see ``linking``), and of each component the first line stays: least doc_id, then least place.
 
 Equal normalised lines are one node and so always in one component. Null texts have no lines. Rows
@@ -25,7 +25,7 @@ from .common import GROUP_BYTES, U64, _stream, cut, shares, text_bytes
 from .linking import link
 
 SHINGLE, PERCENT = 9, 75
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 14, 3
 NODE = 10
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -51,30 +51,39 @@ def _mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def band_keys(lines: list[bytes]) -> np.ndarray:
-    """48-bit band keys (in the upper bits of 64), BANDS for each line; lines are not empty."""
-    out = np.empty((len(lines), BANDS), U64)
+def _spread(lines: list[bytes]):
+    """Code points of the lines one after another, and from where to where the shingles of each start. A line ends
+    with SHINGLE - 1 zeros that only short lines' shingles reach into."""
+    gap = b"\0" * (SHINGLE - 1)
+    points = np.frombuffer((gap.join(lines) + gap).decode().encode("utf-32-le"), np.uint32)
+    size = np.array([len(x) if x.isascii() else len(x.decode()) for x in lines])
+    start = np.cumsum(size + SHINGLE - 1) - size - (SHINGLE - 1)
+    return points, start, start + np.maximum(1, size - SHINGLE + 1)
+
+
+def _slices(lines: list[bytes], most: int = 300_000):
     k = 0
     while k < len(lines):
-        end, chars = k, 0
-        while end < len(lines) and (end == k or chars < 300_000):
-            chars += len(lines[end])
+        end, held = k, 0
+        while end < len(lines) and (end == k or held < most):
+            held += len(lines[end])
             end += 1
-        # one array of code points; a line ends with SHINGLE - 1 zeros that only short lines' shingles reach into
-        gap = b"\0" * (SHINGLE - 1)
-        points = np.frombuffer((gap.join(lines[k:end]) + gap).decode().encode("utf-32-le"), np.uint32)
-        text = [len(x.decode()) for x in lines[k:end]] if not all(x.isascii() for x in lines[k:end]) else [len(x) for x in lines[k:end]]
-        size = np.array(text)
-        start = np.concatenate([[0], np.cumsum(size + SHINGLE - 1)[:-1]])
+        yield k, end
+        k = end
+
+
+def band_keys(lines: list[bytes]) -> np.ndarray:
+    """64-bit band keys, BANDS for each line; lines are not empty."""
+    out = np.empty((len(lines), BANDS), U64)
+    for k, end in _slices(lines):
+        points, start, stop = _spread(lines[k:end])
         hashed = np.zeros(len(points) - SHINGLE + 1, np.uint32)
         for step in range(SHINGLE):
             hashed *= np.uint32(0x9E3779B1)
             hashed += points[step : step + len(hashed)]
         hashed = _mix32(hashed)
-        # shingles of line j: start[j] .. start[j] + max(1, size - SHINGLE + 1); the zeros' places are left out
-        count = np.maximum(1, size - SHINGLE + 1)
-        bounds = np.empty(2 * len(size), np.int64)
-        bounds[0::2], bounds[1::2] = start, start + count
+        bounds = np.empty(2 * len(start), np.int64)  # the places between a line's last shingle and the next line are left out
+        bounds[0::2], bounds[1::2] = start, stop
         if bounds[-1] >= len(hashed):
             bounds = bounds[:-1]
         for band in range(BANDS):
@@ -84,26 +93,29 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
                 key = (key ^ least) * U64(0x9E3779B97F4A7C15)
                 key ^= key >> U64(32)
             out[k:end, band] = key * U64(0xD6E8FEB86659FD93)
-        k = end
     return out
 
 
-def shingle_set(line: bytes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a normalised line's shingles."""
-    points = np.frombuffer(line.decode().encode("utf-32-le"), np.uint32).astype(U64)
-    if len(points) < SHINGLE:
-        points = np.concatenate([points, np.zeros(SHINGLE - len(points), U64)])
-    out = np.zeros(len(points) - SHINGLE + 1, U64)
-    for k in range(SHINGLE):
-        out = (out + points[k : k + len(out)] + U64(1)) * U64(0x9E3779B97F4A7C15)
-        out ^= out >> U64(29)
-    return np.unique(out)
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each normalised line's shingles."""
+    out: list[np.ndarray] = []
+    for k, end in _slices(lines):
+        points, start, stop = _spread(lines[k:end])
+        hashed = np.zeros(len(points) - SHINGLE + 1, U64)
+        for step in range(SHINGLE):
+            hashed += points[step : step + len(hashed)]
+            hashed += U64(1)
+            hashed *= U64(0x9E3779B97F4A7C15)
+            hashed ^= hashed >> U64(29)
+        out += [np.unique(hashed[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    return out
 
 
 # --- the exchange of band keys -------------------------------------------------------------------
 
-#: Bytes of a line's node that travel with a band key, to tell copies of a line from different lines.
-CHECK = 2
+#: Bytes of a line's node that travel with a band key, to tell copies of a line from different lines: two different lines of
+#: one band are taken for copies, and that band of theirs is lost, with probability 2 ** -48.
+CHECK = 6
 
 
 def _own(t: pa.Table, normals: list[list[bytes]] | None = None) -> dict[bytes, tuple[bool, int, int]]:
@@ -118,50 +130,54 @@ def _own(t: pa.Table, normals: list[list[bytes]] | None = None) -> dict[bytes, t
     return first
 
 
-def _keys(lines: list[bytes], nodes: list[bytes]):
-    """Sorted distinct (48-bit band key, check) of the lines, and the place of each line's bands among them."""
-    keys = (band_keys(lines) & ~U64(0xFFFF)) | np.array([int.from_bytes(n[:CHECK], "little") for n in nodes], U64)[:, None]
-    distinct, inverse = np.unique(keys.ravel(), return_inverse=True)
-    return distinct, inverse.reshape(-1, BANDS)
-
-
 def _ask(pid: int, t: pa.Table, buckets: int) -> pa.Table:
-    """A row for each bucket, and one (to some bucket, which passes it back) with the places of the lines' bands, so
-    that they need not be computed again."""
+    """A row for each bucket: its band keys (32 bits within the bucket's range), with each the line's check and number in the
+    group's sorted lines."""
     lines = sorted(_own(t))
     if not lines:
         return asking.ASK_ARROW.empty_table()
-    distinct, place = _keys(lines, list(map(node_of, lines)))
-    rows = [(k, b"a" + distinct[a:b].tobytes()) for k, a, b in asking.bucket_slices(distinct, buckets)]
-    rows.append((pid % buckets, b"b" + np.int64(len(distinct)).tobytes() + distinct.tobytes() + place.astype(np.uint32).tobytes()))
+    keys = band_keys(lines).ravel()
+    order = np.argsort(keys, kind="stable")
+    keys, line = keys[order], (order // BANDS).astype(np.uint16 if len(lines) <= 1 << 16 else np.uint32)
+    check = np.frombuffer(b"".join(node_of(x)[:CHECK] for x in lines), np.uint8).reshape(-1, CHECK)[line]
+    rows = []
+    for k, a, b in asking.bucket_slices(keys, buckets):
+        inside = ((keys[a:b] - U64((k << 64) // buckets)) * U64(buckets) >> U64(32)).astype(np.uint32)
+        rows.append((k, bytes([line.itemsize]) + inside.tobytes() + check[a:b].tobytes() + line[a:b].tobytes()))
     return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([pid] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=asking.ASK_ARROW)
 
 
+def _read(blob: bytes):
+    wide = blob[0]
+    n = (len(blob) - 1) // (4 + CHECK + wide)
+    check = np.zeros((n, 8), np.uint8)
+    check[:, :CHECK] = np.frombuffer(blob, np.uint8, n * CHECK, 1 + 4 * n).reshape(n, CHECK)
+    line = np.frombuffer(blob[1 + (4 + CHECK) * n :], np.uint16 if wide == 2 else np.uint32)
+    return np.frombuffer(blob[1 : 1 + 4 * n], np.uint32), check.view(U64).ravel(), line.astype(np.uint32)
+
+
 def _answer(batches):
-    """A bit for each entry asked about: two different lines have its band key."""
-    names, blobs, pids, ids = ["pid", "bucket", "blob"], [], [], []
-    for t in batches:
-        for bucket, pid, blob in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), t.column(2).to_pylist(), strict=True):
-            if blob[:1] == b"b":
-                yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), pa.array([-1], pa.int32()), pa.array([blob[1:]], pa.binary())], names)
-            else:
-                blobs.append(blob[1:])
-                pids.append(pid)
-                ids.append(bucket)
-    if not blobs:
+    """To each group the band keys that two different lines have, with the numbers of its lines."""
+    asked = asking.rows_of(batches, asking.ASK_ARROW)
+    got = [_read(b) for b in asked["blob"].to_pylist()]
+    if not got:
         return
-    entries = np.concatenate([np.frombuffer(b, U64) for b in blobs])
-    order = np.argsort(entries, kind="stable")
-    key, check = entries[order] >> U64(16), entries[order] & U64(0xFFFF)
+    bucket, pids = asked["bucket"][0].as_py(), asked["pid"].to_pylist()
+    group = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+    key, check, line = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, check = key[order], check[order]
     first = np.ones(len(key), bool)
     first[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(first)
     differ = np.minimum.reduceat(check, at) != np.maximum.reduceat(check, at)
-    out = np.empty(len(key), bool)
-    out[order] = np.repeat(differ, np.diff(np.append(at, len(key))))
-    edges = np.cumsum([0, *(len(b) // 8 for b in blobs)])
-    bits = [np.packbits(out[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(ids, pa.int32()), pa.array(bits, pa.binary())], names)
+    shared = np.repeat(differ, np.diff(np.append(at, len(key))))
+    key, order = key[shared].astype(np.int64) + (bucket << 32), order[shared]
+    group, line = group[order], line[order]
+    back = np.argsort(group, kind="stable")
+    edges = np.searchsorted(group[back], np.arange(len(got) + 1))
+    blobs = [key[back[a:b]].tobytes() + line[back[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array([bucket] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["pid", "bucket", "blob"])
 
 
 _LINES = pa.schema([("pid", pa.int32()), ("node", pa.binary()), ("nameless", pa.bool_()), ("doc", pa.int64()), ("place", pa.int32()), ("keys", pa.list_(pa.int64())), ("line", pa.binary())])
@@ -185,16 +201,12 @@ def lines_of(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
             return _LINES.empty_table()
         lines = sorted(own)
         nodes = list(map(node_of, lines))
-        told = dict(zip(answers["bucket"].to_pylist(), answers["blob"].to_pylist(), strict=True))
-        n = int(np.frombuffer(told[-1], np.int64, 1)[0])
-        distinct, place = np.frombuffer(told[-1], U64, n, 8), np.frombuffer(told[-1], np.uint32, -1, 8 + 8 * n).reshape(-1, BANDS)
-        shared = np.zeros(n, bool)
-        for k, a, b in asking.bucket_slices(distinct, buckets):
-            shared[a:b] = np.unpackbits(np.frombuffer(told[k], np.uint8), count=b - a)
-        mine = shared[place]
-        keys: list = [None] * len(lines)
-        for j in np.flatnonzero(mine.any(1)).tolist():
-            keys[j] = (distinct[place[j][mine[j]]] >> U64(16)).astype(np.int64)
+        blobs = answers["blob"].to_pylist()
+        key = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64, len(x) // 12) for x in blobs)])
+        line = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32, -1, len(x) // 12 * 8) for x in blobs)])
+        order = np.argsort(line, kind="stable")
+        edges = np.searchsorted(line[order], np.arange(len(lines) + 1)).tolist()
+        keys = [key[order[x:y]] if y > x else None for x, y in zip(edges[:-1], edges[1:], strict=True)]
         at = [own[x] for x in lines]
         return pa.table([pa.array([t["pid"][0].as_py()] * len(lines), pa.int32()), pa.array(nodes, pa.binary()), pa.array([x[0] for x in at], pa.bool_()), pa.array([x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array([x if k is not None else None for x, k in zip(lines, keys, strict=True)], pa.binary())], schema=_LINES)
 
@@ -204,7 +216,7 @@ def lines_of(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
 
 def _with_sizes(batches):
     for t in batches:
-        yield pa.RecordBatch.from_arrays([t.column(0), pa.array([len(shingle_set(x)) for x in t.column(1).to_pylist()], pa.int64()), t.column(1)], ["node", "size", "payload"])
+        yield pa.RecordBatch.from_arrays([t.column(0), pa.array(list(map(len, shingle_sets(t.column(1).to_pylist()))), pa.int64()), t.column(1)], ["node", "size", "payload"])
 
 
 def lost_lines(docs: DataFrame, groups: int, buckets: int, percent: int = PERCENT) -> DataFrame:
@@ -214,7 +226,7 @@ def lost_lines(docs: DataFrame, groups: int, buckets: int, percent: int = PERCEN
     sets = candidates.groupBy("node").agg(F.first("line").alias("payload"))
     sets = cut(sets.mapInArrow(_with_sizes, "node binary, size long, payload binary"), "line-sets")
     buckets = candidates.select(F.explode("keys").alias("key"), "node").distinct()
-    roots = link(buckets, sets, shingle_set, percent)
+    roots = link(buckets, sets, shingle_sets, percent)
     owned = lines.select("pid", "node", F.struct("nameless", "doc", "place").alias("at"))
     owned = owned.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = owned.groupBy("root").agg(F.min("at").alias("first"))

@@ -1,15 +1,16 @@
 """From candidate buckets to verified components without comparing all pairs of a bucket.
 
-A bucket is a set of nodes that share a band. In a round every bucket's pivot (the node with most
+A bucket is a set of nodes that share a band. In a first round every bucket's pivot (the node with most
 bucket fellows) is compared with the others on full sets; verified links join components, and nodes of one
-component need no further comparison. Buckets that hold one component are done, pivots leave.
-
-Buckets that are still open and large after that hold many nodes that share something (a passage, say)
-and yet are not similar. Their nodes are banded again, ``STRICT_ROWS`` minima a band: pairs at 0.75 meet
-again with probability 0.985 (0.9994 at 0.80), pairs at 0.4 with 0.03. These buckets only join components early;
-the first ones stay. After another round the pairs still open, those between different components of one
-bucket, are compared one and all, block against block, so no pair that shares a band is left out.
-Sets whose sizes alone rule out the similarity are never compared.
+component need no further comparison. Buckets that hold one component are done.
+
+Nodes of buckets that are still open share something (a passage, say) and yet most of them are not similar. Their
+items are ordered by how many of these nodes hold them, rare ones first. Two sets at a similarity of 75 % or more
+have a common item among the rarest quarter of either (its prefix), so nodes are dealt anew by the
+items of their prefixes that another node holds too. This is exact: no pair of open nodes is lost. Texts that share a template
+differ in their rare items and mostly have no fellow left. Pairs of small buckets are verified one by one, large ones have
+another round of pivots, and what is open then is compared block against block. Sets whose sizes or places in
+the order alone rule out the similarity are never compared.
 """
 
 from __future__ import annotations
@@ -21,17 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _stream, cut, drop, mix, release
+from .common import cut, drop, release
 from .components import add_edges, label
 
+#: Nodes of a bucket whose pairs become rows; rows of a block beyond that.
 LARGE, BLOCK = 32, 256
-#: Minima by which the last step estimates a similarity first: at 0.75 the estimate of 256 is 0.15 too low with
-#: probability 1e-7.
-ESTIMATE = 256
-STRICT_BANDS, STRICT_ROWS = 40, 8
-
-_A = _stream(51, STRICT_BANDS * STRICT_ROWS) | U64(1)
-_B = _stream(52, STRICT_BANDS * STRICT_ROWS)
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -42,44 +37,34 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def strict_keys(items: np.ndarray) -> np.ndarray:
-    """Keys of the strict bands of a set of 64-bit hashes."""
-    low = np.full(len(_A), ~U64(0))
-    for k in range(0, len(items), 512):
-        np.minimum(low, (items[k : k + 512, None] * _A + _B).min(0), out=low)
-    out = np.arange(STRICT_BANDS, dtype=U64) + U64(1 << 40)
-    for row in low.reshape(STRICT_BANDS, STRICT_ROWS).T:
-        out = mix(out * U64(0x9E3779B97F4A7C15) + row)
-    return out.view(np.int64)
-
+def _chunks(sizes: list[int], most: int = 4 << 20):
+    """Ranges of rows whose payloads have about ``most`` bytes together."""
+    at, held = 0, 0
+    for k, n in enumerate(sizes):
+        held += n
+        if held >= most:
+            yield at, k + 1
+            at, held = k + 1, 0
+    if at < len(sizes):
+        yield at, len(sizes)
 
-def minima(items: np.ndarray) -> np.ndarray:
-    """The upper halves of ESTIMATE minima of a set of 64-bit hashes."""
-    low = np.full(ESTIMATE, ~U64(0))
-    for k in range(0, len(items), 512):
-        np.minimum(low, (items[k : k + 512, None] * _A[:ESTIMATE] + _B[:ESTIMATE]).min(0), out=low)
-    return (low >> U64(32)).astype(np.uint32)
 
-
-def verify(pairs: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets (node, payload) are similar enough."""
     kind = pairs.schema["a"].dataType.simpleString()
     left = sets.select(F.col("node").alias("a"), F.col("payload").alias("of_a"))
     right = sets.select(F.col("node").alias("b"), F.col("payload").alias("of_b"))
 
     def run(batches):
-        known: dict[bytes, np.ndarray] = {}
-
-        def set_of(payload: bytes) -> np.ndarray:
-            if payload not in known:
-                if len(known) > 256:
-                    known.clear()
-                known[payload] = to_set(payload)
-            return known[payload]
-
         for t in batches:
-            keep = [jaccard_at_least(set_of(x), set_of(y), percent) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
+            a, b = t.column(2).to_pylist(), t.column(3).to_pylist()
+            keep: list[bool] = []
+            for k, end in _chunks([len(x) + len(y) for x, y in zip(a, b, strict=True)]):
+                known = list(dict.fromkeys(a[k:end] + b[k:end]))
+                made = dict(zip(known, to_sets(known), strict=True))
+                keep += [jaccard_at_least(made[x], made[y], percent) for x, y in zip(a[k:end], b[k:end], strict=True)]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     joined = pairs.hint("shuffle_hash").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
@@ -88,8 +73,8 @@ def verify(pairs: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarr
 class Linker:
     """Components so far, and what is needed to compare nodes."""
 
-    def __init__(self, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int):
-        self.sets, self.to_set, self.percent = sets, to_set, percent
+    def __init__(self, sets: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], percent: int):
+        self.sets, self.to_sets, self.percent = sets, to_sets, percent
         self.roots = None
 
     def fits(self, a: str, b: str):
@@ -98,12 +83,15 @@ class Linker:
     def compare(self, pairs: DataFrame) -> None:
         """Verify the pairs (a, b) and join what is similar."""
         pairs = cut(pairs.distinct(), "pairs")
-        self.join(verify(pairs, self.sets, self.to_set, self.percent))
+        self.join(verify(pairs, self.sets, self.to_sets, self.percent))
+        drop(pairs)
 
     def join(self, links: DataFrame) -> None:
         found = cut(links, "links")
         if self.roots is None or not found.isEmpty():
-            self.roots = cut(add_edges(self.roots, found), "roots")
+            old, self.roots = self.roots, cut(add_edges(self.roots, found), "roots")
+            drop(old)
+        drop(found)
 
     def opened(self, buckets: DataFrame) -> DataFrame:
         """Buckets (key, node, size, degree) with two components or more, with each node's root and the bucket's n."""
@@ -126,28 +114,41 @@ class Linker:
         drop(active)
         return out
 
-    def banded_again(self, active: DataFrame) -> DataFrame:
-        """Adds strict bands of the nodes of large buckets, which stay: strict bands alone would lose pairs."""
-        to_set = self.to_set
+    def prefixes(self, active: DataFrame) -> DataFrame:
+        """Buckets by the rare items that open nodes share: key, node, size, place (items before it in the node's order)."""
+        to_sets, kind = self.to_sets, active.schema["node"].dataType.simpleString()
 
         def run(batches):
             for t in batches:
-                keys = [strict_keys(to_set(x)) for x in t.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
-
-        big = active.where(f"n > {LARGE}").select("node", "size").distinct()
-        nodes = cut(big.join(self.sets.select("node", "payload"), "node").select("node", "size", "payload").mapInArrow(run, "node binary, size long, keys array<long>"), "strict")
-        strict = cut(self.start(nodes.select(F.explode("keys").alias("key"), "node", "size")), "strict-buckets")
-        out = self.opened(active.select("key", "node", "size", "degree").union(strict))
-        drop(active)
-        return out
+                payload = t.column(2).to_pylist()
+                for a, b in _chunks(list(map(len, payload))):
+                    items = [x.view(np.int64) for x in to_sets(payload[a:b])]
+                    yield pa.RecordBatch.from_arrays([t.column(0)[a:b], t.column(1)[a:b], pa.array(items, pa.list_(pa.int64()))], ["node", "size", "items"])
+
+        nodes = active.select("node").distinct().join(self.sets.select("node", "size", "payload"), "node").select("node", "size", "payload")
+        self.items = cut(nodes.mapInArrow(run, f"node {kind}, size long, items array<long>"), "items")
+        every = self.items.select("node", "size", F.explode("items").alias("key"))
+        shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+        own = every.join(shared, "key").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("order"))
+        # items that no other node holds come first in the order; the prefix is what the similarity leaves room for
+        alone = F.col("size") - F.size("order")
+        room = F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1 - alone
+        inside = own.where(room > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("at", "item"))
+        return inside.select(F.col("item.key").alias("key"), "node", "size", (F.col("alone") + F.col("at")).alias("place"))
+
+    def small(self, active: DataFrame) -> None:
+        """The pairs of buckets of up to LARGE nodes."""
+        x, y = (active.where(f"n <= {LARGE}").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "root", "place")]) for k in "ab")
+        reach = F.least(F.expr("size_a - place_a"), F.expr("size_b - place_b"))  # items that can be common from here on
+        may = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & self.fits("size_a", "size_b") & (reach * (100 + self.percent) >= self.percent * (F.col("size_a") + F.col("size_b")))
+        self.compare(x.join(y, "key").where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
     def finish(self, active: DataFrame) -> None:
         """All pairs of different components in the buckets still open, block against block.
 
         A bucket's rows fall into blocks of about BLOCK; a task gets the sets of two blocks and returns the links alone, so a
         bucket of n rows moves n * n / BLOCK rows and no pair is ever a row."""
-        percent, to_set, kind = self.percent, self.to_set, active.schema["node"].dataType.simpleString()
+        percent, to_sets, kind = self.percent, self.to_sets, active.schema["node"].dataType.simpleString()
         blocks = F.ceil(F.col("n") / BLOCK).cast("int")
         rows = active.join(self.sets.select("node", "payload"), "node").select("key", "node", "size", "root", "payload", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
         # a row of block b meets every block: (b, j) for j >= b and (i, b) for i < b
@@ -156,43 +157,46 @@ class Linker:
 
         def run(t: pa.Table) -> pa.Table:
             i, j = t["i"][0].as_py(), t["j"][0].as_py()
-            own, size = np.array(t["own"].to_pylist()), np.array(t["size"].to_pylist())
-            node = t["node"].to_pylist()
+            own, node = np.array(t["own"].to_pylist()), t["node"].to_pylist()
             _, root = np.unique(np.array([r.hex() for r in t["root"].to_pylist()]), return_inverse=True)
+            sets = to_sets(t["payload"].to_pylist())
+            size = np.array(list(map(len, sets)))
+            _, items = np.unique(np.concatenate(sets), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(size)])
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            apart = root[left][:, None] != root[right]
-            fits = 100 * np.minimum(size[left][:, None], size[right]) >= percent * np.maximum(size[left][:, None], size[right])
-            if i == j:
-                apart &= np.arange(len(left))[:, None] < np.arange(len(right))
-            x, y = np.nonzero(apart & fits)
             found: list[tuple[bytes, bytes]] = []
-            if len(x):
-                payload = t["payload"].to_pylist()
-                need = np.unique(np.concatenate([left[x], right[y]]))
-                sets = {k: to_set(payload[k]) for k in need.tolist()}
-                low = np.zeros((len(own), ESTIMATE), np.uint32)
-                for k, s in sets.items():
-                    low[k] = minima(s)
-                # pairs that are far apart by their minima are not similar (see ESTIMATE)
-                for k in range(0, len(x), 20_000):
-                    a, b = left[x[k : k + 20_000]], right[y[k : k + 20_000]]
-                    near = (low[a] == low[b]).sum(1) * 100 >= ESTIMATE * (percent - 15)
-                    found += [(node[p], node[q]) for p, q in zip(a[near].tolist(), b[near].tolist(), strict=True) if jaccard_at_least(sets[p], sets[q], percent)]
+            mark = np.zeros(len(items) + 1, bool)
+            theirs = np.concatenate([items[at[q] : at[q + 1]] for q in right]) if len(right) else items[:0]
+            for p in left.tolist():
+                mine = items[at[p] : at[p + 1]]
+                mark[mine] = True
+                both = np.add.reduceat(mark[theirs], np.cumsum(size[right]) - size[right], dtype=np.int64) if len(theirs) else np.zeros(0, np.int64)
+                mark[mine] = False
+                near = (root[right] != root[p]) & (both * (100 + percent) >= percent * (size[right] + size[p]))
+                found += [(node[p], node[q]) for q in right[near].tolist() if i != j or q > p]
             release()
             return pa.table([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
 
         self.join(met.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}"))
 
 
-def link(buckets: DataFrame, sets: DataFrame, to_set: Callable[[bytes], np.ndarray], percent: int) -> DataFrame:
+def link(buckets: DataFrame, sets: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], percent: int) -> DataFrame:
     """node, root for the nodes that have a verified link.
 
-    buckets: key, node (distinct rows); sets: node, size (of the set), payload (one row a node)."""
-    work = Linker(sets, to_set, percent)
-    active = work.opened(work.start(buckets.join(sets.select("node", "size"), "node").select("key", "node", "size")))
-    active = work.round(active)
-    if not active.where(f"n > {LARGE}").isEmpty():
-        active = work.round(work.banded_again(active))
+    buckets: key, node (distinct rows); sets: node, size (of the set), payload (one row a node). Nodes without a set, or with an
+    empty one, are linked with nothing; without buckets the result is empty."""
+    work = Linker(sets, to_sets, percent)
+    active = work.round(work.opened(work.start(buckets.join(sets.select("node", "size"), "node").select("key", "node", "size"))))
     if not active.isEmpty():
-        work.finish(active)
+        anew = work.opened(work.prefixes(active))
+        drop(work.items)
+        work.small(anew)
+        large = anew.where(f"n > {LARGE}")
+        if not large.isEmpty():
+            large = work.round(work.opened(work.start(large.select("key", "node", "size"))))
+            if not large.isEmpty():
+                work.finish(large)
+            drop(large)
+        drop(anew)
+    drop(active)
     return work.roots

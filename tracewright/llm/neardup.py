@@ -101,8 +101,8 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return held.mapInArrow(run, "node binary, size long, payload binary").dropDuplicates(["node"])
 
 
-def _to_set(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, U64)
+def _to_sets(payloads: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(p, U64) for p in payloads]
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -115,7 +115,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = cut(every.join(shared, "key"), "candidates")
     wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "doc_id", "text_key")
     sets = cut(_sets(docs, wanted), "sets")
-    roots = link(buckets, sets, _to_set, percent)
+    roots = link(buckets, sets, _to_sets, percent)
     # the smallest document of each component, by way of the nodes (one row for all copies of a text)
     owned = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.groupBy("root").agg(F.min("doc_id").alias("component_id"))
