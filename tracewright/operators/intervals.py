@@ -42,3 +42,16 @@ def subtract(spans: DataFrame, cuts: DataFrame, by: list[str], least=0, start: s
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     swept = at.select(*by, F.col("_t").alias(start), F.lead("_t").over(w).alias(end), F.sum("_s").over(run).alias("_s"), F.sum("_c").over(run).alias("_c"))
     return swept.where((F.col("_s") > 0) & (F.col("_c") == 0) & (F.col(end) - F.col(start) > least)).drop("_s", "_c")
+
+
+def first_overlap(left: DataFrame, right: DataFrame, by: list[str], slack, column: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Each left interval with ``column`` of the first right one (by start, then ``column``) that it meets, null if there is none;
+    right ends count ``slack`` longer.
+
+    One sorted pass, no pairs: from late ends to early ones the first right interval that still ends after the left one's start is
+    carried along. It starts before all others of its sort, so if it starts too late, none meets the left one."""
+    l = left.withColumn("_row", F.struct(*left.columns)).select(*by, (F.col(start) - slack).alias("_t"), F.lit(1).alias("_side"), "_row", F.lit(None).alias("_right"))
+    r = right.select(*by, F.col(end).alias("_t"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), F.struct(F.col(start).alias("s"), F.col(column).alias("v")).alias("_right"))
+    w = Window.partitionBy(*by).orderBy(F.desc("_t"), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    met = l.unionByName(r).withColumn("_first", F.min("_right").over(w)).where("_row is not null")
+    return met.select("_row.*", F.when(F.col("_first.s") <= F.col(f"_row.{end}"), F.col("_first.v")).alias(column))

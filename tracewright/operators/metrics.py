@@ -113,11 +113,16 @@ def mixed_groups(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.countDistinct(value).alias("kinds")).where("kinds > 1")
 
 
-def source_verdict(votes: DataFrame, by: list[str], source: str, weight: str, a: str, b: str) -> DataFrame:
-    """The source with more weight; ``mixed`` where both have the same positive weight, ``unknown`` with none."""
-    w = lambda x: F.sum(F.when(F.col(source) == x, F.col(weight)).otherwise(0))
-    s = votes.groupBy(*by).agg(w(a).alias("_a"), w(b).alias("_b"))
-    return s.withColumn("verdict", F.when((F.col("_a") == 0) & (F.col("_b") == 0), "unknown").when(F.col("_a") > F.col("_b"), a).when(F.col("_b") > F.col("_a"), b).otherwise("mixed")).drop("_a", "_b")
+def source_verdict(hit_ratio: Column, net_bytes: Column, elapsed: Column) -> Column:
+    """page_cache, nfs, mixed or unknown by votes. The cache-hit ratio has three votes at its ends, one for each side in
+    between and one for unknown where it is not known; the network's received bytes have two for the network or, where next to
+    nothing came in a load of over ten seconds, one for the cache."""
+    high, low, much, little = 0.90, 0.15, 1.0, 0.01
+    gb, none = net_bytes / 1e9, F.lit(0)
+    cache = F.when(hit_ratio >= high, 3).when(hit_ratio > low, 1).otherwise(none) + F.when((gb < little) & (elapsed > 10), 1).otherwise(none)
+    nfs = F.when(hit_ratio >= high, none).when(hit_ratio <= low, 3).when(hit_ratio.isNotNull(), 1).otherwise(none) + F.when(gb > much, 2).otherwise(none)
+    unknown = F.when(hit_ratio.isNull(), 1).otherwise(none)
+    return F.when((cache > nfs) & (cache > unknown), "page_cache").when((nfs > cache) & (nfs > unknown), "nfs").when((nfs > 0) & (cache > 0), "mixed").otherwise("unknown")
 
 
 def fill_missing(left: DataFrame, right: DataFrame, key: str, columns: list[str], present: str = "keys") -> DataFrame:

@@ -27,18 +27,30 @@ def merge_registries(sources: Sequence[DataFrame], keys: list[str]) -> DataFrame
 
 
 def rule_predict(calls: DataFrame, registry: DataFrame, tool: str = "tool") -> DataFrame:
-    """The registry's rows for each call's tool, with the call's horizon (least offset) and confidence (greatest)."""
-    met = calls.join(maybe_broadcast(registry), tool)
-    w = Window.partitionBy(*calls.columns)
-    return met.withColumn("horizon", F.min("off").over(w)).withColumn("best", F.max("confidence").over(w))
+    """The registry's rows for each call's tool, with the call's horizon (least offset) and confidence (greatest).
+
+    Both hang on the tool alone, so they are worked out in the registry and calls move once at most."""
+    of_tool = registry.groupBy(tool).agg(F.min("off").alias("horizon"), F.max("confidence").alias("best"))
+    return calls.join(maybe_broadcast(registry.join(of_tool, tool)), tool)
 
 
 def table_predict(calls: DataFrame, table: DataFrame, registry: DataFrame, tool: str = "tool", top: int = 3, least: float = 0.3) -> DataFrame:
-    """Of offsets 1 and 2 the first for which a likely target has registry rows; those rows."""
+    """Of offsets 1 and 2 the first for which a likely target has registry rows; those rows. All of it hangs on the tool
+    alone and is worked out in the table."""
     likely = table.where((F.col("rank") <= top) & (F.col("prob") >= least) & F.col("off").isin(1, 2)).select(F.col("source").alias(tool), F.col("target").alias("next_tool"), "off", "prob")
-    met = calls.join(maybe_broadcast(likely), tool).join(maybe_broadcast(registry.withColumnRenamed(tool, "next_tool")), "next_tool")
-    w = Window.partitionBy(*[c for c in calls.columns])
-    return met.withColumn("_least", F.min("off").over(w)).where("off = _least").drop("_least")
+    met = likely.join(registry.withColumnRenamed(tool, "next_tool"), "next_tool")
+    nearest = met.withColumn("_least", F.min("off").over(Window.partitionBy(tool))).where("off = _least").drop("_least")
+    return calls.join(maybe_broadcast(nearest), tool)
+
+
+def starts_with(left: DataFrame, text: str, right: DataFrame, prefix: str) -> DataFrame:
+    """The pairs whose ``text`` equals or starts with ``prefix``. The distinct lengths of the prefixes (few: names are short)
+    are looked up first; each left row asks with its first characters at each length, so the join has whole prefixes as keys."""
+    lengths = [r[0] for r in right.select(F.length(prefix)).where(F.col(prefix).isNotNull()).distinct().collect()]
+    if not lengths:
+        return left.join(right, F.lit(False))
+    asked = left.withColumn("_key", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, sorted(lengths))), lambda n: F.when(F.length(text) >= n, F.substring(F.col(text), F.lit(1), n))))))
+    return asked.join(right, F.col("_key") == F.col(prefix)).drop("_key")
 
 
 def learned_predict(by_plan: DataFrame, by_table: DataFrame, by_rule: DataFrame, key: list[str]) -> DataFrame:
@@ -50,6 +62,15 @@ def learned_predict(by_plan: DataFrame, by_table: DataFrame, by_rule: DataFrame,
     return stacked.withColumn("_first", F.min("signal").over(Window.partitionBy(*key))).where("signal = _first").drop("_first")
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """L1, L2: each row's place (from 1) in a total order, without one task for all rows: rows are dealt by ranges of the order,
+    numbered inside each range, and the ranges' counts, a row a partition, give where each range starts."""
+    rows = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
+    return rows.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_before") + F.col("_r")).cast("bigint")).drop("_p", "_r", "_before")
+
+
 def order_key(c: Column, names: Sequence[str]) -> Column:
     """L1, L2: place in a fixed order; unknown ones come last."""
     out = F.lit(len(names))

@@ -21,10 +21,10 @@ def registry(spark, d):
 
 
 def calls(spark, d):
-    return trace(spark, d).where("k < 10").select("run_id", "ord", F.col("kind").alias("tool"))
+    return trace(spark, d).select("run_id", "ord", F.col("kind").alias("tool"))
 
 
-@query(E[:-1] + _REG + ", m AS (SELECT run_id, ord, rid, reg.off, reg.confidence FROM e JOIN reg ON e.kind = reg.tool WHERE e.k < 10) SELECT run_id, ord, rid, min(off) OVER (PARTITION BY ord) AS horizon, max(confidence) OVER (PARTITION BY ord) AS best FROM m")
+@query(E[:-1] + _REG + ", m AS (SELECT run_id, ord, rid, reg.off, reg.confidence FROM e JOIN reg ON e.kind = reg.tool) SELECT run_id, ord, rid, min(off) OVER (PARTITION BY ord) AS horizon, max(confidence) OVER (PARTITION BY ord) AS best FROM m")
 def rule_prediction(spark, d):
     """Registry rows of each call, with horizon and confidence of the prediction."""
     return predict.rule_predict(calls(spark, d), registry(spark, d)).select("run_id", "ord", "rid", "horizon", "best")
@@ -34,7 +34,7 @@ def likely(spark, d):
     return sequences.transition_probs(sequences.pairs_within(trace(spark, d), BY, ORD, "kind", 3))
 
 
-_TABLE = _REG + """, m AS (SELECT c.run_id, c.ord, x.off, reg.rid FROM e c JOIN x ON x.source = c.kind AND x.rank <= 1 AND x.prob >= 0.2 AND x.off IN (1, 2) JOIN reg ON reg.tool = x.target WHERE c.k < 10),
+_TABLE = _REG + """, m AS (SELECT c.run_id, c.ord, x.off, reg.rid FROM e c JOIN x ON x.source = c.kind AND x.rank <= 1 AND x.prob >= 0.2 AND x.off IN (1, 2) JOIN reg ON reg.tool = x.target),
 f AS (SELECT *, min(off) OVER (PARTITION BY ord) AS least FROM m)
 """
 
@@ -46,12 +46,12 @@ def table_prediction(spark, d):
     return got.select("run_id", "ord", "rid", long("off"))
 
 
-@query(_PAIRS[:-1] + _TABLE + """, sig AS (SELECT run_id, ord, k AS rid, 0 AS signal FROM e WHERE k < 3 UNION ALL SELECT run_id, ord, rid, 1 FROM f WHERE off = least AND ord % 2 = 0 UNION ALL SELECT run_id, ord, rid, 2 FROM e JOIN reg ON e.kind = reg.tool WHERE e.k < 10)
+@query(_PAIRS[:-1] + _TABLE + """, sig AS (SELECT run_id, ord, k AS rid, 0 AS signal FROM e WHERE kind = 'signup' UNION ALL SELECT run_id, ord, rid, 1 FROM f WHERE off = least UNION ALL SELECT run_id, ord, rid, 2 FROM e JOIN reg ON e.kind = reg.tool)
 SELECT run_id, ord, rid, signal FROM (SELECT *, min(signal) OVER (PARTITION BY run_id, ord) AS least FROM sig) WHERE signal = least""")
 def learned_prediction(spark, d):
     """Plan, else table, else rules, the first that says anything about a step."""
-    plan = trace(spark, d).where("k < 3").select("run_id", "ord", F.col("k").alias("rid"))
-    by_table = table_prediction(spark, d).where("ord % 2 = 0").select("run_id", "ord", "rid")
+    plan = trace(spark, d).where("kind = 'signup'").select("run_id", "ord", F.col("k").alias("rid"))
+    by_table = table_prediction(spark, d).select("run_id", "ord", "rid")
     return predict.learned_predict(plan, by_table, rule_prediction(spark, d).select("run_id", "ord", "rid"), ["run_id", "ord"]).select("run_id", "ord", "rid", "signal")
 
 
@@ -249,12 +249,12 @@ def transitions_export(spark, d):
     return sinks.transitions_json(likely(spark, d))
 
 
-@query(E[:-1] + ", m AS (SELECT run_id, avg(CAST(k AS DOUBLE)) AS util, count(DISTINCT kind) AS kinds FROM e WHERE kind <> 'error' GROUP BY run_id) SELECT run_id, round(util, 6) AS util, kinds, kinds > 3 AS mixed FROM m")
+@query(E[:-1] + ", m AS (SELECT run_id, avg(CAST(k AS DOUBLE)) AS util, count(DISTINCT kind) AS kinds FROM e WHERE kind <> 'error' GROUP BY run_id) SELECT run_id, round(util, 6) AS util, kinds, kinds > 1 AS mixed FROM m")
 def mixed_hardware(spark, d):
     """Groups with several kinds of hardware."""
     e = trace(spark, d).where("kind <> 'error'")
     m = e.groupBy("run_id").agg(F.round(F.avg("k"), 6).alias("util"), F.countDistinct("kind").alias("kinds"))
-    return m.withColumn("mixed", F.col("kinds") > 3)
+    return m.withColumn("mixed", F.col("kinds") > 1)
 
 
 @query(E[:-1] + " SELECT run_id, ord, CASE WHEN kind = 'view' THEN 'measured' WHEN cents % 2 = 0 AND cents <> 0 THEN 'estimated' ELSE 'unknown' END AS source, CAST(CASE WHEN kind = 'view' THEN k WHEN cents % 2 = 0 THEN cents ELSE 0 END AS DOUBLE) AS bytes FROM e")
@@ -264,11 +264,11 @@ def byte_provenance(spark, d):
     return trace(spark, d).select("run_id", "ord", b.alias("b")).select("run_id", "ord", "b.source", "b.bytes")
 
 
-@query(E[:-1] + " SELECT kind, CAST(count(*) FILTER (k < 5) AS BIGINT) AS n, round(try_divide_x, 6) AS share FROM (SELECT kind, k, CASE WHEN count(*) FILTER (k < 0) OVER (PARTITION BY kind) = 0 THEN NULL ELSE 1.0 END AS try_divide_x FROM e) GROUP BY kind, try_divide_x")
+@query(E[:-1] + ", g AS (SELECT run_id, count(*) FILTER (kind = 'view') AS n, count(*) FILTER (kind = 'error') AS made FROM e GROUP BY run_id) SELECT run_id, n, CAST(n AS DOUBLE) / nullif(made, 0) AS share FROM g")
 def null_rates(spark, d):
-    """A rate without a denominator is null, not 0."""
-    g = trace(spark, d).groupBy("kind").agg(F.count_if(F.col("k") < 5).alias("n"), F.count_if(F.col("k") < 0).alias("none"))
-    return g.select("kind", "n", metrics.ratio(F.col("n"), F.col("none")).alias("share"))
+    """A rate without a denominator (a run without errors) is null, not 0."""
+    g = trace(spark, d).groupBy("run_id").agg(F.count_if(F.col("kind") == "view").alias("n"), F.count_if(F.col("kind") == "error").alias("made"))
+    return g.select("run_id", "n", metrics.ratio(F.col("n"), F.col("made")).alias("share"))
 
 
 @query(_TASKS + ", s AS (SELECT run_id, count(*) AS n, count(*) FILTER (completed_t - started_t < 3600000000) AS quick FROM tasks GROUP BY run_id) SELECT run_id, n, CAST(quick AS BIGINT) AS quick, quick * 2 > n AS simulated FROM s")
@@ -294,7 +294,7 @@ def prefetch_table_order(spark, d):
     return tasks_of(spark, d).select("run_id", "task", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query(_PAIRS[:-1] + _REG + """, pl AS (SELECT ['signup', 'view', 'click', 'purchase', 'error'] AS plan), cl AS (SELECT run_id, ord, kind, off, plan[list_position(plan, kind) + off] AS target FROM e, pl, (SELECT unnest([1, 2]) AS off) WHERE k < 10)
+@query(_PAIRS[:-1] + _REG + """, pl AS (SELECT ['signup', 'view', 'click', 'purchase', 'error'] AS plan), cl AS (SELECT run_id, ord, kind, off, plan[list_position(plan, kind) + off] AS target FROM e, pl, (SELECT unnest([1, 2]) AS off))
 SELECT c.run_id, c.ord, CAST(c.off AS BIGINT) AS off, reg.rid, round(greatest(coalesce(x.prob, 0.8), 0.8), 6) AS confidence FROM cl c JOIN reg ON reg.tool = c.target LEFT JOIN x ON x.source = c.kind AND x.off = c.off AND x.target = c.target""")
 def plan_prediction(spark, d):
     """What the plan has one and two steps on, with the learned confidence or 0.8 if that is more."""

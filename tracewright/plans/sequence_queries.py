@@ -169,14 +169,12 @@ def asof_start_before_need(spark, d):
 
 @query(ET[:-1] + """, i AS (SELECT run_id, resource, ord, t AS s, t + cents * 10000000 AS f FROM r WHERE kind = 'purchase'),
 w AS (SELECT run_id, resource, ord AS task, t AS s, t + cents * 10000000 AS f FROM r WHERE kind = 'view')
-SELECT i.run_id, i.ord, min(w.task) AS task FROM i LEFT JOIN w ON w.run_id = i.run_id AND w.resource = i.resource AND w.s <= i.f AND w.f >= i.s - 5000000 GROUP BY ALL""")
+SELECT i.run_id, i.ord, arg_min(w.task, (w.s, w.task)) AS task FROM i LEFT JOIN w ON w.run_id = i.run_id AND w.resource = i.resource AND w.s <= i.f AND w.f >= i.s - 5000000 GROUP BY ALL""")
 def interval_slack_match(spark, d):
     """The first task of the resource whose interval meets the wait's, with five seconds of slack."""
-    e = trace(spark, d).withColumn("f", F.col("t") + F.col("cents") * 10_000_000)
-    i = e.where("kind = 'purchase'").select("run_id", "resource", "ord", F.col("t").alias("s"), "f").alias("i")
-    w = e.where("kind = 'view'").select("run_id", "resource", F.col("ord").alias("task"), F.col("t").alias("s"), "f").alias("w")
-    met = i.join(w, F.expr("i.run_id = w.run_id and i.resource = w.resource and w.s <= i.f and w.f >= i.s - 5000000"), "left")
-    return met.groupBy("i.run_id", "i.ord").agg(F.min("w.task").alias("task"))
+    e = trace(spark, d).select("run_id", "resource", "ord", "kind", F.col("t").alias("start"), (F.col("t") + F.col("cents") * 10_000_000).alias("end"))
+    waits, tasks = e.where("kind = 'purchase'").drop("kind"), e.where("kind = 'view'").withColumnRenamed("ord", "task")
+    return intervals.first_overlap(waits, tasks, ["run_id", "resource"], 5_000_000, "task").select("run_id", "ord", "task")
 
 
 _ISLANDS = """, a AS (SELECT run_id, t AS s, t + cents * 1000000 AS f FROM e WHERE kind = 'view'),
