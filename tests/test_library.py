@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars
-from tracewright.operators import asof, intervals, lifecycle, metrics, predict, sequences
+from tracewright.operators import analyze, asof, intervals, lifecycle, metrics, predict, sequences
 from tracewright.sources import sinks, traces
 from tracewright.streaming import guard
 
@@ -329,3 +329,89 @@ def test_tool_names_of_all_events(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {(r.event_id, r.name) for r in plans.QUERIES["tool_name_parsing"](spark, str(tmp_path)).collect()}
     assert got == {(k, f"{kind}_tool") for k, kind in rows}
+
+
+def summary(spark, tmp_path, *lines, consumers=None):
+    (tmp_path / "t.jsonl").write_text("\n".join(lines) + "\n")
+    events = traces.load_events(spark, str(tmp_path / "t.jsonl"))
+    pairs = spark.createDataFrame(consumers or [("none", "none")], "name string, tool string")
+    return analyze.analyze(events).first(), analyze.evaluate(events, consumers=pairs).first()
+
+
+def spec(rid, est, **more):
+    return {"resource_id": rid, "name": f"name-{rid}", "resource_type": "mace_model", "confidence": 0.95, "estimated_load_s": est, "consumer_tool": "run_ase", **more}
+
+
+def test_one_late_task(spark, tmp_path):
+    """Fixture A: the analyzer's clock and the evaluation's differ."""
+    a, q = summary(
+        spark, tmp_path, ev(1000, 1, "tool_call", tool="smiles"), ev(1000, 1, "prediction_result", resources=[spec("R1", 40.0)], predictor_id="mock"), ev(1000, 1, "checkpoint_created", checkpoint_id="C1"), ev(1000, 1, "prefetch_decision", resource_id="R1", action="start", estimated_load_s=40.0),
+        ev(1000, 1, "prefetch_started", task_id="T1", resource_id="R1"), ev(1030, 2, "tool_call", tool="run_ase"), ev(1030, 2, "prediction_validated", hit=True, checkpoint_id="C1"), ev(1030, 2, "resource_consumed", resource_id="R1", task_id="T1", status="used"), ev(1042, 2, "prefetch_completed", task_id="T1", elapsed_s=40.0), consumers=[("name-R1", "run_ase")],
+    )
+    assert (a.hit_count, a.miss_count, a.precision, a.coverage, a.honest_accuracy) == (1, 0, 1.0, 1.0, 1.0)
+    assert (a.total_overlap_s, a.total_stall_s, a.total_benefit_s, a.total_waste_s) == (30.0, 12.0, 28.0, 0.0)
+    assert (q.n_late, q.n_useful, q.residual_other_s, q.mean_lead_s, q.precision, q.recall, q.on_time_rate, q.n_expired) == (1, 0, 10.0, 30.0, 1.0, 1.0, 0.0, 0)
+
+
+def test_divergence_wastes_a_completed_task(spark, tmp_path):
+    """Fixture B."""
+    a, q = summary(
+        spark, tmp_path, ev(1000, 1, "prediction_result", resources=[spec("R2", 20.0)]), ev(1000, 1, "prefetch_started", task_id="T2", resource_id="R2"), ev(1010, 1, "prefetch_completed", task_id="T2", elapsed_s=10.0),
+        ev(1015, 2, "tool_call", tool="other"), ev(1015, 2, "divergence_detected", checkpoint_id="C2"), ev(1015, 2, "prefetch_cancelled", task_id="T2", wasted=True), ev(1015, 2, "conservative_mode", duration_steps=3),
+    )
+    assert (a.miss_count, a.precision, a.honest_accuracy, a.total_stall_s, a.total_waste_s, a.wasted_prefetch, a.prefetch_cancelled) == (1, 0.0, 0.0, 0.0, 10.0, 1, 1)
+    assert (q.n_wasted, q.precision, q.recall, q.n_wrong_after, q.conservative_steps, q.speculative_read_s, q.mean_lead_s) == (1, 0.0, None, 0, 3, 10.0, None)
+
+
+def test_consumed_without_a_prefetch(spark, tmp_path):
+    """Fixture C, and a stamp of a tool that does not consume the resource."""
+    a, q = summary(spark, tmp_path, ev(1, 1, "prediction_result", resources=[spec("R3", 50.0)]), ev(1, 1, "prefetch_decision", resource_id="R3", action="skip", estimated_load_s=50.0), ev(9, 2, "resource_consumed", resource_id="R3", task_id=None, status="no_prefetch"))
+    assert a.total_stall_s == 50.0 and (q.no_prefetch_stall_s, q.exposed_stall_s, q.n_admitted, q.n_skipped) == (50.0, 50.0, 0, 1)
+    rows = [ev(1, 1, "prediction_result", resources=[spec("R4", 5.0)]), ev(1, 1, "prefetch_started", task_id="T4", resource_id="R4"), ev(2, 1, "tool_call", tool="wrong"), ev(2.1, 1, "resource_consumed", resource_id="R4", task_id="T4", status="used"), ev(7, 1, "prefetch_completed", task_id="T4", elapsed_s=0)]
+    _, q = summary(spark, tmp_path, *rows, consumers=[("name-R4", "right")])
+    assert (q.n_wasted, q.n_late) == (1, 0)
+    _, q = summary(spark, tmp_path, *rows, consumers=[("name-R4", "wrong")])
+    assert (q.n_wasted, q.n_late) == (0, 1)
+
+
+def test_line_numbers_of_split_files(spark, tmp_path):
+    """Places are exact however many splits a file is read in."""
+    (tmp_path / "long.txt").write_text("".join(f"line {k}\n" for k in range(40_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = traces.lines(spark, str(tmp_path / "long.txt"))
+        assert got.where("line <> concat('line ', line_no)").count() == 0 and got.count() == 40_000
+        assert got.select(F.spark_partition_id()).distinct().count() >= 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_transitions_reload(spark, tmp_path):
+    from tracewright.plans import more_queries, trace_queries
+
+    sf = "/root/testdata/sf0.001"
+    columns = ["source", "off", "target", "prob", "cnt", "rank"]
+    assert sorted(map(tuple, trace_queries.transitions_reloaded(spark, sf).select(*columns).collect())) == sorted(map(tuple, more_queries.likely(spark, sf).select(*columns).collect()))
+
+
+def test_places_and_prefixes_of_empty_tables(spark):
+    none = spark.createDataFrame([], "a string, b long")
+    assert predict.placed(none, [F.col("b")]).count() == 0
+    assert predict.starts_with(none, "a", none.select(F.col("a").alias("p")), "p").count() == 0
+    two = spark.createDataFrame([("abc", 1), (None, 2), ("ab", 3)], "a string, b long")
+    p = spark.createDataFrame([("ab",), ("abc",), ("x",), (None,)], "p string")
+    assert sorted((r.a, r.p) for r in predict.starts_with(two, "a", p, "p").collect()) == [("ab", "ab"), ("abc", "ab"), ("abc", "abc")]
+
+
+def test_votes_for_a_source(spark):
+    rows = [(0.95, 0.0, 20.0, "page_cache"), (0.1, 2e9, 5.0, "nfs"), (0.5, None, 1.0, "mixed"), (None, 0.0, 20.0, "unknown"), (None, None, 1.0, "unknown"), (None, 2e9, 1.0, "nfs"), (0.95, 2e9, 1.0, "page_cache")]
+    df = spark.createDataFrame(rows, "h double, n double, e double, want string")
+    assert df.where(metrics.source_verdict(F.col("h"), F.col("n"), F.col("e")) != F.col("want")).count() == 0
+
+
+def test_first_overlap(spark):
+    left = spark.createDataFrame([(1, 0, 10), (1, 30, 31), (2, 0, 1)], "k int, start int, end int")
+    right = spark.createDataFrame([(1, 8, 9, "b"), (1, 2, 3, "a"), (1, 20, 26, "c"), (1, 21, 40, "d")], "k int, start int, end int, v string")
+    got = {(r.k, r.start): r.v for r in intervals.first_overlap(left, right, ["k"], 5, "v").collect()}
+    assert got == {(1, 0): "a", (1, 30): "c", (2, 0): None}

@@ -317,13 +317,14 @@ def outcomes(spark, d):
 c AS (SELECT x.*, CASE WHEN x.consumed_t IS NOT NULL THEN CASE WHEN x.completed_t > x.consumed_t + 500000 THEN 'late' ELSE 'useful' END
   WHEN x.cancelled_t IS NOT NULL AND x.completed_t IS NOT NULL THEN 'wasted' WHEN x.cancelled_t IS NOT NULL THEN 'cancelled'
   WHEN x.completed_t IS NOT NULL THEN CASE WHEN u.resource IS NOT NULL THEN 'duplicate' ELSE 'wasted' END ELSE 'pending' END AS outcome FROM tasks x LEFT JOIN u USING (run_id, resource)),
-q AS (SELECT run_id, count(*) AS admitted, count(*) FILTER (outcome = 'cancelled') AS cancelled, count(*) FILTER (outcome IN ('late', 'useful', 'duplicate')) AS consumed, count(*) FILTER (outcome = 'useful') AS on_time FROM c GROUP BY run_id)
-SELECT run_id, admitted, cancelled, consumed, round(consumed / nullif(admitted - cancelled, 0), 6) AS precision, round(on_time / nullif(consumed, 0), 6) AS on_time_rate FROM q""")
+q AS (SELECT run_id, count(*) AS admitted, count(*) FILTER (outcome = 'cancelled') AS cancelled, count(*) FILTER (outcome IN ('late', 'useful', 'duplicate')) AS consumed, count(DISTINCT resource) FILTER (outcome = 'useful') AS on_time, count(DISTINCT resource) FILTER (consumed_t IS NOT NULL) AS served FROM c GROUP BY run_id)
+SELECT run_id, admitted, cancelled, consumed, round(consumed / nullif(admitted - cancelled, 0), 6) AS precision, round(on_time / nullif(served, 0), 6) AS on_time_rate FROM q""")
 def prediction_quality(spark, d):
-    """Q3 counts; precision over admitted less cancelled (pending ones count), rates null on 0."""
+    """Q3 counts; precision over admitted less cancelled (pending ones count); of the resources served the share that came on
+    time; rates null on 0. All of Q3 from traces: ``run_predictions``."""
     o = F.col("outcome")
-    q = outcomes(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("admitted"), F.count_if(o == "cancelled").alias("cancelled"), F.count_if(o.isin("late", "useful", "duplicate")).alias("consumed"), F.count_if(o == "useful").alias("on_time"))
-    return q.select("run_id", "admitted", "cancelled", "consumed", F.round(metrics.ratio(F.col("consumed"), F.col("admitted") - F.col("cancelled")), 6).alias("precision"), F.round(metrics.ratio(F.col("on_time"), F.col("consumed")), 6).alias("on_time_rate"))
+    q = outcomes(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("admitted"), F.count_if(o == "cancelled").alias("cancelled"), F.count_if(o.isin("late", "useful", "duplicate")).alias("consumed"), F.countDistinct(F.when(o == "useful", F.col("resource"))).alias("on_time"), F.countDistinct(F.when(F.col("consumed_t").isNotNull(), F.col("resource"))).alias("served"))
+    return q.select("run_id", "admitted", "cancelled", "consumed", F.round(metrics.ratio(F.col("consumed"), F.col("admitted") - F.col("cancelled")), 6).alias("precision"), F.round(metrics.ratio(F.col("on_time"), F.col("served")), 6).alias("on_time_rate"))
 
 
 @query(_TASKS + """, f AS (SELECT run_id, min(t) AS d FROM r WHERE kind = 'error' AND k > 90 GROUP BY run_id)

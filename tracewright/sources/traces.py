@@ -11,11 +11,20 @@ RESOURCE = "resource_id string, resource_type string, name string, path string,
 META = "workload string, config string, trial_index int, run_id string, command string, runtime_mode string, predictor string, extra_flags array<string>, git_commit string, node string, gpus array<string>, slurm_job_id string, conda_python string, start_time string, status string, exit_code int, end_time string, wall_time_s double"
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows of a file scan with file and line_no: each row's place in its file from 0, however the file is split.
+
+    Rows of a split are numbered in order as they are read; what stands before a split is counted, a row a split."""
+    marked = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = marked.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.withColumn("_before", before - F.col("_first")).drop("_first", "_n")
+    return marked.join(splits, ["file", "_block"]).withColumn("line_no", F.col("_before") + F.col("_id")).drop("_block", "_id", "_before")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no (from 0, blank lines count), line: exact places, whatever the file's splits. A file is one row
-    at first, so it must fit a task; traces are small and many."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("l"))
-    return text.select("file", F.posexplode("l").alias("line_no", "line"))
+    """file, line_no (from 0, blank lines count), line; large files are read in splits."""
+    return numbered(spark.read.text(path)).select("file", "line_no", F.col("value").alias("line"))
 
 
 def load_events(spark: SparkSession, path: str) -> DataFrame:
@@ -37,8 +46,6 @@ def tail_events(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The last n lines of each file, blank ones counted, then without them."""
     last = Window.partitionBy("file").orderBy(F.desc("line_no"))
     text = lines(spark, path)
-    # a closing newline opens no further line
-    text = text.withColumn("_n", F.max("line_no").over(Window.partitionBy("file"))).where("not (line_no = _n and line = '')").drop("_n")
     return text.withColumn("_r", F.row_number().over(last)).where((F.col("_r") <= n) & (F.trim("line") != "")).drop("_r")
 
 
@@ -49,11 +56,12 @@ def predictions(events: DataFrame) -> DataFrame:
     return rows.select("file", "line_no", "run_id", "step", "t", F.col("p.predictor_id").alias("predictor_id"), F.posexplode("p.resources").alias("place", "r")).select("*", "r.*").drop("r")
 
 
-def discover_runs(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each readable meta.json under runs/<workload>/<config>/<trial>, its fields and trial_dir."""
-    text = spark.read.text(f"{root}/runs/*/*/*/meta.json", wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
+def discover_runs(spark: SparkSession, root: str, name: str = "meta.json") -> DataFrame:
+    """A row for each readable meta.json (or files of another ``name``) under runs/<workload>/<config>/<trial>, its fields and
+    trial_dir."""
+    text = spark.read.text(f"{root}/runs/*/*/*/{name}", wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
     ok = text.where(F.try_parse_json("value").isNotNull()).withColumn("m", F.from_json("value", META))
-    return ok.select(F.regexp_extract("file", r"^(.*)/meta\.json$", 1).alias("trial_dir"), "m.*")
+    return ok.select(F.regexp_extract("file", r"^(.*)/[^/]*$", 1).alias("trial_dir"), "m.*")
 
 
 def load_summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -65,7 +73,7 @@ def load_summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with file and row place."""
     rows = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return rows.withColumn("file", F.col("_metadata.file_path")).withColumn("ord", F.monotonically_increasing_id())
+    return numbered(rows).withColumnRenamed("line_no", "ord")
 
 
 def load_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
