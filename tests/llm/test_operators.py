@@ -224,6 +224,21 @@ def test_language_model(spark, docs):
     assert np.allclose([s[2] for s in scores], [w[2] for w in sorted((w[2], w[3], w[5]) for w in want)])
 
 
+def test_language_model_does_not_depend_on_partitions(spark):
+    """The same rows in other partitions and another order get the same scores, and held-out texts are likelier than by
+    their words alone."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = []
+    for parts in (2, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts + 1))
+        dealt = rows.repartition(parts).orderBy(F.desc("doc_id")) if parts == 7 else rows.repartition(parts)
+        got.append(sorted((r.doc_id, r.held_out, r.score, r.base_score) for r in lm.scores(dealt).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert np.allclose([r[2] for r in got[0]], [r[2] for r in got[1]], rtol=1e-5)
+    held = [r for r in got[0] if r[1]]
+    assert sum(r[2] for r in held) > sum(r[3] for r in held)
+
+
 def test_language_model_learns_order(spark):
     """Held-out texts of a strict order are far likelier than their unigrams say."""
     ring = [f"w{k}" for k in range(30)]

@@ -8,8 +8,10 @@ Model: the ``TOP`` most frequent training tokens are words of the model, sorted
 probability is that of its class times that within the class (class-factored softmax). A gated recurrent unit
 of ``HIDDEN`` cells reads the tokens; it is trained in numpy by backpropagation truncated to ``STEPS``
 tokens, its state carried from window to window. Training documents are all read exactly once: a
-hash-chosen eighth in round one, the rest in round two. In a round each Spark task trains a copy on
-its rows, and copies are averaged by token count in a tree of bounded fan-in.
+hash-chosen eighth in round one, the rest in round two. In a round the texts are dealt by a hash of doc_id into shards of
+about ``SHARD`` bytes; a copy is trained on each, in an order by another hash, and copies are averaged by
+token count in a tree of bounded fan-in, in the order of the shards. So neither the partitions and the order of rows nor a task run
+again change the model; only rounding in the sums of a text's score depends on what is scored beside it.
 
 Scoring carries the state through the whole document, however long; a document starts from a zero state and
 its score includes its end token.
@@ -35,7 +37,7 @@ from .common import LOWER, U64, _stream, cut, drop, names, pieces, shares, text_
 TOP, CLASS, HIDDEN, STEPS = 4096, 64, 16, 16
 #: Streams trained side by side, and steps scored at once.
 STREAMS, SCORED, RATE, FAN_IN = 512, 64, 0.004, 16
-GROUP = 10 << 20
+GROUP, SHARD = 10 << 20, 24 << 20
 END = _stream(61, 1)[0]
 ALPHA = 0.1
 
@@ -318,41 +320,43 @@ def _average(rows) -> tuple[bytes, int]:
     return _pack({k: (v / total).astype(np.float32) for k, v in out.items()}), total
 
 
-def train_round(docs: DataFrame, words: np.ndarray, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The token-weighted mean of the copies that Spark's tasks train on their rows."""
+def train_round(docs: DataFrame, shards: int, words: np.ndarray, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The token-weighted mean of the copies trained on the shards of the rows (doc_id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast((words, start))  # TOP bounds its size
 
-    def run(batches):
+    def run(t: pa.Table) -> pa.Table:
         words, p = sent.value
         trainer, n = Trainer(Model(words, {k: v.copy() for k, v in p.items()})), 0
-        for b in batches:
-            for part in pieces(b.column(0)):
-                hashes, counts = tokens(part)
-                trainer.learn(trainer.m.ids(hashes), counts)
-                n += len(hashes)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(trainer.m.p)], pa.binary()), pa.array([n], pa.int64())], ["blob", "n"])
+        t = t.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        for part in pieces(t["text"].combine_chunks()):
+            hashes, counts = tokens(part)
+            trainer.learn(trainer.m.ids(hashes), counts)
+            n += len(hashes)
+        return pa.table([t["pid"][:1].combine_chunks(), pa.array([_pack(trainer.m.p)], pa.binary()), pa.array([n], pa.int64())], names=["pid", "blob", "n"])
 
     def mean(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pid")
         blob, n = _average(zip(t["blob"].to_pylist(), t["n"].to_pylist(), strict=True))
-        return pa.table([pa.array([blob], pa.binary()), pa.array([n], pa.int64())], names=["blob", "n"])
-
-    copies = cut(docs.select("text").mapInArrow(run, "blob binary, n long"), "lm-copies")
-    many = copies.count()
-    while many > FAN_IN:
-        many = -(-many // FAN_IN)
-        old, copies = copies, cut(copies.withColumn("g", F.pmod(F.xxhash64("blob"), F.lit(many))).groupBy("g").applyInArrow(mean, "blob binary, n long"), "lm-copies")
+        return pa.table([pa.array([t["pid"][0].as_py() // FAN_IN], pa.int32()), pa.array([blob], pa.binary()), pa.array([n], pa.int64())], names=["pid", "blob", "n"])
+
+    schema = "pid int, blob binary, n long"
+    place = F.xxhash64("doc_id", F.lit(17)).alias("place")
+    copies = cut(asking.per_group(asking.grouped(docs, place, "doc_id", "text", groups=shards), run, schema), "lm-copies")
+    while shards > FAN_IN:
+        shards = -(-shards // FAN_IN)
+        old, copies = copies, cut(copies.groupBy(F.floor(F.col("pid") / FAN_IN).alias("g")).applyInArrow(mean, schema), "lm-copies")
         drop(old)
-    got = [(r.blob, r.n) for r in copies.collect()]
+    got = [(r.blob, r.n) for r in copies.orderBy("pid").collect()]
+    drop(copies)
     return _unpack(_average(got)[0]) if got else start
 
 
 def train(docs: DataFrame, words: np.ndarray, counts: np.ndarray, total: int) -> dict[str, np.ndarray]:
     """docs: the training documents (doc_id, text), each read once."""
-    p = Model.start(words, counts, total)
+    p, shards = Model.start(words, counts, total), shares(text_bytes(docs), SHARD)
     eighth = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(8)) == 0
     for part in (docs.where(eighth), docs.where(~eighth)):
-        p = train_round(part, words, p)
+        p = train_round(part, shards, words, p)
     return p
 
 
