@@ -384,7 +384,7 @@ def test_links_of_large_open_buckets(spark, monkeypatch, large, block):
         sets[k + 1] = set(list(sets[k])[:115]) | {k}
     made = [np.sort(common.mix(np.array(sorted(s), np.uint64))) for s in sets]
     node = lambda k: bytes([0, k])
-    frame = spark.createDataFrame([(node(k), len(s), s.tobytes()) for k, s in enumerate(made)], "node binary, size long, payload binary")
+    frame = spark.createDataFrame([(node(k), len(s), linking.sketch(s), s.tobytes()) for k, s in enumerate(made)], "node binary, size long, sketch binary, payload binary")
     buckets = spark.createDataFrame([(1, node(k)) for k in range(120)], "key long, node binary")
     roots = {bytes(r.node): bytes(r.root) for r in linking.link(buckets, frame, neardup._to_sets, 75).collect()}
     for k in range(0, 60, 2):
@@ -403,13 +403,27 @@ def test_links_at_the_threshold_in_a_large_bucket(spark):
         sets += [both | take(own), both | take(own)]
     made = [np.sort(common.mix(np.array(sorted(s), np.uint64))) for s in sets]
     node = lambda k: k.to_bytes(2, "big")
-    frame = spark.createDataFrame([(node(k), len(s), s.tobytes()) for k, s in enumerate(made)], "node binary, size long, payload binary")
+    frame = spark.createDataFrame([(node(k), len(s), linking.sketch(s), s.tobytes()) for k, s in enumerate(made)], "node binary, size long, sketch binary, payload binary")
     buckets = spark.createDataFrame([(1, node(k)) for k in range(800)], "key long, node binary")
     roots = {bytes(r.node): bytes(r.root) for r in linking.link(buckets, frame, neardup._to_sets, 75).collect()}
     assert [k for k in range(0, 800, 2) if node(k) not in roots or roots[node(k)] != roots.get(node(k + 1))] == []
     assert len(set(roots.values())) == 400
 
 
+def test_sketches_lose_no_pair():
+    rng = np.random.default_rng(7)
+    for n in (3, 8, 40, 400, 4000):
+        both, own = round(n * 6 / 7), n - round(n * 6 / 7)
+        while 100 * both < 75 * (both + 2 * own):
+            both, own = both + 1, own - 1
+        draw = lambda k: rng.integers(1, 2**63, (1000, k)).astype(np.uint64) * np.uint64(2)
+        c, x, y = draw(both), draw(own), draw(own)
+        a, b = (np.array([np.frombuffer(linking.sketch(np.sort(np.concatenate(r))), np.uint8) for r in zip(c, z)]) for z in (x, y))
+        assert linking.may_be_near(a, b, 75).all()
+        if n >= 400:
+            assert linking.may_be_near(a, np.roll(b, 1, 0), 75).mean() == 0
+
+
 def test_minhash_estimates():
     rng = np.random.default_rng(0)
     a = common.mix(rng.integers(0, 10**9, 2000).astype(np.uint64))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import asking
 from .common import GROUP_BYTES, U64, _stream, cut, shares, text_bytes
-from .linking import link
+from .linking import link, sketch
 
 SHINGLE, PERCENT = 9, 75
 BANDS, ROWS = 14, 3
@@ -216,7 +216,8 @@ def lines_of(docs: DataFrame, groups: int, buckets: int) -> DataFrame:
 
 def _with_sizes(batches):
     for t in batches:
-        yield pa.RecordBatch.from_arrays([t.column(0), pa.array(list(map(len, shingle_sets(t.column(1).to_pylist()))), pa.int64()), t.column(1)], ["node", "size", "payload"])
+        own = shingle_sets(t.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([t.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array(list(map(sketch, own)), pa.binary()), t.column(1)], ["node", "size", "sketch", "payload"])
 
 
 def lost_lines(docs: DataFrame, groups: int, buckets: int, percent: int = PERCENT) -> DataFrame:
@@ -224,7 +225,7 @@ def lost_lines(docs: DataFrame, groups: int, buckets: int, percent: int = PERCEN
     lines = cut(lines_of(docs, groups, buckets), "lines")
     candidates = lines.where("keys is not null")
     sets = candidates.groupBy("node").agg(F.first("line").alias("payload"))
-    sets = cut(sets.mapInArrow(_with_sizes, "node binary, size long, payload binary"), "line-sets")
+    sets = cut(sets.mapInArrow(_with_sizes, "node binary, size long, sketch binary, payload binary"), "line-sets")
     buckets = candidates.select(F.explode("keys").alias("key"), "node").distinct()
     roots = link(buckets, sets, shingle_sets, percent)
     owned = lines.select("pid", "node", F.struct("nameless", "doc", "place").alias("at"))

@@ -1,12 +1,12 @@
 """From candidate buckets to verified components without comparing all pairs of a bucket.
 
-A bucket is a set of nodes that share a band. In a first round every bucket's pivot (the node with most
-bucket fellows) is compared with the others on full sets; verified links join components, and nodes of one
-component need no further comparison. Buckets that hold one component are done.
+A bucket is a set of nodes that share a band. Small buckets (up to ``LARGE`` nodes) are packed into groups, where pairs whose
+sketches leave room for the similarity become candidates. A large bucket's pivot (the node with most bucket fellows) is
+a candidate with each of the others. All candidates are verified on full sets, and links join components.
 
-Nodes of buckets that are still open share something (a passage, say) and yet most of them are not similar. Their
-items are ordered by how many of these nodes hold them, rare ones first. Two sets at a similarity of 75 % or more
-have a common item among the rarest quarter of either (its prefix), so nodes are dealt anew by the
+Nodes of large buckets that then still hold several components share something (a passage, say) and yet most of them
+are not similar. Their items are ordered by how many of these nodes hold them, rare ones first. Two sets at a similarity of 75 %
+or more have a common item among the rarest quarter of either (its prefix), so nodes are dealt anew by the
 items of their prefixes that another node holds too. This is exact: no pair of open nodes is lost. Texts that share a template
 differ in their rare items and mostly have no fellow left. Pairs of small buckets are verified one by one, large ones have
 another round of pivots, and what is open then is compared block against block. Sets whose sizes or places in
@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, release
+from .common import U64, cut, drop, release
 from .components import add_edges, label
 
-#: Nodes of a bucket whose pairs become rows; rows of a block beyond that.
-LARGE, BLOCK = 32, 256
+#: Nodes of a small bucket at most; rows of a block beyond that; rows of small buckets that a group holds.
+LARGE, BLOCK, PACK = 32, 256, 20_000
+#: Bins of a sketch, and by how many standard deviations its count of equal bins may fall short: 1e-8 of pairs at 0.75 do.
+BINS, SHORT = 128, 5.5
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -37,6 +39,24 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def sketch(items: np.ndarray) -> bytes:
+    """A byte for each of BINS bins: of the least of the sorted 64-bit hashes that fall into it, 0 if none does. Two sets have the
+    same byte in a bin with the probability of their similarity."""
+    out = np.zeros(BINS, np.uint8)
+    bins = (items >> U64(57)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    out[bins[first]] = (items[first] >> U64(44)).astype(np.uint8) | np.uint8(1)
+    return out.tobytes()
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """For rows of sketches: whether they leave room for the similarity."""
+    used = ((a > 0) | (b > 0)).sum(1)
+    equal = ((a == b) & (a > 0)).sum(1)
+    p = percent / 100
+    return equal >= used * p - SHORT * np.sqrt(used * p * (1 - p))
+
+
 def _chunks(sizes: list[int], most: int = 4 << 20):
     """Ranges of rows whose payloads have about ``most`` bytes together."""
     at, held = 0, 0
@@ -94,25 +114,48 @@ class Linker:
         drop(found)
 
     def opened(self, buckets: DataFrame) -> DataFrame:
-        """Buckets (key, node, size, degree) with two components or more, with each node's root and the bucket's n."""
+        """Buckets (key, node, size, ...) with two components or more, with each node's root and the bucket's n."""
         rows = label(buckets, self.roots, "node", "root")
         two = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "n")
         return cut(rows.join(two, "key"), "buckets")
 
-    def start(self, buckets: DataFrame) -> DataFrame:
-        """Adds each node's degree: how many fellows its buckets hold."""
-        held = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = buckets.join(held, "key")
-        return rows.join(rows.groupBy("node").agg(F.sum("n").alias("degree")), "node").select("key", "node", "size", "degree")
-
-    def round(self, active: DataFrame) -> DataFrame:
-        """Each bucket's pivot against its other nodes; what is open afterwards, without the pivots."""
-        best = active.groupBy("key").agg(F.max_by(F.struct("node", "size", "root"), F.struct("degree", "node")).alias("p"))
-        met = active.join(best, "key").where("node <> p.node")
-        self.compare(met.where("root <> p.root").where(self.fits("size", "p.size")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")))
-        out = self.opened(met.select("key", "node", "size", "degree"))
-        drop(active)
-        return out
+    def pivots(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of each bucket's pivot with its other nodes, and the buckets (key, node, size) without their pivots.
+
+        large: key, node, size, n and, where there are components already, root."""
+        degree = large.groupBy("node").agg(F.sum("n").alias("degree"))
+        root = "root" if "root" in large.columns else F.col("node").alias("root")
+        rows = large.join(degree, "node").select("key", "node", "size", root, "degree")
+        best = rows.groupBy("key").agg(F.max_by(F.struct("node", "size", "root"), F.struct("degree", "node")).alias("p"))
+        met = rows.join(best, "key").where("node <> p.node")
+        pairs = met.where("root <> p.root").where(self.fits("size", "p.size")).select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+        return pairs, met.select("key", "node", "size")
+
+    def near(self, small: DataFrame, rows: int) -> DataFrame:
+        """The pairs of small buckets whose sketches leave room for the similarity. rows: how many ``small`` (key, node, size) has."""
+        kind, percent = small.schema["node"].dataType.simpleString(), self.percent
+        pack = F.pmod(F.xxhash64("key"), F.lit(max(1, -(-rows // PACK)))).alias("pack")
+        packed = small.join(self.sets.select("node", "sketch"), "node").select(pack, "key", "node", "size", "sketch")
+
+        def run(t: pa.Table) -> pa.Table:
+            t = t.sort_by([("key", "ascending"), ("node", "ascending")])
+            key, size, node = np.array(t["key"]), np.array(t["size"]), t["node"].combine_chunks()
+            marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lag in range(1, len(key)):
+                at = np.flatnonzero(key[lag:] == key[:-lag])
+                if not len(at):
+                    break
+                x, y = size[at], size[at + lag]
+                at = at[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
+                at = at[may_be_near(marks[at], marks[at + lag], percent)]
+                left.append(at)
+                right.append(at + lag)
+            a, b = np.concatenate(left), np.concatenate(right)
+            release()
+            return pa.table([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+
+        return packed.groupBy("pack").applyInArrow(run, f"a {kind}, b {kind}")
 
     def prefixes(self, active: DataFrame) -> DataFrame:
         """Buckets by the rare items that open nodes share: key, node, size, place (items before it in the node's order)."""
@@ -183,20 +226,33 @@ class Linker:
 def link(buckets: DataFrame, sets: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], percent: int) -> DataFrame:
     """node, root for the nodes that have a verified link.
 
-    buckets: key, node (distinct rows); sets: node, size (of the set), payload (one row a node). Nodes without a set, or with an
-    empty one, are linked with nothing; without buckets the result is empty."""
+    buckets: key, node (distinct rows); sets: node, size (of the set), sketch (see ``sketch``), payload (one row a node). Nodes without
+    a set, or with an empty one, are linked with nothing; without buckets the result is empty."""
     work = Linker(sets, to_sets, percent)
-    active = work.round(work.opened(work.start(buckets.join(sets.select("node", "size"), "node").select("key", "node", "size"))))
+    held = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    every = cut(buckets.join(held, "key").join(sets.select("node", "size"), "node").select("key", "node", "size", "n"), "buckets")
+    rows = every.agg(F.count_if(F.col("n") <= LARGE), F.count_if(F.col("n") > LARGE)).first()
+    pairs = work.near(every.where(f"n <= {LARGE}").drop("n"), rows[0])
+    if not rows[1]:
+        work.compare(pairs)
+        drop(every)
+        return work.roots
+    star, rest = work.pivots(every.where(f"n > {LARGE}"))
+    work.compare(pairs.union(star))
+    active = work.opened(rest)
     if not active.isEmpty():
         anew = work.opened(work.prefixes(active))
         drop(work.items)
         work.small(anew)
         large = anew.where(f"n > {LARGE}")
         if not large.isEmpty():
-            large = work.round(work.opened(work.start(large.select("key", "node", "size"))))
-            if not large.isEmpty():
-                work.finish(large)
-            drop(large)
+            star, rest = work.pivots(large)
+            work.compare(star)
+            still = work.opened(rest)
+            if not still.isEmpty():
+                work.finish(still)
+            drop(still)
         drop(anew)
     drop(active)
+    drop(every)
     return work.roots

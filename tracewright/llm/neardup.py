@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, _stream, cut, mix, names, pieces, release, text_buffer, window_hash, word_spans
-from .linking import link
+from .linking import link, sketch
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 64, 32
@@ -88,17 +88,17 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, size, payload (sorted shingle hashes) of the given nodes (node, doc_id and text_key of one holder)."""
+    """node, size, sketch, payload (sorted shingle hashes) of the given nodes (node, doc_id and text_key of one holder)."""
 
     def run(batches):
         for b in batches:
             own = list(shingle_sets(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "size", "payload"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array(list(map(sketch, own)), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "size", "sketch", "payload"])
         release()
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     held = texts.join(nodes.hint("shuffle_hash"), texts.doc_id.eqNullSafe(nodes.doc_id) & (texts.text_key == nodes.text_key)).select("node", "text")
-    return held.mapInArrow(run, "node binary, size long, payload binary").dropDuplicates(["node"])
+    return held.mapInArrow(run, "node binary, size long, sketch binary, payload binary").dropDuplicates(["node"])
 
 
 def _to_sets(payloads: list[bytes]) -> list[np.ndarray]:
