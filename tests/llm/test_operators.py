@@ -118,20 +118,32 @@ def test_suffix(spark, docs):
 
 
 def test_suffix_of_frequent_hashes(docs, monkeypatch):
-    frequent = asking.answer_shared
-    monkeypatch.setattr(suffix.asking, "answer_shared", lambda batches: frequent(batches, 2))
+    monkeypatch.setattr(suffix.asking, "answer_shared", lambda batches, least, f=asking.answer_shared: f(batches, 2))
     check(suffix.digests(docs), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.bytes_removed(DOCS))
 
 
-def test_longest_previous_factor():
+def test_longest_previous_factors():
+    """Lengths up to the rows' ends at every start, against all pairs of rows."""
     rng = np.random.default_rng(2)
-    strings, doc = rng.integers(0, 2, (300, 60)).astype(np.uint8), rng.integers(0, 40, 300)
-    strings[100:200, :55] = strings[:100, :55]
-    got = suffix.longest_previous_factor(strings, doc)
-    for i in range(300):
-        same = [int((strings[i] != strings[j]).argmax()) if (strings[i] != strings[j]).any() else 60 for j in range(300) if doc[j] < doc[i]]
-        want = max(same, default=0)
-        assert got[i] == want if want >= suffix.WINDOW else got[i] < suffix.WINDOW
+    n, columns, width = 200, 5, 70
+    rows, doc = rng.integers(0, 2, (n, width)).astype(np.uint8), rng.integers(0, 40, n)
+    rows[100:180, 2:67] = rows[20:100, 2:67]
+    rows[180:200] = rows[:20]
+    ends, ok = rng.integers(55, width + 1, n), rng.random((n, columns)) < 0.8
+    for i in range(n):
+        rows[i, ends[i] :] = 0
+    ok &= np.arange(columns) + suffix.WINDOW <= ends[:, None]
+    got = suffix.longest_previous_factors(rows, ends, ok, doc)
+    for i in range(n):
+        for c in range(columns):
+            best = 0
+            for j in range(n):
+                if doc[j] < doc[i] and ok[i, c] and ok[j, c]:
+                    reach = min(ends[i], ends[j]) - c
+                    differ = rows[i, c : c + reach] != rows[j, c : c + reach]
+                    best = max(best, int(differ.argmax()) if differ.any() else int(reach))
+            assert got[i, c] == (best if best >= suffix.WINDOW else 0)
+    assert got.max() > suffix.WINDOW
 
 
 def test_symbols_agree_in_equal_texts():

@@ -98,28 +98,31 @@ def rows_of(batches, schema: pa.Schema) -> pa.Table:
 MANY, FREQUENT = 64, 32
 
 
-def ask_shared(pid: int, keys: np.ndarray, doc: np.ndarray, buckets: int) -> pa.Table:
+def ask_shared(pid: int, keys: np.ndarray, doc: np.ndarray, buckets: int, sorts: np.ndarray | None = None) -> pa.Table:
     """Question rows of a group: its distinct keys, each with two bits: two documents or more of the group hold it;
-    more than MANY of its places do.
+    more than MANY of its places (or, if given, of their sorts) do.
 
     doc: an integer for each key that is equal for equal documents."""
-    distinct, several, many = own_keys(keys, doc)
+    distinct, several, many = own_keys(keys, doc, sorts)
     slices = bucket_slices(distinct, buckets)
     blobs = [pack_keys(distinct[a:b]) + np.packbits(several[a:b]).tobytes() + np.packbits(many[a:b]).tobytes() for _, a, b in slices]
     return pa.table([pa.array([s[0] for s in slices], pa.int32()), pa.array([pid] * len(slices), pa.int32()), pa.array(blobs, pa.binary())], schema=ASK_ARROW)
 
 
-def own_keys(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def own_keys(keys: np.ndarray, doc: np.ndarray, sorts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct 48-bit keys (as 64-bit values), whether two documents of the group and whether many places hold them."""
     keys = keys & ~U64(0xFFFF)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable") if sorts is None else np.lexsort((sorts, keys))
     keys, doc = keys[order], doc[order]
     first = np.ones(len(keys), bool)
     first[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(first)
     if not len(at):
         return keys, np.zeros(0, bool), np.zeros(0, bool)
-    return keys[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at), np.diff(np.append(at, len(keys))) > MANY
+    new = np.ones(len(keys), np.int64)
+    if sorts is not None:
+        new[1:] = first[1:] | (sorts[order][1:] != sorts[order][:-1])
+    return keys[at], np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at), np.add.reduceat(new, at) > MANY
 
 
 def _n_keys(blob: bytes) -> int:

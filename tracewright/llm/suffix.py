@@ -1,14 +1,17 @@
 """Operator 5: repeated byte strings by longest-previous-factor arrays.
 
-Where repeats can be at all is found first: of every ``WINDOW`` bytes the least of its 20-byte hashes stands
-for them, and only places whose hash two documents hold go on (see ``asking``). Around such a place up to 80
-bytes travel, once a group for equal bytes, to the bucket of its hash. A bucket sorts the
-suffixes that start in them, takes the longest common prefix of neighbours, and finds for each suffix the
-previous and the next one in suffix order that come from a smaller document. The longer of the two
-matches is the suffix's longest previous factor; where it reaches ``WINDOW`` the bytes are a later copy.
-
-A hash that very many groups hold may have unlimited different bytes around it. Its windows go one by one, each to
-the bucket of its own 50 bytes, where equal windows arrive once a group at most; so no bucket grows with one phrase.
+A suffix array of a whole corpus fits no task, so suffixes are dealt to buckets in which all that can match meet. Of
+every ``WINDOW`` bytes the least of its 20-byte hashes stands for them, and only places whose hash two documents hold
+go on (see ``asking``). The bytes around such a place, up to 30 before and 50 after its start, travel to the bucket of its
+hash, once a group and sort: for the least document that holds them and for the greatest. A bucket sorts the suffixes that start
+at each of the 31 places up to the hash, to the end of their bytes; the order at a place is the order at the next one, sorted by one more
+byte. The longest common prefixes of neighbours and the previous and the next suffix of a smaller document
+give each suffix its longest previous factor. Factors of ``WINDOW`` bytes and more travel back as lengths, and what
+they cover goes. Bytes are compared throughout; hashes only bring them together.
+
+A hash that very many groups hold, or with very many different surroundings in one, may have unlimited different bytes around it. Its
+windows go one by one, each to the bucket of its own 50 bytes, where equal windows arrive once a group and sort; so no
+bucket grows with one phrase.
 
 Null texts are empty. Rows with equal doc_ids do not remove each other's bytes; rows with a null doc_id
 neither remove nor lose bytes. Texts under 50 bytes have no window. Matches never cross documents.
@@ -39,6 +42,8 @@ SIDE = LEFT + RIGHT
 GROUP, SLICE = 3 << 19, 1 << 19
 #: Bytes of text whose questions make a bucket: the bytes around places take more room than keys.
 BUCKET = 4 << 20
+#: Groups that hold a hash from which on it counts as frequent, rows whose suffixes are sorted at once.
+FREQUENT, BLOCK = 1024, 30_000
 
 
 def _whole(size: int, width: int, offsets: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -75,7 +80,7 @@ class Group:
         self.null = np.array(pc.is_null(ids), bool)
         self.data, self.offsets = text_buffer(texts["text"])
         self.places, self.keys = self._anchors()
-        self.row = np.searchsorted(self.offsets, self.places, "right") - 1
+        self.row = np.searchsorted(self.offsets, self.places, "right") - 1  # rows of a group are taken in any order
         self.doc = self.ids[self.row] if len(self.places) else np.zeros(0, np.int64)
 
     def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +95,19 @@ class Group:
             at = to
         return np.concatenate(places), np.concatenate(keys)
 
+    def sorts(self) -> np.ndarray:
+        """A hash of the bytes around each place: how many different ones a key has is what counts."""
+        left, right = (np.minimum(x, y) for x, y in ((LEFT, self.places - self.offsets[self.row]), (RIGHT, self.offsets[self.row + 1] - self.places)))
+        out, at = np.zeros(len(self.places), U64), 0
+        while at < len(self.places):  # some texts at a time, as above
+            to = max(at + 1, int(np.searchsorted(self.places, self.places[at] + SLICE)))
+            start = self.offsets[self.row[at]]
+            prefix = prefix_hash(self.data[start : self.places[to - 1] + RIGHT + 1])
+            p = self.places[at:to] - start
+            out[at:to] = span_hash(prefix, p - left[at:to], p + right[at:to])
+            at = to
+        return out
+
     def around(self, which: np.ndarray):
         """Bytes around the given places (rows of SIDE, zero outside the document) and how far they reach."""
         p, row = self.places[which], self.row[which]
@@ -128,49 +146,82 @@ def previous_smaller(value: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.where(found, common, 0)
 
 
-def longest_previous_factor(strings: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Length (up to the row width) of the longest prefix of each row that a smaller document's row has too."""
-    if not len(strings):
-        return np.zeros(0, np.int64)
-    width = strings.shape[1]
-    padded = np.zeros((len(strings), -(-width // 8) * 8), np.uint8)
-    padded[:, :width] = strings
-    columns = padded.view(">u8").astype(U64)
-    order = np.lexsort(columns.T[::-1])  # suffix order
-    rows, d = strings[order], doc[order]
-    lcp = np.zeros(len(order), np.int64)
-    differ = rows[1:] != rows[:-1]
-    lcp[1:] = np.where(differ.any(1), differ.argmax(1), width)
-    before = previous_smaller(d, lcp)
-    back = np.zeros(len(order), np.int64)
-    back[1:] = lcp[:0:-1]
-    after = previous_smaller(d[::-1], back)[::-1]
-    out = np.empty(len(order), np.int64)
-    out[order] = np.maximum(before, after)
+def longest_previous_factors(rows: np.ndarray, ends: np.ndarray, ok: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each row and each of its first columns the length of its longest prefix from there that a row of a smaller
+    document has at the same column, 0 where it is under WINDOW.
+
+    ends: where each row's bytes end; ok (rows, columns): where a suffix of a row may start."""
+    out = np.zeros(ok.shape, np.uint8)
+    n, columns = ok.shape
+    if n < 2:
+        return out
+    tail = rows[:, columns - 1 :]
+    padded = np.zeros((n, -(-tail.shape[1] // 8) * 8), np.uint8)
+    padded[:, : tail.shape[1]] = tail
+    order = np.lexsort(padded.view(">u8").astype(U64).T[::-1])  # suffix order at the last column
+    for c in range(columns - 1, -1, -1):
+        if c < columns - 1:  # of the order at the next column, sorted by one more byte
+            order = order[np.argsort(rows[order, c], kind="stable")]
+        here = order[ok[order, c]]
+        if len(here) < 2:
+            continue
+        sorted_ = rows[here, c:]
+        differ = sorted_[1:] != sorted_[:-1]
+        at = differ.argmax(1)
+        same = np.where(differ[np.arange(len(at)), at], at, sorted_.shape[1])
+        lcp = np.zeros(len(here), np.int64)
+        lcp[1:] = np.minimum(same, np.minimum(ends[here[1:]], ends[here[:-1]]) - c)
+        d = doc[here]
+        back = np.zeros(len(here), np.int64)
+        back[1:] = lcp[:0:-1]
+        found = np.maximum(previous_smaller(d, lcp), previous_smaller(d[::-1], back)[::-1])
+        out[here, c] = np.where(found >= WINDOW, found, 0)
     return out
 
 
-def distinct_rows(keys: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray):
-    """Distinct (key, bytes, reach), sorted by key: first place of each, its least document, and each row's number."""
-    n = len(keys)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    wide = np.concatenate([rows, left[:, None], right[:, None], np.zeros((n, (-SIDE - 2) % 8), np.uint8)], 1).view(U64)
-    twice = [np.zeros(n, U64), np.zeros(n, U64)]
-    for k in range(wide.shape[1]):
-        twice[0] = (twice[0] ^ wide[:, k]) * U64(0x9E3779B97F4A7C15)
-        twice[0] ^= twice[0] >> U64(29)
-        twice[1] = (twice[1] + wide[:, k]) * U64(0xD6E8FEB86659FD93)
-        twice[1] ^= twice[1] >> U64(31)
-    order = np.lexsort((twice[1], twice[0], keys))
-    a, b, c = keys[order], twice[0][order], twice[1][order]
-    first = np.ones(n, bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-    at = np.flatnonzero(first)
-    number = np.empty(n, np.int64)
-    number[order] = np.cumsum(first) - 1
-    return order[at], np.minimum.reduceat(doc[order], at), number
+class Distinct:
+    """Each of the rows (key, bytes, reach) once, sorted by key, for its least document and, as ``later``, for its greatest."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray):
+        n = len(keys)
+        wide = np.concatenate([rows, left[:, None], right[:, None], np.zeros((n, (-SIDE - 2) % 8), np.uint8)], 1).view(U64) if n else np.zeros((0, 1), U64)
+        mixed = np.zeros(n, U64)
+        for k in range(wide.shape[1]):
+            mixed = (mixed ^ wide[:, k]) * U64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> U64(29)
+        order = np.lexsort((mixed, keys))
+        new = np.ones(n, bool)  # by the bytes themselves; rows that share a hash may come more than once
+        new[1:] = (keys[order][1:] != keys[order][:-1]) | (wide[order[1:]] != wide[order[:-1]]).any(1)
+        at = np.flatnonzero(new)
+        number = np.empty(n, np.int64)
+        number[order] = np.cumsum(new) - 1
+        least, most = (f.reduceat(doc[order], at) if n else doc for f in (np.minimum, np.maximum))
+        again = np.flatnonzero(most > least)
+        which = np.concatenate([np.arange(len(at)), again])
+        by_key = np.argsort(keys[order][at][which], kind="stable") if n else which
+        place = np.empty(len(which), np.int64)
+        place[by_key] = np.arange(len(which))
+        later = np.full(len(at), -1, np.int64)
+        later[again] = place[len(at) :]
+        self.first = order[at][which[by_key]] if n else which
+        self.doc = np.concatenate([least, most[again]])[by_key]
+        #: The place of each row's document among the distinct ones.
+        self.place = np.where(doc > least[number], later[number], place[: len(at)][number]) if n else which
+
+
+def factors(keys, rows, left, right, doc) -> np.ndarray:
+    """For each row (bytes around a place) the longest previous factor of each of its starts."""
+    d = Distinct(keys, rows, left, right, doc)
+    own = keys[d.first]
+    out, k = np.zeros((len(own), STARTS), np.uint8), 0
+    while k < len(own):  # whole keys at a time
+        end = min(len(own), k + BLOCK)
+        while end < len(own) and own[end] == own[end - 1]:
+            end += 1
+        at = d.first[k:end]
+        out[k:end] = longest_previous_factors(rows[at], LEFT + right[at].astype(np.int64), _starts(left[at], right[at]), d.doc[k:end])
+        k = end
+    return out[d.place]
 
 
 def _ask_bytes(pid: int, keys, rows, left, right, least, buckets: int) -> pa.Table:
@@ -196,36 +247,6 @@ def _read_bytes(blob: bytes):
     return keys, np.frombuffer(raw, np.uint8, n * SIDE, at + 2 * n).reshape(n, SIDE), left, right, ids[index]
 
 
-def later_copies(keys, rows, left, right, doc) -> np.ndarray:
-    """For each row (bytes around a place) a bit for each of its windows that a smaller document holds."""
-    first, least, number = distinct_rows(keys, rows, left, right, doc)
-    own_keys = keys[first]
-    same = np.zeros(len(first), bool)  # the key has other bytes around it elsewhere
-    if len(first) > 1:
-        equal = own_keys[1:] == own_keys[:-1]
-        same[1:] |= equal
-        same[:-1] |= equal
-    bits = np.zeros(len(first), U64)
-    mixed = np.flatnonzero(same)
-    # whole keys at a time in blocks; equal windows have the place at the same offset, so each start is sorted by itself
-    step, k = 30_000, 0
-    while k < len(mixed):
-        end = min(len(mixed), k + step)
-        while end < len(mixed) and own_keys[mixed[end]] == own_keys[mixed[end - 1]]:
-            end += 1
-        block = mixed[k:end]
-        at = first[block]
-        ok = _starts(left[at], right[at])
-        for start in range(STARTS):
-            use = np.flatnonzero(ok[:, start])
-            copy = longest_previous_factor(rows[at[use], start : start + WINDOW], least[block[use]]) >= WINDOW
-            bits[block[use[copy]]] |= U64(1 << start)
-        k = end
-    out = bits[number]
-    out[doc > least[number]] = U64((1 << STARTS) - 1)
-    return out.astype(np.uint32)
-
-
 def _answer_bytes(batches):
     pids, ids, got = [], [], []
     for t in batches:
@@ -236,12 +257,12 @@ def _answer_bytes(batches):
         edges = np.cumsum([0, *(len(g[0]) for g in got)])
         columns = [np.concatenate(x) for x in zip(*got, strict=True)]
         got.clear()
-        bits = later_copies(*columns)
-        yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(ids, pa.int32()), pa.array([zstandard.compress(bits[a:b].tobytes(), 1) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["pid", "bucket", "blob"])
+        found = factors(*columns)
+        yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int32()), pa.array(ids, pa.int32()), pa.array([zstandard.compress(found[a:b].tobytes(), 1) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["pid", "bucket", "blob"])
 
 
 def _shared(g: Group, answers: pa.Table, buckets: int):
-    """What the group asks about: place, key, bytes around it and their reach; sorted distinct rows of those."""
+    """What the group asks about: anchor, key, bytes around it and their reach; the distinct rows of those."""
     shared, frequent = asking.shared_mask(g.keys, g.doc, asking.blobs_of(answers, 0), buckets)
     which = np.flatnonzero(shared)
     rows, left, right = g.around(which)
@@ -257,24 +278,23 @@ def _shared(g: Group, answers: pa.Table, buckets: int):
         rows = np.concatenate([rows[~lone], one])
         left = np.concatenate([left[~lone], (LEFT - s).clip(0).astype(np.uint8)])
         right = np.concatenate([right[~lone], (s + WINDOW - LEFT).astype(np.uint8)])
-    return which, keys, rows, left, right, distinct_rows(keys, rows, left, right, g.doc[which])
+    return which, keys, rows, left, right, Distinct(keys, rows, left, right, g.doc[which])
 
 
 def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group, np.ndarray]:
     """A group's bytes and which of them go."""
     g = Group(t)
-    which, keys, _, left, right, (first, least, number) = _shared(g, answers, buckets)
-    bits, told = np.zeros(len(first), np.uint32), asking.blobs_of(answers, 1)
-    for k, a, b in asking.bucket_slices(keys[first], buckets):
-        bits[a:b] = np.frombuffer(zstandard.decompress(told[k]), np.uint32)
-    bits = bits[number] if len(number) else np.zeros(0, np.uint32)
-    bits[g.doc[which] > least[number]] = np.uint32((1 << STARTS) - 1)
+    which, keys, _, _, _, d = _shared(g, answers, buckets)
+    told, found = asking.blobs_of(answers, 1), np.zeros((len(d.first), STARTS), np.uint8)
+    for k, a, b in asking.bucket_slices(keys[d.first], buckets):
+        found[a:b] = np.frombuffer(zstandard.decompress(told[k]), np.uint8).reshape(-1, STARTS)
+    found = found[d.place]
     edge = np.zeros(len(g.data) + 1, np.int32)
-    place, ok = g.places[which] - LEFT, _starts(left, right)
-    for s in range(STARTS):  # windows that the document does not hold in full have no say
-        at = place[((bits >> np.uint32(s)) & np.uint32(1) == 1) & ok[:, s]] + s
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + WINDOW, -1)
+    place = g.places[which] - LEFT
+    for s in range(STARTS):
+        at = np.flatnonzero(found[:, s])
+        np.add.at(edge, place[at] + s, 1)
+        np.add.at(edge, place[at] + s + found[at, s], -1)
     return g, np.cumsum(edge[:-1]) > 0
 
 
@@ -285,18 +305,21 @@ def _exchange(docs: DataFrame):
 
     def ask_keys(t: pa.Table) -> pa.Table:
         g = Group(t)
-        return asking.ask_shared(t["pid"][0].as_py(), g.keys, g.doc, buckets)
+        return asking.ask_shared(t["pid"][0].as_py(), g.keys, g.doc, buckets, g.sorts())
 
     def ask_bytes(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):
             return asking.ASK_ARROW.empty_table()
-        _, keys, rows, left, right, (first, least, _) = _shared(Group(t), answers, buckets)
-        return _ask_bytes(t["pid"][0].as_py(), keys[first], rows[first], left[first], right[first], least, buckets)
+        _, keys, rows, left, right, d = _shared(Group(t), answers, buckets)
+        return _ask_bytes(t["pid"][0].as_py(), keys[d.first], rows[d.first], left[d.first], right[d.first], d.doc, buckets)
+
+    def answer_keys(batches):
+        yield from asking.answer_shared(batches, FREQUENT)
 
     back = "pid int, bucket int, blob binary"
-    keys = asking.to_buckets(asking.per_group(groups, ask_keys, asking.ASK), asking.answer_shared, back, buckets).withColumn("kind", F.lit(0))
-    copies = asking.to_buckets(asking.with_answers(groups, keys, ask_bytes, asking.ASK), _answer_bytes, back, buckets).withColumn("kind", F.lit(1))
-    return groups, keys.union(copies), buckets
+    keys = cut(asking.to_buckets(asking.per_group(groups, ask_keys, asking.ASK), answer_keys, back, buckets).withColumn("kind", F.lit(0)), "suffix-keys")
+    found = asking.to_buckets(asking.with_answers(groups, keys, ask_bytes, asking.ASK), _answer_bytes, back, buckets).withColumn("kind", F.lit(1))
+    return groups, keys.union(found), buckets
 
 
 def digests(docs: DataFrame) -> DataFrame:
