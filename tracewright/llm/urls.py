@@ -2,12 +2,13 @@
 
 DataFrame functions only. Listed URLs are canonicalised (scheme, ``www.`` and ``m.``, query, fragment
 and closing slash fall away; host A-Z lower-cased). A listed URL sets one bit in each of four 64-bit
-words of one block; blocks are built by ``bit_or`` and their number is bounded by ``MAX_BLOCKS``
-(4 x 8 bytes each), which is the proven bound of the broadcast. A saturated filter only passes more on: the
-hash join with the list, which is never broadcast unless Spark finds it small, decides.
+words of one block; blocks are built by ``bit_or``, as many as the counted list asks for. Up to ``BROADCAST_BLOCKS`` (4 x 8
+bytes each) they are broadcast; a larger filter meets the pages in a join by block. The hash join with the list decides; no
+join but that of the small filter is forced, so Spark can split one that a frequent URL makes uneven.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule and are never listed.
-Repeated rows stay; an empty list blocks nothing.
+Repeated rows stay, also listed ones; an empty list blocks nothing. Of rules equally long that fit, which cannot differ but in where
+the host ends, the first stated holds.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS, BITS_A_URL = 1 << 16, 12
+BROADCAST_BLOCKS, BITS_A_URL = 1 << 16, 12
 #: Host, path and verdict of each rule; fixed by the contract.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
@@ -45,13 +46,13 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def _bits(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    where = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(blocks)).cast("int")
+    where = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(blocks)).cast("bigint")
     spread = F.xxhash64(key, F.lit(23))
     return where, [F.shiftrightunsigned(spread, 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(4)]
 
 
 def block_count(listed: DataFrame) -> int:
-    return min(MAX_BLOCKS, max(1, -(-listed.count() * BITS_A_URL // 256)))
+    return max(1, -(-listed.count() * BITS_A_URL // 256))
 
 
 def bloom(listed: DataFrame, blocks: int) -> DataFrame:
@@ -70,10 +71,11 @@ def verdicts(pages: DataFrame, listed_urls: DataFrame, rules=RULES) -> DataFrame
     rows = pages.select("page_id", at[0].alias("host"), at[1].alias("path"))
     rows = rows.withColumn("url_key", canonical(F.col("host"), F.col("path"))).withColumn("by_rule", rule_for(F.col("host"), F.col("path"), rules))
     where, bits = _bits(F.col("url_key"), blocks)
-    probed = rows.join(F.broadcast(bloom(listed, blocks)), where == F.col("block"), "left")
+    built = bloom(listed, blocks)
+    probed = rows.join(F.broadcast(built) if blocks <= BROADCAST_BLOCKS else built, where == F.col("block"), "left")
     passes = reduce(lambda a, b: a & b, [F.call_function("shiftright", F.col(f"w{k}"), b).bitwiseAND(F.lit(1).cast("long")) == 1 for k, b in enumerate(bits)])
     probed = probed.withColumn("maybe", F.coalesce(F.col("url_key").isNotNull() & passes, F.lit(False)))
-    found = listed.withColumnRenamed("url_key", "listed_key").hint("shuffle_hash")
+    found = listed.withColumnRenamed("url_key", "listed_key")
     possible = probed.where("maybe").join(found, F.col("url_key") == F.col("listed_key"), "left").withColumn("listed", F.col("listed_key").isNotNull())
     rest = probed.where("not maybe").withColumn("listed", F.lit(False))
     columns = ["page_id", "host", "path", F.col("by_rule.rule").alias("rule"), F.coalesce("by_rule.verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed", "maybe"]
