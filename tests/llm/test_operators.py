@@ -321,12 +321,14 @@ def test_quality_boilerplate(spark):
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
     line = text(30)
     mine = [(k, text(40) + "\n" + line.upper(), "a", 1) for k in range(20)] + [(20, "few words of its own\n" + line, "a", 1), (21, text(30) + "\n" + line, None, 1)]
-    copies = [(100 + k, mine[0][1], "a", 1) for k in range(50)]
-    df = spark.createDataFrame(mine + copies, "doc_id long, text string, source string, kept int")
+    others = [(100 + k, text(40), "a", 1) for k in range(50)]
+    again = [(30, text(25) + "\nrows of one document " + text(20), "a", 1)] * 30 + [(None, mine[3][1].split("\n")[0], "a", 1)] * 30
+    df = spark.createDataFrame(mine + others + again, "doc_id long, text string, source string, kept int")
     got = {r.doc_id: r.text for r in quality.clean(df).collect()}
     assert quality.clean(df).columns == df.columns and {r.kept for r in quality.clean(df).collect()} == {1}
     assert 20 not in got and got[3] == mine[3][1].split("\n")[0]  # depleted; boilerplate left
-    assert got[21] == mine[21][1] and len(got) == 71  # one host's lines do not count for another; copies stay
+    assert got[21] == mine[21][1] and len(got) == 73  # one host's lines do not count for another
+    assert got[30] == again[0][1] and got[None] == again[-1][1]  # rows of one document, or equal ones without an id, count once
 
 
 def test_urls(spark):
@@ -340,12 +342,14 @@ def test_urls(spark):
     assert none.where("listed").count() == 0 and none.count() == 13
 
 
-def test_saturated_filter_stays_exact(spark, monkeypatch):
-    monkeypatch.setattr(urls, "MAX_BLOCKS", 1)
-    pages = spark.range(600).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/p/"), "id").alias("url"))
+@pytest.mark.parametrize("blocks", [1 << 16, 0])
+def test_filters_of_any_size(spark, monkeypatch, blocks):
+    """The filter grows with the list, broadcast while it is small and dealt by block beyond; few unlisted URLs pass it."""
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", blocks)
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/p/"), "id").alias("url")).union(spark.createDataFrame([(9000, None)], "page_id long, url string"))
     got = urls.verdicts(pages, pages.where("page_id % 3 = 0").select("url"))
-    assert got.where("maybe").count() > 400
-    assert sorted(r.page_id for r in got.where("verdict = 'block'").collect()) == list(range(0, 600, 3))
+    assert 2000 <= got.where("maybe").count() < 2400 and got.count() == 6001
+    assert sorted(r.page_id for r in got.where("verdict = 'block'").collect()) == list(range(0, 6000, 3))
 
 
 def test_bpe(docs):

@@ -39,8 +39,8 @@ rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, (SELECT unnest(range(0, 8)) AS j) GROUP BY doc_id),
 l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS l FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM l WHERE {_SOLID} <> '' GROUP BY doc_id),
-host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-freq AS (SELECT source, {_NORMAL} AS line, count(DISTINCT text) AS n FROM l WHERE {_SOLID} <> '' GROUP BY ALL),
+host AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+freq AS (SELECT source, {_NORMAL} AS line, count(DISTINCT doc_id) AS n FROM l WHERE {_SOLID} <> '' GROUP BY ALL),
 over AS (SELECT source, line FROM freq JOIN host USING (source) WHERE n > 8 AND n > 0.10 * docs),
 rest AS (SELECT l.doc_id, CAST(sum(length({_SOLID})) AS BIGINT) AS n FROM l WHERE NOT EXISTS (SELECT 1 FROM over WHERE over.source = l.source AND over.line = {_NORMAL}) GROUP BY l.doc_id),
 m AS (SELECT doc_id, len(w) AS n_words, CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols FROM d)

@@ -1,13 +1,13 @@
 """Operator 7: quality rules by cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (A-Z lower-cased, blanks collapsed, trimmed) and hashed. For each host (the
-``source`` column; null is a host of its own) the distinct documents holding a line are counted,
-exact copies of a text counting once. Lines held by more than ``max(MIN_DOCS, SHARE * documents of the
+``source`` column; null is a host of its own) the distinct documents holding a line are counted: rows of one doc_id are one
+document, rows without an id one for each text. Lines held by more than ``max(MIN_DOCS, SHARE * documents of the
 host)`` are boilerplate and leave the text; a document of which less than ``LEFT`` of the word
 characters remains is rejected as depleted.
 
 Null texts have no words and fail the base rule; an empty table gives an empty result; repeated rows
-(same id and text) are each judged, and count once as copies; a null id is allowed.
+(same id) are each judged, and count once; a null id is allowed.
 """
 
 from __future__ import annotations
@@ -86,12 +86,11 @@ def base(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """host, line (hash): the lines above the host's limit. Counts are exact and cover all documents.
-
-    One row per distinct (host, text) stands for all its exact copies; partial aggregation keeps a
-    line that a third of all documents hold from meeting in one task."""
-    keyed = docs.select(F.col("source").alias("host"), F.xxhash64("text").alias("text_key"), F.array_distinct(F.transform(F.filter(lines(F.col("text")), has_word), lambda x: F.xxhash64(normal(x)))).alias("keys"))
-    distinct = keyed.groupBy("host", "text_key").agg(F.first("keys").alias("keys"))
+    """host, line (hash): the lines above the host's limit. Counts are exact and cover all documents; partial
+    aggregation keeps a line that a third of all documents hold from meeting in one task."""
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    keyed = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("doc"), nameless.alias("nameless"), F.array_distinct(F.transform(F.filter(lines(F.col("text")), has_word), lambda x: F.xxhash64(normal(x)))).alias("keys"))
+    distinct = keyed.groupBy("host", "doc", "nameless").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
     per_host = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     counts = distinct.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
     over = counts.join(per_host.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > share * F.col("docs"))
@@ -122,7 +121,7 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     """The documents kept, without their boilerplate lines; columns of ``docs`` (n_chars renewed)."""
     text = F.when(F.size("boilerplate") == 0, F.col("text")).otherwise(F.array_join(F.filter(lines(F.col("text")), lambda x: ~F.array_contains(F.col("boilerplate"), F.xxhash64(normal(x)))), "\n"))
     # other columns travel under names of their own, so that none can clash with those of the rules
-    rest = {c: f"_own{k}" for k, c in enumerate(docs.columns) if c not in ("text", "source")}
+    rest = {c: f"_own{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")}
     out = judge(docs.withColumnsRenamed(rest), **limits).where("kept").withColumn("text", text)
     if "n_chars" in rest:
         out = out.withColumn(rest["n_chars"], F.length("text").cast(docs.schema["n_chars"].dataType))
