@@ -469,6 +469,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[51].n_found == got[52].n_found == 0 and got[3].n_phone == 1 and got[3].n_found == 0
 
 
+def test_contexts_found_open_others(spark):
+    """Numbers found in one context teach a second one, in which no seed stands, and that finds others; one context of few does not."""
+    rows = [(k, f"please call me at +1 (555) 555-{1000 + k} if you can") for k in range(40)]
+    rows += [(100 + k, f"please call me at 555-02{10 + k} if you can") for k in range(8)]
+    rows += [(200 + k, f"the night desk answers 555-02{10 + k} until dawn") for k in range(8)]
+    rows += [(300, "the night desk answers 555-0900 until dawn"), (301, "a lone desk takes 555-0901 at noon"), (302, "a lone desk takes 555-0210 at noon")]
+    got = {r.doc_id: r.spans for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[200] == "phone:23:31" and got[300] == "phone:23:31" and got[301] == ""
+
+
 @pytest.mark.parametrize("run", [linededup.digests, recompress.digests, suffix.digests, lm.scores, quality.digests, bpe.digests, neardup.digests, pii.digests, linededup.clean, neardup.clean, quality.clean])
 def test_empty_tables(empty, run):
     assert run(empty).collect() == []

@@ -2,11 +2,12 @@
 
 Base spans (email, ip, card, phone) are found in every text. They are the seeds: the words around a seed
 induce lexical patterns (two words before it; the words on both sides; a ``name=`` or ``name:`` prefix).
-Identifier-like tokens outside base spans are candidates with patterns of their own. Spark scores
+Identifier-like tokens of 4 to 254 characters outside base spans are candidates with patterns of their own. Spark scores
 the graph of patterns and instances in turn: a pattern's confidence for a kind is the share of its distinct instances
-believed to be of that kind (damped by ``PRIOR``), an instance's belief is the noisy-or of its patterns. After
-``STEPS`` turns, patterns with ``MIN_SEEDS`` distinct seeds or more and a confidence of at least
-``CONFIDENCE`` mark the candidates that stand in them and have a shape the kind allows.
+believed to be of that kind (damped by ``PRIOR``), an instance's belief the noisy-or of its patterns, for kinds its shape
+allows. A pattern is strong with a confidence of ``CONFIDENCE`` and ``MIN_SEEDS`` distinct instances that are seeds or have a
+strong pattern already, so what one turn discovers opens patterns in the next. After ``STEPS`` turns the
+strong patterns mark the candidates that stand in them.
 
 Null texts are empty. Repeated rows (same id and text) each get the same answer; a null doc_id is allowed.
 Offsets are code points, the end exclusive. Scans are linear in the text, also for very long runs.
@@ -176,28 +177,30 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def score_patterns(edges: DataFrame, steps: int = STEPS) -> DataFrame:
-    """pattern, kind, confidence, seeds from distinct edges (pattern, instance, kind or -1)."""
-    seeds = edges.where("kind >= 0").select("instance", "kind").distinct().withColumn("belief", F.lit(1.0))
+    """pattern, kind, confidence, strong from distinct edges (pattern, instance, kind or -1, may: the kinds its shape allows)."""
+    seeds = edges.where("kind >= 0").select("instance", "kind").distinct().select("*", F.lit(1.0).alias("belief"), F.lit(True).alias("sure"))
     pairs = edges.select("pattern", "instance").distinct()
     size = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    support = edges.where("kind >= 0").select("pattern", "instance", "kind").distinct().groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"))
-    open_ = pairs.join(seeds.select("instance").distinct(), "instance", "left_anti")
+    shapes = edges.where("kind < 0").select("pattern", "instance", F.explode("may").alias("kind")).distinct()
+    open_ = shapes.join(seeds.select("instance").distinct(), "instance", "left_anti")
     belief, scored = seeds, None
-    for step in range(steps):
-        total = pairs.join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"))
-        old, scored = scored, cut(total.join(size, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + F.lit(PRIOR))).alias("confidence")), "pattern-scores")
+    for _ in range(steps):
+        of = pairs.join(belief, "instance").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count_if("sure").alias("sure"))
+        confidence = F.col("mass") / (F.col("n") + F.lit(PRIOR))
+        strong = (F.col("sure") >= MIN_SEEDS) & (confidence >= CONFIDENCE)
+        old, scored = scored, cut(of.join(size, "pattern").select("pattern", "kind", confidence.alias("confidence"), strong.alias("strong")), "pattern-scores")
         drop(old)
-        guess = open_.join(scored, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("belief"))
+        guess = open_.join(scored, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.999)))))).alias("belief"), F.bool_or("strong").alias("sure"))
         belief = seeds.unionByName(guess)
-    return scored.join(support, ["pattern", "kind"])
+    return scored
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, base, base_sha256 and found (spans of the contextual step) per row."""
     rows = cut(scan(docs), "pii")
     seen = rows.select("doc_id", "text_key", F.explode("seen").alias("s"))
-    edges = cut(seen.select(F.explode("s.patterns").alias("pattern"), F.col("s.instance").alias("instance"), F.col("s.kind").alias("kind")).distinct(), "pii-edges")
-    strong = score_patterns(edges).where((F.col("seeds") >= MIN_SEEDS) & (F.col("confidence") >= CONFIDENCE)).select("pattern", F.col("kind").alias("as_kind"), "confidence")
+    edges = cut(seen.select(F.explode("s.patterns").alias("pattern"), F.col("s.instance").alias("instance"), F.col("s.kind").alias("kind"), F.col("s.may").alias("may")).distinct(), "pii-edges")
+    strong = score_patterns(edges).where("strong").select("pattern", F.col("kind").alias("as_kind"), "confidence")
     open_ = seen.where("s.kind = -1 and size(s.may) > 0").select("doc_id", "text_key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.may").alias("may"), F.explode("s.patterns").alias("pattern"))
     met = open_.join(strong, "pattern").where(F.array_contains("may", F.col("as_kind")))
     # one kind for a span: the most confident, ties in the order of KINDS
