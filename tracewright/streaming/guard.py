@@ -4,7 +4,7 @@ Events: run_id, ord, step, kind (prediction or tool), tool (predicted or actual)
 a tool meets the oldest earlier prediction that it equals or starts with; equality is a hit, a prefix alone a
 divergence, no match is silent; predictions expire by age. ``slot`` mode: one pending prediction, judged at
 the first tool from its expected step on, by equality. A divergence suppresses predictions for some
-steps. A run is one workflow: its state is small and its events are taken in order of ``ord``.
+steps. A run's state is small and its events are taken in order of ``ord``; events without a run_id have no verdict.
 """
 
 from __future__ import annotations
@@ -56,22 +56,38 @@ class Guard:
         return ("hit" if tool == expected else "diverged"), expected
 
 
-def _verdicts(guard: Guard, run_id, rows: pd.DataFrame) -> pd.DataFrame:
+COLUMNS = ["run_id", "ord", "step", "tool", "outcome", "expected", "conservative"]
+
+
+def _verdicts(guard: Guard, run_id, rows: pd.DataFrame) -> list[tuple]:
+    """Of rows in order of ``ord``."""
     out = []
-    for r in rows.sort_values("ord").itertuples():
-        got = guard.feed(int(r.step), r.kind, r.tool or "", int(r.expected_at))
+    for ord_, step, kind, tool, expected_at in zip(rows["ord"], rows["step"], rows["kind"], rows["tool"], rows["expected_at"], strict=True):
+        got = guard.feed(int(step), kind, tool or "", int(expected_at))
         if got:
-            out.append((run_id, r.ord, r.step, r.tool, *got))
-    return pd.DataFrame(out, columns=["run_id", "ord", "step", "tool", "outcome", "expected", "conservative"])
+            out.append((run_id, ord_, step, tool, *got))
+    return out
 
 
 def replay(events: DataFrame, mode: str = "queue") -> DataFrame:
-    """A verdict for each tool event of a batch."""
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return _verdicts(Guard(mode), key[0], rows)
-
-    return events.groupBy("run_id").applyInPandas(run, SCHEMA)
+    """A verdict for each tool event of a batch. Runs are sorted by Spark, which may spill, and read in batches: a task holds
+    one batch and the state of one run, however long the run is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        guard, own, started = Guard(mode), None, False
+        for rows in batches:
+            out: list[tuple] = []
+            edges = rows["run_id"].ne(rows["run_id"].shift()).to_numpy().nonzero()[0].tolist()
+            for a, b in zip(edges, [*edges[1:], len(rows)], strict=True):
+                part = rows.iloc[a:b]
+                run_id = part["run_id"].iloc[0]
+                if not started or run_id != own:
+                    guard, own, started = Guard(mode), run_id, True
+                out += _verdicts(guard, run_id, part)
+            yield pd.DataFrame(out, columns=COLUMNS)
+
+    rows = events.where("run_id is not null").select("run_id", "ord", "step", "kind", "tool", "expected_at")
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "ord").mapInPandas(run, SCHEMA)
 
 
 class GuardProcessor(StatefulProcessor):
@@ -85,9 +101,9 @@ class GuardProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterable[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         guard = Guard(self.mode, state=self.state.get()[0] if self.state.exists() else None)
-        out = _verdicts(guard, key[0], pd.concat(list(rows)))
+        out = _verdicts(guard, key[0], pd.concat(list(rows)).sort_values("ord"))
         self.state.update((guard.dump(),))
-        yield out
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
