@@ -479,11 +479,44 @@ def test_contexts_found_open_others(spark):
     assert got[200] == "phone:23:31" and got[300] == "phone:23:31" and got[301] == ""
 
 
-@pytest.mark.parametrize("run", [linededup.digests, recompress.digests, suffix.digests, lm.scores, quality.digests, bpe.digests, neardup.digests, pii.digests, linededup.clean, neardup.clean, quality.clean])
+def no_pages(df):
+    return urls.verdicts(df.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url")), df.select(F.col("text").alias("url")))
+
+
+def no_documents(df):
+    return decontaminate.digests(df, df.sparkSession.createDataFrame([(1, "an item of words")], "item_id long, text string"))
+
+
+@pytest.mark.parametrize("run", [linededup.digests, recompress.digests, suffix.digests, lm.scores, quality.digests, bpe.digests, neardup.digests, pii.digests, linededup.clean, neardup.clean, quality.clean, recompress.clean, suffix.clean, no_pages, no_documents])
 def test_empty_tables(empty, run):
     assert run(empty).collect() == []
 
 
+@pytest.mark.parametrize("run", [linededup.clean, recompress.clean, suffix.clean, neardup.clean, quality.clean, lambda df: decontaminate.clean(df, df.sparkSession.createDataFrame([(1, None)], "item_id long, text string"))])
+def test_columns_of_clashing_names_stay(spark, run):
+    names = ["pid", "node", "bucket", "blob", "keys", "kept", "place", "root", "c0", "_id", "n_words", "host", "n_chars"]
+    df = spark.createDataFrame([(1, "s", "a text of its own " + " ".join(f"w{k}" for k in range(30)), *range(13)), (2, "s", None, *range(13))], f"doc_id int, source string, text string, {', '.join(f'{n} int' for n in names)}")
+    got = run(df)
+    assert got.columns == df.columns and got.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    first = next(r for r in got.collect() if r.doc_id == 1)
+    assert [first[n] for n in names[:-1]] == list(range(12)) and first["source"] == "s"
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    own, nameless = text(60), text(60)
+    rows = [(1, own, "s", "mine"), (1, own, "s", "mine"), (None, nameless, "s", "mine"), (None, None, None, None), (2, own, "s", "mine"), (3, "", "s", None)]
+    for name, data, want in (("some", rows, [(None,), (1,), (1,)]), ("none", [], [])):
+        spark.createDataFrame(data, "doc_id long, text string, source string, pid string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert sorted([(r.doc_id,) for r in got.collect()], key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -37,6 +37,28 @@ def grouped(docs: DataFrame, *columns: str, groups: int) -> DataFrame:
     return docs.select(pid, *columns).repartition(partitions(docs.sparkSession), "pid")
 
 
+class Carried:
+    """The columns of ``docs`` besides doc_id and text: they travel under names of their own, so that none can clash."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns, self.kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema}
+        self.names = {c: f"c{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+
+    @property
+    def sent(self) -> list:
+        return [F.col(c).alias(n) for c, n in self.names.items()]
+
+    def schema(self, *first: str) -> str:
+        return ", ".join([*first, *(f"{n} {self.kinds[c]}" for c, n in self.names.items())])
+
+    def taken(self, t: pa.Table) -> dict:
+        return {n: t[n] for n in self.names.values()}
+
+    def restored(self, out: DataFrame, text: str = "text") -> DataFrame:
+        """The columns in their order, ``text`` in the text's place."""
+        return out.select(*[F.col("doc_id").cast(self.kinds["doc_id"]).alias("doc_id") if c == "doc_id" else F.col(text).alias(c) if c == "text" else F.col(self.names[c]).alias(c) for c in self.columns])
+
+
 def per_group(groups: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         out = f(t)

@@ -271,18 +271,13 @@ def digests(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the removed lines, columns kept (n_chars renewed); a document that loses all its
     lines leaves."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    # other columns travel under names of their own, so that none can clash with pid
-    sent = [F.col(c).alias(f"c{k}") for k, c in enumerate(rest)]
+    carried = asking.Carried(docs)
 
     def make(t: pa.Table, out: list) -> pa.Table:
         keep = pa.array([not (x[2] and x[1] == x[2]) for x in out], pa.bool_())
-        made = {"doc_id": t["doc_id"], "text": pa.array([x[0] for x in out], pa.string())}
-        for k, c in enumerate(rest):
-            made[f"c{k}"] = pa.array([len(x[0] or "") for x in out], t[f"c{k}"].type) if c == "n_chars" else t[f"c{k}"]
-        return pa.table(made).filter(keep)
-
-    schema = ", ".join(["doc_id long", "text string", *(f"c{k} {kinds[c]}" for k, c in enumerate(rest))])
-    out = _finish(docs, sent, schema, make, percent)
-    return out.select(*[F.col("doc_id").cast(kinds["doc_id"]).alias("doc_id") if c == "doc_id" else F.col("text") if c == "text" else F.col(f"c{rest.index(c)}").alias(c) for c in docs.columns])
+        return pa.table({"doc_id": t["doc_id"], "text": pa.array([x[0] for x in out], pa.string())} | carried.taken(t)).filter(keep)
+
+    out = _finish(docs, carried.sent, carried.schema("doc_id long", "text string"), make, percent)
+    if "n_chars" in carried.names:
+        out = out.withColumn(carried.names["n_chars"], F.coalesce(F.length("text"), F.lit(0)).cast(carried.kinds["n_chars"]))
+    return carried.restored(out)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, linededup, lm, neardup, oracles, pii, quality, recompress, suffix, urls
@@ -51,8 +50,14 @@ def op10_minhash(spark, sf_dir):
     return neardup.digests(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline  # it imports this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_substring, op4_decontamination, op5_suffix, op6_lm, op7_quality, op8_urls, op9_bpe, op10_minhash)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_substring, op4_decontamination, op5_suffix, op6_lm, op7_quality, op8_urls, op9_bpe, op10_minhash)}
 
 
 def oracle_sql():

@@ -269,11 +269,11 @@ def removed_words(texts: pa.Table, answers: pa.Table, buckets: int) -> tuple[Gro
     return g, np.cumsum(edge[:-1]) > 0
 
 
-def _exchange(docs: DataFrame):
+def _exchange(docs: DataFrame, *more):
     """The dealt texts and the answers to both questions (pid, kind, bucket, blob), which are written once."""
     total = text_bytes(docs)
     buckets = shares(total, asking.BUCKET_BYTES)
-    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", groups=shares(total, GROUP))
+    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", *more, groups=shares(total, GROUP))
 
     def ask_phrases(t: pa.Table) -> pa.Table:
         g = Group(t)
@@ -320,15 +320,18 @@ def kept_texts(g: Group, gone: np.ndarray, n: np.ndarray):
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """doc_id and text with the repeated words removed (remaining words joined by blanks)."""
-    groups, answers, buckets = _exchange(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    """``docs`` with the repeated words removed (remaining words joined by blanks), columns kept (n_chars renewed)."""
+    carried = asking.Carried(docs)
+    groups, answers, buckets = _exchange(docs, *carried.sent)
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
-            return schema.empty_table()
+            return t.drop_columns("pid")
         g, gone = removed_words(t, told, buckets)
         kept = [x.decode() for x in kept_texts(g, gone, per_doc(gone, g.counts))]
-        return pa.table([g.texts["doc_id"].combine_chunks(), pa.array(kept, pa.string())], schema=schema)
+        return pa.table({"doc_id": g.texts["doc_id"], "text": pa.array(kept, pa.string())} | carried.taken(g.texts))
 
-    return asking.with_answers(groups, answers, finish, "doc_id long, text string")
+    out = asking.with_answers(groups, answers, finish, carried.schema("doc_id long", "text string"))
+    if "n_chars" in carried.names:
+        out = out.withColumn(carried.names["n_chars"], F.length("text").cast(carried.kinds["n_chars"]))
+    return carried.restored(out)

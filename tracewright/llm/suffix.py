@@ -298,10 +298,10 @@ def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group,
     return g, np.cumsum(edge[:-1]) > 0
 
 
-def _exchange(docs: DataFrame):
+def _exchange(docs: DataFrame, *more):
     total = text_bytes(docs)
     buckets = shares(total, BUCKET)
-    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", groups=shares(total, GROUP))
+    groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", *more, groups=shares(total, GROUP))
 
     def ask_keys(t: pa.Table) -> pa.Table:
         g = Group(t)
@@ -341,15 +341,17 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """doc_id and kept (the remaining bytes; a cut inside a character may leave invalid UTF-8, so binary)."""
-    groups, answers, buckets = _exchange(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.binary())])
+    """``docs`` with the remaining bytes as text (binary, as a cut inside a character may leave invalid UTF-8); other columns as they
+    are."""
+    carried = asking.Carried(docs)
+    groups, answers, buckets = _exchange(docs, *carried.sent)
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
-            return schema.empty_table()
+            return pa.table({"doc_id": t["doc_id"], "kept": pa.array([], pa.binary())} | carried.taken(t))
         g, gone = removed_bytes(t, told, buckets)
         edges = g.offsets.tolist()
-        return pa.table([t["doc_id"].combine_chunks(), pa.array([g.data[a:b][~gone[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], schema=schema)
+        kept = [g.data[a:b][~gone[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"doc_id": t["doc_id"], "kept": pa.array(kept, pa.binary())} | carried.taken(t))
 
-    return asking.with_answers(groups, answers, finish, "doc_id long, kept binary")
+    return carried.restored(asking.with_answers(groups, answers, finish, carried.schema("doc_id long", "kept binary")), "kept")
