@@ -4,13 +4,10 @@ A bucket is a set of nodes that share a band. Small buckets (up to ``LARGE`` nod
 sketches leave room for the similarity become candidates. A large bucket's pivot (the node with most bucket fellows) is
 a candidate with each of the others. All candidates are verified on full sets, and links join components.
 
-Nodes of large buckets that then still hold several components share something (a passage, say) and yet most of them
-are not similar. Their items are ordered by how many of these nodes hold them, rare ones first. Two sets at a similarity of 75 %
-or more have a common item among the rarest quarter of either (its prefix), so nodes are dealt anew by the
-items of their prefixes that another node holds too. This is exact: no pair of open nodes is lost. Texts that share a template
-differ in their rare items and mostly have no fellow left. Pairs of small buckets are verified one by one, large ones have
-another round of pivots, and what is open then is compared block against block. Sets whose sizes or places in
-the order alone rule out the similarity are never compared.
+Large buckets that then still hold several components hold nodes that share something (a passage, say) and yet most of them
+are not similar. They are split by size: sets at 75 % are in one class of sizes or in neighbouring ones. What is
+left is compared block against block, on full sets where the sketches leave room, so no pair that shares a band is left out and none
+becomes a row. Sets whose sizes alone rule out the similarity are never compared.
 """
 
 from __future__ import annotations
@@ -157,70 +154,54 @@ class Linker:
 
         return packed.groupBy("pack").applyInArrow(run, f"a {kind}, b {kind}")
 
-    def prefixes(self, active: DataFrame) -> DataFrame:
-        """Buckets by the rare items that open nodes share: key, node, size, place (items before it in the node's order)."""
-        to_sets, kind = self.to_sets, active.schema["node"].dataType.simpleString()
-
-        def run(batches):
-            for t in batches:
-                payload = t.column(2).to_pylist()
-                for a, b in _chunks(list(map(len, payload))):
-                    items = [x.view(np.int64) for x in to_sets(payload[a:b])]
-                    yield pa.RecordBatch.from_arrays([t.column(0)[a:b], t.column(1)[a:b], pa.array(items, pa.list_(pa.int64()))], ["node", "size", "items"])
-
-        nodes = active.select("node").distinct().join(self.sets.select("node", "size", "payload"), "node").select("node", "size", "payload")
-        self.items = cut(nodes.mapInArrow(run, f"node {kind}, size long, items array<long>"), "items")
-        every = self.items.select("node", "size", F.explode("items").alias("key"))
-        shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-        own = every.join(shared, "key").groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("order"))
-        # items that no other node holds come first in the order; the prefix is what the similarity leaves room for
-        alone = F.col("size") - F.size("order")
-        room = F.col("size") - F.ceil(F.col("size") * self.percent / 100) + 1 - alone
-        inside = own.where(room > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("order", F.lit(1), room.cast("int"))).alias("at", "item"))
-        return inside.select(F.col("item.key").alias("key"), "node", "size", (F.col("alone") + F.col("at")).alias("place"))
-
-    def small(self, active: DataFrame) -> None:
-        """The pairs of buckets of up to LARGE nodes."""
-        x, y = (active.where(f"n <= {LARGE}").select("key", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "root", "place")]) for k in "ab")
-        reach = F.least(F.expr("size_a - place_a"), F.expr("size_b - place_b"))  # items that can be common from here on
-        may = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & self.fits("size_a", "size_b") & (reach * (100 + self.percent) >= self.percent * (F.col("size_a") + F.col("size_b")))
-        self.compare(x.join(y, "key").where(may).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-
     def finish(self, active: DataFrame) -> None:
-        """All pairs of different components in the buckets still open, block against block.
+        """All pairs of different components in the buckets (key, node, size, root) still open, block against block.
 
-        A bucket's rows fall into blocks of about BLOCK; a task gets the sets of two blocks and returns the links alone, so a
-        bucket of n rows moves n * n / BLOCK rows and no pair is ever a row."""
+        A size class is a power of the similarity, so a pair that fits is in one class or in two neighbours; class c of a bucket
+        also gets the rows of class c + 1. Its rows fall into blocks of about BLOCK; a task gets two blocks and returns the links
+        alone: n rows move n * n / BLOCK rows."""
         percent, to_sets, kind = self.percent, self.to_sets, active.schema["node"].dataType.simpleString()
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rows = active.join(self.sets.select("node", "payload"), "node").select("key", "node", "size", "root", "payload", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+        cls = F.floor(F.log(F.col("size").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
+        both = active.select("key", "node", "size", "root", cls.alias("cls")).select("*", F.explode(F.array(F.col("cls"), F.col("cls") - 1)).alias("of"))
+        counts = both.groupBy("key", "of").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("low")).where("m > 1 and low = of")
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        rows = both.join(counts, ["key", "of"]).join(self.sets.select("node", "sketch", "payload"), "node")
+        rows = rows.select("key", "of", "cls", "node", "size", "root", "sketch", "payload", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
         # a row of block b meets every block: (b, j) for j >= b and (i, b) for i < b
-        met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "root", "payload")
+        met = rows.select("key", "of", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "node", "size", "root", "sketch", "payload")
 
         def run(t: pa.Table) -> pa.Table:
-            i, j = t["i"][0].as_py(), t["j"][0].as_py()
-            own, node = np.array(t["own"].to_pylist()), t["node"].to_pylist()
+            i, j, of = t["i"][0].as_py(), t["j"][0].as_py(), t["of"][0].as_py()
+            own, cls, size, node = np.array(t["own"]), np.array(t["cls"]), np.array(t["size"]), t["node"].to_pylist()
             _, root = np.unique(np.array([r.hex() for r in t["root"].to_pylist()]), return_inverse=True)
-            sets = to_sets(t["payload"].to_pylist())
-            size = np.array(list(map(len, sets)))
-            _, items = np.unique(np.concatenate(sets), return_inverse=True)
-            at = np.concatenate([[0], np.cumsum(size)])
+            marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            found: list[tuple[bytes, bytes]] = []
-            mark = np.zeros(len(items) + 1, bool)
-            theirs = np.concatenate([items[at[q] : at[q + 1]] for q in right]) if len(right) else items[:0]
+            pairs = []
             for p in left.tolist():
-                mine = items[at[p] : at[p + 1]]
-                mark[mine] = True
-                both = np.add.reduceat(mark[theirs], np.cumsum(size[right]) - size[right], dtype=np.int64) if len(theirs) else np.zeros(0, np.int64)
-                mark[mine] = False
-                near = (root[right] != root[p]) & (both * (100 + percent) >= percent * (size[right] + size[p]))
-                found += [(node[p], node[q]) for q in right[near].tolist() if i != j or q > p]
+                q = right if i != j else right[right > p]
+                q = q[(root[q] != root[p]) & (np.minimum(cls[q], cls[p]) == of) & (100 * np.minimum(size[q], size[p]) >= percent * np.maximum(size[q], size[p]))]
+                q = q[may_be_near(np.broadcast_to(marks[p], (len(q), BINS)), marks[q], percent)]
+                if len(q):
+                    pairs.append((p, q))
+            found: list[tuple[bytes, bytes]] = []
+            if pairs:
+                need = np.unique(np.concatenate([np.append(q, p) for p, q in pairs])).tolist()
+                payload = t["payload"].take(pa.array(need)).to_pylist()
+                sets = dict(zip(need, to_sets(payload), strict=True))
+                _, items = np.unique(np.concatenate([sets[k] for k in need]), return_inverse=True)
+                at = np.concatenate([[0], np.cumsum([len(sets[k]) for k in need])])
+                coded = {k: items[at[x] : at[x + 1]] for x, k in enumerate(need)}
+                mark = np.zeros(len(items) + 1, bool)
+                for p, q in pairs:
+                    mark[coded[p]] = True
+                    n = np.array([len(coded[k]) for k in q.tolist()])
+                    equal = np.add.reduceat(mark[np.concatenate([coded[k] for k in q.tolist()])], np.cumsum(n) - n, dtype=np.int64)
+                    mark[coded[p]] = False
+                    found += [(node[p], node[k]) for k in q[equal * (100 + percent) >= percent * (n + len(coded[p]))].tolist()]
             release()
             return pa.table([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
 
-        self.join(met.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}"))
+        self.join(met.groupBy("key", "of", "i", "j").applyInArrow(run, f"a {kind}, b {kind}"))
 
 
 def link(buckets: DataFrame, sets: DataFrame, to_sets: Callable[[list[bytes]], list[np.ndarray]], percent: int) -> DataFrame:
@@ -241,18 +222,7 @@ def link(buckets: DataFrame, sets: DataFrame, to_sets: Callable[[list[bytes]], l
     work.compare(pairs.union(star))
     active = work.opened(rest)
     if not active.isEmpty():
-        anew = work.opened(work.prefixes(active))
-        drop(work.items)
-        work.small(anew)
-        large = anew.where(f"n > {LARGE}")
-        if not large.isEmpty():
-            star, rest = work.pivots(large)
-            work.compare(star)
-            still = work.opened(rest)
-            if not still.isEmpty():
-                work.finish(still)
-            drop(still)
-        drop(anew)
+        work.finish(active)
     drop(active)
     drop(every)
     return work.roots
