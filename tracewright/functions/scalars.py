@@ -128,6 +128,40 @@ def human_bytes(n: Column) -> Column:
     return F.when(n >= 1e9, F.format_string("%.1f GB", n / 1e9)).when(n >= 1e6, F.format_string("%.0f MB", n / 1e6)).otherwise(F.format_string("%.0f kB", n / 1e3))
 
 
+#: What stands for a missing value in reports.
+NONE = "\u2014"
+
+
+def as_seconds(v: Column, places: int = 1) -> Column:
+    """'12.3s', a dash for null."""
+    return F.when(v.isNull(), NONE).otherwise(F.format_string(f"%.{places}fs", v.cast("double")))
+
+
+def as_percent(v: Column, places: int = 1) -> Column:
+    """'12.3%' of a share, a dash for null."""
+    return F.when(v.isNull(), NONE).otherwise(F.format_string(f"%.{places}f%%", v.cast("double") * 100))
+
+
+def as_int(v: Column) -> Column:
+    """the whole part, a dash for null."""
+    return F.coalesce(v.cast("bigint").cast("string"), F.lit(NONE))
+
+
+def speedup_text(base: Column, run: Column) -> Column:
+    """ratio and seconds saved, a dash where either is missing or the run took no time."""
+    saved = base - run
+    text = F.concat(F.format_string("%.2f\u00d7  (", base / run), F.when(saved >= 0, "+").otherwise(""), F.format_string("%.0fs)", saved.cast("double")))
+    return F.when(base.isNotNull() & (run > 0), text).otherwise(NONE)
+
+
+def route(kind: Column, routes: dict[str, str], default: str) -> Column:
+    """The executor of a resource type."""
+    out = F.lit(default)
+    for name, executor in routes.items():
+        out = F.when(kind == name, executor).otherwise(out)
+    return out
+
+
 def hideable(bytes_: Column, window: Column, rate: float = 2.78e9, spin_up: float = 120.0) -> Column:
     """whether a transfer fits in the window left after spin-up."""
     return bytes_ <= F.greatest(F.lit(0.0), window - spin_up) * rate

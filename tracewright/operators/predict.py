@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +54,24 @@ def starts_with(left: DataFrame, text: str, right: DataFrame, prefix: str) -> Da
     return asked.join(right, F.col("_key") == F.col(prefix)).drop("_key")
 
 
+def infer_workflow(history: DataFrame, current: DataFrame, by: list[str], classes: dict[str, str], default: str, current_first: bool = True) -> DataFrame:
+    """By, workflow: the class of the first name (by, ord, name) that has one; the names of the current calls before or, in the
+    other variant, after those of the history. Runs whose names have no class get the default."""
+    table = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
+    ranks = (1, 0) if current_first else (0, 1)
+    rows = reduce(DataFrame.unionByName, [d.select(*by, F.struct(F.lit(r).alias("rank"), "ord").alias("_at"), F.try_element_at(table, F.col("name")).alias("_cls")) for d, r in zip((history, current), ranks, strict=True)])
+    return rows.groupBy(*by).agg(F.coalesce(F.min_by("_cls", F.when(F.col("_cls").isNotNull(), F.col("_at"))), F.lit(default)).alias("workflow"))
+
+
+def triggered(events: DataFrame, by: list[str], order: list[str], rules: Sequence[tuple[str, Column, float, bool]]) -> DataFrame:
+    """Predictions that an adapter makes itself: for each rule (name, trigger, estimated load, once a run) a row at each of its
+    triggers, or at the first: confidence 1, no consumer."""
+    named = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("rule"), F.lit(name).alias("name"), F.lit(load).alias("estimated_load_s"), F.lit(once).alias("once"))) for k, (name, c, load, once) in enumerate(rules)]))
+    rows = events.withColumn("_r", F.explode(named)).select(*by, *order, "_r.*")
+    first = F.row_number().over(Window.partitionBy(*by, "rule").orderBy(*order))
+    return rows.withColumn("_n", first).where("not once or _n = 1").select(*by, *order, "name", "estimated_load_s", F.lit(1.0).alias("confidence"), F.lit("").alias("consumer_tool"))
+
+
 def learned_predict(by_plan: DataFrame, by_table: DataFrame, by_rule: DataFrame, key: list[str]) -> DataFrame:
     """The rows of the first signal that has any for a step: plan, table, rule."""
     stacked = None

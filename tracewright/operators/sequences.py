@@ -30,6 +30,14 @@ def transition_probs(pairs: DataFrame, min_count: int = 2) -> DataFrame:
     return out.withColumn("rank", rank.cast("long")).drop("first")
 
 
+def learn(df: DataFrame, by: list[str], order: list[str], item: str, kind: str, k: int = 3, min_count: int = 2) -> DataFrame:
+    """The learner over runs of mixed kinds (tools and models): kind, source, off, target, cnt, prob, rank. All elements count for
+    the offset, equal kinds alone pair; probabilities are rounded half to even at four places."""
+    both = df.withColumn("_item", F.struct(F.col(kind).alias("kind"), F.col(item).alias("name")))
+    table = transition_probs(pairs_within(both, by, order, "_item", k, kind), min_count)
+    return table.select(F.col("source.kind").alias("kind"), F.col("source.name").alias("source"), "off", F.col("target.name").alias("target"), "cnt", F.bround("prob", 4).alias("prob"), "rank")
+
+
 def transition_matrix(df: DataFrame, by: list[str], order: list[str], item: str, off: int = 1, min_count: int = 1) -> DataFrame:
     """Source, target, prob; rows are normalised after tools with few transitions (as a source) leave."""
     pairs = pairs_within(df, by, order, item, off).where(F.col("off") == off)

@@ -55,12 +55,48 @@ def learned_prediction(spark, d):
     return predict.learned_predict(plan, by_table, rule_prediction(spark, d).select("run_id", "ord", "rid"), ["run_id", "ord"]).select("run_id", "ord", "rid", "signal")
 
 
-@query(E[:-1] + """, m AS (SELECT run_id, ord, CASE WHEN kind = 'view' AND k < 20 THEN 'chat' WHEN kind = 'click' AND k > 80 THEN 'ensemble' END AS cls FROM e), f AS (SELECT run_id, min_by(cls, ord) FILTER (cls IS NOT NULL) AS cls FROM m GROUP BY run_id)
-SELECT run_id, coalesce(cls, 'graph') AS workflow FROM f""")
+@query(E[:-1] + """, c AS (SELECT run_id, ord, k >= 90 AS now, CASE kind WHEN 'view' THEN 'chat' WHEN 'error' THEN 'ensemble' END AS cls FROM e)
+SELECT run_id, coalesce(arg_min(cls, (NOT now, ord)) FILTER (cls IS NOT NULL), 'graph') AS current_first, coalesce(arg_min(cls, (now, ord)) FILTER (cls IS NOT NULL), 'graph') AS history_first FROM c GROUP BY run_id""")
 def infer_workflow(spark, d):
-    """The class of the first telling event, graph by default."""
-    cls = F.when((F.col("kind") == "view") & (F.col("k") < 20), "chat").when((F.col("kind") == "click") & (F.col("k") > 80), "ensemble")
-    return trace(spark, d).withColumn("cls", cls).groupBy("run_id").agg(F.coalesce(F.min_by("cls", F.when(F.col("cls").isNotNull(), F.col("ord"))), F.lit("graph")).alias("workflow"))
+    """The class of the first telling tool, in both orders of current calls (here k from 90 on) and history; graph by default."""
+    e = trace(spark, d).select("run_id", "ord", F.col("kind").alias("name"), "k")
+    found = [predict.infer_workflow(e.where("k < 90"), e.where("k >= 90"), BY, {"view": "chat", "error": "ensemble"}, "graph", first) for first in (True, False)]
+    return found[0].withColumnRenamed("workflow", "current_first").join(found[1].withColumnRenamed("workflow", "history_first"), "run_id")
+
+
+@query(E[:-1] + """, i AS (SELECT *, CASE WHEN kind IN ('signup', 'view', 'click') THEN 'tool' ELSE 'model' END AS type, row_number() OVER (PARTITION BY run_id ORDER BY t, ord) AS i FROM e),
+p AS (SELECT a.type, a.kind AS source, b.i - a.i AS off, b.kind AS target FROM i a JOIN i b ON a.run_id = b.run_id AND b.i - a.i BETWEEN 1 AND 3 AND a.type = b.type),
+n AS (SELECT *, count(*) AS cnt FROM p GROUP BY ALL)
+SELECT type, source, CAST(off AS INT) AS off, target, cnt, round_even(cnt / sum(cnt) OVER (PARTITION BY type, source, off), 4) AS prob FROM n QUALIFY cnt >= 2""")
+def learned_transitions(spark, d):
+    """Transitions of tools and models in one sequence, each among its own kind."""
+    e = trace(spark, d).withColumn("type", F.when(F.col("kind").isin("signup", "view", "click"), "tool").otherwise("model"))
+    return sequences.learn(e, BY, ORD, "kind", "type").select(F.col("kind").alias("type"), "source", "off", "target", "cnt", "prob")
+
+
+@query(E[:-1] + """, r AS (SELECT run_id, t, ord, kind, k, row_number() OVER (PARTITION BY run_id, kind ORDER BY t, ord) AS n FROM e)
+SELECT run_id, ord, 'cache' AS name, 130.0::DOUBLE AS estimated_load_s, 1.0::DOUBLE AS confidence, '' AS consumer_tool FROM r WHERE kind = 'signup' AND n = 1
+UNION ALL SELECT run_id, ord, 'worker', 120.0, 1.0, '' FROM r WHERE kind = 'view' AND n = 1 UNION ALL SELECT run_id, ord, 'pool', 120.0, 1.0, '' FROM r WHERE kind = 'error' AND k > 50""")
+def adapter_predictions(spark, d):
+    """Cache staging and worker boot once a run, a pool boot at each flip."""
+    kind = F.col("kind")
+    rules = [("cache", kind == "signup", 130.0, True), ("worker", kind == "view", 120.0, True), ("pool", (kind == "error") & (F.col("k") > 50), 120.0, False)]
+    return predict.triggered(trace(spark, d), BY, ORD, rules).drop("t")
+
+
+@query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'model' WHEN 'Brand#12' THEN 'staging' ELSE 'simulated' END AS executor FROM part")
+def executor_routes(spark, d):
+    """The executor of each resource by its type."""
+    return table(spark, d, "part").select("p_partkey", scalars.route(F.col("p_brand"), {"Brand#11": "model", "Brand#12": "staging"}, "simulated").alias("executor"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '—' ELSE printf('%.2fs', CAST(o_totalprice AS DOUBLE)) END AS seconds, CASE WHEN o_orderkey % 7 = 0 THEN '—' ELSE printf('%.1f%%', (o_orderkey % 1000) / 1000.0::DOUBLE * 100) END AS share, CASE WHEN o_orderkey % 5 = 0 THEN '—' ELSE CAST(CAST(trunc(o_totalprice) AS BIGINT) AS VARCHAR) END AS whole,
+  CASE WHEN o_orderkey % 5 = 0 THEN '—' ELSE printf('%.2f', o_custkey / 4.0::DOUBLE) || '×  (' || CASE WHEN o_custkey >= 4 THEN '+' ELSE '' END || printf('%.0fs)', CAST(o_custkey - 4 AS DOUBLE)) END AS speedup FROM orders""")
+def report_texts(spark, d):
+    """seconds, shares, counts and speedups as reports state them."""
+    o, gone = table(spark, d, "orders"), F.col("o_orderkey") % 5 == 0
+    price, share = F.when(~gone, F.col("o_totalprice")), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") % 1000 / 1000)
+    return o.select("o_orderkey", scalars.as_seconds(price, 2).alias("seconds"), scalars.as_percent(share).alias("share"), scalars.as_int(price).alias("whole"), scalars.speedup_text(F.when(~gone, F.col("o_custkey")), F.lit(4)).alias("speedup"))
 
 
 @query(E[:-1] + """, c AS (SELECT run_id, k % 12 AS g FROM e WHERE kind IN ('view', 'click') AND cents > 100), n AS (SELECT run_id, count(DISTINCT g) FILTER (g <> 0) + count(*) FILTER (g = 0) AS n FROM c GROUP BY run_id), r AS (SELECT DISTINCT run_id FROM e)
