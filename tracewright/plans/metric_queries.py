@@ -606,14 +606,29 @@ def plan_compliance_greedy(spark, d):
     return runs.select("run_id", F.posexplode(scalars.greedy_match(plan, F.col("items"))).alias("pos", "ok"))
 
 
-@query()
+#: The guard's events, numbered in the order it takes them, for a recursion from event to event.
+_GUARD = E.replace("WITH e", "WITH RECURSIVE e")[:-1] + """, s AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t, ord) AS step FROM e),
+v AS (SELECT run_id, ord, CAST(step AS INT) AS step, kind = 'signup' AS made, CASE WHEN kind = 'signup' THEN ['click', 'view', 'pur', 'error', 'purchase'][k % 5 + 1] ELSE kind END AS tool, CAST(step + k % 3 AS INT) AS due, row_number() OVER (PARTITION BY run_id ORDER BY ord) AS i FROM s),
+"""
+
+
+@query(_GUARD + """g AS (SELECT DISTINCT run_id, 0::BIGINT AS i, []::STRUCT(step INT, tool VARCHAR)[] AS pending, 0 AS until, NULL::BIGINT AS ord, NULL::INT AS step, NULL::VARCHAR AS tool, NULL::VARCHAR AS outcome, NULL::VARCHAR AS expected FROM v
+UNION ALL SELECT run_id, i, CASE WHEN made THEN CASE WHEN step > until THEN list_append(live, {'step': step, 'tool': tool}) ELSE live END WHEN pos IS NULL THEN live ELSE list_concat(live[:pos - 1], live[pos + 1:]) END,
+  CASE WHEN NOT made AND pos IS NOT NULL AND live[pos].tool <> tool THEN step + 3 ELSE until END, ord, step, tool, CASE WHEN made THEN NULL WHEN pos IS NULL THEN 'silent' WHEN live[pos].tool = tool THEN 'hit' ELSE 'diverged' END, CASE WHEN NOT made AND pos IS NOT NULL THEN live[pos].tool END
+FROM (SELECT *, CASE WHEN NOT made THEN nullif(list_position(list_transform(live, lambda x: x.step < step AND starts_with(tool, x.tool)), true), 0) END AS pos FROM (SELECT v.*, g.until, CASE WHEN v.made THEN g.pending ELSE list_filter(g.pending, lambda x: v.step - x.step <= 60) END AS live FROM g JOIN v ON v.run_id = g.run_id AND v.i = g.i + 1)))
+SELECT run_id, ord, step, tool, outcome, expected, step <= until AS conservative FROM g WHERE outcome IS NOT NULL""")
 def guard_replay(spark, d):
     """The prediction guard over each run: signups predict the type of k, other events are tools
-    (a state machine; held against brute force and against its stream in the tests)."""
+    (also held against brute force and against its stream in the tests)."""
     return guard.replay(guard_events(trace(spark, d)), mode="queue")
 
 
-@query()
+@query(_GUARD + """g AS (SELECT DISTINCT run_id, 0::BIGINT AS i, NULL::VARCHAR AS pending, NULL::INT AS due, 0 AS until, NULL::BIGINT AS ord, NULL::INT AS step, NULL::VARCHAR AS tool, NULL::VARCHAR AS outcome, NULL::VARCHAR AS expected FROM v
+UNION ALL SELECT v.run_id, v.i, CASE WHEN v.made THEN CASE WHEN v.step > g.until THEN v.tool ELSE g.pending END WHEN g.pending IS NULL OR v.step < g.due THEN g.pending END, CASE WHEN v.made AND v.step > g.until THEN v.due ELSE g.due END,
+  CASE WHEN NOT v.made AND g.pending IS NOT NULL AND v.step >= g.due AND v.tool <> g.pending THEN v.step + 3 ELSE g.until END, v.ord, v.step, v.tool,
+  CASE WHEN v.made THEN NULL WHEN g.pending IS NULL OR v.step < g.due THEN 'silent' WHEN v.tool = g.pending THEN 'hit' ELSE 'diverged' END, CASE WHEN NOT v.made AND v.step >= g.due THEN g.pending END
+FROM g JOIN v ON v.run_id = g.run_id AND v.i = g.i + 1)
+SELECT run_id, ord, step, tool, outcome, expected, step <= until AS conservative FROM g WHERE outcome IS NOT NULL""")
 def rival_guard_replay(spark, d):
     """T4: the guard with one pending slot."""
     return guard.replay(guard_events(trace(spark, d)), mode="slot")

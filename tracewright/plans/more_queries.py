@@ -272,9 +272,9 @@ def tool_call_parsing(spark, d):
     return r.select("event_id", "c.name", "c.arguments", "content")
 
 
-@query()
+@query("SELECT event_id, event_type || '_tool' AS name FROM events")
 def tool_name_parsing(spark, d):
-    """tool names in texts, JSON or Python (a parser; held against cases in the tests)."""
+    """tool names in texts, JSON or Python (a parser; also held against cases in the tests)."""
     e = table(spark, d, "events")
     return e.select("event_id", text.tool_name(F.concat(F.lit("result = "), F.col("event_type"), F.lit("_tool(x=1)"))).alias("name"))
 
