@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars
-from tracewright.operators import analyze, asof, intervals, lifecycle, metrics, predict, sequences
+from tracewright.operators import analyze, asof, intervals, lifecycle, metrics, predict, sequences, trials
 from tracewright.sources import sinks, traces
 from tracewright.streaming import guard
 
@@ -415,3 +415,26 @@ def test_first_overlap(spark):
     right = spark.createDataFrame([(1, 8, 9, "b"), (1, 2, 3, "a"), (1, 20, 26, "c"), (1, 21, 40, "d")], "k int, start int, end int, v string")
     got = {(r.k, r.start): r.v for r in intervals.first_overlap(left, right, ["k"], 5, "v").collect()}
     assert got == {(1, 0): "a", (1, 30): "c", (2, 0): None}
+
+
+def test_trial_rows(spark, tmp_path):
+    """A gated engine with its cache in time, a skip that was needed, a lone gate fetched by the adapter, a load from disk, and what was
+    consumed without a prefetch."""
+    engine = spec("E", 90.0, name="big", resource_type="vllm_model", consumer_tool="run")
+    cache, other = spec("C", 10.0, name="big", resource_type="model_cache"), spec("S", 30.0, consumer_tool="late_tool")
+    lines = [
+        ev(100, 1, "tool_call", tool="plan"), ev(100, 1, "prediction_result", resources=[engine, cache, other], predictor_id="m"), ev(101, 1, "prefetch_decision", resource_id="S", action="skip", reason="low"),
+        ev(102, 1, "prefetch_started", task_id="T1", resource_id="E"), ev(103, 1, "prefetch_started", task_id="T2", resource_id="C"), ev(140, 1, "prefetch_completed", task_id="T2", elapsed_s=20.0),
+        ev(150, 2, "aggregator_prefetch_start"), ev(160, 2, "tool_call", tool="late_tool"), ev(220, 2, "prefetch_completed", task_id="T1", elapsed_s=118.0), ev(220, 2, "worker_swap_wait", model="big", wait_s=60.0),
+        ev(300, 3, "aggregator_swap_wait", model="agg", wait_s=5.0, prefetch_started=True), ev(310, 3, "mace_load", model="mp", source="disk", duration_s=7.0), ev(320, 3, "resource_consumed", resource_id="X", status="no_prefetch"),
+    ]
+    (tmp_path / "t.jsonl").write_text("\n".join(lines) + "\n")
+    got = {(r["name"], r["type"]): r for r in trials.trial_rows(traces.load_events(spark, str(tmp_path / "t.jsonl"))).collect()}
+    e, c = got["big", "vllm_model"], got["big", "model_cache"]
+    assert (e.need_source, e.t_needed, e.exposure_s, e.window_s, e.stall_class, e.gate_group) == ("swap_wait", 60.0, 60.0, 60.0, "gpu_serialization_residual", "swap_wait:big:0")
+    assert (c.t_completed, c.lead_s, c.start_delay_s, c.gate_group, c.stall_class) == (23.0, 37.0, 3.0, "swap_wait:big:0", "residual_partial")
+    s = got["name-S", "mace_model"]
+    assert (s.outcome, s.exposure_s, s.t_needed, s.stall_class) == ("skipped", 30.0, 60.0, "policy_skip:low")
+    g = got["agg", "vllm_model"]
+    assert (g.outcome, g.t_started, g.t_needed, g.exposure_s, g.stall_class) == ("direct_prefetch", 50.0, 195.0, 5.0, "residual_partial")
+    assert (got["mp", "mace_model"].exposure_s, got["mp", "mace_model"].stall_class) == (7.0, "no_prediction") and got["X", ""].outcome == "no_prediction" and len(got) == 6

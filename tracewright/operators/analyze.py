@@ -16,7 +16,7 @@ from . import metrics
 
 _RESOURCE = "struct<resource_id:string,resource_type:string,name:string,estimated_load_s:double,estimated_size_bytes:double,confidence:double,cancellation_safe:boolean,consumer_tool:string>"
 #: Payload fields that the summaries read.
-FIELDS = f"task_id string, resource_id string, checkpoint_id string, hit boolean, wasted boolean, status string, elapsed_s double, estimated_load_s double, bytes_staged double, action string, tool string, model string, node string, run_id string, duration_s double, duration_steps bigint, wait_s double, source string, resources array<{_RESOURCE}>"
+FIELDS = f"task_id string, resource_id string, checkpoint_id string, hit boolean, wasted boolean, status string, elapsed_s double, estimated_load_s double, bytes_staged double, action string, tool string, model string, node string, run_id string, duration_s double, duration_steps bigint, wait_s double, source string, reason string, prefetch_scheduled boolean, prefetch_started boolean, on_demand_swap boolean, on_demand_start boolean, resources array<{_RESOURCE}>"
 #: Seconds of grace before a used task counts as late, and seconds between a tool and the stamps it makes.
 LATE, STAMP = 0.5, 0.25
 #: Chains whose time is reasoning, when none are named.

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import analyze
+from ..operators import analyze, trials
 from ..sources import scratch, sinks, traces
 from .base import BY, ORD, query, table, trace
 from .sequence_queries import _PAIRS
@@ -19,7 +19,7 @@ e AS (SELECT CAST(run AS VARCHAR) AS run_id, ord, 1000 + ord * 0.2::DOUBLE AS t,
   WHEN 'error' THEN CASE WHEN k < 50 THEN 'prefetch_cancelled' WHEN k < 75 THEN 'divergence_detected' ELSE 'conservative_mode' END
   ELSE CASE WHEN k < 50 THEN 'resource_consumed' WHEN k < 60 THEN 'worker_swap_wait' WHEN k < 70 THEN 'aggregator_swap_wait' ELSE 'tool_call' END END AS et,
   cents / 100.0::DOUBLE AS x, k / 10.0::DOUBLE AS elapsed, k % 2 = 0 AS even, CASE WHEN k % 3 = 0 THEN 'no_prefetch' ELSE 'used' END AS status, 'tool' || (k % 5) AS tool,
-  CASE WHEN k % 10 = 3 THEN 'aggregator3' ELSE 'name' || (k % 10) END AS name, CASE WHEN k % 10 < 5 THEN 'vllm_model' ELSE 'dataset' END AS type, CASE WHEN k % 3 > 0 THEN cents * 10000.0::DOUBLE END AS size, CASE WHEN k % 4 = 0 THEN cents * 1000.0::DOUBLE END AS staged
+  CASE WHEN k % 10 = 3 THEN 'aggregator3' ELSE 'name' || (k % 10) END AS name, CASE WHEN k % 10 < 5 THEN 'vllm_model' ELSE 'dataset' END AS type, CASE WHEN k % 3 > 0 THEN cents * 10000.0::DOUBLE END AS size, CASE WHEN k % 4 = 0 THEN cents * 1000.0::DOUBLE END AS staged, 'r' || (k % 3) AS reason, even AND k % 3 <> 0 AS direct
   FROM e0)
 """
 
@@ -38,13 +38,15 @@ def events_of(spark, d):
     task, resource, x = F.concat(F.lit("T"), (k % 40).cast("string")), F.concat(F.lit("R"), (k % 10).cast("string")), F.col("cents") / 100
     predicted = F.array(F.struct(
         resource.alias("resource_id"), F.when(k % 10 == 3, "aggregator3").otherwise(F.concat(F.lit("name"), (k % 10).cast("string"))).alias("name"), F.when(k % 10 < 5, "vllm_model").otherwise("dataset").alias("resource_type"),
-        x.alias("estimated_load_s"), F.when(k % 3 > 0, F.col("cents") * 10000.0).alias("estimated_size_bytes"), (k % 2 == 0).alias("cancellation_safe")))
+        x.alias("estimated_load_s"), F.when(k % 3 > 0, F.col("cents") * 10000.0).alias("estimated_size_bytes"), (k % 2 == 0).alias("cancellation_safe"), F.concat(F.lit("tool"), (k % 5).cast("string")).alias("consumer_tool"), (k / 100).alias("confidence")))
+    waits = is_("worker_swap_wait", "aggregator_swap_wait")
     fields = {
         "task_id": F.when(is_("prefetch_started", "prefetch_completed", "prefetch_cancelled", "resource_consumed"), task),
         "resource_id": F.when(is_("prefetch_started", "prefetch_decision", "resource_consumed"), resource),
         "resources": F.when(is_("prediction_result"), predicted), "estimated_load_s": F.when(is_("prefetch_decision"), x), "action": F.when(is_("prefetch_decision"), F.when(k % 2 == 0, "start").otherwise("skip")),
         "hit": F.when(is_("prediction_validated"), k % 2 == 0), "wasted": F.when(is_("prefetch_cancelled"), k % 2 == 0), "elapsed_s": F.when(is_("prefetch_completed"), k / 10), "bytes_staged": F.when(is_("prefetch_completed") & (k % 4 == 0), F.col("cents") * 1000.0),
-        "status": F.when(is_("resource_consumed"), F.when(k % 3 == 0, "no_prefetch").otherwise("used")), "wait_s": F.when(is_("worker_swap_wait", "aggregator_swap_wait"), x), "tool": F.when(is_("tool_call"), F.concat(F.lit("tool"), (k % 5).cast("string"))), "duration_steps": F.when(is_("conservative_mode"), F.lit(3)), "k": k,
+        "status": F.when(is_("resource_consumed"), F.when(k % 3 == 0, "no_prefetch").otherwise("used")), "wait_s": F.when(is_("worker_swap_wait", "aggregator_swap_wait"), x), "tool": F.when(is_("tool_call"), F.concat(F.lit("tool"), (k % 5).cast("string"))), "duration_steps": F.when(is_("conservative_mode"), F.lit(3)), "k": k, "reason": F.when(is_("prefetch_decision"), F.concat(F.lit("r"), (k % 3).cast("string"))),
+        "model": F.when(waits, F.when(k % 10 == 3, "aggregator3").otherwise(F.concat(F.lit("name"), (k % 10).cast("string")))), "prefetch_scheduled": F.when(is_("worker_swap_wait"), k % 2 == 0), "prefetch_started": F.when(is_("aggregator_swap_wait"), k % 2 == 0), "on_demand_swap": F.when(is_("worker_swap_wait"), k % 3 == 0), "on_demand_start": F.when(is_("aggregator_swap_wait"), k % 3 == 0),
     }
     rows = e.select(F.col("run_id").cast("string").alias("run_id"), "place", (k % 10).cast("int").alias("step"), (1000 + F.col("place") * 0.2).alias("epoch_time"), kind.alias("event_type"), "k", "cents")
     return rows.select("run_id", "place", "step", "epoch_time", "event_type", F.struct(*[c.alias(n) for n, c in fields.items()]).alias("payload"))
@@ -154,6 +156,28 @@ def run_bytes(spark, d):
     return evaluated(spark, d).select("run_id", "useful_bytes", "wasted_bytes", "cancelled_bytes", "byte_source", "n_wasted_noncancellable", "n_wrong_after", F.round("speculative_read_s", 4).alias("speculative_read_s"), "conservative_steps")
 
 
+@query(_TASKS + """, fp AS (SELECT run_id, resource, min_by({'t': t, 'name': name, 'type': type, 'est': x, 'cons': tool}, (t, ord)) AS p FROM e WHERE et = 'prediction_result' GROUP BY ALL),
+fd AS (SELECT run_id, resource, min_by({'t': t, 'even': even, 'reason': reason, 'est': x}, (t, ord)) AS d FROM e WHERE et = 'prefetch_decision' GROUP BY ALL),
+g0 AS (SELECT run_id, name, t AS t_exit, x AS wait, CASE et WHEN 'worker_swap_wait' THEN 'swap_wait' ELSE 'agg_wait' END AS gate, et <> 'worker_swap_wait' AS agg, row_number() OVER (PARTITION BY run_id, et ORDER BY ord) - 1 AS n, direct FROM e WHERE et IN ('worker_swap_wait', 'aggregator_swap_wait')),
+gt AS (SELECT *, gate || ':' || name || ':' || n AS grp FROM g0),
+ta AS (SELECT cl.*, coalesce(m.name, substr(rid, 1, 12)) AS name, coalesce(m.type, '') AS type, fp.p, fd.d FROM cl LEFT JOIN fp ON fp.run_id = cl.run_id AND fp.resource = cl.rid LEFT JOIN fd ON fd.run_id = cl.run_id AND fd.resource = cl.rid),
+tg AS (SELECT ta.run_id, ta.task, coalesce(min_by({'grp': grp, 'gate': gate, 'need': t_exit - wait, 'wait': wait}, (t_exit, agg, n)) FILTER (t_exit >= st - 1), max_by({'grp': grp, 'gate': gate, 'need': t_exit - wait, 'wait': wait}, (t_exit, agg, n))) AS g FROM ta JOIN gt ON gt.run_id = ta.run_id AND gt.name = ta.name WHERE ta.type = 'vllm_model' GROUP BY ALL),
+nd AS (SELECT fp.run_id, fp.resource, min(e.t) AS need FROM fp JOIN e ON e.run_id = fp.run_id AND e.et = 'tool_call' AND e.tool = fp.p.cons AND e.t >= fp.p.t GROUP BY ALL),
+t1 AS (SELECT ta.*, tg.g, nd.need AS called FROM ta LEFT JOIN tg USING (run_id, task) LEFT JOIN nd ON nd.run_id = ta.run_id AND nd.resource = ta.rid),
+mk AS (SELECT run_id, rid AS resource, name, type, outcome, CASE WHEN g IS NOT NULL THEN g.gate WHEN us IS NOT NULL THEN 'consumed' WHEN called IS NOT NULL THEN 'consumer_tool_call' ELSE 'none' END AS need_source, CASE WHEN g IS NOT NULL THEN g.need WHEN us IS NOT NULL THEN us ELSE called END AS need, CASE WHEN g IS NOT NULL THEN g.wait WHEN us IS NOT NULL OR called IS NOT NULL THEN CASE WHEN done IS NOT NULL THEN greatest(0, done - coalesce(us, called)) END ELSE 0 END AS exposure,
+  coalesce(p.t, st) AS predicted, st, el AS transfer, m.est AS est, coalesce(d.reason, '') AS reason, coalesce(g.grp, '') AS grp FROM t1),
+sk AS (SELECT fd.run_id, fd.resource, CASE WHEN fp.p IS NULL THEN substr(fd.resource, 1, 12) ELSE fp.p.name END AS name, coalesce(fp.p.type, '') AS type, 'skipped' AS outcome, CASE WHEN nd.need IS NOT NULL THEN 'consumer_tool_call' ELSE 'none' END AS need_source, nd.need, CASE WHEN nd.need IS NOT NULL THEN CASE WHEN coalesce(fp.p.est, 0) <> 0 THEN fp.p.est ELSE fd.d.est END ELSE 0 END AS exposure, fp.p.t AS predicted, NULL AS st, NULL AS transfer, NULL AS est, fd.d.reason, '' AS grp
+  FROM fd LEFT JOIN fp USING (run_id, resource) LEFT JOIN nd USING (run_id, resource) WHERE NOT fd.d.even AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.run_id = fd.run_id AND cl.rid = fd.resource)),
+lo AS (SELECT run_id, '' AS resource, name, 'vllm_model' AS type, CASE WHEN direct THEN 'direct_prefetch' ELSE 'no_prediction' END AS outcome, gate AS need_source, t_exit - wait AS need, wait AS exposure, NULL AS predicted, NULL AS st, NULL AS transfer, NULL AS est, '' AS reason, grp FROM gt WHERE NOT EXISTS (SELECT 1 FROM mk WHERE mk.run_id = gt.run_id AND mk.grp = gt.grp)),
+ba AS (SELECT e.run_id, e.resource, CASE WHEN fp.p IS NULL THEN substr(e.resource, 1, 12) ELSE fp.p.name END AS name, coalesce(fp.p.type, '') AS type, 'no_prediction' AS outcome, 'consumed' AS need_source, e.t AS need, fp.p.est AS exposure, NULL AS predicted, NULL AS st, NULL AS transfer, NULL AS est, '' AS reason, '' AS grp FROM e LEFT JOIN fp USING (run_id, resource) WHERE et = 'resource_consumed' AND status = 'no_prefetch' AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.run_id = e.run_id AND cl.rid = e.resource AND cl.us IS NOT NULL)),
+al AS (SELECT *, need - predicted AS w, CASE WHEN coalesce(transfer, 0) <> 0 THEN transfer ELSE coalesce(est, 0) END + CASE WHEN type = 'vllm_model' THEN 30 ELSE 0 END AS full_load, st - predicted AS delay FROM (SELECT * FROM mk UNION ALL SELECT * FROM sk UNION ALL SELECT * FROM lo UNION ALL SELECT * FROM ba))
+SELECT run_id, resource, name, type, outcome, need_source, round(exposure, 4) AS exposure_s, round(w, 4) AS window_s, CASE WHEN coalesce(exposure, 0) <= 0.1 THEN '' WHEN outcome = 'no_prediction' THEN 'no_prediction' WHEN outcome = 'skipped' THEN 'policy_skip:' || reason WHEN outcome = 'direct_prefetch' THEN 'residual_partial' WHEN w IS NULL THEN 'unattributed' WHEN w < 15 THEN 'no_window' WHEN w < full_load THEN 'window_too_small' WHEN w - delay < full_load THEN 'late_start' ELSE 'residual_partial' END AS stall_class FROM al""")
+def trial_rows(spark, d):
+    """What each run fetched, skipped and missed."""
+    got = trials.trial_rows(written(spark, d), consumers=consumers(spark, d))
+    return got.select("run_id", "resource", "name", "type", "outcome", "need_source", F.round("exposure_s", 4).alias("exposure_s"), F.round("window_s", 4).alias("window_s"), "stall_class")
+
+
 # --- run trees, tables, registries ------------------------------------------------------------------------------------
 
 

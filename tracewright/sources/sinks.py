@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.sets import stacked
+
 
 def append_events(events: DataFrame, path: str) -> None:
     """K1: one JSON line an event; a batch is added whole or not at all, by Spark's commit protocol."""
@@ -20,7 +20,7 @@ def append_csv(df: DataFrame, path: str) -> None:
 
 def union_rows(*frames: DataFrame) -> DataFrame:
     """The union of rows and of columns, columns in order of first sight."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked(*frames)
 
 
 def write_table(df: DataFrame, path: str) -> None:
