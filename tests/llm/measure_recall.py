@@ -35,7 +35,7 @@ def main(folder):
     marks = np.array([np.frombuffer(sketch(s), np.uint8) for s in sets]).reshape(-1, BINS)
     a, b = np.array(links).T
     shared = (keys[a] == keys[b]).any(1)
-    near = may_be_near(marks[a], marks[b], linededup.PERCENT)
+    near = may_be_near(marks[a].T.copy(), marks[b].T.copy(), linededup.PERCENT)
     root = list(range(len(lines)))
 
     def find(x):

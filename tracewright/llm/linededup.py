@@ -96,17 +96,30 @@ def band_keys(lines: list[bytes]) -> np.ndarray:
     return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    out = (a ^ (a >> U64(31))) * U64(0x9E3779B97F4A7C15) + (b ^ (b >> U64(29))) * U64(0xD6E8FEB86659FD93) + U64(width)
+    out ^= out >> U64(32)
+    return out
+
+
+def _first(points: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of ``width`` characters, a power of two."""
+    out = points.astype(U64) + U64(1)
+    for k in range(width.bit_length() - 1):
+        out = _joined(out[: len(out) - (1 << k)], out[1 << k :], 1 << k)
+    return out
+
+
 def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each normalised line's shingles."""
     out: list[np.ndarray] = []
     for k, end in _slices(lines):
         points, start, stop = _spread(lines[k:end])
-        hashed = np.zeros(len(points) - SHINGLE + 1, U64)
-        for step in range(SHINGLE):
-            hashed += points[step : step + len(hashed)]
-            hashed += U64(1)
-            hashed *= U64(0x9E3779B97F4A7C15)
-            hashed ^= hashed >> U64(29)
+        hashed, width = points.astype(U64) + U64(1), 1
+        while width < SHINGLE:  # of twice as many characters, then of the rest
+            more = min(width, SHINGLE - width)
+            hashed = _joined(hashed[: len(hashed) - more], hashed[more:] if more == width else _first(points, more)[width:], width)
+            width += more
         out += [np.unique(hashed[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
     return out
 

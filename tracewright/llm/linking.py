@@ -32,7 +32,9 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """For sorted distinct arrays; an empty set is similar to nothing."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    together = np.concatenate((a, b))
+    together.sort()
+    both = np.count_nonzero(together[1:] == together[:-1])
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -47,11 +49,10 @@ def sketch(items: np.ndarray) -> bytes:
 
 
 def may_be_near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """For rows of sketches: whether they leave room for the similarity."""
-    used = ((a > 0) | (b > 0)).sum(1)
-    equal = ((a == b) & (a > 0)).sum(1)
-    p = percent / 100
-    return equal >= used * p - SHORT * np.sqrt(used * p * (1 - p))
+    """For sketches, a column each: whether they leave room for the similarity."""
+    count = lambda x: x.view(np.uint8).sum(0, dtype=np.uint8).astype(np.float64)  # noqa: E731  BINS fits a byte
+    used, p = count((a | b) > 0), percent / 100
+    return count((a == b) & (a > 0)) >= used * p - SHORT * np.sqrt(used * p * (1 - p))
 
 
 def _chunks(sizes: list[int], most: int = 4 << 20):
@@ -137,7 +138,7 @@ class Linker:
         def run(t: pa.Table) -> pa.Table:
             t = t.sort_by([("key", "ascending"), ("node", "ascending")])
             key, size, node = np.array(t["key"]), np.array(t["size"]), t["node"].combine_chunks()
-            marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+            marks = np.ascontiguousarray(np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS).T)
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for lag in range(1, len(key)):
                 at = np.flatnonzero(key[lag:] == key[:-lag])
@@ -145,7 +146,7 @@ class Linker:
                     break
                 x, y = size[at], size[at + lag]
                 at = at[100 * np.minimum(x, y) >= percent * np.maximum(x, y)]
-                at = at[may_be_near(marks[at], marks[at + lag], percent)]
+                at = at[may_be_near(marks[:, at], marks[:, at + lag], percent)]
                 left.append(at)
                 right.append(at + lag)
             a, b = np.concatenate(left), np.concatenate(right)
@@ -174,15 +175,15 @@ class Linker:
             i, j, of = t["i"][0].as_py(), t["j"][0].as_py(), t["of"][0].as_py()
             own, cls, size, node = np.array(t["own"]), np.array(t["cls"]), np.array(t["size"]), t["node"].to_pylist()
             _, root = np.unique(np.array([r.hex() for r in t["root"].to_pylist()]), return_inverse=True)
-            marks = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
+            marks = np.ascontiguousarray(np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, BINS).T)
             left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            pairs = []
+            theirs, pairs = np.ascontiguousarray(marks[:, right]), []
             for p in left.tolist():
-                q = right if i != j else right[right > p]
-                q = q[(root[q] != root[p]) & (np.minimum(cls[q], cls[p]) == of) & (100 * np.minimum(size[q], size[p]) >= percent * np.maximum(size[q], size[p]))]
-                q = q[may_be_near(np.broadcast_to(marks[p], (len(q), BINS)), marks[q], percent)]
-                if len(q):
-                    pairs.append((p, q))
+                q = (root[right] != root[p]) & (np.minimum(cls[right], cls[p]) == of) & (100 * np.minimum(size[right], size[p]) >= percent * np.maximum(size[right], size[p]))
+                if i == j:
+                    q &= right > p
+                if q.any() and (q := q & may_be_near(marks[:, p : p + 1], theirs, percent)).any():
+                    pairs.append((p, right[q]))
             found: list[tuple[bytes, bytes]] = []
             if pairs:
                 need = np.unique(np.concatenate([np.append(q, p) for p, q in pairs])).tolist()
