@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import MAX, U64, cut, per_doc, prefix_hash, shares, sliding, span_hash, spans_of, text_buffer, text_bytes
+from .common import MAX, U64, cut, mix, per_doc, prefix_hash, shares, sliding, span_hash, spans_of, text_buffer, text_bytes
 
 WINDOW, KEY = 50, 20
 #: Starts of the windows around a place, and bytes left and right of its start.
@@ -68,7 +68,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.
     edge = np.zeros(STARTS - 1, U64)
     most = sliding(np.concatenate([edge, least, edge]), STARTS, np.maximum)[:n]
     chosen = np.flatnonzero((key == most) & (most > 0))
-    return chosen, key[chosen]
+    return chosen, mix(key[chosen])  # least ones are small: mixed again, they spread over the buckets
 
 
 class Group:
