@@ -23,7 +23,7 @@ from .common import U64, cut, drop, release
 from .components import add_edges, label
 
 #: Nodes of a small bucket at most; rows of a block beyond that; rows of small buckets that a group holds.
-LARGE, BLOCK, PACK = 32, 256, 20_000
+LARGE, BLOCK, PACK = 32, 256, 4_000
 #: Bins of a sketch, and by how many standard deviations its count of equal bins may fall short: 1e-8 of pairs at 0.75 do.
 BINS, SHORT = 128, 5.5
 
