@@ -1,6 +1,8 @@
 """Plain versions of the contracts over lists of (doc_id, text), for small fixtures."""
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -186,3 +188,77 @@ def unigram(docs):
     c = Counter(x for h, w in zip(held, tokens) if not h for x in w)
     n, v = sum(c.values()), len(c)
     return [(i, h, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for (i, _), h, w in zip(docs, held, tokens)]
+
+
+def similar(docs, shingle=4, percent=85):
+    """op11."""
+    sets = []
+    for i, t in docs:
+        w = W.findall(low(t))
+        sets.append((i, {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} if len(w) >= shingle else {tuple(w)} if w else set()))
+    component = list(range(len(sets)))
+    for a, (_, s) in enumerate(sets):
+        for b in range(a):
+            r = sets[b][1]
+            if s and r and 100 * len(s & r) >= percent * len(s | r):
+                component = [component[b] if c == component[a] else c for c in component]
+    ids = lambda c: [i for (i, _), x in zip(sets, component) if x == c and i is not None]
+    return [(i, len(s), min(ids(c), default=None)) for (i, s), c in zip(sets, component)]
+
+
+def clusters(vectors, k=16, rounds=3):
+    """op12."""
+    kept = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    centroids = [v for _, v in sorted(kept, key=lambda r: (sha(f"1:{r[0]}"), r[1]))[:k]]
+    gap = lambda v, c: sum((x - y) ** 2 for x, y in zip(v, c))
+    for r in range(rounds + 1):
+        own = [min((gap(v, c), n) for n, c in enumerate(centroids)) for _, v in kept]
+        if r < rounds:
+            mine = [[v for (_, v), (_, n) in zip(kept, own) if n == c] for c in range(len(centroids))]
+            centroids = [[sum(x) // len(m) for x in zip(*m)] if m else c for m, c in zip(mine, centroids)]
+    return [(i, n, d, sum(x for x, y in own if y == n), sum(x for x, _ in own), sha(",".join(map(str, centroids[n])))) for (i, _), (d, n) in zip(kept, own)]
+
+
+def alignment(docs, a_path, b_path):
+    """op13, with the libraries' own encoders and by byte ranges."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    side_a, side_b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+    side_a.encode_special_tokens = True
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    piece = lambda p: bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+
+    def ranges(tokens):
+        ends = list(itertools.accumulate(map(len, tokens)))
+        return list(zip([0, *ends], ends))
+
+    out, counts = [], Counter()
+    for i, t in docs:
+        a = side_a.encode(" " + (t or ""), add_special_tokens=False).ids if t else []
+        b = side_b.encode(t) if t else []
+        of_a = [bytes(letter[c] for c in side_a.id_to_token(x)) for x in a]
+        of_b = [piece(side_b.IdToPiece(x)) for x in b]
+        if not t or b"".join(of_a) != (" " + t).encode() or b"".join(of_b) != (" " + t).encode():
+            out.append((i, [], [], [], []))
+            continue
+        ra, rb = ranges(of_a), ranges(of_b)
+        links, start = [], 0
+        for x, (s, e) in enumerate(ra):
+            while rb[start][1] <= s:
+                start += 1
+            y = start
+            while y < len(rb) and rb[y][0] < e:
+                links.append((a[x], b[y]))
+                y += 1
+        cuts = sorted({e for _, e in ra} & {e for _, e in rb})
+        ga, gb = ([bisect.bisect_left([e for _, e in r], c) + 1 for c in cuts] for r in (ra, rb))
+        groups = [(a[p:x], b[q:y]) for p, x, q, y in zip([0, *ga], ga, [0, *gb], gb)]
+        counts.update(links)
+        out.append((i, a, b, groups, links))
+    best = {}
+    for (_, b), n in counts.items():
+        best[b] = max(best.get(b, 0), n)
+    text = lambda g: ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in g)
+    return [(i, len(a), len(b), len(g), len(n), sum(counts[x] == best[x[1]] for x in n), sum(counts[x] for x in n), sha(text(g)) if g else "") for i, a, b, g, n in out]

@@ -68,3 +68,32 @@ l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS here FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.here),
 m AS (SELECT doc_id, min(here) AS component_id FROM r GROUP BY doc_id)
 SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""
+
+SIMILAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), " + _AZ + ")")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS here FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.here),
+m AS (SELECT doc_id, min(here) AS component_id FROM r GROUP BY doc_id)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)"""
+
+
+def _round(r: int) -> str:
+    """Assignment under the centroids of round ``r``, and the centroids of the next round."""
+    return f"""
+d{r} AS (SELECT vec_id, c, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM x JOIN c{r} USING (i) GROUP BY vec_id, c),
+a{r} AS (SELECT vec_id, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1),
+c{r + 1} AS (SELECT c, i, coalesce(m, y) AS y FROM c{r} LEFT JOIN (SELECT c, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m FROM (SELECT c, i, sum(x) AS s, count(*) AS n FROM x JOIN a{r} USING (vec_id) GROUP BY c, i)) USING (c, i))"""
+
+
+CLUSTERS = f"""
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)),
+s AS (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM k QUALIFY c < 16),
+x AS (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM k),
+c0 AS (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS y FROM s),{",".join(_round(r) for r in range(4))},
+h AS (SELECT c, sha256(string_agg(y, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN h USING (c)"""

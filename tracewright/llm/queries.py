@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, linededup, lm, neardup, oracles, pii, quality, recompress, suffix, urls
+from . import alignment, bpe, decontaminate, kmeans, linededup, lm, neardup, oracles, pii, quality, recompress, suffix, tokengroups, urls
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_minhash(spark, sf_dir):
     return neardup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark, sf_dir):
+    return tokengroups.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_ball_kmeans(spark, sf_dir):
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark, sf_dir):
+    return alignment.alignments(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline  # it imports this subpackage
 
@@ -57,8 +69,8 @@ def pipeline(spark, sf_dir):
 
 
 def queries():
-    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_substring, op4_decontamination, op5_suffix, op6_lm, op7_quality, op8_urls, op9_bpe, op10_minhash)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_line_dedup, op2_pii, op3_substring, op4_decontamination, op5_suffix, op6_lm, op7_quality, op8_urls, op9_bpe, op10_minhash, op11_jaccard_join, op12_ball_kmeans, op13_alignment)}
 
 
 def oracle_sql():
-    return {"op3_substring": oracles.SUBSTRING, "op4_decontamination": oracles.DECONTAMINATION, "op7_quality": oracles.QUALITY, "op8_urls": oracles.URLS, "op10_minhash": oracles.NEAR}
+    return {"op3_substring": oracles.SUBSTRING, "op4_decontamination": oracles.DECONTAMINATION, "op7_quality": oracles.QUALITY, "op8_urls": oracles.URLS, "op10_minhash": oracles.NEAR, "op11_jaccard_join": oracles.SIMILAR, "op12_ball_kmeans": oracles.CLUSTERS}
