@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import scalars
-from tracewright.operators import analyze, asof, intervals, lifecycle, metrics, predict, sequences, trials
+from tracewright.operators import analyze, asof, intervals, lifecycle, metrics, ordering, predict, sequences, trials
 from tracewright.sources import sinks, traces
 from tracewright.streaming import guard
 
@@ -190,9 +190,9 @@ def test_moving_average_median_cdf_idle(spark):
     s = spark.createDataFrame([(1, 1, 3), (1, 2, 6), (1, 3, 9), (2, 1, 4)], "k int, o int, v int")
     assert [r.smooth for r in metrics.moving_average(s, ["k"], ["o"], "v").orderBy("k", "o").collect()] == [3, 6, 5, 4]
     m = spark.createDataFrame([(1, v, i) for i, v in enumerate((10, 20, 30, 40))], "k int, v int, i int")
-    assert metrics.upper_median(m, ["k"], "v", "i").first().v == 30
+    assert ordering.upper_median(m, ["k"], "v", "i").first().v == 30
     c = spark.createDataFrame([(1, v, i) for i, v in enumerate((5, 5, 7))], "k int, v int, i int")
-    assert sorted(round(r.cdf, 6) for r in metrics.empirical_cdf(c, ["k"], "v", "i").collect()) == [0.333333, 0.666667, 1.0]
+    assert sorted(round(r.cdf, 6) for r in ordering.empirical_cdf(c, ["k"], "v", "i").collect()) == [0.333333, 0.666667, 1.0]
     g = spark.createDataFrame([(1, 0, 0, 0, 10, 20), (1, 2, 0, 0, 10, 30), (1, 5, 50, 0, 20, 30)], "k int, t int, a int, b int, x int, y int")
     r = metrics.idle_stats(g, ["k"], "t", "t", ["a", "b"], ["x", "y"]).first()
     assert (r.idle, r.idle_fraction, r.mean_util, r.peak_mem) == (2, 0.4, 12.5, 50)
@@ -397,7 +397,7 @@ def test_transitions_reload(spark, tmp_path):
 
 def test_places_and_prefixes_of_empty_tables(spark):
     none = spark.createDataFrame([], "a string, b long")
-    assert predict.placed(none, [F.col("b")]).count() == 0
+    assert ordering.placed(none, [F.col("b")]).count() == 0
     assert predict.starts_with(none, "a", none.select(F.col("a").alias("p")), "p").count() == 0
     two = spark.createDataFrame([("abc", 1), (None, 2), ("ab", 3)], "a string, b long")
     p = spark.createDataFrame([("ab",), ("abc",), ("x",), (None,)], "p string")

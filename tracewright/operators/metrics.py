@@ -62,19 +62,6 @@ def calibration(df: DataFrame, confidence: str, hit: str, edges=(0.0, 0.5, 0.6,
     return rows.groupBy(F.col("_b.low").alias("low"), F.col("_b.mid").alias("mid")).agg(F.avg(F.col(hit).cast("int")).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
 
 
-def empirical_cdf(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
-    """(i + 1) / n in value order; ties keep their own steps."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("cdf", F.row_number().over(w.orderBy(value, tie)) / F.count(F.lit(1)).over(w))
-
-
-def upper_median(df: DataFrame, by: list[str], value: str, tie: str) -> DataFrame:
-    """The row at place n // 2 (from 0) in value order."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("_r", F.row_number().over(w.orderBy(value, tie))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return rows.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).drop("_r", "_n")
-
-
 def idle_stats(df: DataFrame, by: list[str], t: str, ord_: str, utils: list[str], mems: list[str]) -> DataFrame:
     """Idle time (all utilisations exactly 0), span, mean utilisation, peak total memory; a sample's time is that since
     the one before, so the first has none and does not count."""

@@ -81,15 +81,6 @@ def learned_predict(by_plan: DataFrame, by_table: DataFrame, by_rule: DataFrame,
     return stacked.withColumn("_first", F.min("signal").over(Window.partitionBy(*key))).where("signal = _first").drop("_first")
 
 
-def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """L1, L2: each row's place (from 1) in a total order, without one task for all rows: rows are dealt by ranges of the order,
-    numbered inside each range, and the ranges' counts, a row a partition, give where each range starts."""
-    rows = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return rows.join(F.broadcast(starts), "_p").withColumn(name, (F.col("_before") + F.col("_r")).cast("bigint")).drop("_p", "_r", "_before")
-
-
 def order_key(c: Column, names: Sequence[str]) -> Column:
     """L1, L2: place in a fixed order; unknown ones come last."""
     out = F.lit(len(names))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import placed_within, with_previous
+
 
 def pairs_within(df: DataFrame, by: list[str], order: list[str], item: str, k: int, kind: str | None = None) -> DataFrame:
     """Source, target, off, ord (source's order struct) for offsets 1..k; with ``kind`` only equal kinds pair,
@@ -38,6 +42,33 @@ def learn(df: DataFrame, by: list[str], order: list[str], item: str, kind: str,
     return table.select(F.col("source.kind").alias("kind"), F.col("source.name").alias("source"), "off", F.col("target.name").alias("target"), "cnt", F.bround("prob", 4).alias("prob"), "rank")
 
 
+def counts_of(df: DataFrame, by: list[str], order: list[str], item: str, k: int = 3, part: int = 0) -> DataFrame:
+    """Source, off, target, cnt, first of one batch of traces: what a stored table of counts takes up. ``part`` is the batch's number, so
+    that the first occurrence over batches is that of the earliest."""
+    pairs = pairs_within(df, by, order, item, k)
+    return pairs.groupBy("source", "off", "target").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct(F.lit(part).alias("part"), F.col("ord").alias("ord"))).alias("first"))
+
+
+def merged_counts(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The counts of all traces so far: old traces are not read again."""
+    return stored.unionByName(new).groupBy("source", "off", "target").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+
+
+def ranked_counts(counts: DataFrame, min_count: int = 2) -> DataFrame:
+    """A29, L3 from counts: source, off, target, cnt, prob, rank."""
+    w = Window.partitionBy("source", "off")
+    out = counts.withColumn("prob", F.col("cnt") / F.sum("cnt").over(w)).where(F.col("cnt") >= min_count)
+    return out.withColumn("rank", F.row_number().over(w.orderBy(F.desc("cnt"), "first")).cast("long")).drop("first")
+
+
+def updated_table(table: DataFrame, stored: DataFrame, new: DataFrame, min_count: int = 2) -> DataFrame:
+    """The transition table after more traces: sources and offsets of which ``new`` counts nothing keep their rows; the others are ranked
+    anew from their merged counts."""
+    touched = new.select("source", "off").distinct()
+    fresh = ranked_counts(merged_counts(stored.join(touched, ["source", "off"], "left_semi"), new), min_count)
+    return table.join(touched, ["source", "off"], "left_anti").unionByName(fresh)
+
+
 def transition_matrix(df: DataFrame, by: list[str], order: list[str], item: str, off: int = 1, min_count: int = 1) -> DataFrame:
     """Source, target, prob; rows are normalised after tools with few transitions (as a source) leave."""
     pairs = pairs_within(df, by, order, item, off).where(F.col("off") == off)
@@ -59,8 +90,59 @@ def step_consistency(df: DataFrame, by: list[str], order: list[str], item: str,
 
 def collapse(df: DataFrame, by: list[str], order: list[str], item: str) -> DataFrame:
     """Rows whose item differs from the one before."""
-    before = F.lag(item).over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col(item))).drop("_before")
+    rows = with_previous(df, by, order, item, "_before")
+    return rows.where(F.col("_before").isNull() | (F.col("_before") != F.col(item))).drop("_before")
+
+
+def fingerprints(df: DataFrame, by: list[str], order: list[str], item: str) -> DataFrame:
+    """By, steps, print: equal for runs of equal items in equal order (128 bits). Each row's hash hangs on its item and its
+    place, and hashes combine by exclusive or, so parts of a run are summed up wherever they are and no task or row holds a run."""
+    rows = placed_within(df.select(*by, *order, item), by, order, "_at")
+    hashes = [F.bit_xor(F.xxhash64(F.lit(seed), "_at", item)) for seed in (1, 2)]
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("steps"), F.struct(*[h.alias(f"h{k}") for k, h in enumerate(hashes)]).alias("print"))
+
+
+def greedy_match(df: DataFrame, by: list[str], order: list[str], item: str, plan: Sequence[str]) -> DataFrame:
+    """By, pos, ok: which steps of the plan each run meets in their order; a step that it misses does not move the cursor.
+
+    One pass over the sorted rows with a flag for each step: an item meets the first unmet step of its name, and what later steps met before
+    was met too early and is taken back. Only items of the plan are sorted, and a task holds the flags of one run."""
+    names, n = [f"{c}" for c in by], len(plan)
+    places = {x: [k for k, y in enumerate(plan) if y == x] for x in plan}
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, met, started = (), [False] * n, False
+        for rows in batches:
+            out = []
+            for *key, x in zip(*(rows[c] for c in names), rows["_item"], strict=True):
+                if not started or key != own:
+                    if started:
+                        out.append((*own, met))
+                    own, met, started = key, [False] * n, True
+                for k in places.get(x, ()):
+                    if not met[k]:
+                        met = [*met[:k], True, *[False] * (n - k - 1)]
+                        break
+            yield pd.DataFrame(out, columns=[*names, "met"])
+        if started:
+            yield pd.DataFrame([(*own, met)], columns=[*names, "met"])
+
+    rows = df.where(F.col(item).isin(*plan)).select(*by, *order, F.col(item).alias("_item")).repartition(*by).sortWithinPartitions(*by, *order).select(*by, "_item")
+    found = rows.mapInPandas(run, f"{kinds}, met array<boolean>")
+    every = df.select(*by).distinct().join(found, by, "left")  # runs with none of the plan's items miss all steps
+    return every.select(*by, F.posexplode(F.coalesce("met", F.array_repeat(F.lit(False), n))).alias("pos", "ok"))
+
+
+def strict_match(df: DataFrame, by: list[str], order: list[str], item: str, plan: Sequence[str]) -> DataFrame:
+    """By, step (from 1), ok: whether the n-th of a run's items of the plan is the plan's n-th. As many rows of a run as the plan has
+    steps take part."""
+    at = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = df.where(F.col(item).isin(*plan)).select(*by, item, at.alias("step")).where(F.col("step") <= len(plan))
+    wanted = F.array(*map(F.lit, plan))
+    met = first.groupBy(*by).agg(F.collect_set(F.when(F.get(wanted, F.col("step") - 1) == F.col(item), F.col("step"))).alias("_met"))
+    every = df.select(*by).distinct().join(met, by, "left")
+    return every.select(*by, F.explode(F.sequence(F.lit(1), F.lit(len(plan)))).alias("step"), "_met").select(*by, F.col("step").cast("bigint").alias("step"), F.coalesce(F.array_contains("_met", F.col("step")), F.lit(False)).alias("ok"))
 
 
 def tail(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import asof, lifecycle, metrics, predict
+from ..operators import asof, lifecycle, metrics, ordering, predict, sequences
 from ..sources.sinks import union_rows, validation_report
 from ..streaming import guard
 from .base import ET, ORD, E, long, query, rounded, table, trace
@@ -279,13 +279,13 @@ def walltime_bars(spark, d):
 @query(_WALL + ", r AS (SELECT *, row_number() OVER (PARTITION BY workload, config ORDER BY wall, trial) AS r, count(*) OVER (PARTITION BY workload, config) AS n FROM w) SELECT workload, config, trial, wall FROM r WHERE r = n // 2 + 1")
 def upper_median_trial(spark, d):
     """The trial at the upper median."""
-    return metrics.upper_median(walls(spark, d), ["workload", "config"], "wall", "trial")
+    return ordering.upper_median(walls(spark, d), ["workload", "config"], "wall", "trial")
 
 
 @query(_WALL + "SELECT workload, config, trial, round(row_number() OVER (PARTITION BY workload, config ORDER BY wall, trial) / count(*) OVER (PARTITION BY workload, config), 6) AS cdf FROM w")
 def lead_time_cdf(spark, d):
     """Empirical distribution; ties keep their own steps."""
-    return metrics.empirical_cdf(walls(spark, d), ["workload", "config"], "wall", "trial").select("workload", "config", "trial", rounded("cdf", "cdf"))
+    return ordering.empirical_cdf(walls(spark, d), ["workload", "config"], "wall", "trial").select("workload", "config", "trial", rounded("cdf", "cdf"))
 
 
 @query(E[:-1] + """, c AS (SELECT k / 100.0 AS c, CAST(cents % 2 = 0 AS INT) AS hit FROM e), b AS (SELECT *, CASE WHEN c < 0.5 THEN 0.0 WHEN c < 0.6 THEN 0.5 WHEN c < 0.7 THEN 0.6 WHEN c < 0.8 THEN 0.7 WHEN c < 0.9 THEN 0.8 ELSE 0.9 END AS low FROM c)
@@ -461,12 +461,11 @@ def sensitivity_rank(spark, d):
     return predict.sensitivity(c, "cond", "wall", "1-URGENT")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders")
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 2 ELSE 3 END, o_orderkey) AS place FROM orders")
 def mode_order(spark, d):
     """L1, L2: a fixed order, unknown ones last, then by id."""
     key = predict.order_key(F.col("o_orderpriority"), ["1-URGENT", "2-HIGH", "5-LOW"])
-    o = table(spark, d, "orders").select("o_orderkey", key.alias("key"))
-    return predict.placed(o, [F.col("key"), F.col("o_orderkey")]).select("o_orderkey", "place")
+    return ordering.placed(table(spark, d, "orders"), [key, F.col("o_orderkey")]).select("o_orderkey", "o_orderpriority", "place")
 
 
 @query(E[:-1] + ", l AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY cents DESC, ord) AS r FROM e WHERE cents >= 3000) SELECT run_id, ord, cents, row_number() OVER (PARTITION BY run_id ORDER BY t) AS place FROM l WHERE r <= 6")
@@ -482,15 +481,14 @@ c AS (SELECT plan, any_value(steps) AS steps, count(*) AS n, min(run_id) AS firs
 SELECT 'commonest' AS which, plan, steps, n FROM (SELECT * FROM c ORDER BY n DESC, first LIMIT 1) UNION ALL SELECT 'longest', plan, steps, n FROM (SELECT * FROM c ORDER BY steps DESC, first LIMIT 1)""")
 def most_common_plan(spark, d):
     """The commonest whole plan and the longest one, ties by first run; neighbours of one kind are one step."""
-    from ..operators.sequences import ordered_items
-
-    runs = ordered_items(trace(spark, d), KEY, ORD, "kind").select("run_id", scalars.collapse_adjacent(F.col("items")).alias("plan"))
-    plans = runs.select("run_id", F.array_join("plan", ">").alias("plan"), F.size("plan").cast("bigint").alias("steps"))
-    each = plans.groupBy("plan", "steps").agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("first"))
-    row = F.struct("plan", "steps", "n")
+    e = sequences.collapse(trace(spark, d).select("run_id", *ORD, "kind"), KEY, ORD, "kind")
+    each = sequences.fingerprints(e, KEY, ORD, "kind").groupBy("print", "steps").agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("first"))
+    row = F.struct("steps", "n", "first")
     best = each.agg(F.min_by(row, F.struct(-F.col("n"), F.col("first"))).alias("commonest"), F.min_by(row, F.struct(-F.col("steps"), F.col("first"))).alias("longest"))
-    both = best.select(F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("p")) for c in ("commonest", "longest")])).alias("x"))
-    return both.select("x.which", "x.p.*")
+    both = best.select(F.explode(F.array(*[F.struct(F.lit(c).alias("which"), F.col(c).alias("p")) for c in ("commonest", "longest")])).alias("x")).select("x.which", F.col("x.p.steps").alias("steps"), F.col("x.p.n").alias("n"), F.col("x.p.first").alias("run_id"))
+    # the plans of two runs alone become texts
+    shown = e.join(F.broadcast(both), "run_id").groupBy("which", "steps", "n").agg(F.array_sort(F.collect_list(F.struct(*ORD, "kind"))).alias("items"))
+    return shown.select("which", F.array_join(F.transform("items", lambda x: x["kind"]), ">").alias("plan"), "steps", "n")
 
 
 #: Deltas of a probe around each run's loads: k and cents stand for counters. The verdict's limits are in the operator.
@@ -587,11 +585,7 @@ def plan_extract(spark, d):
 SELECT u.run_id, CAST(p.i AS BIGINT) AS step, coalesce(a.kind = p.kind, false) AS ok FROM u CROSS JOIN p LEFT JOIN a ON a.run_id = u.run_id AND a.i = p.i""")
 def plan_compliance_strict(spark, d):
     """Plan steps met at their place among the plan's tools."""
-    from ..operators.sequences import ordered_items
-
-    plan = F.array(*map(F.lit, ("signup", "view", "purchase")))
-    runs = ordered_items(trace(spark, d), KEY, ORD, "kind")
-    return runs.select("run_id", F.posexplode(scalars.strict_match(plan, F.col("items"))).alias("pos", "ok")).select("run_id", (F.col("pos") + 1).cast("bigint").alias("step"), "ok")
+    return sequences.strict_match(trace(spark, d), KEY, ORD, "kind", ("signup", "view", "purchase"))
 
 
 @query(E[:-1] + """, a AS (SELECT run_id, list(kind ORDER BY t, ord) AS items FROM e GROUP BY run_id), plan AS (SELECT ['signup', 'error', 'view', 'purchase'] AS p),
@@ -599,11 +593,7 @@ f1 AS (SELECT run_id, items, p, coalesce(list_position(items, p[1]), 0) AS h1 FR
 SELECT run_id, CAST(unnest([0, 1, 2, 3]) AS INT) AS pos, unnest([h1 > 0, h2 > 0, h3 > 0, h4 > 0]) AS ok FROM f4""")
 def plan_compliance_greedy(spark, d):
     """A missed step does not move the cursor."""
-    from ..operators.sequences import ordered_items
-
-    plan = F.array(*map(F.lit, ("signup", "error", "view", "purchase")))
-    runs = ordered_items(trace(spark, d), KEY, ORD, "kind")
-    return runs.select("run_id", F.posexplode(scalars.greedy_match(plan, F.col("items"))).alias("pos", "ok"))
+    return sequences.greedy_match(trace(spark, d), KEY, ORD, "kind", ("signup", "error", "view", "purchase"))
 
 
 #: The guard's events, numbered in the order it takes them, for a recursion from event to event.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import lenient_float, lenient_int, non_negative
+from ..operators.ordering import median, placed
 
 RESOURCE = "resource_id string, resource_type string, name string, path string, model_endpoint string, estimated_size_bytes bigint, estimated_load_s double, expected_at_step int, confidence double, cancellation_safe boolean, consumer_tool string, consumer_step_offset int, proactive_swap boolean"
 META = "workload string, config string, trial_index int, run_id string, command string, runtime_mode string, predictor string, extra_flags array<string>, git_commit string, node string, gpus array<string>, slurm_job_id string, conda_python string, start_time string, status string, exit_code int, end_time string, wall_time_s double"
@@ -27,15 +30,73 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered(spark.read.text(path)).select("file", "line_no", F.col("value").alias("line"))
 
 
-def load_events(spark: SparkSession, path: str) -> DataFrame:
-    """File, line_no, run_id, step, t, timestamp, event_type, payload (JSON text). Blank and broken lines and
-    lines that are no object fall away; run_id defaults to unknown, step to 0 (hazard 21), t to 0."""
-    rows = lines(spark, path).where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
+def parsed_lines(text: DataFrame) -> DataFrame:
+    """S1-S3 on lines (file, line_no, line), of a batch or a stream; see ``load_events``."""
+    rows = text.where(F.trim("line") != "").withColumn("v", F.try_parse_json("line")).where("v is not null and schema_of_variant(v) like 'OBJECT%'")
     get = lambda p, kind: F.try_variant_get("v", f"$.{p}", kind)
     payload = F.get_json_object("line", "$.payload")
     return rows.select("file", F.col("line_no").cast("long").alias("line_no"), F.coalesce(get("run_id", "string"), F.lit("unknown")).alias("run_id"), F.coalesce(get("step", "int"), F.lit(0)).alias("step"), F.coalesce(get("epoch_time", "double"), F.lit(0.0)).alias("t"), get("timestamp", "string").alias("timestamp"), F.coalesce(get("event_type", "string"), F.lit("")).alias("event_type"), F.coalesce(payload, F.lit("{}")).alias("payload"))
 
 
+def load_events(spark: SparkSession, path: str) -> DataFrame:
+    """File, line_no, run_id, step, t, timestamp, event_type, payload (JSON text). Blank and broken lines and
+    lines that are no object fall away; run_id defaults to unknown, step to 0 (hazard 21), t to 0."""
+    return parsed_lines(lines(spark, path))
+
+
+def load_traces(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The events of all trace files under ``path`` whose names match, with trace: the file's place (from 0) in the order of paths
+    among those with an event. Files that are empty or hold nothing parsable take no place."""
+    events = load_events(spark, f"{path}/{pattern}")
+    files = events.select("file").distinct()  # a row a file
+    return events.join(placed(files, [F.col("file")], "_at").select("file", (F.col("_at") - 1).alias("trace")), "file")
+
+
+def newest_traces(spark: SparkSession, root: str, configs: Sequence[str], trace: str = "trace.jsonl", meta: str = "meta.json") -> DataFrame:
+    """Workload, trial_dir, modified: of each workload's completed trials of some configurations under
+    runs/<workload>/<config>/<trial> the one whose trace was modified last (ties: the greater path). Trials without a trace or with an unreadable
+    meta take no part."""
+    done = discover_runs(spark, root, meta).where((F.col("status") == "completed"))
+    place = F.regexp_extract("trial_dir", "/runs/([^/]+)/([^/]+)/[^/]+$", 1).alias("_workload"), F.regexp_extract("trial_dir", "/runs/([^/]+)/([^/]+)/[^/]+$", 2).alias("_config")
+    done = done.select("trial_dir", *place).where(F.col("_config").isin(*configs))
+    # the listing alone: no line of a trace is read
+    found = spark.read.format("binaryFile").load(f"{root}/runs/*/*/*/{trace}").select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("_dir"), F.col("modificationTime").alias("modified"))
+    own = done.join(found, F.regexp_replace("trial_dir", "^file:/+", "/") == F.regexp_replace("_dir", "^file:/+", "/"))
+    return own.groupBy(F.col("_workload").alias("workload")).agg(F.max_by(F.struct("trial_dir", "modified"), F.struct("modified", "trial_dir")).alias("r")).select("workload", "r.*")
+
+
+#: The fields of each event type's payload that are read by name.
+TYPED = {
+    "prediction_result": "predictor_id string, confidence double, horizon int, checkpoint_id string",
+    "prefetch_decision": "resource_id string, action string, reason string, estimated_load_s double",
+    "prefetch_started": "task_id string, resource_id string, executor string",
+    "prefetch_completed": "task_id string, elapsed_s double, status string",
+    "prefetch_cancelled": "task_id string, reason string, status_before string, wasted boolean",
+    "resource_consumed": "resource_id string, task_id string, status string",
+    "prediction_validated": "checkpoint_id string, hit boolean",
+    "divergence_detected": "checkpoint_id string, expected string, actual string",
+    "tool_call": "tool string, node string",
+    "llm_call": "model string, node string",
+}
+
+
+def typed_events(events: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
+    """Events with a column for each type (its payload as a struct, null in rows of other types) and extras: a map
+    of the payload's other fields that are scalars, as text. The payload is parsed once, to a variant; nested and null extras fall away, as do
+    payloads that are no object."""
+    types = types or TYPED
+    rows = events.withColumn("_v", F.try_parse_json("payload"))
+    of = F.col("event_type")
+    names = {k: [f.split()[0] for f in fields.split(", ")] for k, fields in types.items()}
+    columns = {k: F.when(of == k, F.struct(*[F.try_variant_get("_v", f"$.{f.split()[0]}", f.split()[1]).alias(f.split()[0]) for f in fields.split(", ")])).alias(k) for k, fields in types.items()}
+    known = F.coalesce(F.try_element_at(F.create_map(*[x for k, n in names.items() for x in (F.lit(k), F.array(*map(F.lit, n)))]), of), F.array().cast("array<string>"))
+    object_ = F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.expr("try_cast(_v as map<string, variant>)"))
+    is_scalar = lambda v: ~F.coalesce(F.schema_of_variant(v).rlike("^(OBJECT|ARRAY|VOID)"), F.lit(True))
+    extras = F.map_filter(object_, lambda k, v: ~F.array_contains(known, k) & is_scalar(v))
+    text = F.transform_values(extras, lambda _, v: F.try_variant_get(v, "$", "string"))
+    return rows.select(*events.columns, *columns.values(), F.coalesce(text, F.create_map().cast("map<string,string>")).alias("extras"))
+
+
 def payload(name: str, kind: str = "string", default=None) -> Column:
     """A payload field, null-safe, with a default."""
     got = F.try_variant_get(F.try_parse_json("payload"), f"$.{name}", kind)
@@ -158,13 +219,15 @@ def counter_delta(rows: DataFrame, by: list[str], file: str, ord_: str, phase: s
     """Median over files of the growth from the first 'begin' row to the first 'end' row, 0 at least."""
     first = lambda word: F.min_by(value, F.when(F.col(phase).contains(word), F.col(ord_)))
     per = rows.groupBy(*by, file).agg(first("begin").alias("_b"), first("end").alias("_e")).where("_b is not null and _e is not null")
-    return per.groupBy(*by).agg(F.percentile(F.greatest(F.lit(0), F.col("_e") - F.col("_b")).cast("double"), 0.5).alias("delta"))
+    return median(per.withColumn("_d", F.greatest(F.lit(0), F.col("_e") - F.col("_b"))), by, "_d").withColumnRenamed("median", "delta")
 
 
 def median_bytes(rows: DataFrame, by: list[str], file: str, value: str | None, per_row: int = 6048, corrupt: float = 1e12) -> DataFrame:
     """Median over files of the bytes of all frames; corrupt values count nothing; without a column each row counts ``per_row``."""
     size = F.sum(F.when(F.col(value) < corrupt, F.col(value))) if value else F.count(F.lit(1)) * per_row
-    return rows.groupBy(*by, file).agg(size.alias("_s")).groupBy(*by).agg(F.percentile(F.col("_s").cast("double"), 0.5).alias("bytes"))
+    per = rows.groupBy(*by, file).agg(size.alias("_s"))
+    every = per.select(*by).distinct()
+    return every.join(median(per, by, "_s"), by, "left").withColumnRenamed("median", "bytes")
 
 
 def cycle_times(rows: DataFrame, stage: str, value: str) -> DataFrame:
