@@ -4,7 +4,7 @@ Both token sequences spell the same bytes. The transducer's state is the side th
 the other, the dangling suffix. It reads the next token of the side that lags: either its bytes start the suffix, which gets
 shorter, or the suffix starts its bytes, and the other side leads by the rest. A token read while a suffix dangles overlaps the token that
 the suffix belongs to: a link. An empty suffix closes a group. Transitions hang on the suffix and the token alone, so each is
-worked out once a worker and looked up afterwards.
+worked out once a worker and looked up afterwards, and so are groups that were met before.
 
 Links are counted over the corpus by pair. Texts are tokenised once, in chunks of bounded size: a chunk's documents are written
 with their links as places in the chunk's list of distinct pairs, and only that list meets the counts. A pair that every chunk
@@ -22,6 +22,7 @@ import hashlib
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,15 +34,25 @@ from .common import cut, pieces, release
 CHUNK_BYTES, CALL_BYTES = 4 << 20, 1 << 18
 #: Bits of a side-A id in a pair; a pair is b * 2^17 + a.
 BITS = 17
-#: Memoised transitions a worker holds; beyond, they are forgotten and worked out anew.
-MEMO = 2_000_000
+#: Memoised transitions a worker holds; beyond, they are forgotten and worked out anew. Links of a group that is walked along nodes.
+MEMO, DEPTH = 300_000, 24
+#: Where tokens lead besides nodes: the bytes differ; the group is longer than DEPTH. Closed groups are below.
+FAIL, LONG = -1, -2
 
 
 class Transducer:
-    """States are numbers; state 0 is the empty suffix. Each side's tokens are given by their bytes."""
+    """States are numbers; state 0 is the empty suffix. Each side's tokens are given by their bytes.
+
+    Short groups are walked along nodes, a node for each sequence of tokens since the last empty suffix, so that the text and the
+    links of a group that was met before are at hand where it closes; a longer group goes from state to state."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.tokens = (a, b)
+        by_bytes = {t: k for k, t in enumerate(b) if t}
+        #: For each token of A the one of B with its bytes, or -1: two transitions, there and back; their group as a text, their link.
+        self.same = [by_bytes.get(t, -1) if t else -1 for t in a]
+        self.texts = [f"{x}|{y}" for x, y in enumerate(self.same)]
+        self.pairs = np.array(self.same, np.int64) << BITS | np.arange(len(a))
         self.forget()
 
     def forget(self) -> None:
@@ -50,6 +61,13 @@ class Transducer:
         #: What each state does with the next token of the side that lags: the next state, or -1 where the bytes differ.
         self.next: list[dict[int, int]] = [{}]
         self.lags: list[int] = [0]
+        # nodes: where tokens lead (a node, or below 0: FAIL, LONG or a closed group), the side that lags, state and tokens so far
+        self.roots: dict[int, int] = {}
+        self.onward: list[dict[int, int]] = []
+        self.behind: list[int] = []
+        self.so_far: list[tuple[int, tuple[int, ...], tuple[int, ...], tuple[int, ...]]] = []
+        #: Closed groups: (tokens of A, tokens of B, text, links).
+        self.closed: list[tuple[int, int, str, tuple[int, ...]]] = []
         self.known = 0
 
     def state(self, leads: int, suffix: bytes) -> int:
@@ -61,8 +79,11 @@ class Transducer:
             self.lags.append(1 - leads)
         return self.ids[key]
 
-    def work_out(self, s: int, token: int) -> int:
+    def step(self, s: int, token: int) -> int:
         """The transition of state ``s`` on ``token`` of the side that lags (A at the empty suffix)."""
+        to = self.next[s].get(token)
+        if to is not None:
+            return to
         leads, suffix = self.states[s]
         if s == 0:
             to = self.state(0, self.tokens[0][token]) if self.tokens[0][token] else -1
@@ -78,44 +99,81 @@ class Transducer:
         self.known += 1
         return to
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]] | None:
-        """Ends of the groups (places in a and b), and the links as pairs b * 2^BITS + a; None if the bytes differ."""
+    def node(self, s: int, a: tuple[int, ...], b: tuple[int, ...], links: tuple[int, ...]) -> int:
+        if s < 0:
+            return FAIL
+        if s == 0:
+            self.closed.append((len(a), len(b), group_text(a, b), links))
+            return -2 - len(self.closed)
+        self.onward.append({})
+        self.behind.append(self.lags[s])
+        self.so_far.append((s, a, b, links))
+        return len(self.onward) - 1
+
+    def walk(self, node: int, token: int) -> int:
+        """Where ``token`` leads from a node."""
+        s, a, b, links = self.so_far[node]
+        if len(links) >= DEPTH:
+            return LONG
+        a, b = (a, (*b, token)) if self.behind[node] else ((*a, token), b)
+        to = self.onward[node][token] = self.node(self.step(s, token), a, b, (*links, b[-1] << BITS | a[-1]))
+        self.known += 1
+        return to
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[int], dict[int, tuple[int, int, str, list[int]]]] | None:
+        """The groups: of one token a side as A's token, closed ones known by number as -3 - number, -1 for long ones, which are given
+        by their place; None if the bytes differ."""
         if self.known > MEMO:
             self.forget()
-        nexts, lags = self.next, self.lags
-        i = j = s = 0
-        la = lb = 0
-        groups, links = [], []
-        na, nb = len(a), len(b)
+        same, roots, onward, behind, so_far = self.same, self.roots, self.onward, self.behind, self.so_far
+        groups: list[int] = []
+        longer: dict[int, tuple[int, int, str, list[int]]] = {}
+        rest_a, rest_b = iter(a), iter(b)
+        put, read_a, read_b = groups.append, rest_a.__next__, rest_b.__next__
         try:
-            while True:
-                if s == 0:
-                    if i:
-                        groups.append((i, j))
-                    if i == na:
-                        return (groups, links) if j == nb else None
-                    la = a[i]
-                    i += 1
-                    to = nexts[0].get(la)
-                    s = self.work_out(0, la) if to is None else to
+            for la, t in zip(rest_a, rest_b):
+                if same[la] == t:  # both steps at once: the suffix is empty again
+                    put(la)
                     continue
-                if s < 0:
+                node = roots.get(la)
+                if node is None:
+                    node = roots[la] = self.node(self.step(0, la), (la,), (), ())
+                while node >= 0:
+                    to = onward[node].get(t)
+                    if to is None and (to := self.walk(node, t)) == LONG:
+                        longer[len(groups)] = self.long_group(node, t, read_a, read_b)
+                        break
+                    node = to
+                    if node >= 0:
+                        t = read_b() if behind[node] else read_a()
+                if node == FAIL:
                     return None
-                if lags[s]:
-                    lb = t = b[j]
-                    j += 1
-                else:
-                    la = t = a[i]
-                    i += 1
-                links.append(lb << BITS | la)
-                to = nexts[s].get(t)
-                s = self.work_out(s, t) if to is None else to
-        except IndexError:  # one side ends while the other leads
+                put(node if node < 0 else -1)
+        except (StopIteration, ValueError):  # one side ends while the other leads, or the bytes of a long group differ
             return None
+        return groups, longer
+
+    def long_group(self, node: int, t: int, read_a, read_b) -> tuple[int, int, str, list[int]]:
+        """The group that ``node`` and then ``t`` begin, state by state."""
+        s, *own = self.so_far[node]
+        own_a, own_b, links = map(list, own)
+        while True:
+            (own_b if self.lags[s] else own_a).append(t)
+            links.append(own_b[-1] << BITS | own_a[-1])
+            s = self.step(s, t)
+            if s < 0:
+                raise ValueError("the bytes differ")
+            if s == 0:
+                return len(own_a), len(own_b), group_text(own_a, own_b), links
+            t = read_b() if self.lags[s] else read_a()
+
+
+def group_text(a, b) -> str:
+    return ",".join(map(str, a)) + "|" + ",".join(map(str, b))
 
 
 class Sides:
-    """The two vocabularies: ids of texts, bytes and decimal texts of ids. A is read by ranks of the same vocabulary."""
+    """The two vocabularies: ids of texts and their alignment. A is read by ranks of the same vocabulary; its tokens spell any text."""
 
     def __init__(self, a_path: str, b_path: str):
         import public_tokenizers
@@ -130,29 +188,28 @@ class Sides:
         for t, r in ranks.items():
             of_a[r] = t
         of_b = [bytes([int(p[3:5], 16)]) if self.b.IsByte(k) else p.replace("▁", " ").encode() for k, p in enumerate(map(self.b.IdToPiece, range(self.b.GetPieceSize())))]
-        self.bytes_a, self.bytes_b = of_a, of_b
-        self.text_a, self.text_b = list(map(str, range(len(of_a)))), list(map(str, range(len(of_b))))
         self.transducer = Transducer(of_a, of_b)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         return list(zip([self.a.encode_ordinary(" " + t) for t in texts], self.b.encode(texts, num_threads=1), strict=True))
 
-    def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, list[int]] | None:
-        """n_a, n_b, n_groups, digest of the groups, links; None where the sides do not spell the text."""
-        own = b"".join([self.bytes_a[k] for k in a])
-        if own != (" " + text).encode() or len(own) != sum([len(self.bytes_b[k]) for k in b]):
-            return None
+    def aligned(self, a: list[int], b: list[int]) -> tuple[int, int, int, str, np.ndarray] | None:
+        """n_a, n_b, n_groups, digest of the groups, links; None where B does not spell the text."""
         got = self.transducer.align(a, b)
         if got is None:
             return None
-        groups, links = got
-        said, ta, tb, i, j = [], self.text_a, self.text_b, 0, 0
-        for x, y in groups:
-            if x - i == 1 and y - j == 1:
-                said.append(ta[a[i]] + "|" + tb[b[j]])
-            else:
-                said.append(",".join([ta[k] for k in a[i:x]]) + "|" + ",".join([tb[k] for k in b[j:y]]))
-            i, j = x, y
+        groups, longer = got
+        known, codes = self.transducer, np.array(groups, np.int64)
+        said = [known.texts[g] for g in groups]
+        more = []
+        for k in np.flatnonzero(codes < 0).tolist():
+            group = longer[k] if groups[k] == -1 else known.closed[-3 - groups[k]]
+            said[k] = group[2]
+            more.append(group)
+        singles = len(groups) - len(more)
+        if (singles + sum([g[0] for g in more]), singles + sum([g[1] for g in more])) != (len(a), len(b)):
+            return None
+        links = np.concatenate([known.pairs[codes[codes >= 0]], np.array([x for g in more for x in g[3]], np.int64)])
         return len(a), len(b), len(groups), hashlib.sha256(";".join(said).encode()).hexdigest(), links
 
 
@@ -187,10 +244,10 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
                 for part in pieces(chunk, 1, CALL_BYTES):
                     texts = [t or "" for t in part.column(1).to_pylist()]
                     for t, (a, b) in zip(texts, sides.encode(texts), strict=True):
-                        got = sides.aligned(t, a, b) if t else None
-                        rows.append((0, 0, 0, "", np.zeros(0, np.int64)) if got is None else (*got[:4], np.array(got[4], np.int64)))
+                        rows.append((t and sides.aligned(a, b)) or (0, 0, 0, "", np.zeros(0, np.int64)))
                 sizes = np.array([len(r[4]) for r in rows])
-                pairs, place, times = np.unique(np.concatenate([r[4] for r in rows]), return_inverse=True, return_counts=True)
+                place, pairs = pd.factorize(np.concatenate([r[4] for r in rows]))
+                times = np.bincount(place, minlength=len(pairs))
                 # frequent pairs get small places
                 order = np.argsort(-times, kind="stable")
                 rank = np.empty(len(order), np.int64)
