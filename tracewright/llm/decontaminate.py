@@ -5,12 +5,14 @@ of ten consecutive item words is a pattern framed by blanks. Each text is scanne
 words and from there to byte offsets of the original text.
 
 The benchmark is a bounded side: its bytes are summed first, and an automaton holds at most
-``AUTOMATON_BYTES`` of item text; larger benchmarks are scanned in as many blocks as needed.
+``AUTOMATON_BYTES`` of item text (windows overlap, so it takes about 300 times as much memory); larger benchmarks are scanned in as
+many blocks as needed. A worker builds an automaton once and holds the last one.
 Null texts have no words; an item without words has no window; repeated item rows count once.
 """
 
 from __future__ import annotations
 
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, spans_of, text_buffer
 
 WINDOW = 10
-AUTOMATON_BYTES = 16 << 20
+AUTOMATON_BYTES = 1 << 20
 
 #: Bytes of words: digits, letters, and all of non-ASCII.
 _WORD = np.zeros(256, bool)
@@ -49,6 +51,17 @@ def build(items: list[tuple[str, str]], window: int = WINDOW):
     return a if found else None
 
 
+_HELD: dict[tuple[str, int], object] = {}
+
+
+def held(key: str, items: list[tuple[str, str]], window: int):
+    """The automaton of some items, built once a worker; only the last one is held."""
+    if (key, window) not in _HELD:
+        _HELD.clear()
+        _HELD[key, window] = build(items, window)
+    return _HELD[key, window]
+
+
 def scan(automaton, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Words of the text, hit word ranges (merged), and the items with an occurring window."""
     raw = (text or "").encode().translate(_NORMAL)
@@ -110,8 +123,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def _scanner(items, window):
+    key = uuid.uuid4().hex
+
     def run(batches):
-        automaton = build(items.value, window)
+        automaton = held(key, items.value, window)
         for b in batches:
             texts = b.column(1).to_pylist()
             got = [scan(automaton, t) for t in texts]
@@ -140,8 +155,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     out, at = docs, docs.columns.index("text")
     for items in _items(benchmark, _blocks(benchmark, "item_id", "text")):
 
-        def run(batches, items=items):
-            automaton = build(items.value, window)
+        def run(batches, items=items, key=uuid.uuid4().hex):
+            automaton = held(key, items.value, window)
             for b in batches:
                 yield b.filter(pa.array([not scan(automaton, t)[1] for t in b.column(at).to_pylist()], pa.bool_()))
 
