@@ -7,7 +7,8 @@ back to the group as one packed row, in the order of the question, which the gro
 its texts. Whole texts never travel again, and neither keys nor answers reach the driver.
 
 Groups and buckets are as many as the bytes of the texts ask for, whatever the number of partitions: a group holds
-about GROUP_BYTES of text, a bucket what about BUCKET_BYTES of text ask. Rows between them are groups times buckets at
+about GROUP_BYTES of text, a bucket what about BUCKET_BYTES of text ask. Tasks are as many as the shuffle has partitions; a task reads its
+buckets one after the other. Rows between groups and buckets are groups times buckets at
 most and never more than one for each distinct key of a group, which a plain groupBy would send as well.
 """
 
@@ -79,21 +80,27 @@ def with_answers(groups: DataFrame, answers: DataFrame, f: Callable[[pa.Table, p
     return groups.groupBy("pid").cogroup(answers.groupBy("pid")).applyInArrow(run, schema)
 
 
-def to_buckets(asked: DataFrame, f: Callable, schema: str, buckets: int) -> DataFrame:
-    """f over the rows of one whole bucket at a time (mapInArrow)."""
+def to_buckets(asked: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """f (over batches) for the rows of one whole bucket at a time. Tasks are the shuffle's partitions, however many buckets
+    there are: a task's rows are sorted by bucket, which may spill, and its buckets are read one after the other."""
 
-    def run(batches):
-        yield from f(batches)
+    def run(t: pa.Table) -> pa.Table:
+        out = pa.Table.from_batches(f(iter(t.to_batches())))
         release()
+        return out
 
-    return asked.repartitionById(buckets, "bucket").mapInArrow(run, schema)
+    return asked.groupBy("bucket").applyInArrow(run, schema)
 
 
 def bucket_slices(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted 64-bit keys; a bucket is a range of the key space."""
-    bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=U64)
-    at = np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-    return [(k, int(a), int(b)) for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+    """(bucket, from, to) of sorted 64-bit keys; a bucket is a range of the key space. Only buckets that hold a key are looked at,
+    so the cost follows the keys."""
+    if not len(keys):
+        return []
+    near = np.unique((keys >> U64(32)) * U64(buckets) >> U64(32)).tolist()  # at most one too low
+    present = sorted({k for n in near for k in (n, min(n + 1, buckets - 1))})
+    at = [*np.searchsorted(keys, np.array([(k << 64) // buckets for k in present], dtype=U64)).tolist(), len(keys)]
+    return [(k, a, b) for k, a, b in zip(present, at[:-1], at[1:], strict=True) if b > a]
 
 
 def pack_keys(keys: np.ndarray) -> bytes:

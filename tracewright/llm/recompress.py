@@ -286,8 +286,8 @@ def _exchange(docs: DataFrame, *more):
         return g.asked(*asking.shared_mask(g.keys, g.doc, asking.blobs_of(answers, 0), buckets)).packed(t["pid"][0].as_py(), buckets)
 
     back = "pid int, bucket int, blob binary"
-    shared = cut(asking.to_buckets(asking.per_group(groups, ask_phrases, asking.ASK), asking.answer_shared, back, buckets).withColumn("kind", F.lit(0)), "phrases")
-    later = asking.to_buckets(asking.with_answers(groups, shared, ask_words, asking.ASK), _answer, back, buckets).withColumn("kind", F.lit(1))
+    shared = cut(asking.to_buckets(asking.per_group(groups, ask_phrases, asking.ASK), asking.answer_shared, back).withColumn("kind", F.lit(0)), "phrases")
+    later = asking.to_buckets(asking.with_answers(groups, shared, ask_words, asking.ASK), _answer, back).withColumn("kind", F.lit(1))
     return groups, shared.union(later), buckets
 
 

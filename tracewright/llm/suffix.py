@@ -317,8 +317,8 @@ def _exchange(docs: DataFrame, *more):
         yield from asking.answer_shared(batches, FREQUENT)
 
     back = "pid int, bucket int, blob binary"
-    keys = cut(asking.to_buckets(asking.per_group(groups, ask_keys, asking.ASK), answer_keys, back, buckets).withColumn("kind", F.lit(0)), "suffix-keys")
-    found = asking.to_buckets(asking.with_answers(groups, keys, ask_bytes, asking.ASK), _answer_bytes, back, buckets).withColumn("kind", F.lit(1))
+    keys = cut(asking.to_buckets(asking.per_group(groups, ask_keys, asking.ASK), answer_keys, back).withColumn("kind", F.lit(0)), "suffix-keys")
+    found = asking.to_buckets(asking.with_answers(groups, keys, ask_bytes, asking.ASK), _answer_bytes, back).withColumn("kind", F.lit(1))
     return groups, keys.union(found), buckets
 
 
