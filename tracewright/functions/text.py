@@ -69,6 +69,20 @@ def tool_name_in(text: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def tool_name(text: pd.Series) -> pd.Series:
-    """F2 (Python code needs a parser, so this is the one rule outside the JVM)."""
+def _parsed_name(text: pd.Series) -> pd.Series:
     return text.map(tool_name_in)
+
+
+def tool_name(text: Column | str) -> Column:
+    """a tool's name in a text. Where the first JSON object in a fence or the whole text names a tool plainly, that is found in the JVM; only
+    the other texts (Python code needs a parser) meet Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    fenced = F.regexp_extract_all(text, F.lit(r"(?s)```(?:json|python)?\s*(.*?)```"), F.lit(1))
+    parts = F.transform(F.concat(fenced, F.array(text)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    v = F.try_parse_json(F.get(F.filter(parts, lambda x: x.startswith("{")), F.lit(0)))
+    plain = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+    no_name = F.try_variant_get(v, "$.name", "variant").isNull() & F.try_variant_get(v, "$.function", "variant").isNull()
+    name = F.coalesce(plain("$.name"), F.when(no_name, plain("$.tool")))
+    usable = name.contains("_") & ~name.isin(*sorted(b for b in _BUILTINS if "_" in b))
+    found = F.when(usable, name)
+    return F.coalesce(found, _parsed_name(F.when(found.isNull(), text)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bytes_with_source, falsy_coalesce, task_outcome
-from . import metrics
+from . import intervals, metrics
 
 _RESOURCE = "struct<resource_id:string,resource_type:string,name:string,estimated_load_s:double,estimated_size_bytes:double,confidence:double,cancellation_safe:boolean,consumer_tool:string>"
 #: Payload fields that the summaries read.
@@ -158,7 +158,45 @@ def tasks(events: DataFrame, by: Sequence[str] = ("run_id",), consumers: DataFra
     rows = rows.join(served, [*by, "resource"], "left")
     outcome = task_outcome(is_used, F.col("wasted"), F.col("cancelled_t").isNotNull(), F.col("completed_t"), F.col("consumed_t"), F.col("served"), LATE)
     staged = bytes_with_source(F.col("measured"), F.col("m.estimated_size_bytes"))
-    return rows.select(*by, "task", "resource", "first", F.coalesce("m.name", F.when(F.col("m").isNull(), F.substring("resource", 1, 12)), F.lit("")).alias("name"), F.coalesce("m.resource_type", F.lit("")).alias("type"), F.col("m.estimated_load_s").alias("estimate"), F.coalesce("m.cancellation_safe", F.lit(True)).alias("safe"), "started_t", "completed_t", "cancelled_t", "consumed_t", "consumed_step", "elapsed_s", "status", "measured", F.coalesce("served", F.lit(False)).alias("served"), outcome.alias("outcome"), staged.getField("bytes").alias("bytes"), staged.getField("source").alias("byte_source"))
+    return rows.select(*by, "task", "resource", "first", F.coalesce("m.name", F.when(F.col("m").isNull(), F.substring("resource", 1, 12)), F.lit("")).alias("name"), F.coalesce("m.resource_type", F.lit("")).alias("type"), F.col("m.estimated_load_s").alias("estimate"), F.coalesce("m.cancellation_safe", F.lit(True)).alias("safe"), "started_t", "completed_t", "cancelled_t", "consumed_t", "consumed_step", "elapsed_s", "status", "measured", F.coalesce("served", F.lit(False)).alias("served"), outcome.alias("outcome"), staged.getField("bytes").alias("bytes"), staged.getField("source").alias("byte_source"), F.coalesce("wasted", F.lit(False)).alias("wasted"))
+
+
+def overlap_report(events: DataFrame, by: Sequence[str] = ("run_id",), threshold: float = 0.5) -> DataFrame:
+    """Totals of a trace's tasks: overlap, benefit and waste as timed, and what the estimates say of tasks that took next to no time (or
+    never ended), unless they were cancelled or wasted: the whole estimated load; used, wasted and cancelled tasks, each counted once."""
+    by, own = list(by), tasks(events, by)
+    gone = F.col("cancelled_t").isNotNull()
+    parts = metrics.task_timing(F.col("started_t"), F.col("completed_t"), F.col("consumed_t"), gone, F.col("wasted"))
+    simulated = F.coalesce("elapsed_s", F.lit(0.0)) < threshold
+    estimated = F.when(simulated & ~gone & ~F.col("wasted"), F.col("estimate"))
+    used = F.coalesce(F.col("status") == "used", F.lit(False))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    return own.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("task_count"), zero(parts["overlap"]).alias("total_overlap_s"), zero(parts["slack"]).alias("total_benefit_s"), zero(parts["late"]).alias("total_waste_s"), zero(estimated).alias("estimated_total_s"),
+        F.count_if(simulated).alias("n_simulated"), F.count_if(used).alias("n_used"), F.count_if(~used & F.col("wasted")).alias("n_wasted"), F.count_if(~used & ~F.col("wasted") & gone).alias("n_cancelled"),
+    )
+
+
+def phase_stalls(phases: DataFrame, by: Sequence[str]) -> DataFrame:
+    """tool_s, swap_s and reasoning_s of each run from its phases (by, phase, start, end): the time of agents outside swap waits, the
+    swap waits, which may lie inside agents, and the inference. swap_s is null, not 0, where no phase of a model was recorded."""
+    by = list(by)
+    is_ = lambda p: F.col("phase").startswith(p)
+    agents, swaps = phases.where(is_("agent:")), phases.where(is_("model_swap_wait:"))
+    known = phases.groupBy(*by).agg(F.bool_or(is_("model_swap_wait:") | is_("model_load:")).alias("_models"), F.coalesce(F.sum(F.when(F.col("phase") == "llm:inference", F.col("end") - F.col("start"))), F.lit(0.0)).alias("reasoning_s"))
+    of = lambda rows, name: intervals.total_length(rows, by).withColumnRenamed("length", name)
+    out = known.join(of(agents, "_a"), by, "left").join(of(swaps, "_s"), by, "left").join(intervals.intersection_length(agents, swaps, by).withColumnRenamed("overlap", "_o"), by, "left").fillna(0, ["_a", "_s", "_o"])
+    return out.select(*by, (F.col("_a") - F.col("_o")).alias("tool_s"), F.when(F.col("_models"), F.col("_s")).alias("swap_s"), "reasoning_s")
+
+
+def with_phase_stalls(runs: DataFrame, phases: DataFrame, family: Column, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """``runs`` (see ``evaluate``) in which the runs of a family take their swap wait and exposed stall from their phases: null where these
+    measured no swap; a run of the family without phases keeps what it has."""
+    measured = phase_stalls(phases, by).withColumn("_measured", F.lit(True))
+    own = F.coalesce(F.col("_measured"), F.lit(False)) & family
+    out = runs.join(measured, list(by), "left")
+    out = out.withColumns({"swap_wait_s": F.when(own, F.col("swap_s")).otherwise(F.col("swap_wait_s")), "exposed_stall_s": F.when(own, F.col("swap_s") + F.col("no_prefetch_stall_s")).otherwise(F.col("exposed_stall_s"))})
+    return out.withColumn("overlap_recovered", metrics.ratio(F.col("overlap_s"), F.col("overlap_s") + F.coalesce("exposed_stall_s", F.lit(0.0)))).drop("_measured", "swap_s")
 
 
 def evaluate(events: DataFrame, by: Sequence[str] = ("run_id",), consumers: DataFrame | None = None) -> DataFrame:

@@ -48,21 +48,21 @@ def placed_within(df: DataFrame, by: list[str], order: list[str], name: str = "p
         w = Window.partitionBy(*by)
         out = df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast("bigint"))
         return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
-    rows = placed(df, [*by, *order], "_at")
-    firsts = rows.groupBy(*by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias(total or "_total"))
-    out = _joined(rows, firsts, by).withColumn(name, F.col("_at") - F.col("_first") + 1)
-    return out.drop("_at", "_first", *([] if total else ["_total"]))
+    rows = placed(df, [*by, *order], "_overall")
+    firsts = rows.groupBy(*by).agg(F.min("_overall").alias("_first"), F.count(F.lit(1)).alias(total or "_total"))
+    out = _joined(rows, firsts, by).withColumn(name, F.col("_overall") - F.col("_first") + 1)
+    return out.drop("_overall", "_first", *([] if total else ["_total"]))
 
 
 def with_previous(df: DataFrame, by: list[str], order: list[str], column: str, name: str) -> DataFrame:
     """``df`` with the value of the row before in the group, null at its first row."""
     if _largest(df, by) <= WINDOW:
         return df.withColumn(name, F.lag(column).over(Window.partitionBy(*by).orderBy(*order)))
-    rows = placed(df, [*by, *order], "_at")
+    rows = placed(df, [*by, *order], "_overall")
     # a row meets the one before by its place, which no two rows share
-    before = rows.select((F.col("_at") + 1).alias("_at"), F.struct(*by).alias("_group"), F.col(column).alias("_value"))
-    out = rows.join(before, "_at", "left")
-    return out.withColumn(name, F.when(F.col("_group").eqNullSafe(F.struct(*by)), F.col("_value"))).drop("_at", "_group", "_value")
+    before = rows.select((F.col("_overall") + 1).alias("_overall"), F.struct(*by).alias("_group"), F.col(column).alias("_value"))
+    out = rows.join(before, "_overall", "left")
+    return out.withColumn(name, F.when(F.col("_group").eqNullSafe(F.struct(*by)), F.col("_value"))).drop("_overall", "_group", "_value")
 
 
 def nth(df: DataFrame, by: list[str], value: str, place: Column) -> DataFrame:

@@ -231,8 +231,18 @@ def frame_bytes(spark, d):
 def cycle_times(spark, d):
     """Each simulation plus mean training and inference."""
     rows = io_rows(spark, d).withColumn("stage", F.when(F.col("app") == "N", "train").when(F.col("app") == "R", "inference").otherwise("simulation"))
-    means = rows.agg(F.avg(F.when(F.col("stage") == "train", F.col("q"))).alias("t"), F.avg(F.when(F.col("stage") == "inference", F.col("q"))).alias("i"))
-    return rows.where("stage = 'simulation'").join(F.broadcast(means)).select("o", F.round(F.col("q") + F.col("t") + F.col("i"), 6).alias("cycle"))
+    return traces.cycle_times(rows, "stage", "q", ["o"]).select("o", F.round("cycle", 6).alias("cycle"))
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS workload, o_orderkey AS trial, coalesce(CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice / 1000 END, 0) AS wall, CASE WHEN o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F' THEN 'scripted' WHEN o_orderpriority = '2-HIGH' THEN 'baseline' WHEN o_orderpriority = '3-MEDIUM' THEN 'real' ELSE 'other' END AS mode FROM orders),
+k AS (SELECT *, CASE WHEN mode IN ('scripted', 'baseline') THEN 'noai' ELSE 'agentic' END AS kind, bool_or(mode = 'scripted') OVER (PARTITION BY workload) AS has FROM s WHERE wall >= 10 AND (mode IN ('scripted', 'baseline') OR mode = 'real' AND wall <= 200))
+SELECT workload, trial, kind FROM k WHERE NOT (mode = 'baseline' AND has)""")
+def wall_times(spark, d):
+    """Wall times within their limits; scripted runs where a workload has any, its baselines otherwise."""
+    pr, k = F.col("o_orderpriority"), F.col("o_orderkey")
+    mode = F.when((pr == "1-URGENT") & (F.col("o_orderstatus") != "F"), "scripted").when(pr == "2-HIGH", "baseline").when(pr == "3-MEDIUM", "real").otherwise("other")
+    rows = table(spark, d, "orders").select(F.col("o_orderstatus").alias("workload"), k.alias("trial"), F.when(k % 9 != 0, F.col("o_totalprice") / 1000).alias("wall"), mode.alias("mode"))
+    return traces.wall_times(rows, ["workload"], F.col("mode") == "scripted", F.col("mode") == "baseline", F.col("mode") == "real", "wall", 10.0, 200.0).select("workload", "trial", "kind")
 
 
 @query(_WALL + ", s AS (SELECT workload, sum(wall) FILTER (config = '1-URGENT') AS a, sum(wall) FILTER (config = '2-HIGH') AS b FROM w GROUP BY 1) SELECT workload, CAST(a AS BIGINT) AS load, CAST(CASE WHEN workload = 'BUILDING' THEN 120 ELSE b END AS BIGINT) AS wait, CAST(a + CASE WHEN workload = 'BUILDING' THEN 120 ELSE b END AS BIGINT) AS total FROM s")
@@ -272,11 +282,13 @@ def tool_call_parsing(spark, d):
     return r.select("event_id", "c.name", "c.arguments", "content")
 
 
-@query("SELECT event_id, event_type || '_tool' AS name FROM events")
+@query("SELECT event_id, CASE event_id % 6 WHEN 4 THEN NULL ELSE event_type || '_tool' END AS name FROM events")
 def tool_name_parsing(spark, d):
-    """tool names in texts, JSON or Python (a parser; also held against cases in the tests)."""
-    e = table(spark, d, "events")
-    return e.select("event_id", text.tool_name(F.concat(F.lit("result = "), F.col("event_type"), F.lit("_tool(x=1)"))).alias("name"))
+    """tool names in texts: Python calls, fenced and bare JSON, JSON that names no tool (also held against cases in the tests)."""
+    e, kind = table(spark, d, "events"), F.col("event_type")
+    forms = [("result = ", "_tool(x=1)"), ("see ```json\n{\"name\": \"", "_tool\"}\n```"), ("  {\"tool\": \"", "_tool\", \"x\": 1}"), ("{\"function\": {\"name\": \"", "_tool\"}}"), ("{\"name\": \"", "\"}"), ("```python\nprint(1); ", "_tool()\n```")]
+    text_ = F.coalesce(*[F.when(F.col("event_id") % 6 == k, F.concat(F.lit(a), kind, F.lit(b))) for k, (a, b) in enumerate(forms)])
+    return e.select("event_id", text.tool_name(text_).alias("name"))
 
 
 @query()

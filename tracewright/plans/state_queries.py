@@ -6,13 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import predictors, sequences
+from ..operators import analyze, lifecycle, predictors, sequences, trials
 from ..sources import scratch, sinks, traces
 from ..streaming import lifecycles, scheduler
 from .base import BY, ORD, E, long, query, table, trace
+from .metric_queries import _CLASS, classed
 from .sequence_queries import _PAIRS
+from .trace_queries import _TASKS as _TRIALS
 from .trace_queries import TR, events_of, written
 
+#: Tasks of the traces where no consumers are known, so that no stamp is false.
+_PLAIN = _TRIALS.replace("ok AS (SELECT * FROM tl WHERE NOT (", "ok AS (SELECT * FROM tl WHERE NOT (false AND ")
+
 # --- admission, cancellation, consumption ------------------------------------------------------------------------------
 
 #: signup and view ask for a fetch, click ends one, error diverges a checkpoint, purchase consumes; the policy's inputs are of k and cents.
@@ -198,3 +203,65 @@ def incremental_transitions(spark, d):
         learned = scratch.kept(learned, "table")
         stored = new if stored is None else scratch.kept(sequences.merged_counts(stored, new), "counts")
     return learned.select("source", long("off"), "target", "cnt", F.round("prob", 9).alias("prob"), "rank")
+
+
+# --- reports, overrides and times of trials -------------------------------------------------------------------------------------------------
+
+
+@query(_PLAIN + """SELECT run_id, count(*) AS task_count, round(coalesce(sum(CASE WHEN tim THEN greatest(0, least(done, us) - st) ELSE 0 END), 0), 4) AS total_overlap_s, round(coalesce(sum(CASE WHEN tim AND NOT w THEN greatest(0, us - done) ELSE 0 END), 0), 4) AS total_benefit_s, round(coalesce(sum(CASE WHEN tim AND NOT w THEN greatest(0, done - us) ELSE 0 END), 0), 4) AS total_waste_s,
+  round(coalesce(sum(CASE WHEN sim AND ca IS NULL AND NOT w THEN est END), 0), 4) AS estimated_total_s, CAST(count(*) FILTER (sim) AS BIGINT) AS n_simulated, CAST(count(*) FILTER (u) AS BIGINT) AS n_used, CAST(count(*) FILTER (NOT u AND w) AS BIGINT) AS n_wasted, CAST(count(*) FILTER (NOT u AND NOT w AND ca IS NOT NULL) AS BIGINT) AS n_cancelled
+FROM (SELECT run_id, st, done, us, ca, m.est AS est, st IS NOT NULL AND done IS NOT NULL AND us IS NOT NULL AND ca IS NULL AS tim, coalesce(wasted, false) AS w, coalesce(el, 0) < 0.5 AS sim, coalesce(status = 'used', false) AS u FROM tm) GROUP BY run_id""")
+def overlap_reports(spark, d):
+    """Totals of each run's tasks, timed and, for those that took next to no time, estimated."""
+    got = analyze.overlap_report(written(spark, d))
+    return got.withColumns({c: F.round(c, 4) for c in got.columns if c.endswith("_s")})
+
+
+#: Phases of a run in its metrics file: ends in whole microseconds, durations in cents; every third run recorded no model.
+_PHASES = E[:-1] + """, p AS (SELECT run_id, CASE kind WHEN 'signup' THEN 'agent:x' WHEN 'view' THEN CASE WHEN run_id % 3 = 0 THEN 'lammps:run' ELSE 'model_swap_wait:m' END WHEN 'click' THEN 'llm:inference' WHEN 'error' THEN CASE WHEN run_id % 3 = 0 THEN 'other' ELSE 'model_load:m' END ELSE 'SUMMARY' END AS phase, t - cents * 1000000 AS s, t AS f, cents FROM e)
+"""
+
+
+def _union_of(name, phase):
+    return f""", {name}1 AS (SELECT run_id, s, f, max(f) OVER (PARTITION BY run_id ORDER BY s, f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM p WHERE {phase}), {name}2 AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY s, f ROWS UNBOUNDED PRECEDING) AS g FROM {name}1),
+{name} AS (SELECT run_id, min(s) AS s, max(f) AS f FROM {name}2 GROUP BY run_id, g)"""
+
+
+@query(_PHASES + _union_of("a", "phase = 'agent:x'") + _union_of("w", "phase = 'model_swap_wait:m'") + """, o AS (SELECT a.run_id, sum(greatest(0, least(a.f, w.f) - greatest(a.s, w.s))) AS o FROM a JOIN w ON a.run_id = w.run_id GROUP BY 1), la AS (SELECT run_id, sum(f - s) AS n FROM a GROUP BY 1), lw AS (SELECT run_id, sum(f - s) AS n FROM w GROUP BY 1),
+k AS (SELECT run_id, bool_or(phase LIKE 'model_%') AS models, coalesce(sum(cents) FILTER (phase = 'llm:inference'), 0) AS r FROM p WHERE phase <> 'SUMMARY' GROUP BY 1)
+SELECT k.run_id, round((coalesce(la.n, 0) - coalesce(o.o, 0)) / 1e6, 2) AS tool_s, CASE WHEN models THEN round(coalesce(lw.n, 0) / 1e6, 2) END AS swap_s, CAST(r AS DOUBLE) AS reasoning_s FROM k LEFT JOIN la USING (run_id) LEFT JOIN lw USING (run_id) LEFT JOIN o USING (run_id)""")
+def phase_stalls(spark, d):
+    """Tool, swap and reasoning time of runs from their metrics files; swap waits inside agents count once, unmeasured swaps are null."""
+    path, kind, third = scratch.folder(spark, "phases"), F.col("kind"), F.col("run_id") % 3 == 0
+    phase = F.when(kind == "signup", "agent:x").when(kind == "view", F.when(third, "lammps:run").otherwise("model_swap_wait:m")).when(kind == "click", "llm:inference").when(kind == "error", F.when(third, "other").otherwise("model_load:m")).otherwise("SUMMARY")
+    at = F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    rows = trace(spark, d).select("run_id", "t", phase.alias("phase"), at.alias("timestamp"), F.col("cents").cast("string").alias("duration_s"))
+    rows.repartition("run_id").sortWithinPartitions("run_id", "t").drop("t").write.partitionBy("run_id").option("header", True).csv(path)
+    phases = traces.load_phases(spark, path).select(F.regexp_extract("file", "run_id=([0-9]+)", 1).cast("bigint").alias("run_id"), "phase", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
+    return analyze.phase_stalls(phases, BY).select("run_id", *[F.round(c, 2).alias(c) for c in ("tool_s", "swap_s")], F.round("reasoning_s", 2).alias("reasoning_s"))
+
+
+@query(E[:-1] + _CLASS + """, l AS (SELECT *, max(cents) OVER (PARTITION BY run_id, g ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead FROM c WHERE g <> 0 AND cls <> ''),
+d AS (SELECT *, row_number() OVER (PARTITION BY run_id, g ORDER BY ord DESC) AS r FROM l WHERE lead IS NULL OR cents > lead),
+a AS (SELECT kind, cls, CASE WHEN r = 1 THEN cents ELSE 0 END AS s FROM d UNION ALL SELECT kind, cls, cents FROM c WHERE g = 0 AND cls <> ''), n AS (SELECT kind, count(DISTINCT run_id) AS n FROM c GROUP BY 1)
+SELECT kind AS workload, cls AS stall_class, CAST(sum(s) AS DOUBLE) AS exposed_stall_s, n AS n_trials, round(sum(s) / n, 2) AS stall_s_per_trial FROM a JOIN n USING (kind) GROUP BY kind, cls, n""")
+def taxonomy_table(spark, d):
+    """The taxonomy as the table of a report, written and read again."""
+    path, rows = scratch.folder(spark, "taxonomy"), classed(spark, d).withColumnRenamed("kind", "workload")
+    cells = lifecycle.taxonomy(rows, BY, ["workload"], "g", "cents", "cls", "ord")
+    sinks.write_table(sinks.taxonomy_rows(cells, rows, ["workload"]), path)
+    return spark.read.option("header", True).schema("workload string, stall_class string, exposed_stall_s double, n_trials bigint, stall_s_per_trial double").csv(path)
+
+
+@query("SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey DESC, s_acctbal, s_suppkey) AS place FROM supplier")
+def report_places(spark, d):
+    """K9: rows of a report numbered in its order."""
+    return sinks.numbered(table(spark, d, "supplier"), [F.desc("s_nationkey"), F.col("s_acctbal"), F.col("s_suppkey")]).select("s_suppkey", "place")
+
+
+@query(_PLAIN + """, z AS (SELECT run_id, least(coalesce(min(t) FILTER (et IN ('tool_call', 'worker_swap_wait', 'aggregator_swap_wait', 'prediction_result')), 1e18), coalesce((SELECT min(st) FROM tm WHERE tm.run_id = e.run_id), 1e18)) AS t0 FROM e GROUP BY run_id)
+SELECT tm.run_id, rid AS resource, round(st - t0, 3) AS t_started, round(us - t0, 3) AS t_consumed, round(ca - t0, 3) AS t_cancelled, coalesce(el > 0 AND el < 0.5 AND CASE WHEN staged IS NOT NULL THEN staged ELSE coalesce(m.size, 0) END > 1e9, false) AS simulated FROM tm JOIN z USING (run_id) WHERE st IS NOT NULL""")
+def trial_times(spark, d):
+    """The times of each run's started fetches from the run's first, and whether a fetch was simulated."""
+    got = trials.trial_rows(written(spark, d)).where("t_started is not null and outcome not in ('direct_prefetch', 'no_prediction')")
+    return got.select("run_id", "resource", *[F.round(c, 3).alias(c) for c in ("t_started", "t_consumed", "t_cancelled")], "simulated")

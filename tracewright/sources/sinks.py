@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import placed
 from ..operators.sets import stacked
 
 
@@ -52,6 +53,14 @@ def validation_report(trials: DataFrame, workload: str = "workload", config: str
     return out.select(workload, config, "included", "excluded", (F.col("included") < few).alias("few"), (F.col("_gpus") > 1).alias("mixed_hardware"))
 
 
+def taxonomy_rows(cells: DataFrame, rows: DataFrame, by: list[str], run: str = "run_id") -> DataFrame:
+    """K8: by, stall_class, exposed_stall_s, n_trials, stall_s_per_trial from the cells of ``lifecycle.taxonomy`` (by, cls, seconds) and all
+    rows they were made of, with or without a class."""
+    trials = rows.groupBy(*by).agg(F.countDistinct(run).alias("n_trials"))
+    per = F.round(F.col("seconds") / F.greatest(F.col("n_trials"), F.lit(1)), 2)
+    return cells.join(trials, by).select(*by, F.col("cls").alias("stall_class"), F.round("seconds", 2).alias("exposed_stall_s"), "n_trials", per.alias("stall_s_per_trial"))
+
+
 def numbered(df: DataFrame, order: list) -> DataFrame:
-    """K9: rows of a small report with their place."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    """K9: rows of a report with their place."""
+    return placed(df, order)

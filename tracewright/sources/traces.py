@@ -211,8 +211,8 @@ def mean_io(rows: DataFrame, app: str, names: dict[str, str], numbers: list[str]
 def preferred_mean(rows: DataFrame, flag: Column, value: str, by: list[str]) -> DataFrame:
     """Mean of ``value`` over the flagged rows of a key, over all where none is; nulls are left out."""
     real = rows.where(F.col(value).isNotNull()).withColumn("_f", F.coalesce(flag, F.lit(False)))
-    picked = real.withColumn("_any", F.max("_f").over(Window.partitionBy(*by))).where("_f or not _any")
-    return picked.groupBy(*by).agg(F.avg(value).alias(value))
+    means = real.groupBy(*by).agg(F.avg(F.when(F.col("_f"), F.col(value))).alias("_flagged"), F.avg(value).alias("_all"))
+    return means.select(*by, F.coalesce("_flagged", "_all").alias(value))
 
 
 def counter_delta(rows: DataFrame, by: list[str], file: str, ord_: str, phase: str, value: str) -> DataFrame:
@@ -230,7 +230,19 @@ def median_bytes(rows: DataFrame, by: list[str], file: str, value: str | None, p
     return every.join(median(per, by, "_s"), by, "left").withColumnRenamed("median", "bytes")
 
 
-def cycle_times(rows: DataFrame, stage: str, value: str) -> DataFrame:
-    """Each simulation's duration plus the mean training and the mean inference."""
+def cycle_times(rows: DataFrame, stage: str, value: str, columns: Sequence[str] = ()) -> DataFrame:
+    """Each simulation's duration plus the mean training and the mean inference, with further columns of its row."""
     means = rows.agg(F.coalesce(F.avg(F.when(F.col(stage) == "train", F.col(value))), F.lit(0.0)).alias("_t"), F.coalesce(F.avg(F.when(F.col(stage) == "inference", F.col(value))), F.lit(0.0)).alias("_i"))
-    return rows.where(F.col(stage) == "simulation").join(F.broadcast(means)).select((F.col(value) + F.col("_t") + F.col("_i")).alias("cycle"))
+    return rows.where(F.col(stage) == "simulation").join(F.broadcast(means)).select(*columns, (F.col(value) + F.col("_t") + F.col("_i")).alias("cycle"))
+
+
+def wall_times(rows: DataFrame, by: list[str], scripted: Column, baseline: Column, agentic: Column, wall: str, least: float, most: float | None = None) -> DataFrame:
+    """``rows`` with kind: noai (scripted runs, or where a key has none its baselines) or agentic. Walls under ``least`` (a missing
+    one is 0) do not count, nor agentic ones over ``most``; other rows leave."""
+    t, yes = F.coalesce(wall, F.lit(0.0)), lambda c: F.coalesce(c, F.lit(False))
+    near = yes(agentic) if most is None else yes(agentic) & (t <= most)
+    kind = F.when(yes(scripted) | yes(baseline), "noai").when(near, "agentic")
+    kept = rows.where(t >= least).withColumns({"kind": kind, "_scripted": yes(scripted)}).where("kind is not null")
+    has = kept.where("_scripted").select(*by).distinct()  # a row a key
+    plain = kept.where((F.col("kind") == "noai") & ~F.col("_scripted")).join(has, by, "left_anti")
+    return kept.where((F.col("kind") == "agentic") | F.col("_scripted")).unionByName(plain).drop("_scripted")
