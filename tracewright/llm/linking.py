@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import U64, cut, drop, release
 from .components import add_edges, label
 
-#: Nodes of a small bucket at most; rows of a block beyond that; rows of small buckets that a group holds.
-LARGE, BLOCK, PACK = 32, 256, 4_000
+#: Nodes of a small bucket at most; rows of a block beyond that, and items of its sets; rows of small buckets that a group holds.
+LARGE, BLOCK, ITEMS, PACK = 32, 1024, 1 << 19, 4_000
 #: Bins of a sketch, and by how many standard deviations its count of equal bins may fall short: 1e-8 of pairs at 0.75 do.
 BINS, SHORT = 128, 5.5
 
@@ -84,7 +84,7 @@ def verify(pairs: DataFrame, sets: DataFrame, to_sets: Callable[[list[bytes]], l
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    joined = pairs.hint("shuffle_hash").join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
     return joined.mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -159,13 +159,13 @@ class Linker:
         """All pairs of different components in the buckets (key, node, size, root) still open, block against block.
 
         A size class is a power of the similarity, so a pair that fits is in one class or in two neighbours; class c of a bucket
-        also gets the rows of class c + 1. Its rows fall into blocks of about BLOCK; a task gets two blocks and returns the links
-        alone: n rows move n * n / BLOCK rows."""
+        also gets the rows of class c + 1. Its rows fall into blocks of about BLOCK, fewer where sets are large; a task gets two blocks and
+        returns the links alone: n rows move n * n / BLOCK rows."""
         percent, to_sets, kind = self.percent, self.to_sets, active.schema["node"].dataType.simpleString()
         cls = F.floor(F.log(F.col("size").cast("double")) / F.lit(-np.log(percent / 100)) + 1e-9).cast("int")
         both = active.select("key", "node", "size", "root", cls.alias("cls")).select("*", F.explode(F.array(F.col("cls"), F.col("cls") - 1)).alias("of"))
-        counts = both.groupBy("key", "of").agg(F.count(F.lit(1)).alias("m"), F.min("cls").alias("low")).where("m > 1 and low = of")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        counts = both.groupBy("key", "of").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("items"), F.min("cls").alias("low")).where("m > 1 and low = of")
+        blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.least(F.col("m"), F.ceil(F.col("items") / ITEMS))).cast("int")
         rows = both.join(counts, ["key", "of"]).join(self.sets.select("node", "sketch", "payload"), "node")
         rows = rows.select("key", "of", "cls", "node", "size", "root", "sketch", "payload", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
         # a row of block b meets every block: (b, j) for j >= b and (i, b) for i < b

@@ -97,7 +97,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         release()
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    held = texts.join(nodes.hint("shuffle_hash"), texts.doc_id.eqNullSafe(nodes.doc_id) & (texts.text_key == nodes.text_key)).select("node", "text")
+    held = texts.join(nodes, texts.doc_id.eqNullSafe(nodes.doc_id) & (texts.text_key == nodes.text_key)).select("node", "text")
     return held.mapInArrow(run, "node binary, size long, sketch binary, payload binary").dropDuplicates(["node"])
 
 
@@ -131,4 +131,4 @@ def digests(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the smallest document of each component, columns kept."""
     gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs.doc_id.eqNullSafe(gone["_id"]) & (F.xxhash64(docs.text) == gone["_key"]), "left_anti")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone["_id"]) & (F.xxhash64(docs.text) == gone["_key"]), "left_anti")
