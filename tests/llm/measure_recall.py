@@ -25,15 +25,12 @@ def all_links(lines):
     return sets, found
 
 
-def main(folder):
-    import pyarrow.parquet as pq
-
-    texts = pq.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist()
-    lines = sorted({x for t in texts for x in linededup.normal_lines(t) if x})
+def recall(lines):
+    """Links, those that share a band, those that pass the sketch too, and those left in different components."""
     sets, links = all_links(lines)
     keys = linededup.band_keys(lines)
     marks = np.array([np.frombuffer(sketch(s), np.uint8) for s in sets]).reshape(-1, BINS)
-    a, b = np.array(links).T
+    a, b = np.array(links).reshape(-1, 2).T
     shared = (keys[a] == keys[b]).any(1)
     near = may_be_near(marks[a].T.copy(), marks[b].T.copy(), linededup.PERCENT)
     root = list(range(len(lines)))
@@ -48,7 +45,15 @@ def main(folder):
         if ok:
             root[find(p)] = find(q)
     lost = sum(find(p) != find(q) for p, q in zip(a.tolist(), b.tolist()))
-    print(f"{len(lines)} lines, {len(links)} links, {int(shared.sum())} share a band, {int((shared & near).sum())} of these pass the sketch, {lost} left in different components")
+    return len(links), int(shared.sum()), int((shared & near).sum()), lost
+
+
+def main(folder):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist()
+    lines = sorted({x for t in texts for x in linededup.normal_lines(t) if x})
+    print("{} lines, {} links, {} share a band, {} of these pass the sketch, {} left in different components".format(len(lines), *recall(lines)))
 
 
 if __name__ == "__main__":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.llm import asking, bpe, common, decontaminate, linededup, linking, lm, neardup, pii, quality, recompress, suffix, urls
 
 from . import brute
+from .measure_recall import recall
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,6 +74,16 @@ def test_line_dedup_repeated_rows_are_one_document(spark):
     assert linededup.clean(df).columns == ["doc_id", "text", "pid"]
 
 
+def test_line_links_are_found():
+    """Of all pairs of lines at 75 % or more, by comparing all pairs, next to none is lost."""
+    rng = random.Random(13)
+    base = ["".join(rng.choice("abcdefghij ") for _ in range(rng.randint(60, 160))) for _ in range(150)]
+    near = ["".join(c if rng.random() > 0.008 else rng.choice("xyz") for c in x) for x in base for _ in range(4)]
+    lines = sorted({b for x in base + near for b in linededup.normal_lines(x) if b})
+    links, _, _, lost = recall(lines)
+    assert links > 200 and lost <= links // 100
+
+
 def test_substring(spark, docs):
     df, plain = with_null_id(spark, docs)
     check(recompress.digests(df), ["doc_id", "n_words", "n_removed", "kept_sha256"], brute.words_removed(plain))
@@ -311,12 +322,17 @@ def test_score_carries_state_through_long_documents():
         at += n
 
 
-def test_quality(docs):
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_quality(docs, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_LINES", most)
     got = quality.digests(docs)
     check(got, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"], brute.quality(DOCS))
 
 
-def test_quality_boilerplate(spark):
+@pytest.mark.parametrize("most", [500_000, -1])
+def test_quality_boilerplate(spark, monkeypatch, most):
+    """The same with frequent lines broadcast by host and with lines that meet by document."""
+    monkeypatch.setattr(quality, "BROADCAST_LINES", most)
     rng = random.Random(1)
     text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
     line = text(30)
@@ -457,7 +473,20 @@ def test_personal_data(spark, docs):
 
 def test_long_runs_take_linear_time():
     text = "1 " + "a" * 1_000_000 + " b@c.d " + "7" * 1_000_000
-    assert pii.base_spans(text) == [(1_000_003, 0, 1_000_008)] and pii.candidates(text, []) == [(1_000_003, 1_000_008)]
+    assert pii.base_spans(text) == [(1_000_003, 0, 1_000_008)] and pii.candidates(text, []) == [(1_000_003, 1_000_008), (1_000_009, 2_000_009)]
+    many = "x" * 100_000 + "=12345" * 20_000 + " 1.2.3.4"
+    words = pii.Words(many)
+    assert len({p for k in range(20_000) for p in pii.patterns_of(words, 100_001 + 6 * k, 100_006 + 6 * k)}) == 20_000
+
+
+def test_long_contexts_and_identifiers_are_told_apart(spark):
+    """Nothing is cut: contexts, seeds and candidates that differ only far from the span are different ones."""
+    long = lambda c: "w" * 300 + c + "w" * 300
+    rows = [(k, f"{long('a')} call +1 (555) 555-{1000 + k} now") for k in range(12)]
+    rows += [(50, f"{long('a')} call 555-0199 now"), (51, f"{long('b')} call 555-0188 or"), (52, f"{long('a')} call {'5550-' * 80}7 or")]
+    got = {r.doc_id: r for r in pii.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[50].n_found, got[51].n_found, got[52].n_found) == (1, 0, 1)
+    assert pii.name_of("1" * 300 + "2") != pii.name_of("1" * 300 + "3") and pii.name_of("1" * 64) == "1" * 64
 
 
 def test_contexts_find_unseen_identifiers(spark):

@@ -2,7 +2,8 @@
 
 Base spans (email, ip, card, phone) are found in every text. They are the seeds: the words around a seed
 induce lexical patterns (two words before it; the words on both sides; a ``name=`` or ``name:`` prefix).
-Identifier-like tokens of 4 to 254 characters outside base spans are candidates with patterns of their own. Spark scores
+Identifier-like tokens of 4 characters or more outside base spans are candidates with patterns of their own; long words and
+instances are known by a digest of the whole. Spark scores
 the graph of patterns and instances in turn: a pattern's confidence for a kind is the share of its distinct instances
 believed to be of that kind (damped by ``PRIOR``), an instance's belief the noisy-or of its patterns, for kinds its shape
 allows. A pattern is strong with a confidence of ``CONFIDENCE`` and ``MIN_SEEDS`` distinct instances that are seeds or have a
@@ -15,6 +16,7 @@ Offsets are code points, the end exclusive. Scans are linear in the text, also f
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -27,6 +29,8 @@ from .common import cut, drop
 #: In the contract's order.
 KINDS = ("email", "ip", "card", "phone")
 STEPS, MIN_SEEDS, CONFIDENCE, PRIOR = 3, 3, 0.6, 1.0
+#: Characters up to which words and instances are their own names.
+NAME = 64
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -81,42 +85,57 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _word_before(text: str, at: int) -> tuple[str, int]:
-    """The word that ends before ``at``, lower-cased and stripped, and its start; of long words the end."""
-    while at > 0 and text[at - 1] in " \t\n\x0b\x0c\r":
-        at -= 1
-    end = at
-    while at > 0 and end - at < 40 and text[at - 1] not in " \t\n\x0b\x0c\r":
-        at -= 1
-    return text[at:end].strip(_EDGE).lower(), at
+def name_of(s: str, most: int = NAME) -> str:
+    """A text itself, or a digest of the whole where it is long: different texts have different names, whatever their length."""
+    return s if len(s) <= most else "\0" + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def _word_after(text: str, at: int) -> str:
-    while at < len(text) and text[at] not in " \t\n\x0b\x0c\r":
-        at += 1
-    while at < len(text) and text[at] in " \t\n\x0b\x0c\r":
-        at += 1
-    end = at
-    while end < len(text) and end - at < 40 and text[end] not in " \t\n\x0b\x0c\r":
-        end += 1
-    return text[at:end].strip(_EDGE).lower()
+class Words:
+    """The words of a text around places in it. Each long word is named once, and prefixes of one are hashed as the places go on, so all
+    of it is linear for places in ascending order."""
 
+    def __init__(self, text: str):
+        self.text, self.names = text, {}
+        found = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts, self.ends = [a for a, _ in found], [b for _, b in found]
+        self.prefix = (-1, 0, hashlib.blake2b(digest_size=16))
 
-def patterns_of(text: str, start: int, end: int) -> list[str]:
+    def at(self, place: int) -> int:
+        """The number of the word that holds ``place``, or of the last one before it."""
+        return bisect.bisect_right(self.starts, place) - 1
+
+    def name(self, k: int) -> str:
+        """A word lower-cased, without its edges; '' where there is none."""
+        if not 0 <= k < len(self.starts):
+            return ""
+        if k not in self.names:
+            self.names[k] = name_of(self.text[self.starts[k] : self.ends[k]].strip(_EDGE).lower())
+        return self.names[k]
+
+    def before(self, k: int, place: int) -> str:
+        """What stands in word k before ``place``, lower-cased."""
+        start = self.starts[k]
+        if place - start <= NAME:
+            return self.text[start:place].lower()
+        word, done, h = self.prefix
+        if word != k or done > place:
+            done, h = start, hashlib.blake2b(digest_size=16)
+        h.update(self.text[done:place].lower().encode("utf-8", "surrogatepass"))
+        self.prefix = (k, place, h)
+        return "\0" + h.copy().hexdigest()
+
+
+def patterns_of(words: Words, start: int, end: int) -> list[str]:
     """Lexical patterns around a span."""
-    own_start = start
-    while own_start > 0 and start - own_start < 40 and text[own_start - 1] not in " \t\n\x0b\x0c\r":
-        own_start -= 1
-    one, at = _word_before(text, own_start)
-    two, _ = _word_before(text, at)
-    after = _word_after(text, end)
+    k = words.at(start)
+    one, two, after = words.name(k - 1), words.name(k - 2), words.name(words.at(end - 1) + 1)
     out = []
     if one and two:
         out.append(f"L {two} {one}")
     if one and after:
         out.append(f"M {one} _ {after}")
-    if own_start < start and text[start - 1] in "=:":
-        out.append(f"P {text[own_start:start].lower()}")
+    if words.starts[k] < start and words.text[start - 1] in "=:":
+        out.append(f"P {words.before(k, start)}")
     return out
 
 
@@ -137,7 +156,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             a += len(inner[1])
         while k < len(spans) and spans[k][1] <= a:
             k += 1
-        if b - a >= 4 and b - a <= 254 and not (k < len(spans) and spans[k][0] < b):
+        if b - a >= 4 and not (k < len(spans) and spans[k][0] < b):
             out.append((a, b))
     return out
 
@@ -164,11 +183,12 @@ def scan(docs: DataFrame) -> DataFrame:
                 own = base_spans(text)
                 base.append([{"start": a, "kind": k, "end": b} for a, k, b in own])
                 digest.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in own).encode()).hexdigest())
-                found = [{"start": a, "kind": k, "end": b, "may": [], "instance": text[a:b][:254], "patterns": patterns_of(text, a, b)} for a, k, b in own]
-                if own or "@" in text or _DIGIT.search(text):
+                words = Words(text) if own or "@" in text or _DIGIT.search(text) else None
+                found = [{"start": a, "kind": k, "end": b, "may": [], "instance": name_of(text[a:b]), "patterns": patterns_of(words, a, b)} for a, k, b in own]
+                if words:
                     for a, b in candidates(text, own):
                         may = [k for k in range(len(KINDS)) if shape_ok(k, text[a:b])]
-                        found.append({"start": a, "kind": -1, "end": b, "may": may, "instance": text[a:b], "patterns": patterns_of(text, a, b)})
+                        found.append({"start": a, "kind": -1, "end": b, "may": may, "instance": name_of(text[a:b]), "patterns": patterns_of(words, a, b)})
                 seen.append(found)
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(2), pa.array(base, pa.list_(_SPAN)), pa.array(digest, pa.string()), pa.array(seen, pa.list_(_SEEN))], ["doc_id", "text_key", "base", "base_sha256", "seen"])
 
