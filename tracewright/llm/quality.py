@@ -85,32 +85,49 @@ def base(docs: DataFrame) -> DataFrame:
     return out.withColumns({"n_words": F.col("_rules.n_words"), "n_repeat_words": F.col("_rules.n_repeat_words"), "base_failed": F.col("_rules.failed")}).drop("_rules")
 
 
+def _keys(text: Column) -> Column:
+    """Distinct hashes of a text's normalised lines."""
+    return F.array_distinct(F.transform(F.filter(lines(text), has_word), lambda x: F.xxhash64(normal(x))))
+
+
 def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """host, line (hash): the lines above the host's limit. Counts are exact and cover all documents; partial
-    aggregation keeps a line that a third of all documents hold from meeting in one task."""
+    """host, line (hash): the lines above the host's limit. Counts are exact and cover all documents; a line's documents are made
+    distinct where (host, line, document) meet and then counted by partial sums, so a line that a third of all documents hold, or
+    an id that a third of all rows have, meets in no task and no row."""
     nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    keyed = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("doc"), nameless.alias("nameless"), F.array_distinct(F.transform(F.filter(lines(F.col("text")), has_word), lambda x: F.xxhash64(normal(x)))).alias("keys"))
-    distinct = keyed.groupBy("host", "doc", "nameless").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
-    per_host = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    counts = distinct.select("host", F.explode("keys").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
+    own = docs.select(F.col("source").alias("host"), F.col("doc_id").alias("doc"), nameless.alias("nameless"), _keys(F.col("text")).alias("keys"))
+    per_host = own.select("host", "doc", "nameless").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    held = own.select("host", "doc", "nameless", F.explode("keys").alias("line")).distinct()
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
     over = counts.join(per_host.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > share * F.col("docs"))
     return over.select("host", "line")
 
 
+def with_boilerplate(rows: DataFrame, over: DataFrame) -> DataFrame:
+    """``rows`` with ``boilerplate``: the hashes of frequent lines (host, line) that the document may hold.
+
+    Up to ``BROADCAST_LINES`` of them (16 bytes each, counted) are broadcast by host, and no text moves. Beyond, the documents' line hashes meet
+    them by host and line, and what a document holds of them meets its text by its id and hash: nothing meets by host."""
+    none = F.array().cast("array<bigint>")
+    if over.count() <= BROADCAST_LINES:
+        lists = F.broadcast(over.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("boilerplate")))
+        out = rows.join(lists, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
+    else:
+        keyed = rows.select(F.col("source").alias("_host"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), _keys(F.col("text")).alias("keys"))
+        held = keyed.select("_host", "_doc", "_hash", F.explode("keys").alias("_line")).distinct()
+        met = held.join(over, F.col("_host").eqNullSafe(F.col("host")) & (F.col("_line") == F.col("line")))
+        own = met.groupBy("_host", "_doc", "_hash").agg(F.collect_set("line").alias("boilerplate"))
+        same = rows["source"].eqNullSafe(own["_host"]) & rows["doc_id"].eqNullSafe(own["_doc"]) & (F.xxhash64(rows["text"]) == own["_hash"])
+        out = rows.join(own, same, "left").drop("_host", "_doc", "_hash")
+    return out.withColumn("boilerplate", F.coalesce("boilerplate", none))
+
+
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """``docs`` with the base columns, ``boilerplate`` (array of line hashes over the limit), ``left_chars``
-    (word characters outside them) and ``kept``.
-
-    A host has at most 1 / share lines above its limit for each line of a mean document, so the lists per
-    host are small. They are written and counted first: up to ``BROADCAST_LINES`` (16 bytes each) they are broadcast,
-    and texts do not move; beyond, one row per host joins by shuffle."""
-    lines_over = cut(frequent_lines(docs, min_docs, share), "frequent-lines")
-    over = lines_over.groupBy("host").agg(F.collect_set("line").alias("boilerplate"))
-    if lines_over.count() <= BROADCAST_LINES:
-        over = F.broadcast(over)
+    """``docs`` with the base columns, ``boilerplate`` (array of hashes of lines over the limit), ``left_chars``
+    (word characters outside them) and ``kept``."""
+    over = cut(frequent_lines(docs, min_docs, share), "frequent-lines")
     clash = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boilerplate", "left_chars", "kept") if c in docs.columns]
-    rows = docs.drop(*clash)
-    joined = rows.join(over.withColumnRenamed("host", "_host"), F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host").withColumn("boilerplate", F.coalesce("boilerplate", F.array().cast("array<bigint>")))
+    joined = with_boilerplate(docs.drop(*clash), over)
     left_chars = F.aggregate(lines(F.col("text")), F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains(F.col("boilerplate"), F.xxhash64(normal(x))), 0).otherwise(F.length(F.translate(x, " \t\n\x0b\f\r", ""))))
     # without boilerplate at this host nothing needs to be counted again
     out = base(joined).withColumn("left_chars", F.when(F.size("boilerplate") == 0, F.col("word_chars")).otherwise(left_chars))
