@@ -3,7 +3,8 @@
 Counting: every group of texts asks for the training counts of its distinct tokens (see ``asking``), so counts
 are exact over all training documents and no table of them is held in one place.
 
-Model: the ``TOP`` most frequent training tokens are words of the model, sorted by count into classes of
+Model: the most frequent training tokens (``places``: more with more distinct ones; of each range of token hashes at most ``TOP``) are words
+of the model, sorted by count into classes of
 ``CLASS``; all others are one further class that shares its mass by the smoothed counts. A token's
 probability is that of its class times that within the class (class-factored softmax). A gated recurrent unit
 of ``HIDDEN`` cells reads the tokens; it is trained in numpy by backpropagation truncated to ``STEPS``
@@ -40,6 +41,13 @@ STREAMS, SCORED, RATE, FAN_IN = 512, 64, 0.004, 16
 GROUP, SHARD = 10 << 20, 24 << 20
 END = _stream(61, 1)[0]
 ALPHA = 0.1
+#: The model has a place for TOP words, and for one of so many distinct training words where that is more, up to MOST (17 MB of parameters).
+SHARE, MOST = 256, 1 << 16
+
+
+def places(distinct: int) -> int:
+    """Words with a place in the model."""
+    return min(MOST, max(TOP, distinct // SHARE))
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +68,7 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Parameters by name (float32). Words 0 .. TOP - 1 by falling count, TOP is any other, TOP + 1 the start."""
+    """Parameters by name (float32). Words 0 .. n - 1 by falling count, n is any other, n + 1 the start."""
 
     def __init__(self, words: np.ndarray, p: dict[str, np.ndarray]):
         self.order = np.argsort(words)
@@ -152,12 +160,13 @@ class Model:
         place[order] = column
         return out[place], None if back is None else back.T[place]
 
-    def gradients(self, prev: np.ndarray, keep: np.ndarray, target: np.ndarray, h: np.ndarray):
-        """Gradients over one window, and the state to carry on with."""
+    def gradients(self, prev: np.ndarray, keep: np.ndarray, target: np.ndarray, h: np.ndarray, real: np.ndarray | None = None):
+        """Gradients over one window, and the state to carry on with. real: the tokens that count (all, if not given)."""
         state, last, trace = self.run(prev, keep, h, record=True)
         g: dict[str, np.ndarray] = {}
-        _, back = self.log_prob(state.reshape(-1, HIDDEN), target.ravel(), g)
-        back = back.reshape(state.shape)
+        real = np.ones(target.shape, bool) if real is None else real
+        back = np.zeros_like(state)
+        _, back[real] = self.log_prob(state[real], target[real], g)
         u, v = self.p["u"], self.p["v"]
         dx = np.empty((*prev.shape, 3 * HIDDEN), np.float32)
         g["u"], g["v"] = np.zeros_like(u), np.zeros_like(v)
@@ -212,12 +221,16 @@ class Trainer:
         prev[starts] = self.m.rare + 1
         width = int(np.clip(len(ids) // (60 * STEPS), min(8, len(ids)), STREAMS))
         length = -(-len(ids) // width)
-        # the last stream is filled up with tokens from the front
-        at = np.minimum(np.arange(width)[None] * length + np.arange(length)[:, None], len(ids) + 10**9) % len(ids)
+        # what is beyond the last token does not count
+        at = np.arange(width)[None] * length + np.arange(length)[:, None]
+        real, at = at < len(ids), np.minimum(at, len(ids) - 1)
         h = np.zeros((width, HIDDEN), np.float32)
         for t in range(0, length, STEPS):
             w = at[t : t + STEPS]
-            grads, h = self.m.gradients(prev[w], (~starts[w]).astype(np.float32), ids[w], h)
+            some = real[t : t + STEPS]
+            if not some.any():
+                break
+            grads, h = self.m.gradients(prev[w], (~starts[w]).astype(np.float32), ids[w], h, None if some.all() else some)
             self.step(grads)
 
 
@@ -322,7 +335,7 @@ def _average(rows) -> tuple[bytes, int]:
 
 def train_round(docs: DataFrame, shards: int, words: np.ndarray, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The token-weighted mean of the copies trained on the shards of the rows (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, start))  # TOP bounds its size
+    sent = docs.sparkSession.sparkContext.broadcast((words, start))  # MOST bounds its size
 
     def run(t: pa.Table) -> pa.Table:
         words, p = sent.value
@@ -370,7 +383,7 @@ def scores(docs: DataFrame) -> DataFrame:
     counted = cut(_counts(groups, buckets), "lm-counts")
     sums = counted.where("pid = -2").agg(F.sum("token"), F.sum("n")).first()
     n_tokens, n_distinct = int(sums[0] or 0), int(sums[1] or 0)
-    top = counted.where("pid = -1").select("token", "n").orderBy(F.desc("n"), "token").limit(TOP).collect()
+    top = counted.where("pid = -1").select("token", "n").orderBy(F.desc("n"), "token").limit(places(n_distinct)).collect()
     words, counts = np.array([r[0] for r in top], np.int64).view(U64), np.array([r[1] for r in top], np.float64)
     p = train(rows.where("not held_out"), words, counts, n_tokens)
     sent = docs.sparkSession.sparkContext.broadcast((words, p))
