@@ -3,6 +3,7 @@ import os
 import pytest
 
 from tracewright import plans
+from tracewright.sources import scratch
 
 from .oracle import compare, connect
 
@@ -20,3 +21,4 @@ def test_query(spark, con, name):
     if name in plans.SQL:
         compare(got, con.execute(plans.SQL[name]).df())
     assert len(got) > 0
+    scratch.clear(spark)

@@ -167,6 +167,22 @@ def hideable(bytes_: Column, window: Column, rate: float = 2.78e9, spin_up: floa
     return bytes_ <= F.greatest(F.lit(0.0), window - spin_up) * rate
 
 
+def clamp(c: Column, low, high) -> Column:
+    """F8: held between two bounds; null stays null (``greatest`` and ``least`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low)))
+
+
+def iso_seconds(c: Column) -> Column:
+    """seconds since 1970 of an ISO date and time in the session's zone (UTC is meant), null where it is none."""
+    return F.unix_micros(F.try_to_timestamp(c)) / 1e6
+
+
+def int_keys(m: Column) -> Column:
+    """a map with text keys by number; keys that are no whole number leave."""
+    whole = F.map_filter(m, lambda k, _: k.rlike("^-?[0-9]{1,18}$"))
+    return F.transform_keys(whole, lambda k, _: k.cast("bigint"))
+
+
 def specialist_marker(text: Column) -> Column:
     """lower-cased name of a [SPECIALIST: x] marker, else ''."""
     return F.lower(F.regexp_extract(text, r"(?i)\[SPECIALIST:\s*(\w+)\]", 1))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bytes_with_source, falsy_coalesce, task_outcome
+from ..sources.scratch import kept
 from . import intervals, metrics
 
 _RESOURCE = "struct<resource_id:string,resource_type:string,name:string,estimated_load_s:double,estimated_size_bytes:double,confidence:double,cancellation_safe:boolean,consumer_tool:string>"
@@ -28,6 +29,11 @@ def parsed(events: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     return events.select(*by, "line_no", "step", "t", F.col("event_type").alias("kind"), F.from_json("payload", FIELDS).alias("p"))
 
 
+def typed(events: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
+    """``parsed`` events written once: lines are numbered and payloads parsed a single time, and what follows reads the columns it needs."""
+    return kept(parsed(events, by), "events")
+
+
 def _last(value: Column | str, when: Column) -> Column:
     return F.max_by(value, F.when(when, F.col("line_no")))
 
@@ -79,7 +85,7 @@ def resource_seconds() -> dict[str, Column]:
 def analyze(events: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """A1-A3: one row a trace. Rates are null without a denominator; a divergence counts as a miss. A trace without
     resources has totals of 0; an empty table gives no rows."""
-    by, e = list(by), parsed(events, by)
+    by, e = list(by), typed(events, by)
     n = lambda kind, cond=None: F.count_if(_is(kind) if cond is None else _is(kind) & F.coalesce(cond, F.lit(False)))
     counts = e.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_events"), n("prediction_result").alias("prediction_count"), n("prediction_validated", F.col("p.hit")).alias("hit_count"),
@@ -128,12 +134,12 @@ def _false_stamps(e: DataFrame, by: Sequence[str], consumers: DataFrame) -> Data
     return known.join(consumers.select("name", "tool"), ["name", "tool"], "left_anti").select(*by, "line_no")
 
 
-def tasks(events: DataFrame, by: Sequence[str] = ("run_id",), consumers: DataFrame | None = None) -> DataFrame:
+def tasks(events: DataFrame, by: Sequence[str] = ("run_id",), consumers: DataFrame | None = None, e: DataFrame | None = None) -> DataFrame:
     """One row a task: times, flags, resource, what its last prediction says of it, bytes and outcome.
 
     A start begins a task anew; a completion or cancellation without one makes a stub; a consumption counts once the task is
-    there. A completion is at start + elapsed where both are known, else at its own time."""
-    by, e = list(by), parsed(events, by)
+    there. A completion is at start + elapsed where both are known, else at its own time. e: the ``typed`` events, if at hand."""
+    by, e = list(by), typed(events, by) if e is None else e
     kinds = ("prefetch_started", "prefetch_completed", "prefetch_cancelled", "resource_consumed")
     own = e.where(F.col("kind").isin(*kinds) & (~_is("resource_consumed") | (F.coalesce("p.task_id", F.lit("")) != ""))).withColumn("task", F.coalesce("p.task_id", F.lit("")))
     if consumers is not None:
@@ -205,8 +211,8 @@ def evaluate(events: DataFrame, by: Sequence[str] = ("run_id",), consumers: Data
     consumers (name, tool): which tools consume which resource; without it no opportunity counts as missed. Rates are null without a
     denominator. Of the tasks of models and model caches the greatest residual counts, for the aggregator apart, since they
     stall one interval; others add up. A wait is the greater of what was measured and that residual."""
-    by, e = list(by), parsed(events, by)
-    own = tasks(events, by, consumers)
+    by, e = list(by), typed(events, by)
+    own = tasks(events, by, consumers, e)
     o, c = F.col("outcome"), F.col
     met = o.isin("useful", "late")
     timed = met & c("started_t").isNotNull() & c("consumed_t").isNotNull()

@@ -75,8 +75,8 @@ def by_plan(calls: DataFrame, known: Knowledge, least: float = 0.8) -> DataFrame
     target = known.plans.select("run_id", F.col("place").alias("_place"), F.col("tool").alias("consumer_tool"))
     rows = ahead.withColumn("_place", F.col("at") + F.col("off")).join(target, ["run_id", "_place"])
     rows = rows.join(maybe_broadcast(known.registry.select("consumer_tool", "resource_id").distinct()), "consumer_tool")
-    learned = maybe_broadcast(known.table.select(F.col("source").alias("tool"), "off", F.col("target").alias("consumer_tool"), "prob"))
-    rows = rows.join(learned, ["tool", "off", "consumer_tool"], "left")
+    likely = maybe_broadcast(known.table.select(F.col("source").alias("tool"), "off", F.col("target").alias("consumer_tool"), "prob"))
+    rows = rows.join(likely, ["tool", "off", "consumer_tool"], "left")
     return contract(rows, "plan", "consumer_tool", F.col("off"), F.greatest(F.coalesce("prob", F.lit(least)), F.lit(least)))
 
 

@@ -51,9 +51,9 @@ def trial_rows(events: DataFrame, by: Sequence[str] = ("run_id",), mode: str = "
     Times count from the trace's first. A gate of the task's model that ends after its start (else the last one) says when the resource was
     needed, then its consumption, then the first call of its consumer after the prediction. Resources are joined by shuffles
     on trace and name, tool or resource; no pairs of a trace's events are formed."""
-    by, e = list(by), analyze.parsed(events, by)
+    by, e = list(by), analyze.typed(events, by)
     of = lambda *kinds: F.col("kind").isin(*kinds)
-    own = analyze.tasks(events, by, consumers)
+    own = analyze.tasks(events, by, consumers, e)
     preds = analyze.predictions(e, by).join(e.select(*by, "line_no", "t"), [*by, "line_no"])
     first = preds.groupBy(*by, "resource").agg(F.min_by(F.struct(F.col("t").alias("t"), "r"), F.struct("t", "line_no", "place")).alias("pred"))
     decided = e.where(of("prefetch_decision") & (F.coalesce("p.resource_id", F.lit("")) != "")).groupBy(*by, F.col("p.resource_id").alias("resource")).agg(F.min_by(F.struct("t", F.coalesce("p.action", F.lit("")).alias("action"), F.coalesce("p.reason", F.lit("")).alias("reason"), F.col("p.estimated_load_s").alias("est")), F.struct("t", "line_no")).alias("dec"))

@@ -102,7 +102,7 @@ def report_texts(spark, d):
 @query(E[:-1] + """, c AS (SELECT run_id, k % 12 AS g FROM e WHERE kind IN ('view', 'click') AND cents > 100), n AS (SELECT run_id, count(DISTINCT g) FILTER (g <> 0) + count(*) FILTER (g = 0) AS n FROM c GROUP BY run_id), r AS (SELECT DISTINCT run_id FROM e)
 SELECT round(avg(coalesce(n, 0)) * 15, 6) AS floor_s FROM r LEFT JOIN n USING (run_id)""")
 def exposed_gates(spark, d):
-    """Mean distinct exposed gates a trial, times the floor of 15 s."""
+    """Mean distinct exposed gates a trial, times the floor of 15 s; over 100 cents stands for being exposed."""
     c = classed(spark, d).where("cents > 100").groupBy("run_id").agg((F.countDistinct(F.when(F.col("g") != "", F.col("g"))) + F.count_if(F.col("g") == "")).alias("n"))
     runs = trace(spark, d).select("run_id").distinct()
     return runs.join(c, "run_id", "left").agg(F.round(F.avg(F.coalesce("n", F.lit(0))) * 15, 6).alias("floor_s"))
@@ -328,7 +328,7 @@ def simulated_runs(spark, d):
 
 @query(E[:-1] + ", s AS (SELECT run_id, CAST(sum(cents) AS BIGINT) AS stall FROM e WHERE kind = 'purchase' GROUP BY run_id), m AS (SELECT run_id, CAST(sum(cents) AS BIGINT) AS measured FROM e WHERE kind = 'error' AND k < 5 GROUP BY run_id) SELECT s.run_id, CASE WHEN s.run_id % 3 = 0 THEN m.measured ELSE s.stall END AS stall FROM s LEFT JOIN m USING (run_id)")
 def metrics_override(spark, d):
-    """One family takes its stall from the metrics alone, and null where they have none."""
+    """One family takes its stall from the metrics alone, and null where they have none; errors with k under 5 stand for metrics (see also phase_stalls)."""
     e = trace(spark, d)
     s = e.where("kind = 'purchase'").groupBy("run_id").agg(F.sum("cents").alias("own"))
     m = e.where("kind = 'error' and k < 5").groupBy("run_id").agg(F.sum("cents").alias("measured"))

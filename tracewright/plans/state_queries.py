@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import scalars, text
 from ..operators import analyze, lifecycle, predictors, sequences, trials
 from ..sources import scratch, sinks, traces
 from ..streaming import lifecycles, scheduler
@@ -265,3 +265,21 @@ def trial_times(spark, d):
     """The times of each run's started fetches from the run's first, and whether a fetch was simulated."""
     got = trials.trial_rows(written(spark, d)).where("t_started is not null and outcome not in ('direct_prefetch', 'no_prediction')")
     return got.select("run_id", "resource", *[F.round(c, 3).alias(c) for c in ("t_started", "t_consumed", "t_cancelled")], "simulated")
+
+
+# --- rules on texts, dates and maps ----------------------------------------------------------------------------------------------------------
+
+
+@query(E[:-1] + """ SELECT run_id, ord, CASE WHEN k % 2 = 0 THEN kind ELSE '' END AS marker, CASE WHEN k % 7 = 0 THEN '' ELSE 'a' || k || ' ' || kind END AS prompts, CASE k % 3 WHEN 0 THEN kind WHEN 1 THEN 'baseline' ELSE substr('run-number-' || run_id, 1, 12) END AS label, CASE WHEN k % 2 = 0 THEN 'policy_skip' ELSE kind END AS cls,
+  CASE WHEN k % 5 = 0 THEN NULL ELSE t / 1000000.0::DOUBLE END AS seconds, CASE WHEN k % 5 = 0 THEN NULL ELSE greatest(20, least(60, k)) END AS clamped, cents + 3 * k AS weighed FROM e""")
+def text_rules(spark, d):
+    """Markers, planner messages, bounds, dates, maps by number, labels of conditions and classes."""
+    e, k, kind = trace(spark, d), F.col("k"), F.col("kind")
+    marker = F.when(k % 2 == 0, F.concat(F.lit("go [Specialist:  "), F.upper(kind), F.lit("] now"))).otherwise("[specialist] none")
+    message = F.when(k % 7 == 0, "{broken").otherwise(F.concat(F.lit('{"worker_tasks": [{"prompt": "a'), k.cast("string"), F.lit('"}, {"prompt": "'), kind, F.lit('"}]}')))
+    condition, mode = F.when(k % 3 == 0, kind).when(k % 3 == 1, ""), F.when(k % 3 == 1, "baseline").otherwise("real")
+    at = F.when(k % 5 == 0, "no date").otherwise(F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    by_number = scalars.int_keys(F.create_map(F.lit("1"), F.col("cents"), F.lit("3"), k, F.lit("x"), F.lit(7)))
+    weighed = F.aggregate(F.map_entries(by_number), F.lit(0).cast("bigint"), lambda s, x: s + x.key * x.value)
+    return e.select("run_id", "ord", scalars.specialist_marker(marker).alias("marker"), text.planner_prompts(message).alias("prompts"), scalars.condition_label(condition, mode, F.concat(F.lit("run-number-"), F.col("run_id").cast("string"))).alias("label"), scalars.merged_class(F.when(k % 2 == 0, F.concat(F.lit("policy_skip:"), kind)).otherwise(kind)).alias("cls"),
+                    scalars.iso_seconds(at).alias("seconds"), scalars.clamp(F.when(k % 5 != 0, k), 20, 60).alias("clamped"), weighed.alias("weighed"))

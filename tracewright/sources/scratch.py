@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders handed out by this process and not cleared yet.
+_HELD: list[str] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; under a temporary folder only in local mode with none set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -16,7 +20,17 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/tracewright-{name}-{uuid.uuid4().hex}"
+    _HELD.append(f"{found.rstrip('/')}/tracewright-{name}-{uuid.uuid4().hex}")
+    return _HELD[-1]
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what was written here; returned frames read it lazily, so call this once their rows are taken. How many folders there were."""
+    n = len(_HELD)
+    while _HELD:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_HELD.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import lenient_float, lenient_int, non_negative
+from ..functions.scalars import iso_seconds, lenient_float, lenient_int, non_negative
 from ..operators.ordering import median, placed
 
 RESOURCE = "resource_id string, resource_type string, name string, path string, model_endpoint string, estimated_size_bytes bigint, estimated_load_s double, expected_at_step int, confidence double, cancellation_safe boolean, consumer_tool string, consumer_step_offset int, proactive_swap boolean"
@@ -157,7 +157,7 @@ def load_profile(spark: SparkSession, path: str) -> DataFrame:
 
 def load_phases(spark: SparkSession, path: str) -> DataFrame:
     """Phases as intervals relative to the start of the file's first row; kind is the part before a colon."""
-    rows = _csv(spark, path).where("phase <> 'SUMMARY'").withColumns({"_end": F.unix_micros(F.to_timestamp("timestamp")) / 1e6, "_d": F.coalesce(lenient_float(F.col("duration_s")), F.lit(0.0))}).where("_end is not null")
+    rows = _csv(spark, path).where("phase <> 'SUMMARY'").withColumns({"_end": iso_seconds(F.col("timestamp")), "_d": F.coalesce(lenient_float(F.col("duration_s")), F.lit(0.0))}).where("_end is not null")
     zero = F.first(F.col("_end") - F.col("_d")).over(Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return rows.select("file", "ord", "phase", F.substring_index("phase", ":", 1).alias("kind"), (F.col("_end") - F.col("_d") - zero).alias("start"), (F.col("_end") - zero).alias("end"))
 
