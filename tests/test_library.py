@@ -328,7 +328,8 @@ def test_tool_names_of_all_events(spark, tmp_path):
     rows = [(k, kind) for k, kind in enumerate(["view", "click", "error"] * 400)]
     spark.createDataFrame(rows, "event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = {(r.event_id, r.name) for r in plans.QUERIES["tool_name_parsing"](spark, str(tmp_path)).collect()}
-    assert got == {(k, f"{kind}_tool") for k, kind in rows}
+    # one form in six is JSON whose name is no tool's
+    assert got == {(k, None if k % 6 == 4 else f"{kind}_tool") for k, kind in rows}
 
 
 def summary(spark, tmp_path, *lines, consumers=None):
