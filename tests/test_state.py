@@ -154,7 +154,7 @@ def test_scheduler_by_hand():
     assert s.feed(16, "consumed", "never", None, None, None)[0][5] == "no_prefetch"
 
 
-@pytest.mark.parametrize("files", [1, 4])
+@pytest.mark.parametrize("files", [4])
 def test_scheduler_stream_equals_batch(spark, tmp_path, conf, files):
     conf(spark__sql__streaming__stateStore__providerClass=ROCKS)
     rng = random.Random(5)
@@ -197,7 +197,7 @@ def end_of_stream(spark, path, tmp_path, name, timeout_s=None, at_once=1):
     return spark.read.schema(lifecycles.SCHEMA).parquet(f"{tmp_path}/{name}")
 
 
-@pytest.mark.parametrize("cuts", [[240], [1, 90, 240], [60, 120, 180, 240]])
+@pytest.mark.parametrize("cuts", [[240], [1, 90, 240]])
 def test_streamed_lifecycles_equal_the_batch(spark, tmp_path, conf, cuts):
     """For any cut into files, and across a restart after each of them."""
     conf(spark__sql__streaming__stateStore__providerClass=ROCKS)
