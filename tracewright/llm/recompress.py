@@ -8,7 +8,7 @@ a symbol may have been joined with what stands outside. Symbols of two rounds de
 their start and two to the right of their last word. Where a word repeats side by side its run may reach out of any window,
 so there words stay symbols of their own.
 
-A round-two symbol has up to four words, so any 13 words hold a symbol start at offsets 3 to 6. The phrase of a
+A round-two symbol has up to four words, so any 13 words hold a symbol start at offsets 2 to 5. The phrase of a
 symbol start is the symbols that end within the next five words, and single words up to seven. The least
 phrase name of the four offsets stands for a window. A phrase that two documents hold reveals where repeats can be: the words
 around it, up to 16, go to the bucket of its name, and a bucket compares windows word by word, so
