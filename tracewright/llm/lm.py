@@ -41,8 +41,8 @@ STREAMS, SCORED, RATE, FAN_IN = 512, 64, 0.004, 16
 GROUP, SHARD = 10 << 20, 24 << 20
 END = _stream(61, 1)[0]
 ALPHA = 0.1
-#: The model has a place for TOP words, and for one of so many distinct training words where that is more, up to MOST (17 MB of parameters).
-SHARE, MOST = 256, 1 << 16
+#: The model has a place for TOP words, and for one of SHARE distinct training words where that is more, up to MOST (17 MB of parameters).
+SHARE, MOST = 4096, 1 << 16
 
 
 def places(distinct: int) -> int:
@@ -164,9 +164,12 @@ class Model:
         """Gradients over one window, and the state to carry on with. real: the tokens that count (all, if not given)."""
         state, last, trace = self.run(prev, keep, h, record=True)
         g: dict[str, np.ndarray] = {}
-        real = np.ones(target.shape, bool) if real is None else real
-        back = np.zeros_like(state)
-        _, back[real] = self.log_prob(state[real], target[real], g)
+        if real is None:
+            _, back = self.log_prob(state.reshape(-1, HIDDEN), target.ravel(), g)
+            back = back.reshape(state.shape)
+        else:
+            back = np.zeros_like(state)
+            _, back[real] = self.log_prob(state[real], target[real], g)
         u, v = self.p["u"], self.p["v"]
         dx = np.empty((*prev.shape, 3 * HIDDEN), np.float32)
         g["u"], g["v"] = np.zeros_like(u), np.zeros_like(v)
