@@ -215,6 +215,27 @@ def test_streamed_lifecycles_equal_the_batch(spark, tmp_path, conf, cuts):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
+@pytest.mark.parametrize("cuts", [[240], [1, 90, 240]])
+def test_updated_lifecycles_equal_the_batch(spark, tmp_path, conf, cuts):
+    """The same rows without a Python call a task: the state is Spark's aggregates, across restarts."""
+    conf(spark__sql__streaming__stateStore__providerClass=ROCKS)
+    rows, path, at = random_lines(), f"{tmp_path}/bus", 0
+    for end in cuts:
+        spark.createDataFrame([(x,) for x in rows[at:end]], "value string").coalesce(1).write.mode("append").text(path)
+        q = lifecycles.append_updates(lifecycles.updates(lifecycles.lines(spark, path)), f"{tmp_path}/out", f"{tmp_path}/cp")
+        q.awaitTermination(180)
+        assert [o.operatorName for o in q.lastProgress.stateOperators] == ["stateStoreSave"]
+        at = end
+    whole = f"{tmp_path}/whole"
+    spark.createDataFrame([(x,) for x in rows], "value string").coalesce(1).write.text(whole)
+    pick = lambda df: df.select(*COLUMNS).toPandas().sort_values(["run_id", "task"]).reset_index(drop=True)
+    want = pick(analyze.tasks(traces.load_events(spark, whole)))
+    got = lifecycles.latest(spark.read.schema(lifecycles.SCHEMA).parquet(f"{tmp_path}/out"))
+    assert len(want) > 15
+    pd.testing.assert_frame_equal(pick(got), want, check_dtype=False)
+    assert pick(lifecycles.updates(traces.load_events(spark, whole))).equals(pick(got))
+
+
 def test_silent_tasks_are_closed_by_time(spark, tmp_path, conf):
     conf(spark__sql__streaming__stateStore__providerClass=ROCKS)
     path = f"{tmp_path}/bus"

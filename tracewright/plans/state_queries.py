@@ -83,8 +83,7 @@ def run_stream(spark, path, out):
     before = spark.conf.get(held)
     spark.conf.set(held, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        rows = lifecycles.stream(lifecycles.lines(spark, path))
-        rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        lifecycles.append_updates(lifecycles.updates(lifecycles.lines(spark, path)), f"{out}/rows", f"{out}/checkpoint").awaitTermination()
     finally:
         spark.conf.set(held, before)
 

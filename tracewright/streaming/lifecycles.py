@@ -6,7 +6,8 @@ stub; a consumption counts once the task is there. After each micro-batch the ta
 changes so far, so the last row of a task is its lifecycle; how the lines fall into micro-batches does not matter as long as those come in the
 order of ``t``, and neither does a restart. Events of a task at one ``t`` are taken as start, completion, cancellation, consumption.
 
-With a timeout, a task whose last event is that far behind the watermark is emitted once more with ``closed`` set and its state is given up; events
+``updates`` holds the state in Spark's own aggregates and is what to use for many tasks; its rows need a sink that takes updates (``append_updates``).
+``stream`` calls Python for each task of a micro-batch and can close silent tasks. With a timeout, a task whose last event is that far behind the watermark is emitted once more with ``closed`` set and its state is given up; events
 later than the watermark are dropped by Spark and belong to no task. Lines without a task_id, of another kind or not parsable make no task;
 a null run_id reads ``unknown`` as in the batch.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..sources.traces import parsed_lines
 
@@ -114,14 +115,49 @@ def lines(spark: SparkSession, path: str, files_at_once: int | None = None) -> D
     return parsed_lines(reader.load(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.lit(None).cast("long").alias("line_no")))
 
 
-def stream(events: DataFrame, timeout_s: float | None = None, late_s: int = 0) -> DataFrame:
-    """The lifecycles of a streaming DataFrame of events (RocksDB state store needed)."""
+def task_events(events: DataFrame) -> DataFrame:
+    """run_id, task, rank, t, step, kind and the payload's fields of the events that can make a task."""
     p = F.from_json("payload", FIELDS)
     rows = events.where(F.col("event_type").isin(*KINDS)).withColumn("p", p)
     task = F.coalesce("p.task_id", F.lit(""))
     rows = rows.where((F.col("event_type") != "resource_consumed") | (task != ""))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("event_type"))
-    rows = rows.select("run_id", task.alias("task"), rank.alias("rank"), "t", "step", F.col("event_type").alias("kind"), "p.resource_id", "p.elapsed_s", "p.bytes_staged", "p.wasted", "p.status", F.timestamp_seconds("t").alias("at"))
+    return rows.select("run_id", task.alias("task"), rank.alias("rank"), "t", "step", F.col("event_type").alias("kind"), "p.resource_id", "p.elapsed_s", "p.bytes_staged", "p.wasted", "p.status", F.timestamp_seconds("t").alias("at"))
+
+
+def updates(events: DataFrame) -> DataFrame:
+    """The lifecycles of a streaming (or batch) DataFrame of events, as rows of ``SCHEMA`` in which ``changes`` counts the task's events so far.
+
+    The last event of each kind is kept; what the last start (or, without one, a task's first event but a consumption) came after is
+    left out as the row is made. So the state is a few maxima, which combine before the shuffle and do not call Python."""
+    rows, of = task_events(events), dict(zip(KINDS, "sexu", strict=True))
+    last = lambda kind, *values: F.max(F.when(F.col("kind") == kind, F.struct("t", *values))).alias(of[kind])
+    staged = F.when((F.col("kind") == "prefetch_completed") & F.col("bytes_staged").isNotNull(), F.struct("t", "bytes_staged"))
+    first = F.min(F.when(F.col("kind") != "resource_consumed", F.struct("t", "rank")))
+    held = rows.groupBy("run_id", "task").agg(last("prefetch_started", "resource_id"), last("prefetch_completed", "elapsed_s"), last("prefetch_cancelled", "wasted"), last("resource_consumed", "step", "status"), F.max(staged).alias("m"), first.alias("first"), F.count(F.lit(1)).alias("changes"))
+    since = F.coalesce("s.t", "first.t")  # events at one t are taken in the order of kinds, a consumption last
+    own = held.where("first is not null").withColumns({c: F.when(F.col(f"{c}.t") >= since, F.col(c)) for c in "exum"})
+    elapsed = F.when(F.col("e").isNotNull(), F.coalesce("e.elapsed_s", F.lit(0.0)))
+    timed = (F.coalesce("s.t", F.lit(0.0)) != 0) & (elapsed > 0)
+    given = lambda c, value, default: F.when(F.col(c).isNotNull(), F.coalesce(value, F.lit(default)))
+    out = {
+        "started_t": F.col("s.t"), "resource": F.coalesce("s.resource_id", F.lit("")), "elapsed_s": elapsed, "completed_t": F.when(timed, F.col("s.t") + elapsed).otherwise(F.col("e.t")), "measured": F.col("m.bytes_staged"),
+        "cancelled_t": F.col("x.t"), "wasted": given("x", "x.wasted", False), "consumed_t": F.col("u.t"), "consumed_step": F.col("u.step"), "status": given("u", "u.status", ""),
+        "last_t": F.greatest("s.t", "e.t", "x.t", "u.t"), "changes": F.col("changes"), "closed": F.lit(False),
+    }
+    return own.select("run_id", "task", *[c.alias(n) for n, c in out.items()])
+
+
+def append_updates(changed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Start writing ``updates`` of what is new since ``checkpoint``: a folder under ``path`` for each micro-batch, which a
+    repeated one replaces."""
+    put = lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/batch={k}")
+    return changed.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream(events: DataFrame, timeout_s: float | None = None, late_s: int = 0) -> DataFrame:
+    """The lifecycles of a streaming DataFrame of events (RocksDB state store needed)."""
+    rows = task_events(events)
     if timeout_s is not None:
         rows = rows.withWatermark("at", f"{late_s} seconds")
     return rows.groupBy("run_id", "task").transformWithStateInPandas(statefulProcessor=LifecycleProcessor(timeout_s), outputStructType=SCHEMA, outputMode="Append", timeMode="None" if timeout_s is None else "EventTime")
