@@ -3,15 +3,19 @@
 import json
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tracewright import plans
 from tracewright.functions import scalars
 from tracewright.operators import analyze, ordering, predictors, sequences
 from tracewright.sources import sinks, traces
 from tracewright.streaming import lifecycles, scheduler
 
+from .oracle import compare
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -260,6 +264,15 @@ def test_typed_events_keep_scalar_extras(spark, tmp_path):
     assert got[3].extras == {} and got[3].tool_call.tool is None and got[4].extras == {}
 
 
+def test_small_negative_readings_are_unmeasured(spark, tmp_path):
+    """A reading of -0.3 is negative, though it rounds to -0."""
+    rows = [(1, -0.3, 4), (2, 0.3, 5), (4, 0.5, 6), (5, -0.5, 7), (7, 0.0, 8), (8, -12.7, 9), (9, 7.49, 10), (10, None, 11)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    compare(plans.QUERIES["profile_metrics"](spark, str(tmp_path)).toPandas(), con.execute(plans.SQL["profile_metrics"]).df())
+
+
 def test_traces_in_the_order_of_their_paths(spark, tmp_path):
     for name, text in (("b", line(1, "x") + "\n" + line(2, "y")), ("a", ""), ("c", "{broken\n\n"), ("d", line(3, "z")), ("other.txt", line(9, "no"))):
         (tmp_path / (name if "." in name else f"{name}.jsonl")).write_text(text)

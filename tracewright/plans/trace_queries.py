@@ -232,9 +232,9 @@ def phase_intervals(spark, d):
 def profile_metrics(spark, d):
     """A profile CSV in long form; negative and unparsable readings are null."""
     path = scratch.folder(spark, "profile")
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("t_rel_s"), F.round("s_acctbal").alias("gpu0_util_pct"), F.when(F.col("s_suppkey") % 3 == 0, "oops").otherwise(F.col("s_nationkey").cast("string")).alias("gpu1_util_pct"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("t_rel_s"), F.col("s_acctbal").alias("gpu0_util_pct"), F.when(F.col("s_suppkey") % 3 == 0, "oops").otherwise(F.col("s_nationkey").cast("string")).alias("gpu1_util_pct"))
     sinks.write_table(s, path)
-    return traces.load_profile(spark, path).select(F.col("t_rel_s").cast("bigint").alias("t_rel_s"), "gpu", "value")
+    return traces.load_profile(spark, path).select(F.col("t_rel_s").cast("bigint").alias("t_rel_s"), "gpu", F.round("value").alias("value"))  # whole: what rounds to -0 is negative
 
 
 @query("SELECT n_name AS resource, CASE WHEN n_nationkey % 4 > 0 THEN n_nationkey * 0.5::DOUBLE END AS load_s, n_nationkey % 2 = 0 AS hit FROM nation")
