@@ -264,6 +264,26 @@ def test_typed_events_keep_scalar_extras(spark, tmp_path):
     assert got[3].extras == {} and got[3].tool_call.tool is None and got[4].extras == {}
 
 
+def test_phases_of_many_runs_in_a_file(spark, tmp_path):
+    """Each run counts from its own first row; a swap inside two agents counts once; what touches is one."""
+    (tmp_path / "m.csv").write_text("run_id,phase,timestamp,duration_s\n" + "".join(f"{r},{p},2024-01-01T00:00:{e:02d},{d}\n" for r, p, e, d in [
+        (1, "agent:x", 10, 10), (2, "agent:x", 30, 5), (1, "model_swap_wait:m", 12, 6), (1, "agent:y", 14, 6), (2, "llm:inference", 33, 3), (2, "SUMMARY", 40, 40), (3, "model_swap_wait:m", 9, 2), (3, "model_swap_wait:m", 11, 2)]))
+    phases = traces.load_phases(spark, str(tmp_path / "m.csv"), ["run_id"])
+    assert sorted((r.run_id, r.start, r.end) for r in phases.where("phase = 'agent:x'").collect()) == [("1", 0.0, 10.0), ("2", 0.0, 5.0)]
+    got = {r.run_id: (r.tool_s, r.swap_s, r.reasoning_s) for r in analyze.phase_stalls(phases, ["run_id"]).collect()}
+    assert got == {"1": (8.0, 6.0, 0.0), "2": (5.0, None, 3.0), "3": (0.0, 4.0, 0.0)}
+
+
+def test_files_of_phases_do_not_grow_with_the_runs(spark, tmp_path):
+    events = spark.range(2000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") + 1_700_000_000).cast("timestamp_ntz").alias("ts"), (F.col("id") % 400).alias("user_id"), F.element_at(F.array(*map(F.lit, ("signup", "view", "click", "error"))), (F.col("id") % 4 + 1).cast("int")).alias("event_type"), (F.col("id") % 7 / 1.0).alias("value"), F.lit('{"k": 5}').alias("props"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = plans.QUERIES["phase_stalls"](spark, str(tmp_path))
+    assert len(got.inputFiles()) <= 4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    compare(got.toPandas(), con.execute(plans.SQL["phase_stalls"]).df())
+
+
 def test_small_negative_readings_are_unmeasured(spark, tmp_path):
     """A reading of -0.3 is negative, though it rounds to -0."""
     rows = [(1, -0.3, 4), (2, 0.3, 5), (4, 0.5, 6), (5, -0.5, 7), (7, 0.0, 8), (8, -12.7, 9), (9, 7.49, 10), (10, None, 11)]

@@ -185,14 +185,17 @@ def overlap_report(events: DataFrame, by: Sequence[str] = ("run_id",), threshold
 
 def phase_stalls(phases: DataFrame, by: Sequence[str]) -> DataFrame:
     """tool_s, swap_s and reasoning_s of each run from its phases (by, phase, start, end): the time of agents outside swap waits, the
-    swap waits, which may lie inside agents, and the inference. swap_s is null, not 0, where no phase of a model was recorded."""
+    swap waits, which may lie inside agents, and the inference, in the unit of start and end. swap_s is null, not 0, where no phase of a model was
+    recorded. One sweep over the swaps and one over both: neither forms pairs."""
     by = list(by)
     is_ = lambda p: F.col("phase").startswith(p)
-    agents, swaps = phases.where(is_("agent:")), phases.where(is_("model_swap_wait:"))
     known = phases.groupBy(*by).agg(F.bool_or(is_("model_swap_wait:") | is_("model_load:")).alias("_models"), F.coalesce(F.sum(F.when(F.col("phase") == "llm:inference", F.col("end") - F.col("start"))), F.lit(0.0)).alias("reasoning_s"))
-    of = lambda rows, name: intervals.total_length(rows, by).withColumnRenamed("length", name)
-    out = known.join(of(agents, "_a"), by, "left").join(of(swaps, "_s"), by, "left").join(intervals.intersection_length(agents, swaps, by).withColumnRenamed("overlap", "_o"), by, "left").fillna(0, ["_a", "_s", "_o"])
-    return out.select(*by, (F.col("_a") - F.col("_o")).alias("tool_s"), F.when(F.col("_models"), F.col("_s")).alias("swap_s"), "reasoning_s")
+    sets = F.when(is_("agent:"), F.array(F.lit("either"))).when(is_("model_swap_wait:"), F.array(F.lit("either"), F.lit("swap")))  # agents without swaps are both without swaps
+    spans = phases.select(*by, "start", "end", F.explode(sets).alias("_set"))
+    of = lambda name: F.sum(F.when(F.col("_set") == name, F.col("length")))
+    lengths = intervals.total_length(spans, [*by, "_set"]).groupBy(*by).agg(of("either").alias("_e"), of("swap").alias("_s"))
+    out = known.join(lengths, by, "left").fillna(0, ["_e", "_s"])
+    return out.select(*by, (F.col("_e") - F.col("_s")).alias("tool_s"), F.when(F.col("_models"), F.col("_s")).alias("swap_s"), "reasoning_s")
 
 
 def with_phase_stalls(runs: DataFrame, phases: DataFrame, family: Column, by: Sequence[str] = ("run_id",)) -> DataFrame:

@@ -235,9 +235,11 @@ def phase_stalls(spark, d):
     phase = F.when(kind == "signup", "agent:x").when(kind == "view", F.when(third, "lammps:run").otherwise("model_swap_wait:m")).when(kind == "click", "llm:inference").when(kind == "error", F.when(third, "other").otherwise("model_load:m")).otherwise("SUMMARY")
     at = F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     rows = trace(spark, d).select("run_id", "t", phase.alias("phase"), at.alias("timestamp"), F.col("cents").cast("string").alias("duration_s"))
-    rows.repartition("run_id").sortWithinPartitions("run_id", "t").drop("t").write.partitionBy("run_id").option("header", True).csv(path)
-    phases = traces.load_phases(spark, path).select(F.regexp_extract("file", "run_id=([0-9]+)", 1).cast("bigint").alias("run_id"), "phase", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
-    return analyze.phase_stalls(phases, BY).select("run_id", *[F.round(c, 2).alias(c) for c in ("tool_s", "swap_s")], F.round("reasoning_s", 2).alias("reasoning_s"))
+    rows.repartition("run_id").sortWithinPartitions("run_id", "t").drop("t").write.option("header", True).csv(path)  # many runs a file
+    micros = lambda c: F.round(F.col(c) * 1_000_000).cast("bigint").alias(c)
+    phases = traces.load_phases(spark, path, BY).select(F.col("run_id").cast("bigint").alias("run_id"), "phase", micros("start"), micros("end"))
+    cents = lambda c: (F.round(F.col(c) / 1_000_000 * 100) / 100).alias(c)
+    return analyze.phase_stalls(phases, BY).select("run_id", *map(cents, ("tool_s", "swap_s", "reasoning_s")))
 
 
 @query(E[:-1] + _CLASS + """, l AS (SELECT *, max(cents) OVER (PARTITION BY run_id, g ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead FROM c WHERE g <> 0 AND cls <> ''),

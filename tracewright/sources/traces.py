@@ -155,11 +155,12 @@ def load_profile(spark: SparkSession, path: str) -> DataFrame:
     return long.select("file", "ord", "t_rel_s", F.regexp_extract("name", "^gpu(\\d+)_", 1).cast("int").alias("gpu"), F.regexp_extract("name", "^gpu\\d+_(.*)$", 1).alias("metric"), non_negative(F.col("text")).alias("value"))
 
 
-def load_phases(spark: SparkSession, path: str) -> DataFrame:
-    """Phases as intervals relative to the start of the file's first row; kind is the part before a colon."""
+def load_phases(spark: SparkSession, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """Phases as intervals relative to the start of the file's first row; kind is the part before a colon. Where a file holds many
+    runs, ``by`` names the columns that tell them apart: they are kept, and each run's first row in the file is its start."""
     rows = _csv(spark, path).where("phase <> 'SUMMARY'").withColumns({"_end": iso_seconds(F.col("timestamp")), "_d": F.coalesce(lenient_float(F.col("duration_s")), F.lit(0.0))}).where("_end is not null")
-    zero = F.first(F.col("_end") - F.col("_d")).over(Window.partitionBy("file").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return rows.select("file", "ord", "phase", F.substring_index("phase", ":", 1).alias("kind"), (F.col("_end") - F.col("_d") - zero).alias("start"), (F.col("_end") - zero).alias("end"))
+    zero = F.first(F.col("_end") - F.col("_d")).over(Window.partitionBy("file", *by).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.select("file", "ord", *by, "phase", F.substring_index("phase", ":", 1).alias("kind"), (F.col("_end") - F.col("_d") - zero).alias("start"), (F.col("_end") - zero).alias("end"))
 
 
 def load_timings(spark: SparkSession, path: str, numbers: list[str], flags: list[str]) -> DataFrame:
