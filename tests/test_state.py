@@ -2,10 +2,13 @@
 
 import json
 import random
+import re
+from functools import reduce
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright import plans
@@ -351,3 +354,29 @@ def test_predictors_share_a_contract(spark):
     assert (score.made, score.hits, score.calls_covered, score.precision) == (3, 3, 2, 1.0)
     with pytest.raises(KeyError):
         predictors.predict("none such", calls, k)
+
+
+def test_learned_is_the_first_signal_and_predictions_stay_where_calls_are(spark, conf):
+    """Random calls, plans, tables and a registry with repeated rows, against the rows of each signal; only calls are shuffled."""
+    conf(spark__sql__adaptive__enabled="false")
+    rng = random.Random(4)
+    calls = spark.createDataFrame([(r, s, rng.choice("abcdef")) for r in range(30) for s in range(1, 9)], "run_id long, step long, tool string").repartition(4, "run_id")
+    plans = spark.createDataFrame([(r, p, rng.choice("abcx")) for r in range(12) for p in range(rng.randint(1, 6))], "run_id long, place int, tool string")
+    reg = spark.createDataFrame([(rng.choice("abcd"), f"R{rng.randrange(4)}", rng.choice("abd"), rng.randint(1, 2), rng.choice([0.3, 0.6, 0.9])) for _ in range(25)], "consumer_tool string, resource_id string, tool string, off int, confidence double")
+    table = spark.createDataFrame([(x, o, y, 0.4, 1) for x, o, y in (("c", 1, "x"), ("c", 2, "a"), ("e", 1, "b"), ("a", 1, "b"))], "source string, off int, target string, prob double, rank long")
+    k = predictors.Knowledge(reg, table, plans=plans, reference=None)
+    rows = {n: [tuple(r)[:6] for r in predictors.predict(n, calls, k).collect()] for n in ("plan", "table", "rules", "learned")}
+    want, said = [], set()
+    for n in ("plan", "table", "rules"):
+        assert len({(r[0], r[1], r[2], r[4]) for r in rows[n]}) == len(rows[n]) > 0
+        want += [r for r in rows[n] if r[:2] not in said]
+        said |= {r[:2] for r in rows[n]}
+    assert sorted(rows["learned"]) == sorted(want)
+    tools = {(r.run_id, r.step): r.tool for r in calls.collect()}
+    all_ = reduce(DataFrame.unionByName, [predictors.predict(n, calls, k) for n in rows])
+    scores = predictors.judge(all_, calls)
+    for r in scores.collect():
+        mine = want if r.predictor_id == "learned" else rows[r.predictor_id]
+        assert (r.made, r.hits, r.calls_covered) == (len(mine), sum(tools.get((x[0], x[4]), "") == x[3] for x in mine), len({x[:2] for x in mine}))
+    moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", scores._jdf.queryExecution().executedPlan().toString())
+    assert moved and not [m for m in moved if "step" in m]

@@ -35,13 +35,16 @@ def rule_predict(calls: DataFrame, registry: DataFrame, tool: str = "tool") -> D
     return calls.join(maybe_broadcast(registry.join(of_tool, tool)), tool)
 
 
-def table_predict(calls: DataFrame, table: DataFrame, registry: DataFrame, tool: str = "tool", top: int = 3, least: float = 0.3) -> DataFrame:
-    """Of offsets 1 and 2 the first for which a likely target has registry rows; those rows. All of it hangs on the tool
-    alone and is worked out in the table."""
+def nearest_targets(table: DataFrame, registry: DataFrame, tool: str = "tool", top: int = 3, least: float = 0.3) -> DataFrame:
+    """For each tool of the table, of offsets 1 and 2 the first for which a likely target has registry rows; those rows."""
     likely = table.where((F.col("rank") <= top) & (F.col("prob") >= least) & F.col("off").isin(1, 2)).select(F.col("source").alias(tool), F.col("target").alias("next_tool"), "off", "prob")
     met = likely.join(registry.withColumnRenamed(tool, "next_tool"), "next_tool")
-    nearest = met.withColumn("_least", F.min("off").over(Window.partitionBy(tool))).where("off = _least").drop("_least")
-    return calls.join(maybe_broadcast(nearest), tool)
+    return met.withColumn("_least", F.min("off").over(Window.partitionBy(tool))).where("off = _least").drop("_least")
+
+
+def table_predict(calls: DataFrame, table: DataFrame, registry: DataFrame, tool: str = "tool", top: int = 3, least: float = 0.3) -> DataFrame:
+    """The rows of ``nearest_targets`` for each call's tool: all of it hangs on the tool alone and is worked out in the table."""
+    return calls.join(maybe_broadcast(nearest_targets(table, registry, tool, top, least)), tool)
 
 
 def starts_with(left: DataFrame, text: str, right: DataFrame, prefix: str) -> DataFrame:

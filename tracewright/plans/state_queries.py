@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
@@ -147,7 +149,8 @@ pla AS (SELECT DISTINCT c.run_id, c.step, reg.rid, nx.tool AS consumer, c.step +
 def contract_calls(spark, d):
     n = F.row_number().over(Window.partitionBy(*BY).orderBy(*ORD))
     e = trace(spark, d).select("run_id", F.col("kind").alias("tool"), n.alias("line_no"))
-    return predictors.steps_of(e.withColumn("step", F.when(F.col("line_no") % 3 == 0, F.col("line_no") + F.col("line_no") % 2)), BY).select("run_id", "step", "tool")
+    steps = predictors.steps_of(e.withColumn("step", F.when(F.col("line_no") % 3 == 0, F.col("line_no") + F.col("line_no") % 2)), BY).select("run_id", "step", "tool")
+    return scratch.kept(steps, "calls")  # counted, looked up and predicted from several times
 
 
 def knowledge(spark, d, calls):
@@ -181,11 +184,11 @@ FROM p LEFT JOIN c ON c.run_id = p.run_id AND c.step = p.due GROUP BY predictor_
 def predictor_scores(spark, d):
     """Oracle, rules, plan and the learned predictor (here without a table) through one contract, judged by one function."""
     calls = contract_calls(spark, d)
-    known, out = knowledge(spark, d, calls), None
-    for name in ("oracle", "rules", "plan", "learned"):
-        rows = predictors.judge(predictors.predict(name, calls, known), calls)
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("precision", F.round("precision", 6))
+    known = knowledge(spark, d, calls)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated, so that small calls with many predictions are not put together
+    calls = calls.repartition(parts, "run_id")  # the only time that they move
+    rows = [predictors.predict(name, calls, known) for name in ("oracle", "rules", "plan", "learned")]
+    return predictors.judge(reduce(DataFrame.unionByName, rows), calls).withColumn("precision", F.round("precision", 6))
 
 
 # --- learning in parts ---------------------------------------------------------------------------------------------------------------------------
