@@ -559,3 +559,13 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(r.doc_id for r in got.collect()) == list(range(20))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "decontamination", "tokens"]
+
+
+def test_quality_strings_equal_translate(spark):
+    """Blanks, symbols and A-Z of odd lines, against one ``translate`` for each, which the plan of an ASCII line no longer needs."""
+    blanks = " \t\n\x0b\f\r"
+    odd = ["", " ", "\t\x0b", "A  B\tC\r", " \u00c9 \u00c0B  x", "\u0130STANBUL \u212a", "a\x0bb", "\u00a0X", "  Y ", "Ab Cd", "\x0cZ", "#*$ %&|<>\u00e9#", "\U0001f600 A  #", None]
+    df, c = spark.createDataFrame([(x,) for x in odd], "x string"), F.col("x")
+    pairs = [(quality.has_word(c), F.translate(c, blanks, "") != ""), (quality.without(c, blanks), F.translate(c, blanks, "")), (quality.without(c, "#*$%&|<>"), F.translate(c, "#*$%&|<>", "")), (quality.normal(c), F.trim(F.regexp_replace(F.translate(c, quality._UPPER, quality._LOWER), "[ \\t\\n\\x0B\\f\\r]+", " ")))]
+    for r in df.select("x", *[F.struct(a.alias("a"), b.alias("b")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)]).collect():
+        assert all(p.a == p.b for p in r[1:]), r

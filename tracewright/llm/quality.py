@@ -12,6 +12,8 @@ Null texts have no words and fail the base rule; an empty table gives an empty r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,7 @@ MIN_DOCS, SHARE, LEFT = 8, 0.10, 0.3
 BROADCAST_LINES = 500_000
 
 _BLANK = "[ \\t\\n\\u000B\\f\\r]"
+_BLANKS, _SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,11 +39,19 @@ def lines(text: Column) -> Column:
 
 def has_word(line: Column) -> Column:
     """The line holds something other than blanks and 0x09-0x0D."""
-    return F.translate(line, " \t\n\x0b\f\r", "") != ""
+    return F.ltrim(line, F.lit(_BLANKS)) != ""  # looks no further than the first character of a word
+
+
+def without(text: Column, chars: str) -> Column:
+    """``text`` without some characters: bytes are searched for each in turn; ``translate`` would make a string of every character."""
+    return reduce(lambda s, c: F.replace(s, F.lit(c), F.lit("")), chars, text)
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(line, _UPPER, _LOWER), f"{_BLANK}+", " "))
+    """The pattern runs where there is something to collapse, and ``translate`` where ``lower`` could change more than A-Z."""
+    wide = reduce(Column.__or__, [F.contains(line, F.lit(c)) for c in ("  ", *_BLANKS[1:])])
+    single = F.when(wide, F.regexp_replace(line, f"{_BLANK}+", " ")).otherwise(line)
+    return F.trim(F.when(F.octet_length(line) == F.length(line), F.lower(single)).otherwise(F.translate(single, _UPPER, _LOWER)))
 
 
 def let(value: Column, f) -> Column:
@@ -78,8 +89,8 @@ def base(docs: DataFrame) -> DataFrame:
     full = F.filter(lines(F.col("text")), has_word)
     out = docs.withColumns({
         "_rules": word_rules(F.col("text")),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(without(text, _BLANKS)).cast("long"),
+        "n_symbols": (F.length(text) - F.length(without(text, _SYMBOLS))).cast("long"),
         "n_dup_lines": let(full, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
     return out.withColumns({"n_words": F.col("_rules.n_words"), "n_repeat_words": F.col("_rules.n_repeat_words"), "base_failed": F.col("_rules.failed")}).drop("_rules")
@@ -128,7 +139,7 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, left:
     over = cut(frequent_lines(docs, min_docs, share), "frequent-lines")
     clash = [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boilerplate", "left_chars", "kept") if c in docs.columns]
     joined = with_boilerplate(docs.drop(*clash), over)
-    left_chars = F.aggregate(lines(F.col("text")), F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains(F.col("boilerplate"), F.xxhash64(normal(x))), 0).otherwise(F.length(F.translate(x, " \t\n\x0b\f\r", ""))))
+    left_chars = F.aggregate(lines(F.col("text")), F.lit(0).cast("long"), lambda s, x: s + F.when(F.array_contains(F.col("boilerplate"), F.xxhash64(normal(x))), 0).otherwise(F.length(without(x, _BLANKS))))
     # without boilerplate at this host nothing needs to be counted again
     out = base(joined).withColumn("left_chars", F.when(F.size("boilerplate") == 0, F.col("word_chars")).otherwise(left_chars))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("left_chars") >= left * F.col("word_chars")))
