@@ -74,6 +74,42 @@ def test_line_dedup_repeated_rows_are_one_document(spark):
     assert linededup.clean(df).columns == ["doc_id", "text", "pid"]
 
 
+def test_lines_that_nobody_else_has_send_no_row(spark):
+    """Only lines that another group has or that share a band with a different line leave their group."""
+    rng = random.Random(14)
+    line = lambda: "".join(rng.choice("abcdefgh ") for _ in range(120)).strip()
+    near, copied = line(), line()
+    rows = [(k, f"{line()}\n{copied}\n{line()}") for k in range(40)] + [(40, near), (41, near[:-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = linededup.lines_of(df, 6, 5).collect()
+    wanted = {linededup.node_of(x) for t in (copied, near, near[:-1]) for x in linededup.normal_lines(t)}
+    assert {bytes(r.node) for r in got} == wanted and 2 < len(got) <= 6 + 2
+    assert {r.keys is None for r in got if bytes(r.node) == linededup.node_of(linededup.normal_lines(copied)[0])} == {True}
+    assert sum(r.n_removed for r in linededup.digests(df).collect()) == 39 + 1
+
+
+def test_normal_lines_of_a_group():
+    rng = random.Random(15)
+    for _ in range(50):
+        texts = [None, "", "\n", " \n a", "a ", " b", "a\tb\r\n c", "é\x85 ", "\x1c a"] + ["".join(rng.choice("aB  \n\t\r\x0b\x0cé漢🙂aaa") for _ in range(rng.randint(0, 12))) for _ in range(30)]
+        rng.shuffle(texts)
+        k = rng.randint(0, len(texts))
+        assert linededup.all_normal_lines(pa.chunked_array([pa.array(texts[:k], pa.string()), pa.array(texts[k:], pa.string())])) == [linededup.normal_lines(t) for t in texts]
+
+
+@pytest.mark.parametrize("words", [1, 7, 1 << 17])
+def test_pairs_of_sets_are_compared_as_one_by_one(monkeypatch, words):
+    monkeypatch.setattr(linking, "WORDS", words)
+    rng = np.random.default_rng(16)
+    for n in range(2, 40):
+        pool = rng.integers(0, 1 << 63, rng.integers(3, 500)).astype(np.uint64)
+        base = rng.choice(pool, len(pool) // 2 + 1)
+        sets = [np.unique(np.append(base[rng.random(len(base)) < rng.choice([0.5, 0.87, 0.93, 1])], rng.choice(pool))) for _ in range(n)]
+        a, b = np.triu_indices(n, 1)
+        assert linking.similar(sets, a, b, 75).tolist() == [linking.jaccard_at_least(sets[x], sets[y], 75) for x, y in zip(a, b)]
+        assert linking.sketches(sets) == list(map(linking.sketch, sets))
+
+
 def test_line_links_are_found():
     """Of all pairs of lines at 75 % or more, by comparing all pairs, next to none is lost."""
     rng = random.Random(13)
