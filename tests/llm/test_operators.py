@@ -169,6 +169,81 @@ def test_suffix_of_frequent_hashes(docs, monkeypatch):
     check(suffix.digests(docs), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], brute.bytes_removed(DOCS))
 
 
+def suffix_locally(docs, groups=4, buckets=3, finer=5):
+    """Operator 5 without Spark, for parameters that workers do not see: (doc_id, n_removed) of each row."""
+    texts = pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "text": pa.array([d[1] for d in docs], pa.string())})
+    tables = [texts.take(pa.array([j for j, d in enumerate(docs) if (d[0] or 0) % groups == k], pa.int64())) for k in range(groups)]
+
+    def ask(make, answer, kind, told):
+        rows = pa.concat_tables([make(k, t, told[k]) for k, t in enumerate(tables)])
+        back = pa.concat_tables([pa.Table.from_batches(answer(rows.filter(pa.array([x == b for x in rows["bucket"].to_pylist()])).combine_chunks().to_batches())) for b in sorted(set(rows["bucket"].to_pylist()))])
+        mine = [back.filter(pa.array([p == k for p in back["pid"].to_pylist()])) for k in range(groups)]
+        mine = [m.append_column("kind", pa.array([kind] * len(m), pa.int32())) for m in mine]
+        return mine if told[0] is None else [pa.concat_tables([t, m]) for t, m in zip(told, mine)]
+
+    def keys(k, t, told):
+        g = suffix.Group(t, asking.blobs_of(told, 0), buckets)
+        return asking.ask_shared(k, g.keys, g.doc, buckets, g.sorts())
+
+    def windows(k, t, told):
+        _, keys, rows, left, right, d = suffix._shared(suffix.Group(t, asking.blobs_of(told, 0), buckets), told, buckets)
+        return suffix._ask_bytes(k, keys[d.first], rows[d.first], left[d.first], right[d.first], d.doc, finer)
+
+    told = ask(lambda k, t, _: suffix._ask_chunks(k, suffix.Group(t), buckets), suffix._answer_chunks, 0, [None] * groups)
+    told = ask(keys, lambda b: asking.answer_shared(b, suffix.FREQUENT), 1, told)
+    told = ask(windows, suffix._answer_bytes, 2, told)
+    out = []
+    for k, t in enumerate(tables):
+        g, gone = suffix.removed_bytes(t, told[k], buckets, finer)
+        out += zip(t["doc_id"].to_pylist(), common.per_doc(gone, np.diff(g.offsets)).tolist())
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("sparse, close, frequent", [(1, 1, 1024), (2, 3, 1), (16, 64, 1024), (1 << 40, 64, 1024)])
+def test_suffix_with_other_chunks(monkeypatch, sparse, close, frequent):
+    """Chunks of a byte, of some and of whole texts, edited passages, runs of one letter: all remove the same bytes."""
+    for name, value in (("SPARSE", sparse), ("CLOSE", close), ("FREQUENT", frequent)):
+        monkeypatch.setattr(suffix, name, value)
+    rng = random.Random(sparse)
+    passage = "".join(rng.choice("abc ") for _ in range(700))
+    edited = [(100 + k, "".join(c if rng.random() > 0.004 * k else "?" for c in passage[rng.randrange(90) :])) for k in range(-4, 8)]
+    some = [d for d in DOCS if d[0] != 72] + edited + [(120, "a" * 900), (121, "b" + "a" * 700 + "b"), (119, "a" * 99)]
+    assert suffix_locally(some) == sorted(((w[0], w[2]) for w in brute.bytes_removed(some)), key=repr)
+
+
+def test_chunks_hold_each_window_once_and_cut_passages_alike():
+    rng = np.random.default_rng(17)
+    texts = [rng.integers(97, 123, n).astype(np.uint8) for n in (0, 49, 50, 51, 3000, 5000, 0, 4000)]
+    texts[5][1000:4000] = texts[4]
+    data, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    use = np.arange(len(texts)) != 7
+    starts, ends, row = suffix.chunks(data, offsets, use)
+    held = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends)])
+    assert held.tolist() == [p for k in (2, 3, 4, 5) for p in range(offsets[k], offsets[k + 1] - suffix.WINDOW + 1)]
+    first, second = (set(starts[row == k] - offsets[k]) for k in (4, 5))
+    inner = {p for p in first if 2 * suffix.CLOSE <= p}
+    assert len(inner) > 3 and {p + 1000 for p in inner} == {p for p in second if 1000 + 2 * suffix.CLOSE <= p <= 4000 - suffix.WINDOW}
+
+
+def test_suffix_moves_texts_once_and_copies_not_at_all(spark, monkeypatch, tmp_path):
+    """What is shuffled is little more than the texts, however many copies there are; it stays on disk until the query ends."""
+    monkeypatch.setattr(suffix, "GROUP", 1 << 17)
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(3000)) for _ in range(60)]
+    spark.createDataFrame([(k, texts[k % 60]) for k in range(1200)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    df = spark.read.parquet(f"{tmp_path}/docs")
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return sum(x.totalShuffleWrite() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+    before = written()
+    got = {r.doc_id: r.n_removed for r in suffix.digests(df).collect()}
+    moved = written() - before
+    assert got == {k: 0 if k < 60 else 3000 for k in range(1200)}
+    assert moved < 1.6 * 1200 * 3000
+
+
 def test_longest_previous_factors():
     """Lengths up to the rows' ends at every start, against all pairs of rows."""
     rng = np.random.default_rng(2)

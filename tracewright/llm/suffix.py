@@ -1,13 +1,19 @@
 """Operator 5: repeated byte strings by longest-previous-factor arrays.
 
-A suffix array of a whole corpus fits no task, so suffixes are dealt to buckets in which all that can match meet. Of
-every ``WINDOW`` bytes the least of its 20-byte hashes stands for them, and only places whose hash two documents hold
+A suffix array of a whole corpus fits no task, so suffixes are dealt to buckets in which all that can match meet.
+
+Long repeats, of whole documents above all, are settled first: texts are cut where their bytes say so into chunks of some hundred
+bytes, and a chunk holds the windows that start in it. Chunks travel as 16-byte names; if a smaller document holds an equal one,
+all its windows are repeated, and what is covered only by such windows takes no further part. Nothing is lost by that: the smallest document
+that holds a window cannot have it in such a chunk.
+
+Of every ``WINDOW`` bytes the least of its 20-byte hashes stands for them, and only places whose hash two documents hold
 go on (see ``asking``). The bytes around such a place, up to 30 before and 50 after its start, travel to the bucket of its
 hash, once a group and sort: for the least document that holds them and for the greatest. A bucket sorts the suffixes that start
 at each of the 31 places up to the hash, to the end of their bytes; the order at a place is the order at the next one, sorted by one more
 byte. The longest common prefixes of neighbours and the previous and the next suffix of a smaller document
 give each suffix its longest previous factor. Factors of ``WINDOW`` bytes and more travel back as lengths, and what
-they cover goes. Bytes are compared throughout; hashes only bring them together.
+they cover goes. Bytes are compared there, hashes only bring them together; equal chunks are told by blake2b.
 
 A hash that very many groups hold, or with very many different surroundings in one, may have unlimited different bytes around it. Its
 windows go one by one, each to the bucket of its own 50 bytes, where equal windows arrive once a group and sort; so no
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import MAX, U64, cut, mix, per_doc, prefix_hash, shares, sliding, span_hash, spans_of, text_buffer, text_bytes
+from .common import MAX, U64, mix, per_doc, prefix_hash, shares, sliding, span_hash, spans_of, text_buffer, text_bytes
 
 WINDOW, KEY = 50, 20
 #: Starts of the windows around a place, and bytes left and right of its start.
@@ -40,8 +46,10 @@ SIDE = LEFT + RIGHT
 
 #: Bytes of text in a group, and of those whose hashes are held at once.
 GROUP, SLICE = 3 << 19, 1 << 19
-#: Bytes of text whose questions make a bucket: the bytes around places take more room than keys.
-BUCKET = 4 << 20
+#: Bytes of text whose chunks or keys make a bucket, and whose bytes around places, which take more room, do.
+BUCKET, FINER = 2 * asking.BUCKET_BYTES, 8 << 20
+#: One in so many places starts a chunk, unless such a place is within CLOSE bytes before it; bytes of a chunk's name.
+SPARSE, CLOSE, NAME = 256, 64, 16
 #: Groups that hold a hash from which on it counts as frequent, rows whose suffixes are sorted at once.
 FREQUENT, BLOCK = 1024, 30_000
 
@@ -71,33 +79,92 @@ def anchors(data: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.
     return chosen, mix(key[chosen])  # least ones are small: mixed again, they spread over the buckets
 
 
+def chunks(data: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The chunks of the documents that count: the range of the window starts of each, and its document's row.
+
+    Where one starts depends on the eight bytes there and on the CLOSE bytes before, so equal passages are cut alike."""
+    last = offsets[1:] - WINDOW
+    rows = np.flatnonzero(use & (last >= offsets[:-1]))
+    at = np.zeros(0, np.int64)
+    if len(data) >= 8:
+        eight = np.ndarray(len(data) - 7, "<u8", data.tobytes(), strides=(1,))
+        at = np.flatnonzero(eight * U64(0x9E3779B97F4A7C15) < MAX // U64(SPARSE))
+    row = np.searchsorted(offsets, at, "right") - 1
+    far = np.ones(len(at), bool)
+    far[1:] = (at[1:] - at[:-1] >= CLOSE) | (row[1:] != row[:-1])
+    far &= use[row] & (at > offsets[row]) & (at <= last[row])
+    row = np.concatenate([rows, row[far]])
+    starts = np.concatenate([offsets[rows], at[far]])
+    order = np.argsort(starts, kind="stable")
+    starts, row = starts[order], row[order]
+    ends = last[row] + 1
+    ends[:-1] = np.where(row[1:] == row[:-1], starts[1:], ends[:-1])
+    return starts, ends, row
+
+
 class Group:
-    """A group's bytes and the places that stand for its windows."""
+    """A group's bytes, its chunks and, once it is told which of them are repeated, the places that stand for the other windows."""
 
-    def __init__(self, texts: pa.Table):
+    def __init__(self, texts: pa.Table, told: dict[int, bytes] | None = None, buckets: int = 0):
         ids = texts["doc_id"].combine_chunks()
         self.ids = np.array(pc.fill_null(ids, 0), np.int64)
         self.null = np.array(pc.is_null(ids), bool)
         self.data, self.offsets = text_buffer(texts["text"])
-        self.places, self.keys = self._anchors()
-        self.row = np.searchsorted(self.offsets, self.places, "right") - 1  # rows of a group are taken in any order
+        self.starts, self.ends, row = chunks(self.data, self.offsets, ~self.null)
+        raw = memoryview(np.ascontiguousarray(self.data))
+        wide = [hashlib.blake2b(raw[a : b + WINDOW - 1], digest_size=NAME).digest() for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+        high, low = np.frombuffer(b"".join(wide), U64).reshape(-1, 2).T
+        doc = self.ids[row]
+        order, new = _by_name(high, low, doc)
+        at = order[new]
+        #: Each name once, sorted, and the least document with such a chunk.
+        self.high, self.low, self.least = high[at], low[at], doc[at]
+        if told is not None:
+            number = np.empty(len(order), np.int64)
+            number[order] = np.cumsum(new) - 1
+            smaller = np.zeros(len(at), bool)
+            for k, a, b in asking.bucket_slices(self.high, buckets):
+                smaller[a:b] = np.unpackbits(np.frombuffer(told[k], np.uint8), count=b - a)
+            self._open(smaller[number] | (doc > self.least[number]))
+
+    def _open(self, repeated: np.ndarray) -> None:
+        """The places that stand for windows of chunks that are not repeated, and how far around them those windows reach."""
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts[~repeated]] += 1
+        edge[self.ends[~repeated]] -= 1
+        open_ = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        self.repeated = repeated
+        use = np.zeros(len(self.ids), bool)
+        use[np.searchsorted(self.offsets, self.starts[~repeated], "right") - 1] = True
+        places, keys = self._anchors(use)
+        row = np.searchsorted(self.offsets, places, "right") - 1  # rows of a group are taken in any order
+        n = np.arange(len(open_))
+        after = np.minimum.accumulate(np.where(open_, n, len(n))[::-1])[::-1]
+        before = np.maximum.accumulate(np.where(open_, n, -1))
+        first = after[np.maximum(places - LEFT, self.offsets[row])] if len(places) else places
+        own = first <= places
+        self.places, self.keys, self.row = places[own], keys[own], row[own]
+        self.left, self.right = self.places - first[own], before[self.places] + WINDOW - self.places
         self.doc = self.ids[self.row] if len(self.places) else np.zeros(0, np.int64)
 
-    def _anchors(self) -> tuple[np.ndarray, np.ndarray]:
+    def _anchors(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and their hashes, some texts at a time: the hashes of all places take many times the texts' room."""
+        size = np.diff(self.offsets)
+        data, offsets = self.data[np.repeat(use, size)], np.concatenate([[0], np.cumsum(size[use])])
+        moved = self.offsets[:-1][use] - offsets[:-1]
         places, keys, at = [np.zeros(0, np.int64)], [np.zeros(0, U64)], 0
-        while at < len(self.ids):
-            to = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + SLICE, "right")) - 1)
-            start = self.offsets[at]
-            found, key = anchors(self.data[start : self.offsets[to]], self.offsets[at : to + 1] - start, ~self.null[at:to])
-            places.append(found + start)
+        while at < len(moved):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+            start = offsets[at]
+            found, key = anchors(data[start : offsets[to]], offsets[at : to + 1] - start, np.ones(to - at, bool))
+            places.append(found + start + moved[np.searchsorted(offsets, found + start, "right") - 1])
             keys.append(key)
             at = to
         return np.concatenate(places), np.concatenate(keys)
 
     def sorts(self) -> np.ndarray:
         """A hash of the bytes around each place: how many different ones a key has is what counts."""
-        left, right = (np.minimum(x, y) for x, y in ((LEFT, self.places - self.offsets[self.row]), (RIGHT, self.offsets[self.row + 1] - self.places)))
+        left, right = self.left, self.right
         out, at = np.zeros(len(self.places), U64), 0
         while at < len(self.places):  # some texts at a time, as above
             to = max(at + 1, int(np.searchsorted(self.places, self.places[at] + SLICE)))
@@ -109,10 +176,8 @@ class Group:
         return out
 
     def around(self, which: np.ndarray):
-        """Bytes around the given places (rows of SIDE, zero outside the document) and how far they reach."""
-        p, row = self.places[which], self.row[which]
-        left = np.minimum(LEFT, p - self.offsets[row]).astype(np.uint8)
-        right = np.minimum(RIGHT, self.offsets[row + 1] - p).astype(np.uint8)
+        """Bytes around the given places (rows of SIDE, zero outside the windows) and how far they reach."""
+        p, left, right = self.places[which], self.left[which].astype(np.uint8), self.right[which].astype(np.uint8)
         column = np.arange(-LEFT, RIGHT)
         padded = np.concatenate([np.zeros(LEFT, np.uint8), self.data, np.zeros(RIGHT, np.uint8)])
         out = np.lib.stride_tricks.sliding_window_view(padded, SIDE)[p]
@@ -120,6 +185,14 @@ class Group:
         return out, left, right
 
 
+def _by_name(high: np.ndarray, low: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of chunks by name, the least document first, and where in it a name begins."""
+    order = np.lexsort((doc, low, high))
+    new = np.ones(len(order), bool)
+    new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+    return order, new
+
+
 def _starts(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Which window starts lie within the reach of each row."""
     start = np.arange(STARTS)
@@ -224,6 +297,30 @@ def factors(keys, rows, left, right, doc) -> np.ndarray:
     return out[d.place]
 
 
+def _ask_chunks(pid: int, g: Group, buckets: int) -> pa.Table:
+    """A group's distinct chunks, each with its least document there."""
+    slices = asking.bucket_slices(g.high, buckets)
+    # bytes of equal weight side by side: most of those of document ids are equal
+    blobs = [g.high[a:b].tobytes() + g.low[a:b].tobytes() + g.least[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for _, a, b in slices]
+    return pa.table([pa.array([k for k, _, _ in slices], pa.int32()), pa.array([pid] * len(slices), pa.int32()), pa.array(blobs, pa.binary())], schema=asking.ASK_ARROW)
+
+
+def _answer_chunks(batches):
+    """A bit for each chunk asked about: a smaller document than the group's least one holds it."""
+    asked = asking.rows_of(batches, asking.ASK_ARROW)
+    blobs = asked["blob"].to_pylist()
+    if blobs:
+        sizes = [len(b) // (NAME + 8) for b in blobs]
+        high, low = (np.concatenate([np.frombuffer(b, U64, n, 8 * n * k) for b, n in zip(blobs, sizes, strict=True)]) for k in (0, 1))
+        doc = np.concatenate([np.frombuffer(b, np.uint8, offset=NAME * n).reshape(8, n).T.copy().view(np.int64).ravel() for b, n in zip(blobs, sizes, strict=True)])
+        order, new = _by_name(high, low, doc)
+        smaller = np.empty(len(doc), bool)
+        smaller[order] = doc[order] > doc[order[new]][np.cumsum(new) - 1]
+        edges = np.cumsum([0, *sizes])
+        bits = [np.packbits(smaller[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([asked["pid"].combine_chunks(), asked["bucket"].combine_chunks(), pa.array(bits, pa.binary())], ["pid", "bucket", "blob"])
+
+
 def _ask_bytes(pid: int, keys, rows, left, right, least, buckets: int) -> pa.Table:
     squeeze, out = zstandard.ZstdCompressor(level=1), []
     for k, a, b in asking.bucket_slices(keys, buckets):
@@ -263,7 +360,7 @@ def _answer_bytes(batches):
 
 def _shared(g: Group, answers: pa.Table, buckets: int):
     """What the group asks about: anchor, key, bytes around it and their reach; the distinct rows of those."""
-    shared, frequent = asking.shared_mask(g.keys, g.doc, asking.blobs_of(answers, 0), buckets)
+    shared, frequent = asking.shared_mask(g.keys, g.doc, asking.blobs_of(answers, 1), buckets)
     which = np.flatnonzero(shared)
     rows, left, right = g.around(which)
     keys = g.keys[which] & ~U64(0xFFFF)
@@ -281,15 +378,17 @@ def _shared(g: Group, answers: pa.Table, buckets: int):
     return which, keys, rows, left, right, Distinct(keys, rows, left, right, g.doc[which])
 
 
-def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group, np.ndarray]:
-    """A group's bytes and which of them go."""
-    g = Group(t)
+def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int, finer: int) -> tuple[Group, np.ndarray]:
+    """A group's bytes and which of them go. finer: the buckets of bytes."""
+    g = Group(t, asking.blobs_of(answers, 0), buckets)
     which, keys, _, _, _, d = _shared(g, answers, buckets)
-    told, found = asking.blobs_of(answers, 1), np.zeros((len(d.first), STARTS), np.uint8)
-    for k, a, b in asking.bucket_slices(keys[d.first], buckets):
+    told, found = asking.blobs_of(answers, 2), np.zeros((len(d.first), STARTS), np.uint8)
+    for k, a, b in asking.bucket_slices(keys[d.first], finer):
         found[a:b] = np.frombuffer(zstandard.decompress(told[k]), np.uint8).reshape(-1, STARTS)
     found = found[d.place]
     edge = np.zeros(len(g.data) + 1, np.int32)
+    edge[g.starts[g.repeated]] += 1
+    np.add.at(edge, g.ends[g.repeated] + WINDOW - 1, -1)
     place = g.places[which] - LEFT
     for s in range(STARTS):
         at = np.flatnonzero(found[:, s])
@@ -300,37 +399,46 @@ def removed_bytes(t: pa.Table, answers: pa.Table, buckets: int) -> tuple[Group,
 
 def _exchange(docs: DataFrame, *more):
     total = text_bytes(docs)
-    buckets = shares(total, BUCKET)
+    buckets, finer = shares(total, BUCKET), shares(total, FINER)
     groups = asking.grouped(docs, F.col("doc_id").cast("long").alias("doc_id"), "text", *more, groups=shares(total, GROUP))
+    back = "pid int, bucket int, blob binary"
 
-    def ask_keys(t: pa.Table) -> pa.Table:
-        g = Group(t)
-        return asking.ask_shared(t["pid"][0].as_py(), g.keys, g.doc, buckets, g.sorts())
+    def ask_chunks(t: pa.Table) -> pa.Table:
+        return _ask_chunks(t["pid"][0].as_py(), Group(t), buckets)
 
-    def ask_bytes(t: pa.Table, answers: pa.Table) -> pa.Table:
+    def ask_keys(t: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(t):
             return asking.ASK_ARROW.empty_table()
-        _, keys, rows, left, right, d = _shared(Group(t), answers, buckets)
-        return _ask_bytes(t["pid"][0].as_py(), keys[d.first], rows[d.first], left[d.first], right[d.first], d.doc, buckets)
+        g = Group(t, asking.blobs_of(answers, 0), buckets)
+        return asking.ask_shared(t["pid"][0].as_py(), g.keys, g.doc, buckets, g.sorts())
 
     def answer_keys(batches):
         yield from asking.answer_shared(batches, FREQUENT)
 
-    back = "pid int, bucket int, blob binary"
-    keys = cut(asking.to_buckets(asking.per_group(groups, ask_keys, asking.ASK), answer_keys, back).withColumn("kind", F.lit(0)), "suffix-keys")
-    found = asking.to_buckets(asking.with_answers(groups, keys, ask_bytes, asking.ASK), _answer_bytes, back).withColumn("kind", F.lit(1))
-    return groups, keys.union(found), buckets
+    def ask_bytes(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(t):
+            return asking.ASK_ARROW.empty_table()
+        _, keys, rows, left, right, d = _shared(Group(t, asking.blobs_of(answers, 0), buckets), answers, buckets)
+        return _ask_bytes(t["pid"][0].as_py(), keys[d.first], rows[d.first], left[d.first], right[d.first], d.doc, finer)
+
+    # one plan without a written step between: Spark reuses the groups' exchange in it, whereas each action would make its own and
+    # the earlier ones would stay on disk until the driver happens to collect its garbage
+    chunked = asking.to_buckets(asking.per_group(groups, ask_chunks, asking.ASK), _answer_chunks, back).withColumn("kind", F.lit(0))
+    keys = asking.to_buckets(asking.with_answers(groups, chunked, ask_keys, asking.ASK), answer_keys, back).withColumn("kind", F.lit(1))
+    told = chunked.union(keys)
+    found = asking.to_buckets(asking.with_answers(groups, told, ask_bytes, asking.ASK), _answer_bytes, back).withColumn("kind", F.lit(2))
+    return groups, told.union(found), buckets, finer
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row."""
-    groups, answers, buckets = _exchange(docs)
+    groups, answers, buckets, finer = _exchange(docs)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
             return schema.empty_table()
-        g, gone = removed_bytes(t, told, buckets)
+        g, gone = removed_bytes(t, told, buckets, finer)
         size = np.diff(g.offsets)
         _, _, spans = spans_of(gone, g.offsets)
         edges = g.offsets.tolist()
@@ -344,12 +452,12 @@ def clean(docs: DataFrame) -> DataFrame:
     """``docs`` with the remaining bytes as text (binary, as a cut inside a character may leave invalid UTF-8); other columns as they
     are."""
     carried = asking.Carried(docs)
-    groups, answers, buckets = _exchange(docs, *carried.sent)
+    groups, answers, buckets, finer = _exchange(docs, *carried.sent)
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
             return pa.table({"doc_id": t["doc_id"], "kept": pa.array([], pa.binary())} | carried.taken(t))
-        g, gone = removed_bytes(t, told, buckets)
+        g, gone = removed_bytes(t, told, buckets, finer)
         edges = g.offsets.tolist()
         kept = [g.data[a:b][~gone[a:b]].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table({"doc_id": t["doc_id"], "kept": pa.array(kept, pa.binary())} | carried.taken(t))
