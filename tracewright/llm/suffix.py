@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import MAX, U64, mix, per_doc, prefix_hash, shares, sliding, span_hash, spans_of, text_buffer, text_bytes
+from .common import MAX, U64, mix, per_doc, prefix_hash, shares, sliding, span_hash, spans_of, text_buffer, text_bytes, width_hash
 
 WINDOW, KEY = 50, 20
 #: Starts of the windows around a place, and bytes left and right of its start.
@@ -45,7 +45,7 @@ SIDE = LEFT + RIGHT
 
 
 #: Bytes of text in a group, and of those whose hashes are held at once.
-GROUP, SLICE = 3 << 19, 1 << 19
+GROUP, SLICE = 3 << 19, 1 << 16
 #: Bytes of text whose chunks or keys make a bucket, and whose bytes around places, which take more room, do.
 BUCKET, FINER = 2 * asking.BUCKET_BYTES, 8 << 20
 #: One in so many places starts a chunk, unless such a place is within CLOSE bytes before it; bytes of a chunk's name.
@@ -54,27 +54,21 @@ SPARSE, CLOSE, NAME = 256, 64, 16
 FREQUENT, BLOCK = 1024, 30_000
 
 
-def _whole(size: int, width: int, offsets: np.ndarray, use: np.ndarray) -> np.ndarray:
-    """Whether ``width`` bytes from each of the first ``size`` places stay in a document that counts."""
-    ok = np.zeros(size + 1, np.int32)
-    use = use & (np.diff(offsets) >= width)
-    np.add.at(ok, offsets[:-1][use], 1)
-    np.add.at(ok, np.minimum(offsets[1:][use] - width + 1, size), -1)
-    return np.cumsum(ok[:-1]) > 0
-
-
-def anchors(data: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places that stand for some window (the least hash in it), and their hashes."""
-    n = len(data) - KEY + 1
     if len(data) < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    at = np.arange(n)
-    key = np.minimum(span_hash(prefix_hash(data), at, at + KEY), MAX - U64(1))
-    key[~_whole(n, KEY, offsets, use)] = MAX
+
+    def put(values: np.ndarray, width: int, value: np.uint64) -> None:  # where ``width`` bytes reach into the next document
+        at = (offsets[1:-1, None] - np.arange(1, width)).ravel()
+        values[at[(at >= 0) & (at < len(values))]] = value
+
+    key = np.minimum(width_hash(prefix_hash(data), KEY), MAX - U64(1))
+    put(key, KEY, MAX)
     least = sliding(key, STARTS)
-    least = np.where(_whole(len(least), WINDOW, offsets, use), least, U64(0))
+    put(least, WINDOW, U64(0))
     edge = np.zeros(STARTS - 1, U64)
-    most = sliding(np.concatenate([edge, least, edge]), STARTS, np.maximum)[:n]
+    most = sliding(np.concatenate([edge, least, edge]), STARTS, np.maximum)[: len(key)]
     chosen = np.flatnonzero((key == most) & (most > 0))
     return chosen, mix(key[chosen])  # least ones are small: mixed again, they spread over the buckets
 
@@ -129,22 +123,19 @@ class Group:
 
     def _open(self, repeated: np.ndarray) -> None:
         """The places that stand for windows of chunks that are not repeated, and how far around them those windows reach."""
-        edge = np.zeros(len(self.data) + 1, np.int8)
-        edge[self.starts[~repeated]] += 1
-        edge[self.ends[~repeated]] -= 1
-        open_ = np.cumsum(edge[:-1], dtype=np.int8) > 0
-        self.repeated = repeated
+        self.repeated, starts, ends = repeated, self.starts[~repeated], self.ends[~repeated]
         use = np.zeros(len(self.ids), bool)
-        use[np.searchsorted(self.offsets, self.starts[~repeated], "right") - 1] = True
+        use[np.searchsorted(self.offsets, starts, "right") - 1] = True
         places, keys = self._anchors(use)
         row = np.searchsorted(self.offsets, places, "right") - 1  # rows of a group are taken in any order
-        n = np.arange(len(open_))
-        after = np.minimum.accumulate(np.where(open_, n, len(n))[::-1])[::-1]
-        before = np.maximum.accumulate(np.where(open_, n, -1))
-        first = after[np.maximum(places - LEFT, self.offsets[row])] if len(places) else places
+        # the first and the last open window of those a place stands for
+        first = np.maximum(places - LEFT, self.offsets[row])
+        at = np.searchsorted(ends, first, "right")
+        first = np.maximum(first, np.append(starts, len(self.data))[at])
+        last = np.minimum(places, np.append(0, ends)[np.searchsorted(starts, places, "right")] - 1)
         own = first <= places
         self.places, self.keys, self.row = places[own], keys[own], row[own]
-        self.left, self.right = self.places - first[own], before[self.places] + WINDOW - self.places
+        self.left, self.right = self.places - first[own], last[own] + WINDOW - self.places
         self.doc = self.ids[self.row] if len(self.places) else np.zeros(0, np.int64)
 
     def _anchors(self, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,22 +147,28 @@ class Group:
         while at < len(moved):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
             start = offsets[at]
-            found, key = anchors(data[start : offsets[to]], offsets[at : to + 1] - start, np.ones(to - at, bool))
+            found, key = anchors(data[start : offsets[to]], offsets[at : to + 1] - start)
             places.append(found + start + moved[np.searchsorted(offsets, found + start, "right") - 1])
             keys.append(key)
             at = to
         return np.concatenate(places), np.concatenate(keys)
 
-    def sorts(self) -> np.ndarray:
-        """A hash of the bytes around each place: how many different ones a key has is what counts."""
-        left, right = self.left, self.right
-        out, at = np.zeros(len(self.places), U64), 0
-        while at < len(self.places):  # some texts at a time, as above
-            to = max(at + 1, int(np.searchsorted(self.places, self.places[at] + SLICE)))
-            start = self.offsets[self.row[at]]
-            prefix = prefix_hash(self.data[start : self.places[to - 1] + RIGHT + 1])
-            p = self.places[at:to] - start
-            out[at:to] = span_hash(prefix, p - left[at:to], p + right[at:to])
+    def sorts(self) -> np.ndarray | None:
+        """A hash of the bytes around each place of keys with many places: how many different ones a key has is what counts."""
+        keys = self.keys & ~U64(0xFFFF)
+        key = np.sort(keys)
+        crowded = key[asking.MANY :][key[asking.MANY :] == key[: max(0, len(key) - asking.MANY)]]
+        if not len(crowded):
+            return None
+        which = np.flatnonzero(crowded[np.minimum(np.searchsorted(crowded, keys), len(crowded) - 1)] == keys)
+        places, left, right = self.places[which], self.left[which], self.right[which]
+        out, at = np.zeros(len(keys), U64), 0
+        while at < len(which):  # some texts at a time, as above
+            to = max(at + 1, int(np.searchsorted(places, places[at] + SLICE)))
+            start = self.offsets[self.row[which[at]]]
+            prefix = prefix_hash(self.data[start : places[to - 1] + RIGHT + 1])
+            p = places[at:to] - start
+            out[which[at:to]] = span_hash(prefix, p - left[at:to], p + right[at:to])
             at = to
         return out
 
