@@ -390,6 +390,29 @@ def test_language_model_holds_thousands_of_words(spark, monkeypatch):
     assert held == [3001]  # and the end token
 
 
+def test_language_model_trains_on_places_of_tokens(spark):
+    """Texts go to their shard as places of tokens, beside them only the texts whose order hangs on the text; the copy is the one that the
+    sorted texts themselves train."""
+    rng = random.Random(6)
+    text = lambda: " ".join(rng.choice(["b", "a", "c", "rare"]) for _ in range(rng.randrange(30)))
+    rows = [(k, text()) for k in range(200)] + [(7, None), (7, ""), (7, "b a"), (None, "c"), (None, None), (None, "a a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words, counts = np.sort(lm.tokens(pa.array(["a b c"]))[0]), np.array([5.0, 4, 3, 2])
+    start = lm.Model.start(words, counts, 20)
+    again = lm.repeated(df)
+    assert set(again.to_pylist()) == {7, None}
+    sent = spark.sparkContext.broadcast((words, start))
+    assert sorted((str(r.doc_id), str(r.tie)) for r in lm.encoded(df, sent, again).collect() if r.tie is not None) == sorted((str(d), t) for d, t in rows if d in (7, None) and t is not None)
+    assert [f.dataType.simpleString() for f in lm.encoded(df, sent, again).schema] == ["bigint", "int", "array<smallint>", "string"]
+    placed = df.select(F.xxhash64("doc_id", F.lit(17)).alias("place"), "doc_id", "text").toArrow().sort_by([("place", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    trainer = lm.Trainer(lm.Model(words, {k: v.copy() for k, v in start.items()}))
+    hashes, n = lm.tokens(placed["text"])
+    trainer.learn(trainer.m.ids(hashes), n)
+    for known in (again, None):
+        got = lm.train_round(df, 1, words, start, known)
+        assert all(np.array_equal(got[k], v) for k, v in trainer.m.p.items())
+
+
 def test_language_model_gradients():
     rng = np.random.default_rng(0)
     words = np.arange(1, 200, dtype=np.uint64)

op6_lm: training shards receive token places instead of texts

Symptom: op6_lm shuffled 3.8 times its input; both training rounds sent whole texts to their shards, about a quarter of it.
Evidence: event log of the profiler at 0.10 GB: 384 MB written and read, 101 of them texts on their way to training.
Fix: the words of the model are known before training, so texts become the places of their tokens (smallint) where they are read; a text travels along only where several rows have its doc_id, as only there the text decides the order in a shard.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 1625 -> 1610 s, shuffle 2.32 -> 0.81 GB, spill 0.00 -> 0.00 GB, read 3.77 -> 3.77 GB, longest task 33 -> 31 s, most memory of a task 68 -> 68 MB; at 6 GB of input CPU 14342 -> 14582 s, shuffle 23.10 -> 7.82 GB, spill 0.00 -> 0.00 GB, read 37.70 -> 37.36 GB, longest task 102 -> 126 s, most memory of a task 170 -> 102 MB; with hot keys, at 0.6 GB of input CPU 825 -> 800 s, shuffle 0.67 -> 0.25 GB, spill 0.00 -> 0.00 GB, read 1.14 -> 1.16 GB, longest task 18 -> 17 s, most memory of a task 68 -> 68 MB.

@@ -9,8 +9,9 @@ of the model, sorted by count into classes of
 probability is that of its class times that within the class (class-factored softmax). A gated recurrent unit
 of ``HIDDEN`` cells reads the tokens; it is trained in numpy by backpropagation truncated to ``STEPS``
 tokens, its state carried from window to window. Training documents are all read exactly once: a
-hash-chosen eighth in round one, the rest in round two. In a round the texts are dealt by a hash of doc_id into shards of
-about ``SHARD`` bytes; a copy is trained on each, in an order by another hash, and copies are averaged by
+hash-chosen eighth in round one, the rest in round two. Texts become the places of their tokens where they are read, two bytes
+a token, and only these are dealt, by a hash of doc_id, into shards of
+about ``SHARD`` bytes of text; a copy is trained on each, in an order by another hash, and copies are averaged by
 token count in a tree of bounded fan-in, in the order of the shards. So neither the partitions and the order of rows nor a task run
 again change the model; only rounding in the sums of a text's score depends on what is scored beside it.
 
@@ -28,12 +29,13 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import LOWER, U64, _stream, cut, drop, names, pieces, shares, text_buffer, text_bytes, word_spans
+from .common import GROUP_BYTES, LOWER, U64, _stream, cut, drop, names, pieces, release, shares, text_buffer, text_bytes, word_spans
 
 TOP, CLASS, HIDDEN, STEPS = 4096, 64, 16, 16
 #: Streams trained side by side, and steps scored at once.
@@ -41,6 +43,8 @@ STREAMS, SCORED, RATE, FAN_IN = 512, 64, 0.004, 16
 GROUP, SHARD = 10 << 20, 24 << 20
 END = _stream(61, 1)[0]
 ALPHA = 0.1
+#: Ids of several rows that are told apart from the others; with more, every id counts as one of them.
+REPEATED = 1 << 16
 #: The model has a place for TOP words, and for one of SHARE distinct training words where that is more, up to MOST (17 MB of parameters).
 SHARE, MOST = 4096, 1 << 16
 
@@ -336,18 +340,53 @@ def _average(rows) -> tuple[bytes, int]:
     return _pack({k: (v / total).astype(np.float32) for k, v in out.items()}), total
 
 
-def train_round(docs: DataFrame, shards: int, words: np.ndarray, start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The token-weighted mean of the copies trained on the shards of the rows (doc_id, text)."""
+def repeated(docs: DataFrame) -> pa.Array | None:
+    """The doc_ids of more than one row; None if they are more than ``REPEATED``."""
+    got = docs.groupBy("doc_id").count().where("count > 1").limit(REPEATED + 1).collect()
+    return None if len(got) > REPEATED else pa.array([r.doc_id for r in got], pa.int64())
+
+
+def encoded(docs: DataFrame, sent, again: pa.Array | None) -> DataFrame:
+    """doc_id, size (bytes of text), ids (a token's place in the model, as in ``Model.ids``) and tie per row (doc_id, text); tie is the text of
+    rows whose doc_id is in ``again``, of all for None: only there the text decides the order. sent: the model's words and parameters, broadcast."""
+    small = len(sent.value[0]) < 1 << 15
+    kind = pa.int16() if small else pa.int32()
+
+    def run(batches):
+        model = Model(*sent.value)
+        for batch in batches:
+            for part in pieces(batch, 1):
+                doc_id, text = part.columns
+                hashes, counts = tokens(text)
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(model.ids(hashes), kind))
+                tie = text if again is None else text.take(pc.if_else(pc.is_in(doc_id, value_set=again), pa.array(range(len(text)), pa.int32()), None))
+                yield pa.RecordBatch.from_arrays([doc_id, pc.fill_null(pc.binary_length(text), 0), ids, tie], ["doc_id", "size", "ids", "tie"])
+        release()
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, size int, ids array<{'smallint' if small else 'int'}>, tie string")
+
+
+def _parts(t: pa.Table):
+    """The ids, and the tokens per text, of rows (size, ids) cut like ``pieces`` of their texts."""
+    ends, ids, at = np.cumsum(t["size"].to_numpy()), t["ids"].combine_chunks(), 0
+    while at < len(t):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES)))
+        part = ids.slice(at, to - at)
+        yield part.flatten().to_numpy().astype(np.int32), pc.list_value_length(part).to_numpy().astype(np.int64)
+        at = to
+
+
+def train_round(docs: DataFrame, shards: int, words: np.ndarray, start: dict[str, np.ndarray], again: pa.Array | None = None) -> dict[str, np.ndarray]:
+    """The token-weighted mean of the copies trained on the shards of the rows (doc_id, text). again: see ``encoded``."""
     sent = docs.sparkSession.sparkContext.broadcast((words, start))  # MOST bounds its size
 
     def run(t: pa.Table) -> pa.Table:
         words, p = sent.value
         trainer, n = Trainer(Model(words, {k: v.copy() for k, v in p.items()})), 0
-        t = t.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-        for part in pieces(t["text"].combine_chunks()):
-            hashes, counts = tokens(part)
-            trainer.learn(trainer.m.ids(hashes), counts)
-            n += len(hashes)
+        t = t.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("tie", "ascending")])
+        for ids, counts in _parts(t):
+            trainer.learn(ids, counts)
+            n += len(ids)
         return pa.table([t["pid"][:1].combine_chunks(), pa.array([_pack(trainer.m.p)], pa.binary()), pa.array([n], pa.int64())], names=["pid", "blob", "n"])
 
     def mean(t: pa.Table) -> pa.Table:
@@ -357,7 +396,7 @@ def train_round(docs: DataFrame, shards: int, words: np.ndarray, start: dict[str
 
     schema = "pid int, blob binary, n long"
     place = F.xxhash64("doc_id", F.lit(17)).alias("place")
-    copies = cut(asking.per_group(asking.grouped(docs, place, "doc_id", "text", groups=shards), run, schema), "lm-copies")
+    copies = cut(asking.per_group(asking.grouped(encoded(docs, sent, again), place, "doc_id", "size", "ids", "tie", groups=shards), run, schema), "lm-copies")
     while shards > FAN_IN:
         shards = -(-shards // FAN_IN)
         old, copies = copies, cut(copies.groupBy(F.floor(F.col("pid") / FAN_IN).alias("g")).applyInArrow(mean, schema), "lm-copies")
@@ -369,10 +408,10 @@ def train_round(docs: DataFrame, shards: int, words: np.ndarray, start: dict[str
 
 def train(docs: DataFrame, words: np.ndarray, counts: np.ndarray, total: int) -> dict[str, np.ndarray]:
     """docs: the training documents (doc_id, text), each read once."""
-    p, shards = Model.start(words, counts, total), shares(text_bytes(docs), SHARD)
+    p, shards, again = Model.start(words, counts, total), shares(text_bytes(docs), SHARD), repeated(docs)
     eighth = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(8)) == 0
     for part in (docs.where(eighth), docs.where(~eighth)):
-        p = train_round(part, shards, words, p)
+        p = train_round(part, shards, words, p, again)
     return p
 
 
