@@ -413,6 +413,25 @@ def test_language_model_trains_on_places_of_tokens(spark):
         assert all(np.array_equal(got[k], v) for k, v in trainer.m.p.items())
 
 
+@pytest.mark.parametrize("most", [1 << 16, 4, 0])
+def test_language_model_asks_about_other_tokens_alone(spark, docs, monkeypatch, most):
+    """Tokens whose counts every task has do not travel, others do: whatever their number, the results are those of all counts; texts are
+    dealt once and in no other step."""
+    df, plain = with_null_id(spark, docs)
+    monkeypatch.setattr(lm, "MOST", most)
+    monkeypatch.setattr(lm, "HELD", 50)
+    monkeypatch.setattr(asking, "BUCKET_BYTES", 2000)
+    dealt = []
+    grouped = asking.grouped
+    monkeypatch.setattr(asking, "grouped", lambda docs, *columns, groups: dealt.append((docs.columns, grouped(docs, *columns, groups=groups))) or dealt[-1][1])
+    got, want = lm.scores(df), brute.unigram(plain)
+    check(got, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"], [w[:5] for w in want])
+    assert np.allclose([s[2] for s in sorted((r.n_tokens, r.n_known, r.base_score) for r in got.collect())], [w[2] for w in sorted((w[2], w[3], w[5]) for w in want)])
+    assert [("text" in c, "tie" in c) for c, _ in dealt] == [(False, True), (False, True), (False, False)]
+    others = dealt[2][1].agg(F.sum(F.size("other"))).first()[0]
+    assert others > 100 if not most else others < sum(w[2] for w in want) - 100
+
+
 def test_language_model_gradients():
     rng = np.random.default_rng(0)
     words = np.arange(1, 200, dtype=np.uint64)

op6_lm: texts are counted and scored where they are read, only tokens of unknown count are dealt

Symptom: op6_lm dealt all texts into groups twice, once to count their tokens and once to score them.
Evidence: the profiler at 0.51 GB, event log: 564 MB of texts read by the counting stage and 594 MB by the scoring stage, of 1922 MB shuffled.
Fix: training texts are counted in map tasks and only sums of distinct tokens go to the buckets; scoring is a map step too, with the counts of 65536 frequent tokens broadcast (a constant, an equal share of each bucket); groups get the remaining tokens and ask the buckets about them, from one exchange read twice.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 1625 -> 1610 s, shuffle 2.32 -> 0.81 GB, spill 0.00 -> 0.00 GB, read 3.77 -> 3.77 GB, longest task 33 -> 31 s, most memory of a task 68 -> 68 MB; at 6 GB of input CPU 14342 -> 14582 s, shuffle 23.10 -> 7.82 GB, spill 0.00 -> 0.00 GB, read 37.70 -> 37.36 GB, longest task 102 -> 126 s, most memory of a task 170 -> 102 MB; with hot keys, at 0.6 GB of input CPU 825 -> 800 s, shuffle 0.67 -> 0.25 GB, spill 0.00 -> 0.00 GB, read 1.14 -> 1.16 GB, longest task 18 -> 17 s, most memory of a task 68 -> 68 MB.

@@ -1,7 +1,8 @@
 """Operator 6: document log-likelihood under a gated recurrent language model, trained and applied in Spark.
 
-Counting: every group of texts asks for the training counts of its distinct tokens (see ``asking``), so counts
-are exact over all training documents and no table of them is held in one place.
+Counting: training texts are counted where they are read; sums of some texts' distinct tokens go to buckets of the token space (see ``asking``),
+which write their tokens' counts. So counts are exact over all training documents and no table of them is held in one place. The buckets' most
+frequent tokens, ``MOST`` of all buckets, are broadcast with their counts; groups of texts ask the buckets about their other tokens alone.
 
 Model: the most frequent training tokens (``places``: more with more distinct ones; of each range of token hashes at most ``TOP``) are words
 of the model, sorted by count into classes of
@@ -16,7 +17,7 @@ token count in a tree of bounded fan-in, in the order of the shards. So neither
 again change the model; only rounding in the sums of a text's score depends on what is scored beside it.
 
 Scoring carries the state through the whole document, however long; a document starts from a zero state and
-its score includes its end token.
+its score includes its end token. Texts are scored where they are read; only tokens whose counts are not broadcast are dealt into groups.
 
 Null texts are empty: one token, the end. A null doc_id is no held-out one. Rows with equal ids are scored
 one by one and all count. With no training token all counts are zero and the model is the unigram one.
@@ -35,13 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asking
-from .common import GROUP_BYTES, LOWER, U64, _stream, cut, drop, names, pieces, release, shares, text_buffer, text_bytes, word_spans
+from .common import GROUP_BYTES, LOWER, MAX, U64, _stream, cut, drop, names, pieces, release, shares, text_buffer, text_bytes, word_spans
 
 TOP, CLASS, HIDDEN, STEPS = 4096, 64, 16, 16
 #: Streams trained side by side, and steps scored at once.
 STREAMS, SCORED, RATE, FAN_IN = 512, 64, 0.004, 16
 GROUP, SHARD = 10 << 20, 24 << 20
+#: Distinct tokens, of one slice of texts after the other, that a task holds before it sums them up and sends them.
+HELD = 1 << 20
 END = _stream(61, 1)[0]
+#: The pid of rows with a bucket's counts.
+COUNTS = -3
 ALPHA = 0.1
 #: Ids of several rows that are told apart from the others; with more, every id counts as one of them.
 REPEATED = 1 << 16
@@ -276,45 +281,85 @@ def score(model: Model, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 # --- counts ------------------------------------------------------------------------------------------------
 
 
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    return np.int64(len(keys)).tobytes() + keys.tobytes() + zstandard.compress(n.tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens and their counts."""
+    size = int(np.frombuffer(blob, np.int64, 1)[0])
+    return np.frombuffer(blob, U64, size, 8), np.frombuffer(zstandard.decompress(blob[8 + 8 * size :]), np.int64)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct tokens of (tokens, counts), and the sums of their counts."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """bucket, blob: the counts of a bucket's tokens in the training documents ``docs`` (pid ``COUNTS``); pid -1: frequent tokens (token, n),
+    in place of the bucket their rank in theirs; pid -2: totals (tokens, distinct) of a bucket."""
+
+    def ask(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent():
+            keys, n = _summed(held)
+            rows = [(k, _packed(keys[a:b], n[a:b])) for k, a, b in asking.bucket_slices(keys, buckets)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([COUNTS] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=asking.ASK_ARROW)
+
+        for batch in batches:
+            for part in pieces(batch, 0):
+                held.append(np.unique(tokens(part.column(0))[0], return_counts=True))
+                if sum(len(k) for k, _ in held) >= HELD:
+                    yield sent()
+        if held:
+            yield sent()
+        release()
+
+    def add(batches):
+        asked = asking.rows_of(batches, asking.ASK_ARROW)
+        keys, total = _summed([_unpacked(b) for b in asked["blob"].to_pylist()])
+        top = np.lexsort((keys, -total))[:TOP]
+        pid, bucket, blob = [COUNTS, *[-1] * len(top), -2], [asked["bucket"][0].as_py(), *range(len(top)), -1], [_packed(keys, total), *[None] * (len(top) + 1)]
+        token, count = [None, *keys[top].view(np.int64), int(total.sum())], [None, *total[top], len(keys)]
+        yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int32()), pa.array(bucket, pa.int32()), pa.array(blob, pa.binary()), pa.array(token, pa.int64()), pa.array(count, pa.int64())], ["pid", "bucket", "blob", "token", "n"])
+
+    return asking.to_buckets(docs.select("text").mapInArrow(ask, asking.ASK), add, "pid int, bucket int, blob binary, token long, n long")
+
+
 def _own(t: pa.Table):
-    """Token hashes and counts per text of a group; its sorted distinct tokens, each token's place among them."""
-    hashes, counts = tokens(t["text"])
-    distinct, place = np.unique(hashes, return_inverse=True)
-    return hashes, counts, distinct, place
+    """Of a group's rows (other: token hashes): each hash's row; the sorted distinct hashes, each one's place among them."""
+    other = t["other"].combine_chunks()
+    row = np.repeat(np.arange(len(t)), pc.list_value_length(other).to_numpy())
+    return row, *np.unique(other.flatten().to_numpy().view(U64), return_inverse=True)
 
 
-def _counts(groups: DataFrame, buckets: int) -> DataFrame:
-    """pid, bucket, blob: the answers; pid -1: frequent tokens (token, n); pid -2: totals (tokens, distinct) of a bucket."""
+def _answers(groups: DataFrame, counted: DataFrame, buckets: int) -> DataFrame:
+    """pid, bucket, blob: the training counts of what a group asks a bucket, in the order of its sorted distinct tokens."""
 
     def ask(t: pa.Table) -> pa.Table:
-        _, counts, distinct, place = _own(t)
-        train = np.repeat(~np.array(t["held_out"].to_pylist(), bool), counts)
-        n = np.bincount(place[train], minlength=len(distinct)).astype(np.uint32)
-        squeeze = zstandard.ZstdCompressor(level=1)
-        rows = [(k, np.int64(b - a).tobytes() + distinct[a:b].tobytes() + squeeze.compress(n[a:b].tobytes())) for k, a, b in asking.bucket_slices(distinct, buckets)]
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([t["pid"][0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=asking.ASK_ARROW)
+        _, distinct, _ = _own(t)
+        slices = asking.bucket_slices(distinct, buckets)
+        return pa.table([pa.array([k for k, _, _ in slices], pa.int32()), pa.array([t["pid"][0].as_py()] * len(slices), pa.int32()), pa.array([distinct[a:b].tobytes() for _, a, b in slices], pa.binary())], schema=asking.ASK_ARROW)
 
     def answer(batches):
         asked = asking.rows_of(batches, asking.ASK_ARROW)
-        blobs = asked["blob"].to_pylist()
-        if not blobs:
-            return
-        size = [int(np.frombuffer(b, np.int64, 1)[0]) for b in blobs]
-        keys = np.concatenate([np.frombuffer(b, U64, n, 8) for b, n in zip(blobs, size, strict=True)])
-        n = np.concatenate([np.frombuffer(zstandard.decompress(b[8 + 8 * k :]), np.uint32) for b, k in zip(blobs, size, strict=True)])
-        distinct, place = np.unique(keys, return_inverse=True)
-        total = np.bincount(place, n, len(distinct)).astype(np.int64)
-        edges = np.cumsum([0, *size])
-        out = [zstandard.compress(total[place[a:b]].tobytes(), 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        none = pa.nulls(len(out), pa.int64())
-        names = ["pid", "bucket", "blob", "token", "n"]
-        yield pa.RecordBatch.from_arrays([pa.array(asked["pid"].to_pylist(), pa.int32()), pa.array(asked["bucket"].to_pylist(), pa.int32()), pa.array(out, pa.binary()), none, none], names)
-        top = np.lexsort((distinct, -total))[:TOP]
-        top = top[total[top] > 0]
-        token, count, pid = [*distinct[top].view(np.int64), int(total.sum())], [*total[top], int((total > 0).sum())], [-1] * len(top) + [-2]
-        yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int32()), pa.array([-1] * len(pid), pa.int32()), pa.nulls(len(pid), pa.binary()), pa.array(token, pa.int64()), pa.array(count, pa.int64())], names)
-
-    return asking.to_buckets(asking.per_group(groups, ask, asking.ASK), answer, "pid int, bucket int, blob binary, token long, n long")
+        pids, blobs = asked["pid"].to_pylist(), asked["blob"].to_pylist()
+        keys, n = _unpacked(blobs[pids.index(COUNTS)]) if COUNTS in pids else (np.zeros(0, U64), np.zeros(0, np.int64))
+        keys, n = np.append(keys, MAX), np.append(n, 0)  # what stands beyond the last token is found there and not counted
+        rows = []
+        for pid, blob in zip(pids, blobs, strict=True):
+            if pid != COUNTS:
+                wanted = np.frombuffer(blob, U64)
+                at = np.searchsorted(keys, wanted)
+                rows.append((pid, zstandard.compress(np.where(keys[at] == wanted, n[at], 0).tobytes(), 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([asked["bucket"][0].as_py()] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["pid", "bucket", "blob"])
+
+    asked = asking.per_group(groups, ask, asking.ASK).unionByName(counted.where(F.col("pid") == COUNTS).select("bucket", "pid", "blob"))
+    return asking.to_buckets(asked, answer, "pid int, bucket int, blob binary")
 
 
 # --- training ------------------------------------------------------------------------------------------------
@@ -421,33 +466,54 @@ def scores(docs: DataFrame) -> DataFrame:
     buckets = shares(total, asking.BUCKET_BYTES)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False)).alias("held_out")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held, "text")
-    groups = asking.grouped(rows, "doc_id", "held_out", "text", groups=shares(total, GROUP))
-    counted = cut(_counts(groups, buckets), "lm-counts")
+    counted = cut(_counts(rows.where("not held_out"), buckets), "lm-counts")
     sums = counted.where("pid = -2").agg(F.sum("token"), F.sum("n")).first()
     n_tokens, n_distinct = int(sums[0] or 0), int(sums[1] or 0)
-    top = counted.where("pid = -1").select("token", "n").orderBy(F.desc("n"), "token").limit(places(n_distinct)).collect()
+    frequent = counted.where("pid = -1").select("token", "n", "bucket")
+    top = frequent.orderBy(F.desc("n"), "token").limit(places(n_distinct)).collect()
     words, counts = np.array([r[0] for r in top], np.int64).view(U64), np.array([r[1] for r in top], np.float64)
+    more = frequent.where(F.col("bucket") < MOST // buckets).collect()  # an equal share of each bucket: of any size of data MOST rows
+    known, at = np.unique(np.array([r[0] for r in top + more], np.int64).view(U64), return_index=True)
+    n_known = np.array([r[1] for r in top + more], np.float64)[at]
     p = train(rows.where("not held_out"), words, counts, n_tokens)
-    sent = docs.sparkSession.sparkContext.broadcast((words, p))
+    sent = docs.sparkSession.sparkContext.broadcast((words, p, known, n_known))  # MOST bounds its size
     rare_mass = n_tokens - int(counts.sum()) + ALPHA * (n_distinct - len(words) + 1)
     base_mass = n_tokens + ALPHA * (n_distinct + 1)
+
+    def scored(batches):
+        words, p, known, n = sent.value
+        model, n = Model(words, p), np.append(n, 0)
+        for batch in batches:
+            for part in pieces(batch, 2, GROUP):
+                hashes, per_text = map(np.concatenate, zip(*map(tokens, pieces(part.column(2))), strict=True))  # by less than is scored at once
+                at = np.searchsorted(known, hashes)
+                is_known = np.append(known, MAX)[at] == hashes
+                is_known &= at < len(known)
+                c, first = n[np.where(is_known, at, len(known))], np.cumsum(per_text) - per_text
+                ids = model.ids(hashes)
+                log_p = score(model, ids, per_text).astype(np.float64) / np.log(10)
+                log_p += np.where((ids == model.rare) & is_known, np.log10((c + ALPHA) / rare_mass), 0)
+                base = np.where(is_known, np.log10((c + ALPHA) / base_mass), 0)
+                is_known = np.add.reduceat(is_known.astype(np.int64), first)
+                other = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_text - is_known)), pa.int32()), pa.array(hashes[c == 0].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(per_text, pa.int64()), pa.array(is_known), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(log_p, first)), other], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "other"])
+        release()
+
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+    parts = rows.mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, other array<long>")
+    groups = asking.grouped(parts, *columns, "other", groups=shares(total, GROUP))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def finish(t: pa.Table, told: pa.Table) -> pa.Table:
         if not len(t):
             return schema.empty_table()
-        hashes, per_text, distinct, place = _own(t)
+        row, distinct, place = _own(t)
         answers, c = dict(zip(told["bucket"].to_pylist(), told["blob"].to_pylist(), strict=True)), np.zeros(len(distinct), np.int64)
         for k, a, b in asking.bucket_slices(distinct, buckets):
             c[a:b] = np.frombuffer(zstandard.decompress(answers[k]), np.int64)
-        c = c[place]
-        model = Model(*sent.value)
-        ids = model.ids(hashes)
-        log_p = score(model, ids, per_text).astype(np.float64) / np.log(10)
-        log_p += np.where(ids == model.rare, np.log10((c + ALPHA) / rare_mass), 0)
-        at = np.concatenate([[0], np.cumsum(per_text)[:-1]])
-        n = len(t)
-        return pa.table([t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), pa.array(per_text, pa.int64()), pa.array(np.add.reduceat((c > 0).astype(np.int64), at)), pa.array([n_tokens] * n, pa.int64()), pa.array(np.add.reduceat(np.log10((c + ALPHA) / base_mass), at)), pa.array(np.add.reduceat(log_p, at))], schema=schema)
-
-    answers = counted.where("pid >= 0").select("pid", "bucket", "blob")
-    return asking.with_answers(groups, answers, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        c, n = c[place], len(t)
+        more = [np.bincount(row, x, n) for x in (c > 0, np.log10((c + ALPHA) / base_mass), np.log10((c + ALPHA) / rare_mass))]
+        known, base, log_p = (t[x].to_numpy() + m for x, m in zip(("n_known", "base_score", "score"), more, strict=True))
+        return pa.table([t["doc_id"].combine_chunks(), t["held_out"].combine_chunks(), t["n_tokens"].combine_chunks(), pa.array(known.astype(np.int64)), pa.array([n_tokens] * n, pa.int64()), pa.array(base), pa.array(log_p)], schema=schema)
+
+    return asking.with_answers(groups, _answers(groups, counted, buckets), finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
