@@ -252,6 +252,30 @@ def test_merge_fill_and_registry(spark):
     assert [(r.c, r.delta) for r in ranks.collect()] == [("b", 2), ("a", 2)]
 
 
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_learned_predictions_move_calls_not_rows(spark, monkeypatch, small):
+    """Calls that are dealt before they multiply bring the rows of null, repeated and unknown calls as others do; then no exchange stands above
+    the union of the signals, and the table is not worked out again. Rows that are not few are joined without."""
+    monkeypatch.setattr(predict, "SMALL", small)
+    calls = spark.createDataFrame([(r, k % 40, t) for r in (1, 1, 2, None) for k in range(41) for t in ("a", "z", None)] + [(3, None, "a"), (None, None, "z"), (4, 1, "none")], "run_id long, ord long, tool string")
+    registry = spark.createDataFrame([("a", 1, 1, 0.9), ("a", 2, 2, 0.5), ("a", 2, 2, 0.5), ("c", 3, 1, 0.8), ("c", None, 1, 0.7), ("z", 4, 1, None), (None, 5, 1, 0.1)], "tool string, rid long, off int, confidence double")
+    table = spark.createDataFrame([("a", "c", 1, 0.9, 1), ("a", "b", 2, 0.6, 1), ("z", "b", 1, 0.2, 1), (None, "c", 1, 0.9, 1)], "source string, target string, off int, prob double, rank int")
+    plan, key = calls.where("ord % 7 = 3").select("run_id", "ord", F.lit(9).cast("long").alias("rid")), ["run_id", "ord"]
+
+    def signals(by):
+        own = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *by) if by else plan
+        told = [predict.table_predict(calls, table, registry.drop("off", "confidence"), by=by), predict.rule_predict(calls, registry, by=by)]
+        return predict.learned_predict(own, *[x.select(*key, "rid") for x in told], key)
+
+    got, want = ([tuple(r) for r in signals(by).collect()] for by in (key, ()))
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {s for *_, s in got} == {0, 1, 2} and {r for r, *_ in got} == {1, 2, 3, None}
+    text = signals(key)._jdf.queryExecution().executedPlan().toString()
+    if small:
+        assert text.index("Union") < text.index("Exchange") and text.count("Window [") == 1
+    else:
+        assert "BroadcastHashJoin" not in text.split("Union")[0] and "REPARTITION_BY_NUM" in text
+
+
 def test_guard_cases():
     """L: hit, divergence by prefix, silent, not eligible; conservative steps."""
     g = guard.Guard()

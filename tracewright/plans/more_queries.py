@@ -25,9 +25,9 @@ def calls(spark, d):
 
 
 @query(E[:-1] + _REG + ", m AS (SELECT run_id, ord, rid, reg.off, reg.confidence FROM e JOIN reg ON e.kind = reg.tool) SELECT run_id, ord, rid, min(off) OVER (PARTITION BY ord) AS horizon, max(confidence) OVER (PARTITION BY ord) AS best FROM m")
-def rule_prediction(spark, d):
+def rule_prediction(spark, d, by=()):
     """Registry rows of each call, with horizon and confidence of the prediction."""
-    return predict.rule_predict(calls(spark, d), registry(spark, d)).select("run_id", "ord", "rid", "horizon", "best")
+    return predict.rule_predict(calls(spark, d), registry(spark, d), by=by).select("run_id", "ord", "rid", "horizon", "best")
 
 
 def likely(spark, d):
@@ -40,9 +40,9 @@ f AS (SELECT *, min(off) OVER (PARTITION BY ord) AS least FROM m)
 
 
 @query(_PAIRS[:-1] + _TABLE + "SELECT run_id, ord, rid, off FROM f WHERE off = least")
-def table_prediction(spark, d):
+def table_prediction(spark, d, by=()):
     """Rows of the nearest offset whose likely target has resources."""
-    got = predict.table_predict(calls(spark, d), likely(spark, d), registry(spark, d).drop("off", "confidence"), top=1, least=0.2)
+    got = predict.table_predict(calls(spark, d), likely(spark, d), registry(spark, d).drop("off", "confidence"), top=1, least=0.2, by=by)
     return got.select("run_id", "ord", "rid", long("off"))
 
 
@@ -51,8 +51,10 @@ SELECT run_id, ord, rid, signal FROM (SELECT *, min(signal) OVER (PARTITION BY r
 def learned_prediction(spark, d):
     """Plan, else table, else rules, the first that says anything about a step."""
     plan = trace(spark, d).where("kind = 'signup'").select("run_id", "ord", F.col("k").alias("rid"))
-    by_table = table_prediction(spark, d).select("run_id", "ord", "rid")
-    return predict.learned_predict(plan, by_table, rule_prediction(spark, d).select("run_id", "ord", "rid"), ["run_id", "ord"]).select("run_id", "ord", "rid", "signal")
+    key = ["run_id", "ord"]  # not run_id alone: a long run would fall to one task
+    by_table = table_prediction(spark, d, key).select("run_id", "ord", "rid")
+    plan = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *key)
+    return predict.learned_predict(plan, by_table, rule_prediction(spark, d, key).select("run_id", "ord", "rid"), key).select("run_id", "ord", "rid", "signal")
 
 
 @query(E[:-1] + """, c AS (SELECT run_id, ord, k >= 90 AS now, CASE kind WHEN 'view' THEN 'chat' WHEN 'error' THEN 'ensemble' END AS cls FROM e)
